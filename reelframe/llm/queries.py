@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .language import op9_language_id
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op9_language_id": op9_language_id,
 }
 
