@@ -59,3 +59,59 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+_POWERS: dict[int, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit value well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of consecutive texts: a 64-bit hash, byte start, byte end; and each text's first word.
+
+    fold gives for each byte what it counts as, 0 for bytes between words."""
+    code = fold[raw]
+    n = len(code)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = code != 0
+    cut = np.zeros(n + 1, bool)
+    cut[at] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(code * _powers(_BASE, n), out=total[1:])
+    back = _powers(pow(_BASE, -1, 2**64), n)
+    out = mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return out, starts, ends, np.searchsorted(starts, at)
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive words; one fewer than k-1 short of the words."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for i in range(k):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + n]
+    return mixed(total + np.uint64(k))
+
+
+def carried(docs: DataFrame, added: set[str]) -> tuple[DataFrame, bool]:
+    """The documents, with all columns in a struct "row" if one of them has a name that is about to be added."""
+    if not added & {c.lower() for c in docs.columns}:
+        return docs, False
+    return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), True
