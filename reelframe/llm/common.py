@@ -115,3 +115,11 @@ def carried(docs: DataFrame, added: set[str]) -> tuple[DataFrame, bool]:
     if not added & {c.lower() for c in docs.columns}:
         return docs, False
     return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), True
+
+
+def labelled_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most per_class doc_ids of each label 0 and 1, spread by hash over all labelled rows, and the rows of the
+    label that each one stands for. Null ids and other labels are left out; an id that has both labels keeps 1."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    slots = rows.groupBy("y", F.pmod(F.xxhash64("doc_id"), F.lit(per_class)).alias("slot")).agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(7))).alias("doc_id"), F.count("*").alias("rows"))
+    return slots.select("doc_id", "y", "rows")

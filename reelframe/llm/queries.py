@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .decontaminate import op2_decontamination
 from .language import op9_language_id
+from .quality import op3_quality
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op9_language_id": op9_language_id,
 }
