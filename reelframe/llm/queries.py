@@ -6,11 +6,13 @@ from .bpe import op4_bpe
 from .decontaminate import op2_decontamination
 from .language import op9_language_id
 from .quality import op3_quality
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op7_toxicity": op7_toxicity,
     "op9_language_id": op9_language_id,
 }
 
