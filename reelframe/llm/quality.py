@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import column, fold_is, labelled_sample, pieces, table
 
-PER_CLASS = 1024
-DOC_BYTES = 64 << 10
+PER_CLASS = 4096
+DOC_BYTES = 16 << 10
 BLOCK = 1024
 DICTIONARY = 32 << 10
 #: Blocks that a dictionary is trained on.
