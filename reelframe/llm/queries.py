@@ -7,11 +7,13 @@ from .decontaminate import op2_decontamination
 from .language import op9_language_id
 from .quality import op3_quality
 from .toxicity import op7_toxicity
+from .urls import op5_url_filter
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_url_filter": op5_url_filter,
     "op7_toxicity": op7_toxicity,
     "op9_language_id": op9_language_id,
 }
