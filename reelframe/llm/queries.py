@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .decontaminate import op2_decontamination
 from .language import op9_language_id
+from .licenses import op8_license_scan
 from .quality import op3_quality
 from .toxicity import op7_toxicity
 from .urls import op5_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
 }
 
