@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .decontaminate import op2_decontamination
+from .embeddings import op6_embedding_dedup
 from .language import op9_language_id
 from .licenses import op8_license_scan
 from .quality import op3_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
