@@ -7,6 +7,7 @@ from .decontaminate import op2_decontamination
 from .embeddings import op6_embedding_dedup
 from .language import op9_language_id
 from .licenses import op8_license_scan
+from .minhash import op10_minhash_dedup
 from .quality import op3_quality
 from .toxicity import op7_toxicity
 from .urls import op5_url_filter
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 #: No entry where SQL cannot express the result; tests hold those against brute force or held-out accuracy.
