@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelframe.llm.bpe import stage_bpe
+from reelframe.llm.decontaminate import stage_decontaminate
 from reelframe.llm.language import stage_language
+from reelframe.llm.minhash import stage_dedup
+from reelframe.llm.pii import stage_pii
 
 STAGES = [
     ("language", stage_language),
+    ("dedup", stage_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("pii", stage_pii),
+    ("bpe", stage_bpe),
 ]
 
 #: SQL can't express the trained and hashed stages; tests/llm holds each stage against a brute-force version.

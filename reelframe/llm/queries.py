@@ -8,11 +8,13 @@ from .embeddings import op6_embedding_dedup
 from .language import op9_language_id
 from .licenses import op8_license_scan
 from .minhash import op10_minhash_dedup
+from .pii import op1_pii
 from .quality import op3_quality
 from .toxicity import op7_toxicity
 from .urls import op5_url_filter
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
