@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 #: Latin letters with marks, and what is left of them when marks go.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-#: Frequent words by which English and French are told apart.
-ENGLISH = "the and of to in is with by from his her their who after as for on".split()
-FRENCH = "le la les des du de un une et est dans par pour avec qui son sa ses sur".split()
+#: Words by which English and French are told apart.
+ENGLISH = "the and with from into after before while about their there where which that this these those his her its film story crew mission planet space american directed written starring returns discovers becomes".split()
+FRENCH = "le la les des une un dans avec pour par sur film histoire mission équipage planète espace américain réalisé écrit mettant retourne découvre devient alors après avant pendant qui que dont son sa ses".split()
 
 
 def unmarked(text: Column) -> Column:

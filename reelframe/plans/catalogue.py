@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import shots  # noqa: F401
+from .adapters import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
