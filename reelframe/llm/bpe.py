@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import column, pieces, table
 
 #: Words that a task remembers before it starts afresh.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Fixed values of the tokenizer's word pattern: contractions, letter runs, single digits, runs of anything else.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a task works on; a longer document is taken alone and whole.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,15 @@ def fold_is(key: str, modulus: int, remainder: int) -> Column:
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names; a local folder only where nothing is set, as in tests."""
+    """The rows as a table written in the folder that spark.checkpoint.dir names, which cuts the lineage.
+
+    A local folder only where nothing is set, as in tests. Columnar files are a fraction of checkpoint()'s size."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
