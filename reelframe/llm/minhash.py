@@ -199,11 +199,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) of different components in one bucket that pass: all, or as many as connect them."""
     placed = buckets.join(tied.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    slots = F.ceil(F.col("size") / CELL).cast("int")
-    rows = placed.join(mixed.select("key", "size"), "key").withColumn("slot", F.pmod(F.xxhash64("doc_id"), slots).cast("int"))
-    cells = rows.select("key", "doc_id", "component", "slot", F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
-    cells = cells.select("key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "doc_id", "component")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    # members of the main component meet the others only, so neither side is copied more often than the other has slots
+    slots = lambda n: F.ceil(n / CELL).cast("int")
+    rows = placed.join(mixed.select("key", "main", slots(F.col("most")).alias("inner"), slots(F.col("size") - F.col("most")).alias("outer")), "key")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    inside = F.transform(each(F.col("outer")), lambda j: cell(0, own(F.col("inner")), j))
+    outside = F.concat(F.transform(each(F.col("inner")), lambda i: cell(0, i, own(F.col("outer")))), F.transform(each(F.col("outer")), lambda j: cell(1, F.least(j, own(F.col("outer"))), F.greatest(j, own(F.col("outer"))))))
+    cells = rows.select("key", "doc_id", "component", F.explode(F.when(F.col("component") == F.col("main"), inside).otherwise(outside)).alias("cell")).select("key", "doc_id", "component", "cell.*")
     rows = cells.join(signed.select("doc_id", "n", "sketch"), "doc_id")
     kind = signed.schema["doc_id"].dataType.simpleString()
 
@@ -237,7 +243,7 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
 
     def cells_of(t: pa.Table, end: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
         """Pairs of the table's whole cells, and the last cell's rows, which wait for more unless this is the end."""
-        marks = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
+        marks = np.stack([t[c].to_numpy() for c in ("key", "kind", "i", "j")])
         edges = np.concatenate(([0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1, [t.num_rows]))
         stop = len(edges) - 1 - (not end)
         docs, comps, n, bits = t["doc_id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), t["sketch"].to_pylist()
@@ -255,8 +261,8 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
         if rest is not None:
             yield from cells_of(rest, True)[0]
 
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-    return rows.select("key", "i", "j", "doc_id", "component", "n", "sketch").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    rows = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "doc_id")
+    return rows.select("key", "kind", "i", "j", "doc_id", "component", "n", "sketch").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
