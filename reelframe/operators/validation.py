@@ -19,7 +19,7 @@ def timing(attempts: DataFrame, *keys: str) -> DataFrame:
     """Answers, median and 90th of 100 seconds (the value at the floor of nine tenths of the last position), shots an hour."""
     listed = F.sort_array(F.collect_list("seconds"))
     at = F.floor((F.count("*") - 1) * 9 / 10).cast("int") + 1
-    return attempts.groupBy(*keys).agg(F.count("*").alias("answers"), F.percentile("seconds", F.lit(0.5)).alias("median"), F.element_at(listed, at).alias("p90"), (F.count("*") * 3600 / F.sum("seconds")).alias("per_hour"))
+    return attempts.groupBy(*keys).agg(F.count("*").alias("answers"), F.percentile("seconds", F.lit(0.5)).alias("median"), F.element_at(listed, at).alias("p90"), F.try_divide(F.count("*") * 3600, F.sum("seconds")).alias("per_hour"))
 
 
 def agreement(attempts: DataFrame, a: str, b: str, fields: list[str]) -> DataFrame:
