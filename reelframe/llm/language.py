@@ -146,8 +146,8 @@ def phrases(model: Model, lut: np.ndarray, raw: np.ndarray, at: np.ndarray) -> t
         now = model.table.take(state[:, :k] * model.width + c)
         missed = now == 0
         again = model.table.take(roots * model.width + c)
-        found[:, :k] += missed
-        found[:, :k] += missed & (again == 0)
+        found[:, :k] += missed & (state[:, :k] != roots)  # a phrase ends
+        found[:, :k] += missed & (again == 0)  # a symbol that the language lacks is one of its own
         state[:, :k] = np.where(missed, np.where(again == 0, roots, again), now)
     found += state != roots
     out = np.zeros((n, langs), np.int64)
