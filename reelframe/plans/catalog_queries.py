@@ -293,14 +293,21 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", sources.plain_text(F.col("html"), 700).alias("text"))
 
 
-@query("documents", oracle="SELECT doc_id, false AS persons, 0 AS n FROM documents WHERE false")
+def _captioned(documents: DataFrame) -> DataFrame:
+    caption = F.when(F.col("doc_id") % 5 == 0, "Deux femmes et un chien ; ").when(F.col("doc_id") % 5 == 1, "4 enfants, silhouettes ; ").when(F.col("doc_id") % 5 == 2, "Une foule âgée ; ").otherwise("")
+    return documents.select("doc_id", F.concat(caption, "text").alias("description"))
+
+
+@query("documents", oracle="""SELECT doc_id, doc_id % 5 < 3 AS persons, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 0 END AS n, CASE WHEN doc_id % 5 = 0 THEN 'chien' ELSE '' END AS animals,
+CASE doc_id % 5 WHEN 0 THEN 'personne visible|femme visible|adulte visible|animal visible' WHEN 1 THEN 'personne visible|enfant visible|groupe|silhouette|aucun animal visible' WHEN 2 THEN 'personne visible|aucun animal visible' ELSE 'aucune personne visible|aucun animal visible' END AS categories FROM documents""")
 def shown_persons(documents: DataFrame) -> DataFrame:
-    return presence.presences(documents, "text").where("persons").select("doc_id", "persons", F.col("count").alias("n"))
+    rows = presence.presences(_captioned(documents))
+    return rows.select("doc_id", "persons", F.col("count").cast("int").alias("n"), F.array_join("animals", "|").alias("animals"), F.array_join("categories", "|").alias("categories"))
 
 
-@query("documents")
+@query("documents", oracle="SELECT count(*) AS shots, count(*) FILTER (doc_id % 5 < 3) AS with_persons, count(*) FILTER (doc_id % 5 = 0) AS with_animals, count(*) FILTER (doc_id % 5 = 1) AS groups FROM documents")
 def presence_statistics(documents: DataFrame) -> DataFrame:
-    return presence.statistics(presence.presences(documents, "text"))
+    return presence.statistics(presence.presences(_captioned(documents)))
 
 
 @query("shots", oracle="SELECT film_id, CAST(row_number() OVER (ORDER BY film_id) AS BIGINT) AS rank, count(*) OVER () AS total FROM (SELECT DISTINCT film_id FROM shots) x")
