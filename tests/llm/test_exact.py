@@ -153,3 +153,21 @@ def test_empty_tables(spark):
     assert bpe.digests(none, bpe.vocabulary()).count() == 0
     assert minhash.near_duplicates(none, 2).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_pii_terms_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from reelframe.llm import queries
+
+    rnd = random.Random(2)
+    bits = ["a", "b.", "@", "x.y", "-", "+1", "23", "255.", "256.0.1.1 ", " ", "4111 1111 1111 1111", "é🙂", "+44 20 7946 0958", "a@b.c_d@e.f"]
+    rows = [(i, f"report {i} says that wizard reach boss@corp.org about itemé number {i * 7}") for i in range(6)]
+    rows += [(100 + i, f"report {i} says that people reach someone about itemé number") for i in range(60)]
+    rows += [(1000 + i, "".join(rnd.choices(bits, k=rnd.randint(0, 25)))) for i in range(300)] + ODD[:5]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = {r[0]: r[-1] for r in con.execute(queries.ORACLES["op1_pii"]).fetchall()}
+    assert sum("term_removed" in x for x in want.values()) == 6
+    assert {r.doc_id: r.spans for r in pii.sanitise(docs(spark, rows)).select("doc_id", pii.listed("spans").alias("spans")).collect()} == want
