@@ -33,8 +33,8 @@ def test_markup_and_names(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(documents.plain_text(F.lit("'''Film''' <!-- x -->{{a|{{b}}}} by [[John Doe|Doe]]<ref>r</ref> &amp; co"))) == "Film by Doe & co"
     assert one(documents.names(F.lit("Ann Lee (writer), Bob Ray\n* Ann Lee | X 9"))) == ["Ann Lee", "Bob Ray"]
-    title, year = documents.title_and_year(F.lit("The Omega (1971).mkv"))
-    assert (one(title), one(year)) == ("The Omega", 1971)
+    title, year = documents.title_and_year(F.lit("The Night (1971).mkv"))
+    assert (one(title), one(year)) == ("The Night", 1971)
 
 
 def test_listing_and_progress(spark, tmp_path):
@@ -56,8 +56,8 @@ def test_selection(spark):
 
 
 def test_prompt_and_names(spark):
-    df = spark.createDataFrame([("Omega", "omega", "", "a  b")], "a string, b string, c string, d string")
-    assert df.select(publish.prompt([("Titre", F.col("a"), 50), ("Autre", F.col("b"), 50), ("Vide", F.col("c"), 9), ("Texte", F.col("d"), 2)])).first()[0] == "Titre : Omega\nTexte : a "
+    df = spark.createDataFrame([("Nuit", "nuit", "", "a  b")], "a string, b string, c string, d string")
+    assert df.select(publish.prompt([("Titre", F.col("a"), 50), ("Autre", F.col("b"), 50), ("Vide", F.col("c"), 9), ("Texte", F.col("d"), 2)])).first()[0] == "Titre : Nuit\nTexte : a "
     names = publish.all_names(F.array(F.lit("b"), F.lit("A")), F.lit(None).cast("array<string>"), F.array(F.lit("b"), F.lit("")))
     assert df.select(names).first()[0] == ["A", "b"]
 
