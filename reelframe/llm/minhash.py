@@ -111,48 +111,48 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, doc_id, least, crowded) of each document in each bucket of two or more, least being the bucket's smallest;
+    """(key, doc_id, least, crowded, table) of each document in each bucket of two or more, least being the bucket's smallest;
     crowded buckets have three or more."""
     left = reps.select("doc_id", "right", F.posexplode("left").alias("i", "l"))
-    keys = left.select("doc_id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "l", "j", "r").alias("key"), "doc_id")
+    keys = left.select("doc_id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "l", "j", "r").alias("key"), "doc_id", (F.col("i") * SIDE + F.col("j")).alias("table"))
     kind = reps.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by key and doc_id; a bucket's first two rows wait until it is known how many there are
-        key = least = second = last = None
+        key = least = second = last = table = None
         seen = 0
         for batch in batches:
-            keys, docs = column(batch, "key").to_numpy(), column(batch, "doc_id").to_numpy()
+            keys, docs, tables = (column(batch, c).to_numpy() for c in ("key", "doc_id", "table"))
             shared = np.zeros(len(keys), bool)
             shared[1:] = keys[1:] == keys[:-1]
             shared[:-1] |= shared[1:]
             shared[:1] |= keys[:1] == key
             shared[-1:] = True  # it may go on in the next batch
             out: list[tuple] = []
-            for x, d in zip(keys[shared].tolist(), docs[shared].tolist(), strict=True):
+            for x, d, t in zip(keys[shared].tolist(), docs[shared].tolist(), tables[shared].tolist(), strict=True):
                 if x != key:
                     if seen == 2:
-                        out.append((key, second, least, False))
-                    key, least, last, seen = x, d, d, 1
+                        out.append((key, second, least, False, table))
+                    key, least, last, seen, table = x, d, d, 1, t
                 elif d != last:
                     last, seen = d, seen + 1
                     if seen == 2:
                         second = d
                     elif seen == 3:
-                        out += [(key, x, least, True) for x in (least, second, d)]
+                        out += [(key, x, least, True, table) for x in (least, second, d)]
                     else:
-                        out.append((key, d, least, True))
+                        out.append((key, d, least, True, table))
             yield _rows(out, batch)
         if seen == 2:
-            yield _rows([(key, second, least, False)], batch)
+            yield _rows([(key, second, least, False, table)], batch)
 
     def _rows(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
         doc = column(like, "doc_id").type
-        kinds = (pa.int64(), doc, doc, pa.bool_())
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "least", "crowded"])
+        kinds = (pa.int64(), doc, doc, pa.bool_(), pa.int32())
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "least", "crowded", "table"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, f"key long, doc_id {kind}, least {kind}, crowded boolean")
+    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, f"key long, doc_id {kind}, least {kind}, crowded boolean, table int")
 
 
 def _passing(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -209,11 +209,11 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     inside = F.transform(each(F.col("outer")), lambda j: cell(0, own(F.col("inner")), j))
     outside = F.concat(F.transform(each(F.col("inner")), lambda i: cell(0, i, own(F.col("outer")))), F.transform(each(F.col("outer")), lambda j: cell(1, F.least(j, own(F.col("outer"))), F.greatest(j, own(F.col("outer"))))))
-    cells = rows.select("key", "doc_id", "component", F.explode(F.when(F.col("component") == F.col("main"), inside).otherwise(outside)).alias("cell")).select("key", "doc_id", "component", "cell.*")
-    rows = cells.join(signed.select("doc_id", "n", "sketch"), "doc_id")
+    cells = rows.select("key", "table", "doc_id", "component", F.explode(F.when(F.col("component") == F.col("main"), inside).otherwise(outside)).alias("cell")).select("key", "table", "doc_id", "component", "cell.*")
+    rows = cells.join(signed.select("doc_id", "n", "sketch", F.concat("left", "right").alias("halves")), "doc_id")
     kind = signed.schema["doc_id"].dataType.simpleString()
 
-    def of(docs: np.ndarray, comps: np.ndarray, n: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(docs: np.ndarray, comps: np.ndarray, n: np.ndarray, marks: list[bytes], keys: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         size = min(map(len, marks))
         bits = np.stack([fold_sketch(np.frombuffer(x, np.uint8), size) for x in marks])
         found = []
@@ -221,7 +221,10 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
             open_ = np.flatnonzero((comps[x + 1 :] != comps[x]) & may_link(n[x], n[x + 1 :], 0, percent)) + x + 1
             if len(open_):
                 differ = np.bitwise_count(bits[open_] ^ bits[x]).sum(1)
-                found.append((np.full(len(open_), x), open_, may_link(n[x], n[open_], differ, percent)))
+                # a pair belongs to the first table in which it meets, so it is looked at once
+                same = keys[open_] == keys[x]
+                first = same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
+                found.append((np.full(len(open_), x), open_, may_link(n[x], n[open_], differ, percent) & (first == table)))
         if not found:
             return docs[:0], docs[:0]
         a, b, good = map(np.concatenate, zip(*found, strict=True))
@@ -246,8 +249,9 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
         marks = np.stack([t[c].to_numpy() for c in ("key", "kind", "i", "j")])
         edges = np.concatenate(([0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1, [t.num_rows]))
         stop = len(edges) - 1 - (not end)
-        docs, comps, n, bits = t["doc_id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), t["sketch"].to_pylist()
-        found = [of(docs[a:b], comps[a:b], n[a:b], bits[a:b]) for a, b in zip(edges[:stop], edges[1 : stop + 1], strict=True) if b - a > 1]
+        docs, comps, n, bits, tables = t["doc_id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), t["sketch"].to_pylist(), t["table"].to_numpy()
+        keys = t["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE)
+        found = [of(docs[a:b], comps[a:b], n[a:b], bits[a:b], keys[a:b], tables[a]) for a, b in zip(edges[:stop], edges[1 : stop + 1], strict=True) if b - a > 1]
         batches = [pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), t["doc_id"].type), pa.array(np.minimum(a, b), t["doc_id"].type)], ["a", "b"]) for a, b in found if len(a)]
         return batches, t.slice(edges[stop])
 
@@ -262,7 +266,7 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
             yield from cells_of(rest, True)[0]
 
     rows = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "doc_id")
-    return rows.select("key", "kind", "i", "j", "doc_id", "component", "n", "sketch").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.select("key", "kind", "i", "j", "doc_id", "component", "n", "sketch", "table", "halves").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
@@ -271,11 +275,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
     groups = signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = signed.join(groups.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")
     buckets = hold(_buckets(reps))
-    reps = reps.select("doc_id", "n", "sketch")
+    reps = reps.select("doc_id", "n", "sketch", "left", "right")
     stars = buckets.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     links = hold(_confirmed(hold(_passing(stars, reps, percent)), docs, k, percent))
     tied = hold(components(links))
-    crowded = buckets.where("crowded").select("key", "doc_id")
+    crowded = buckets.where("crowded").select("key", "table", "doc_id")
     for forest in (True, False):
         pairs = hold(_crossing(crowded, reps, tied, percent, forest))
         if pairs.isEmpty():
