@@ -10,8 +10,9 @@ Words are compared by 64-bit hashes. Benchmarks of up to ``BROADCAST_BYTES`` of
 is shuffled; larger ones are joined by fingerprint, and only documents with a common fingerprint meet their items.
 
 Defined results: null and empty texts have no words and are clean; null and empty items match nothing. Items without
-an id mark words but are not listed. Rows with the same id are each judged; where the join is shuffled, rows with the
-same doc_id share candidate items, each confirmed against its own text. Columns besides those named are ignored.
+an id mark words but are not listed. Rows with the same id, or none, are each judged; where the join is shuffled, rows
+with the same doc_id and text share candidate items, each confirmed against its own text. Columns besides those named
+are ignored.
 """
 
 from __future__ import annotations
@@ -189,15 +190,16 @@ def _prints(rows: DataFrame, key: str, short: list[int], whole: bool) -> DataFra
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """contamination() for benchmarks of any size: fingerprints meet in a join, then texts of the pairs that share one."""
-    items = items.where("item_id is not null")
+    # hashes as keys, as ids may be null or stand in several rows; rows whose hashes collide share candidates only
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
     counted = items.select(F.size(F.array_remove(F.split(F.lower(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " "), "")).alias("n"))
     short = [r.n for r in counted.where(f"n > 0 and n < {WINDOW}").distinct().collect()]
     names = docs.columns
-    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in names]).alias("row"))
-    pairs = _prints(rows, "doc_id", short, False).join(_prints(items, "item_id", short, True).distinct(), "print").select("doc_id", "item_id").distinct()
-    chosen = pairs.join(items, "item_id")
-    near = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    far = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text", F.struct(*[docs[c] for c in names]).alias("row"))
+    pairs = _prints(rows, "doc", short, False).join(_prints(items, "item", short, True).distinct(), "print").select("doc", "item").distinct()
+    chosen = pairs.join(items, "item")
+    near = rows.join(pairs.select("doc").distinct(), "doc", "left_semi")
+    far = rows.join(pairs.select("doc").distinct(), "doc", "left_anti")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, {RESULT}"
 
     def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -210,7 +212,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([column(part, "row"), *judged(none, column(part, "text"))], ["row", "n_words", "n_hit", "items"])
 
-    found = near.groupBy("doc_id").cogroup(chosen.groupBy("doc_id")).applyInArrow(confirm, schema)
+    found = near.groupBy("doc").cogroup(chosen.groupBy("doc")).applyInArrow(confirm, schema)
     return found.unionByName(far.mapInArrow(count, schema)).select("row.*", "n_words", "n_hit", "items")
 
 

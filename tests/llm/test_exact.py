@@ -62,6 +62,19 @@ def test_decontamination(spark, corpus):
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in out} == want
 
 
+def test_decontamination_without_ids(spark, corpus):
+    """Items without an id mark words and documents without one are judged, whichever way the texts meet."""
+    t = pq.read_table(f"{DATA}/benchmark.parquet").to_pydict()
+    items = [*zip(t["item_id"], t["text"], strict=True), (None, "alpha beta gamma"), (None, corpus[0][1]), (7000, corpus[1][1])]
+    texts = [*(x for _, x in corpus[:40]), "so alpha beta gamma said", "alpha beta", None, *t["text"][:3], *t["text"][:3]]
+    want = brute.contaminated(list(enumerate(texts)), items)
+    assert want[0][1] and not want[0][2] and want[1][2] == ["7000"] and want[40][1:] == (3, [])
+    rows = [(i if i % 2 and i > 1 else None, x) for i, x in enumerate(texts)]
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        out = decontaminate.contamination(docs(spark, rows).drop("n"), spark.createDataFrame(items, "item_id long, text string"), limit).collect()
+        assert sorted((str(r.doc_id), str(r.text), r.n_words, r.n_hit, r["items"]) for r in out) == sorted((str(d), str(x), *want[i]) for i, (d, x) in enumerate(rows))
+
+
 def test_winnowing_finds_every_long_span():
     rng = np.random.RandomState(0)
     shared = rng.randint(0, 2**62, 10).astype(np.uint64)
