@@ -1,20 +1,25 @@
-"""License scans by conditional compression.
+"""License scans by wording and conditional compression.
 
 A text is cut into blocks: paragraphs, and each of their lines where there are several. Blocks with a word that licence
-wordings use are candidates. A candidate is compressed alone and with each template as zstandard raw dictionary;
-templates are ranked by how far they reduce its size. The leading ones are confirmed by wording: the template's words
-are aligned with the block's, and few may be missing or put in between, none of them with a digit or a name of a licence.
+wordings use are candidates. Every template is aligned with every candidate, word by word: few of its words may be
+missing or put in between, none of them with a digit or a name of a licence. The best alignment is a span, and what is
+left of the block on either side is searched again, until nothing more is found. For each span it is given how
+far the template, as zstandard raw dictionary, reduces the compressed size of the block.
+
+An alignment with at most k odd words holds at least one of k + 1 parts of the wording unbroken, so only the surroundings
+of such parts are aligned, and nothing is lost.
 
 Defined results: null and empty texts hold no licence. Of templates that are equally good the one whose name sorts
-first is taken. A span is reported once for each template, and a span inside another of the same licence is left out.
+first is taken. A span is reported once for each licence, and a span inside another of the same licence is left out.
 Repeated rows are scanned each. Columns besides those named are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import zstandard
@@ -43,8 +48,8 @@ TEMPLATES = (
 CUES = ("licens", "licence", "redistribut", "permission", "copyright")
 #: Words that must be there and may not be added, as they tell licences apart.
 NAMES = frozenset("apache mit gnu lesser general public affero mozilla isc bsd cc by nc sa nd".split())
-#: Templates that are confirmed, by rank; least size reduction; largest share of a template's words that may differ.
-RANKED, REDUCTION, DIFFERENCE = 3, 0.25, 0.1
+#: Largest share of a template's words that may differ.
+DIFFERENCE = 0.1
 #: Characters of a block that are looked at together; any wording is shorter than half of it.
 WINDOW = 4000
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
@@ -62,6 +67,8 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(**plain)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), **kind), **plain) for _, t in self.templates]
         self.words = [[w for w, _, _ in words(t)] for _, t in self.templates]
+        self.odd = [int(DIFFERENCE * len(w)) for w in self.words]
+        self.parts = [[(at, w[at:end]) for at, end in pairwise(len(w) * i // (k + 1) for i in range(k + 2))] for w, k in zip(self.words, self.odd, strict=True)]
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
         """Start and text of the candidates; long blocks come as windows that overlap by half."""
@@ -75,35 +82,78 @@ class Scanner:
                     if cue(part := block[i : i + WINDOW]):
                         yield at + i, part
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Size reduction and number of the leading templates."""
+    def reduction(self, block: str, i: int) -> float:
+        """Share by which the template as dictionary reduces the block's compressed size."""
         raw = block.lower().encode()
-        size = len(self.alone.compress(raw))
-        rank = sorted((len(c.compress(raw)) / size - 1, i) for i, c in enumerate(self.given))
-        return [(-r, i) for r, i in rank[:RANKED]]
-
-    def confirmed(self, block: str, i: int) -> tuple[int, int, int] | None:
-        """Start, end and number of differing words of the template's wording in the block."""
-        found, wanted = words(block), self.words[i]
-        runs = [r for r in difflib.SequenceMatcher(None, wanted, [w for w, _, _ in found], autojunk=False).get_matching_blocks() if r.size]
-        if not runs:
-            return None
-        first, last = runs[0].b, runs[-1].b + runs[-1].size
-        held = {k for r in runs for k in range(r.a, r.a + r.size)}
-        used = {k for r in runs for k in range(r.b, r.b + r.size)}
-        odd = [w for k, w in enumerate(wanted) if k not in held] + [found[k][0] for k in range(first, last) if k not in used]
-        if len(odd) > DIFFERENCE * len(wanted) or any(w in NAMES or any(c.isdigit() for c in w) for w in odd):
-            return None
-        return found[first][1], found[last - 1][2], len(odd)
+        return 1 - len(self.given[i].compress(raw)) / len(self.alone.compress(raw))
+
+    def near(self, found: list[str], i: int) -> list[tuple[int, int]]:
+        """Ranges of words around the unbroken parts of the template's wording, merged."""
+        joined = f" {' '.join(found)} "
+        begin = [0, *accumulate(len(w) + 1 for w in found)]
+        n, k, out = len(self.words[i]), self.odd[i], []
+        for offset, part in self.parts[i]:
+            piece = f" {' '.join(part)} "
+            at = joined.find(piece)
+            while at >= 0:
+                first = bisect.bisect_left(begin, at) - offset
+                out.append((max(0, first - k), min(len(found), first + n + k)))
+                at = joined.find(piece, at + 1)
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(out):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(b, merged[-1][1])
+            else:
+                merged.append((a, b))
+        return merged
+
+    def aligned(self, found: list[str], i: int) -> tuple[int, int, int] | None:
+        """Number of odd words, first word and end of the best alignment: fewest odd words, then longest, then first."""
+        wanted, limit = self.words[i], self.odd[i]
+        cost = lambda w: limit + 1 if w in NAMES or any(c.isdigit() for c in w) else 1
+        skip = [cost(w) for w in wanted]
+        before = [0, *accumulate(skip)]
+        none = limit + 1, 0
+        best = None
+        last = [none] * (len(wanted) + 1)  # odd words and first word, by number of the template's words that are done
+        for j, w in enumerate(found):
+            now, extra = [none], cost(w)
+            for p, t in enumerate(wanted):
+                here = min((last[p + 1][0] + extra, last[p + 1][1]), (now[p][0] + skip[p], now[p][1]))
+                if w == t:
+                    match = min(last[p], (before[p], j))
+                    here = min(here, match)
+                    if (odd := match[0] + before[-1] - before[p + 1]) <= limit:
+                        end = odd, match[1] - j, match[1], j + 1
+                        best = end if best is None else min(best, end)
+                now.append(here if here[0] <= limit else none)
+            last = now
+        return best and (best[0], best[2], best[3])
+
+    def confirmed(self, block: str, i: int) -> list[tuple[int, int, int]]:
+        """Start, end and number of differing words of each place where the block has the template's wording."""
+        found = words(block)
+        plain = [w for w, _, _ in found]
+        out, left = [], [(0, len(found))]
+        while left:
+            a, b = left.pop()
+            tried = [(odd, x - y, c + x, c + y) for c, d in ((a + c, a + d) for c, d in self.near(plain[a:b], i)) if (best := self.aligned(plain[c:d], i)) for odd, x, y in [best]]
+            if tried:
+                odd, _, first, last = min(tried)
+                out.append((found[first][1], found[last - 1][2], odd))
+                left += [(a, first), (last, b)]
+        return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """Licence, start, end, differing words and size reduction of each span, by start."""
         out: dict[tuple[str, int, int], tuple[int, float]] = {}
         for at, block in self.blocks(text):
-            for reduction, i in self.ranked(block):
-                if (reduction >= REDUCTION or len(block) > 2 * len(self.templates[i][1])) and (span := self.confirmed(block, i)):
-                    key = self.templates[i][0], at + span[0], at + span[1]
-                    out[key] = min(out.get(key, (span[2], -reduction)), (span[2], -reduction))
+            for i, (name, _) in enumerate(self.templates):
+                spans = self.confirmed(block, i)
+                reduction = self.reduction(block, i) if spans else 0.0
+                for first, last, odd in spans:
+                    key = name, at + first, at + last
+                    out[key] = min(out.get(key, (odd, -reduction)), (odd, -reduction))
         spans = [(n, a, b, d, -r) for (n, a, b), (d, r) in out.items()]
         return sorted((s for s in spans if not any(o[0] == s[0] and o[1] <= s[1] and s[2] <= o[2] and o[1:3] != s[1:3] for o in spans)), key=lambda s: (s[1], s[2], s[0]))
 

@@ -128,3 +128,19 @@ def test_licenses(spark):
 )
 def test_license_wordings(text, found):
     assert [s[0] for s in licenses.Scanner(licenses.TEMPLATES).scan(text)] == found
+
+
+def test_every_notice_of_a_line():
+    """All notices of one line, second copies too, with odd words and among other text."""
+    scanner, short = licenses.Scanner(licenses.TEMPLATES), [t for t in licenses.TEMPLATES if len(t[1]) < 100]
+    line = " ".join(t for _, t in short * 2)
+    got = scanner.scan(line)
+    assert len(short) == 9 and [(s[0], line[s[1] : s[2]]) for s in got] == [(n, t.rstrip(".")) for n, t in short * 2]
+    filler = "the license holder may copy the software and this permission to use the work under the terms of the license is granted to any person provided that copies of the software keep the copyright notice "
+    for name, text in licenses.TEMPLATES:
+        whole = filler * 8 + text + " " + filler * 8
+        assert [(s[0], s[1], s[3]) for s in scanner.scan(whole) if s[0] == name] == [(name, len(filler) * 8, 0)]
+    name, text = next(t for t in licenses.TEMPLATES if t[0] == "ISC")
+    changed = text.replace("modify, and/or", "modify and also").replace("granted", "hereby granted")
+    line = filler * 3 + changed + " " + filler + text
+    assert [(s[0], line[s[1] : s[2]], s[3]) for s in scanner.scan(line)] == [(name, changed.rstrip("."), 3), (name, text.rstrip("."), 0)]
