@@ -4,15 +4,16 @@ Patterns find e-mail addresses, IP addresses, card numbers (Luhn) and phone numb
 kind, and a match that fails its test is dropped. Each pattern is written so that it reads a text once: runs are
 possessive, and a match starts at the head of a run or where the last match ended.
 
-The values found are the protected entities. Over the whole corpus, documents are counted that have a word near an
-entity, the entity, and the word anywhere. A word's disclosure is its pointwise mutual information with the entity over the entity's own
-information: 1 where the word occurs only in texts with the entity, 0 where it tells nothing. Words that accompany an
-entity in at least ``SUPPORT`` distinct texts are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on,
-wherever they stand near that entity.
-
-Defined results: null text is empty text and has no spans. Rows with the same doc_id are searched each; in results
-that are joined by doc_id they share the terms found. A null doc_id keeps its patterns' spans but gets no terms.
-Columns besides those named are ignored.
+The values found are the protected entities. Over the whole corpus, documents are counted that have a word and an entity,
+the entity, and the word; a word that stands only inside an e-mail address is not counted as together with it. A word's
+disclosure is its pointwise mutual information with the entity over the entity's own information: 1 where the word occurs
+only in texts with the entity, 0 where it tells nothing. Words that accompany an entity in at least ``SUPPORT`` distinct
+texts are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on, wherever they stand in any document; of
+several entities the one that is disclosed most counts. Entities of fewer texts have no terms: in one or two texts, any
+rare word would have disclosure 1.
+
+Defined results: null text is empty text and has no spans. Rows with the same doc_id are searched each, and those of the
+same text count once. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of a value in which words count as near.
-REACH = 64
 #: Letters of a word that counts, at least.
 LETTERS = 4
 SUPPORT = 3
@@ -39,6 +38,7 @@ REMOVE, GENERALISE = 0.98, 0.9
 #: Matches of a text that are placed together.
 CHUNK = 128
 SPAN = "array<struct<kind:string,start:long,end:long>>"
+_WORD = rf"\p{{L}}{{{LETTERS},}}+"
 
 
 def _digits(text: Column) -> Column:
@@ -69,7 +69,7 @@ def _split(text: Column, pattern: str) -> Column:
 def _located(parts: Column, made) -> Column:
     """From _split()'s array, one of made(part, start), start in code points; lengths are summed up along the way."""
     size = lambda x: (F.length(x["g"]) + F.length(x["m"])).cast("long")
-    place = "struct<text:string,start:long,left:string,right:string>"
+    place = "struct<text:string,start:long>"
     start = lambda at, kind: F.struct(at.cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
     step = lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["out"], F.array(made(x, a["at"] + F.length(x["g"])))).alias("out"))
     # appending to an array copies it, so matches are taken in chunks, for which the places where they begin come first
@@ -81,16 +81,19 @@ def _located(parts: Column, made) -> Column:
     return F.when(F.size(parts) > 0, found).otherwise(F.array().cast(f"array<{place}>"))
 
 
+def _placed(part: Column, at: Column) -> Column:
+    return F.struct(part["m"].alias("text"), at.cast("long").alias("start"))
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """docs, and for each kind an array of (text, start, left, right): matches and what stands around them.
+    """docs, and for each kind an array of (text, start): the matches.
 
     Texts without the kind's characteristic sign skip its pattern."""
     sign = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
     text = F.coalesce("text", F.lit(""))
     parts = docs.withColumns({f"{k}_parts": F.when(text.rlike(sign[k]), _split(text, PATTERNS[k])) for k in PATTERNS})
-    made = lambda x, at: F.struct(x["m"].alias("text"), at.cast("long").alias("start"), F.right(x["g"], F.lit(REACH)).alias("left"), F.left(x["h"], F.lit(REACH)).alias("right"))
-    none = F.array().cast("array<struct<text:string,start:long,left:string,right:string>>")
-    found = {k: F.coalesce(F.filter(_located(F.col(f"{k}_parts"), made), _test(k)), none) for k in PATTERNS}
+    none = F.array().cast("array<struct<text:string,start:long>>")
+    found = {k: F.coalesce(F.filter(_located(F.col(f"{k}_parts"), _placed), _test(k)), none) for k in PATTERNS}
     return parts.withColumns(found).drop(*(f"{k}_parts" for k in PATTERNS))
 
 
@@ -100,32 +103,46 @@ def _spans() -> Column:
     return F.concat(*(F.transform(k, span(k)) for k in PATTERNS))
 
 
-def _near(found: DataFrame) -> DataFrame:
-    """(doc_id, same, entity, word, start, end) of each word near a value; same tells texts apart."""
+def _key() -> Column:
+    """Rows with the same one have the same doc_id and text, null or not."""
+    return F.xxhash64("doc_id", "text").alias("_key")
+
+
+def _shadow() -> Column:
+    """The text with blanks in place of e-mail addresses, the only values that have letters."""
+    text = F.coalesce("text", F.lit(""))
+    parts = _split(text, PATTERNS["email"])
+    blank = F.concat(F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.repeat(F.lit(" "), F.length(x["m"])))), ""), F.element_at(parts, -1)["h"])
+    return F.when(text.contains("@") & text.rlike(PATTERNS["email"]), blank).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """Distinct words of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _valued(docs: DataFrame) -> DataFrame:
+    """(_key, same, entities, words) of the rows with a value, both arrays distinct; same tells texts apart."""
     value = {"email": lambda t: F.lower(t), "ip": lambda t: t, "card": _digits, "phone": _digits}
-    match = lambda kind: lambda m: F.struct(F.concat(F.lit(kind + ":"), value[kind](m["text"])).alias("entity"), m["start"].alias("start"), F.length(m["text"]).alias("size"), m["left"].alias("left"), m["right"].alias("right"))
-    matches = F.concat(*(F.transform(k, match(k)) for k in PATTERNS))
-    rows = found.where(F.greatest(*(F.size(k) for k in PATTERNS)) > 0).select("doc_id", F.xxhash64("text").alias("same"), F.explode(matches).alias("m"))
-    rows = rows.select("doc_id", "same", "m.*").withColumns({"l": F.concat("left", F.lit(" ")), "r": F.concat(F.lit(" "), "right")})
-    # a word counts where its ends are in sight: what is cut off at the far end of the reach has none before or after it
-    word = rf"(?<=\P{{L}})\p{{L}}{{{LETTERS},}}+(?=\P{{L}})"
-    rows = rows.withColumns({"lp": _split(F.col("l"), word), "rp": _split(F.col("r"), word)})
-    made = lambda x, at: F.struct(x["m"].alias("text"), at.cast("long").alias("start"), F.lit("").alias("left"), F.lit("").alias("right"))
-    rows = rows.withColumns({"lw": _located(F.col("lp"), made), "rw": _located(F.col("rp"), made)})
-    moved = lambda words, by: F.transform(words, lambda w: F.struct(F.lower(w["text"]).alias("word"), (w["start"] + by).alias("start"), (w["start"] + by + F.length(w["text"])).alias("end")))
-    words = F.concat(moved("lw", F.col("start") - F.length("left")), moved("rw", F.col("start") + F.col("size") - 1))
-    return rows.select("doc_id", "same", "entity", F.explode(words).alias("w")).select("doc_id", "same", "entity", "w.*")
-
-
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
+    entity = lambda kind: lambda m: F.concat(F.lit(kind + ":"), value[kind](m["text"]))
+    entities = F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in PATTERNS)))
+    found = base(docs.select("doc_id", "text")).where(F.greatest(*(F.size(k) for k in PATTERNS)) > 0)
+    return found.select(_key(), F.xxhash64("text").alias("same"), entities.alias("entities"), _words(_shadow()).alias("words"))
+
+
+def disclosing(docs: DataFrame, valued: DataFrame) -> DataFrame:
     """(entity, word, disclosure) of the words that give an entity away."""
-    seen = near.select("entity", "word", "doc_id", "same").distinct()
+    near = valued.select("_key", "same", F.explode("entities").alias("entity")).distinct()
+    entity = near.groupBy("entity", "same").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    # an entity of fewer texts has no word in SUPPORT of them
+    entity = hold(entity.where(F.col("texts") >= SUPPORT).drop("texts"))
+    pairs = near.join(entity, "entity", "left_semi")
+    rows = valued.select("_key", "words").join(pairs.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    seen = pairs.join(rows.select("_key", F.explode("words").alias("word")), "_key")
     together = seen.groupBy("entity", "word", "same").agg(F.count("*").alias("n")).groupBy("entity", "word").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     together = hold(together.where(F.col("texts") >= SUPPORT).drop("texts"))
-    entity = near.select("entity", "doc_id", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # counted over the whole corpus before anything is joined, so that the join has one row for each word
-    words = docs.where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{LETTERS},}}+"), 0))).alias("word"))
-    word = words.groupBy("word").agg(F.count("*").alias("n_word"))
+    word = docs.where("text is not null").select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
     total = docs.where("text is not null").agg(F.count("*").alias("n"))
     rows = together.join(entity, "entity").join(word, "word").crossJoin(F.broadcast(total))
     mutual = F.log(F.col("n") * F.col("both") / (F.col("n_entity") * F.greatest("n_word", "both")))
@@ -135,16 +152,17 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with the patterns' arrays of base(), and "spans": array of (kind, start, end)."""
-    found = base(docs)
-    near = hold(_near(base(docs.select("doc_id", "text"))))
-    terms = disclosing(docs, near)
     kind = F.when(F.max("disclosure") >= REMOVE, "term_removed").otherwise("term_generalised")
-    extra = near.join(terms, ["entity", "word"]).groupBy("doc_id", "same", "start", "end").agg(kind.alias("kind"))
-    extra = extra.groupBy("doc_id", "same").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
-    rows = found.withColumn("same", F.xxhash64("text")).join(extra, ["doc_id", "same"], "left")
-    rows = rows.withColumn("spans", _spans())
-    free = F.filter(F.coalesce("extra", F.array().cast(SPAN)), lambda e: ~F.exists("spans", lambda s: (s["start"] < e["end"]) & (e["start"] < s["end"])))
-    return rows.withColumn("extra", free).withColumn("spans", F.concat("spans", "extra")).drop("extra", "same")
+    terms = hold(disclosing(docs, hold(_valued(docs))).groupBy("word").agg(kind.alias("kind")))
+    # the distinct words of each row meet the terms, and only rows that have one are searched for its places
+    told = docs.select(_key(), F.explode(_words(_shadow())).alias("word")).join(terms, "word")
+    told = told.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "kind"))).alias("_told"))
+    rows = base(docs).withColumn("_key", _key()).join(told, "_key", "left")
+    places = _located(_split(_shadow(), _WORD), _placed)
+    span = lambda w: F.struct(F.try_element_at("_told", F.lower(w["text"])).alias("kind"), w["start"].alias("start"), (w["start"] + F.length(w["text"])).alias("end"))
+    extra = F.array_sort(F.filter(F.transform(places, span), lambda e: e["kind"].isNotNull()))
+    extra = F.when(F.col("_told").isNotNull(), extra).otherwise(F.array().cast(SPAN))
+    return rows.withColumn("spans", F.concat(_spans(), extra)).drop("_key", "_told")
 
 
 def listed(spans: Column) -> Column:
@@ -168,7 +186,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data and the terms that give it away are replaced in the text; n_chars follows."""
     names = docs.columns
-    inner, boxed = carried(docs, {*PATTERNS, *(f"{k}_parts" for k in PATTERNS), "spans", "extra", "same"})
+    inner, boxed = carried(docs, {*PATTERNS, *(f"{k}_parts" for k in PATTERNS), "spans", "_key", "_told"})
     rows = sanitise(inner).withColumn("text", F.when(F.size("spans") > 0, rewritten(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     kept = lambda c: F.col(f"row.`{c}`") if boxed else F.col(f"`{c}`")

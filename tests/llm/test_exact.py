@@ -51,6 +51,16 @@ def test_pii_terms(spark):
     assert all(not rows[d].spans for d, _ in other)
 
 
+def test_pii_terms_far_from_the_value(spark):
+    """A word counts wherever it stands in a text with the value, and goes from texts without the value and without id too."""
+    gap = "and some other words that everyone has in between " * 3
+    told = [(i if i else None, f"wizard {gap} report {i} reach boss@corp.org about it") for i in range(6)]
+    other = [(100 + i, f"{gap} report {i} says about reach and it") for i in range(400)]
+    rows = [*told, *other, (900, f"the wizard alone {gap}"), (901, "joe@x.net has a gadget"), (902, "joe@x.net has a gadget too")]
+    got = {r.text: [r.text[s.start : s.end] for s in r.spans if s.kind.startswith("term")] for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert len(got) == len(rows) and {t: w for t, w in got.items() if w} == {t: ["wizard"] for _, t in [*told, rows[-3]]}
+
+
 def test_decontamination(spark, corpus):
     t = pq.read_table(f"{DATA}/benchmark.parquet").to_pydict()
     items = [*zip(t["item_id"], t["text"], strict=True), (900, "the and"), (901, ""), (902, None), (903, "The for of"), (0, t["text"][0])]
