@@ -20,7 +20,7 @@ FROM (SELECT d.source AS film_id, CAST(row_number() OVER (PARTITION BY d.source
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) s""",
     "films": """SELECT concat('src', CAST(s_suppkey AS VARCHAR(9))) AS film_id, s_name AS titre, CAST(1950 + s_suppkey % 50 AS INT) AS annee,
   CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE n_name END AS pays, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE r_name END AS pitch
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey < 25""",
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "segments": """SELECT film_id, CAST(6 * k AS DOUBLE) + 0.5 AS debut, CAST(6 * k + 1 + length(text) % 9 AS DOUBLE) + 0.5 AS fin, text AS texte
 FROM (SELECT concat('src', CAST(conv_id % 20 AS VARCHAR(9))) AS film_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS k, text FROM conversations) c""",
     "pairs": """SELECT l_orderkey AS shot_id, l_linenumber AS pair, (l_discount - 0.05) / 5 AS dx, (l_tax - 0.04) / 5 AS dy, (l_quantity - 25) / 1500 AS scale_delta,

@@ -119,3 +119,12 @@ def test_enriched_keeps_failed_rows(spark):
 
     rows = incremental.enriched(spark.range(1, 5).withColumnRenamed("id", "n").coalesce(1), fn, "answer string", 2).orderBy("n").collect()
     assert [(r.n, r.answer, r.error) for r in rows] == [(1, "1", None), (2, "2", None), (3, None, "model said no"), (4, None, "model said no")]
+
+
+def test_films_hold_every_supplier(spark):
+    """The films adapter has a row for each supplier, whatever the size of the table."""
+    from reelframe.plans.adapters import adapted
+
+    sf = "/root/testdata/sf0.01"
+    want = {f"src{r.s_suppkey}" for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()}
+    assert len(want) > 25 and {r.film_id for r in adapted(spark, sf, "films").collect()} == want
