@@ -128,3 +128,26 @@ def test_films_hold_every_supplier(spark):
     sf = "/root/testdata/sf0.01"
     want = {f"src{r.s_suppkey}" for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()}
     assert len(want) > 25 and {r.film_id for r in adapted(spark, sf, "films").collect()} == want
+
+
+def test_operators_without_a_query(spark, tmp_path):
+    """What COVERAGE.md lists and no query calls."""
+    from pyspark.sql import functions as F
+
+    from reelframe.operators import labels, layers, publish
+    from reelframe.sources import documents
+
+    (tmp_path / "photos.json").write_text('{"photos": [\n{"id": 1, "titre": "a"},\n{"id": 2, "titre": "b"}]}')
+    assert sorted(tuple(r) for r in documents.photo_store(spark, str(tmp_path / "photos.json"), "id: long, titre: string").collect()) == [(1, "a"), (2, "b")]
+
+    df = spark.createDataFrame([(1, "t", ["a", "b", "c"]), (2, "", ["a", "b", "c"]), (3, "t", ["a", "b"]), (4, "t", None), (5, "t", ["a", " ", "c", "d"])], "i int, t string, ts array<string>")
+    assert [r.i for r in df.where(labels.prepared(F.col("t"), F.col("ts"))).collect()] == [1]
+
+    groups = spark.createDataFrame([("f", [1, 2], 1, "x"), ("f", [2], 2, "y")], "film_id string, plans array<int>, k int, name string")
+    shots = spark.createDataFrame([("f", 1), ("f", 2), ("f", 3)], "film_id string, n int")
+    assert {r.n: r.name for r in layers.last_member(groups, shots, ["name"], "k").collect()} == {1: "x", 2: "y", 3: None}
+
+    publish.archive(shots, str(tmp_path / "kept"), "a1")
+    assert spark.read.parquet(str(tmp_path / "kept" / "ts=a1")).count() == 3
+    with pytest.raises(Exception, match="(?i)exists"):
+        publish.archive(shots, str(tmp_path / "kept"), "a1")
