@@ -2,7 +2,8 @@
 
 The distinct new words of a part of a partition are laid out as linked symbols. An index maps each mergeable pair to
 all its positions. Ranks that occur are applied in ascending order, each to all its positions, and the lists of the
-neighbouring pairs follow. Words that a task has met are kept in a bounded table, so a word is worked out rarely.
+neighbouring pairs follow. A worker keeps the words that it has met in two bounded generations: words in use move to the
+young one, and when that is full, the old one is dropped. So a frequent word is worked out once, and memory is bounded.
 
 The vocabulary is a file of the tokenizers library's JSON form with word ends (``end_of_word_suffix``); its path is a
 parameter. Added tokens in a text are taken first, as the library does.
@@ -15,11 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import column, pieces, table
 
-#: Words that a task remembers before it starts afresh.
-WORDS_KEPT = 150_000
+#: Words of one generation that a worker remembers.
+WORDS_KEPT = 200_000
+#: Text bytes whose new words are indexed together; a longer document is taken alone and whole.
+PART_BYTES = 2 << 20
 #: Fixed values of the tokenizer's word pattern: contractions, letter runs, single digits, runs of anything else.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
@@ -65,10 +69,19 @@ class Codec:
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.merges.setdefault(vocab[a] * self.base + vocab[b], (rank, vocab[a + b]))
         end = spec["model"]["end_of_word_suffix"]
-        self.first = [vocab[s] for s in byte_symbols()]
-        self.last = [vocab[s + end] for s in byte_symbols()]
+        units = [*byte_symbols(), *(s + end for s in byte_symbols())]
+        self.units = np.array([vocab[u] for u in units])
+        number = {i: n for n, i in enumerate(self.units.tolist())}
+        #: Rank of each pair of bytes, -1 for none; the second may be a word's last.
+        self.starts = np.full(512 * 512, -1)
+        for pair, (rank, _) in self.merges.items():
+            x, y = (number.get(i, -1) for i in divmod(pair, self.base))
+            if x >= 0 and y >= 0:
+                self.starts[x * 512 + y] = rank
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
+        self.old_ids: dict[str, str] = {}
+        self.old_text: dict[str, str] = {}
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space: this vocabulary has no decoder that would undo the byte symbols or word ends."""
@@ -76,25 +89,28 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> list[list[int]]:
         """Ids of each word, by the pair occurrence index over all of them."""
-        symbol, after, before, heads, base = [], [], [], [], self.base
-        for w in words:
-            raw = w.encode()
-            at, n = len(symbol), len(raw)
-            heads.append(at)
-            symbol += map(self.first.__getitem__, raw)
-            symbol[-1] = self.last[raw[-1]]
-            before.append(-1)
-            before += range(at, at + n - 1)
-            after += range(at + 1, at + n)
-            after.append(-1)
+        raws = [w.encode() for w in words]
+        if not raws:
+            return []
+        base, ends = self.base, np.cumsum([len(r) for r in raws])
+        code = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
+        code[ends - 1] += 256  # the symbols that end a word
+        heads = np.concatenate(([0], ends[:-1]))
+        place = np.arange(len(code))
+        follow, lead = place + 1, place - 1
+        follow[ends - 1], lead[heads] = -1, -1
+        # the index of the bytes' pairs: positions sorted by rank, cut where it changes
+        rank = np.where(follow >= 0, self.starts[code * 512 + np.roll(code, -1)], -1)
+        found = np.flatnonzero(rank >= 0)
+        found = found[np.argsort(rank[found], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[found], prepend=-1))
+        symbol = self.units[code].tolist()
+        heads, after, before = heads.tolist(), follow.tolist(), lead.tolist()
         merge = self.merges.get
         where: dict[int, list[int]] = {}
-        for i, (x, y) in enumerate(itertools.pairwise(symbol)):
-            if after[i] >= 0 and merge(pair := x * base + y):
-                if pair in where:
-                    where[pair].append(i)
-                else:
-                    where[pair] = [i]
+        for places in np.split(found, cuts[1:]) if len(found) else ():
+            i = int(places[0])
+            where[symbol[i] * base + symbol[i + 1]] = places.tolist()
         active = [(*merge(pair), pair) for pair in where]
         heapq.heapify(active)
         while active:
@@ -141,10 +157,13 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Decimal ids and decoded text of each text."""
         if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-            self.text.clear()
+            self.old_ids, self.old_text, self.ids, self.text = self.ids, self.text, {}, {}
         found = [self.words(t) for t in texts]
-        new = list(set().union(*found).difference(self.ids))
+        absent = set().union(*found).difference(self.ids)
+        met = absent.intersection(self.old_ids)
+        for w in met:
+            self.ids[w], self.text[w] = self.old_ids[w], self.old_text[w]
+        new = list(absent - met)
         plain = [w for w in new if w[0] != "\0" or w[1:] not in self.added]
         made = dict(zip(plain, self.encode_words(plain), strict=True))
         for w in new:
@@ -155,16 +174,22 @@ class Codec:
             yield " ".join(map(self.ids.__getitem__, ws)), " ".join(map(self.text.__getitem__, ws))
 
 
+@lru_cache(1)
+def codec(path: str) -> Codec:
+    """The worker's codec, which the tasks that it runs one after the other share."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_tokens, ids (decimal, joined by a space) and decoded."""
-    rows = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "n_tokens long, ids string, decoded string"])
+    spare = next(f"__{i}" for i in range(len(keep) + 1) if f"__{i}" not in keep)
+    rows = docs.select(*(docs[f"`{c}`"] for c in keep), F.coalesce(docs[text], F.lit("")).alias(spare))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != spare), "n_tokens long, ids string, decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                out = list(codec.encode(column(part, "__text").to_pylist()))
+            for part in pieces(batch, spare, PART_BYTES):
+                out = list(codec(path).encode(column(part, spare).to_pylist()))
                 ids, decoded = [x for x, _ in out], [x for _, x in out]
                 count = [x.count(" ") + 1 if x else 0 for x in ids]
                 kept = [column(part, k) for k in keep]
@@ -178,10 +203,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda xs: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string())
-        codec = Codec(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                ids, decoded = map(list, zip(*codec.encode([x or "" for x in column(part, "text").to_pylist()]), strict=True))
+            for part in pieces(batch, "text", PART_BYTES):
+                ids, decoded = map(list, zip(*codec(path).encode([x or "" for x in column(part, "text").to_pylist()]), strict=True))
                 count = [x.count(" ") + 1 if x else 0 for x in ids]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(count, pa.int64()), sha(ids), sha(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
