@@ -1,15 +1,18 @@
 """Quality scores from compression with dictionaries of good and of bad text.
 
 A zstandard dictionary is trained on good and one on bad labelled text. A text is compressed in blocks of ``BLOCK``
-bytes with either; the normalised difference of the sizes, with the density that the good dictionary leaves, goes
-through a logistic calibration fitted on other labelled rows.
+bytes with either; the difference of the sizes, as a share of the text's own, goes through a logistic calibration that
+is fitted on other labelled rows.
 
-Training takes at most ``PER_CLASS`` documents of each label and ``DOC_BYTES`` of each, chosen by hash over all
-labelled rows. Scoring reads whole texts.
+Training takes at most ``PER_CLASS`` documents of each label, chosen by hash over all labelled rows. One half of them
+gives about ``BLOCKS`` blocks for the dictionary, an equal number from each document, spread over its length; the other
+half calibrates, on whole texts that the tasks compress. Only blocks and differences reach the driver. Scoring reads
+whole texts.
 
 Defined results: null text is empty text, which gets the score of the calibration at no difference. Where a label
 has no training text, every score is 0.5. Equal rows get equal scores. Labels other than 0 and 1 are ignored; a
-document with both counts as 1. Columns besides those named are ignored. An empty table gives an empty result.
+document with both counts as 1. Of training rows with one doc_id the least text counts. Columns besides those named are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold_is, labelled_sample, pieces, table
+from .common import column, fold_is, hold, labelled_sample, pieces, table
 
 PER_CLASS = 4096
-DOC_BYTES = 16 << 10
 BLOCK = 1024
 DICTIONARY = 32 << 10
-#: Blocks that a dictionary is trained on.
+#: Blocks that a dictionary is trained on, or as many as there are documents for it.
 BLOCKS = 3000
 LEVEL = 3
 
@@ -38,9 +40,8 @@ def blocks(text: str) -> list[bytes]:
     return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary; the texts themselves where they are too few to train one."""
-    parts = [b for t in texts for b in blocks(t)][:BLOCKS]
+def dictionary(parts: list[bytes]) -> bytes:
+    """A trained dictionary; the blocks themselves where they are too few to train one."""
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, k=200, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -53,18 +54,16 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(texts: list[str], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    """Size difference, density, its square and log length; a few bytes are added so that short texts stay near 0."""
-    sizes = np.zeros((len(texts), 3))
+def differences(texts: list[str], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """How much smaller each text gets with the good dictionary than with the bad one, as a share of its bytes."""
+    out = np.zeros(len(texts))
     for i, t in enumerate(texts):
-        g = b = n = 0
+        less = size = 0
         for part in blocks(t):
-            g += len(good.compress(part)) + 1
-            b += len(bad.compress(part)) + 1
-            n += len(part) + 2
-        sizes[i] = g, b, n
-    g, b, n = np.log(sizes + 8).T
-    return np.stack([b - g, g - n, (g - n) ** 2, np.log(sizes[:, 2] + 1)], 1)
+            less += len(bad.compress(part)) - len(good.compress(part))
+            size += len(part)
+        out[i] = less / (size + 8)  # a few bytes are added so that short texts stay near 0
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -79,44 +78,65 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 class Model:
-    def __init__(self, good: list[str], bad: list[str], share: float = 0.5):
-        """Even rows make the dictionaries, odd ones calibrate them, weighted to the share of good rows."""
-        self.known = bool(good and bad)
-        if self.known:
-            self.contents = dictionary(good[::2]), dictionary(bad[::2])
-            held = good[1::2] or good, bad[1::2] or bad
-            x = features([*held[0], *held[1]], *map(compressor, self.contents))
-            size = [len(held[0]), len(held[1])]
-            weight = np.repeat([share / size[0], (1 - share) / size[1]], size) * sum(size)
-            self.weights, self.bias = logistic(x, np.repeat([1.0, 0.0], size), weight)
-
-    def scorer(self):
-        if not self.known:
-            return lambda texts: np.full(len(texts), 0.5)
-        made = [*map(compressor, self.contents)]
-        return lambda texts: 1 / (1 + np.exp(-np.clip(features(texts, *made) @ self.weights + self.bias, -30, 30)))
+    """The dictionaries' contents and the calibration's weight and bias; without contents, every score is 0.5."""
 
+    def __init__(self, contents: tuple[bytes, bytes] | None = None, weight: float = 0.0, bias: float = 0.0):
+        self.contents, self.weight, self.bias = contents, weight, bias
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    sample = labelled_sample(labels, label, per_class)
-    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "rows", F.substring("text", 1, DOC_BYTES).alias("text")).collect()
-    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.text))
-    stood = sum(r.rows for r in rows if r.y == 1) / max(1, sum(r.rows for r in rows))
-    return Model(*(list(dict.fromkeys(r.text for r in rows if r.y == y)) for y in (1, 0)), stood)
+    def differences(self, texts: list[str]) -> np.ndarray:
+        return differences(texts, *map(compressor, self.contents))
 
+    def score(self, texts: list[str]) -> np.ndarray:
+        if self.contents is None:
+            return np.full(len(texts), 0.5)
+        return 1 / (1 + np.exp(-np.clip(self.differences(texts) * self.weight + self.bias, -30, 30)))
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, then score, which must not be among them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def _mapped(docs: DataFrame, name: str, of) -> DataFrame:
+    """docs with one more column: a number for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = shared.value.scorer()
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = [x or "" for x in column(part, "text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scored(texts))], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(of(texts))], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} double"]))
+
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"]))
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
+    sample = labelled_sample(labels, label, per_class)
+    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rows").agg(F.min("text").alias("text"))
+    rows = hold(rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0))
+    size = {(r.y, r.held): r.n for r in rows.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    if len({y for y, _ in size}) < 2:
+        return Model()
+    both = len(size) == 4  # few rows do both jobs
+    raw = F.encode("text", "UTF-8")
+    parts = rows.where(~F.col("held")) if both else rows
+    wanted = F.when(F.col("y") == 1, -(-BLOCKS // size.get((1, False), size.get((1, True))))).otherwise(-(-BLOCKS // size.get((0, False), size.get((0, True)))))
+    parts = parts.select("doc_id", "y", raw.alias("raw"), F.ceil(F.octet_length("text") / BLOCK).cast("int").alias("n"), wanted.alias("wanted")).where("n > 0")
+    place = F.transform(F.sequence(F.lit(0), F.least("n", "wanted") - 1), lambda i: F.when(F.col("n") > F.col("wanted"), F.floor(i * F.col("n") / F.col("wanted"))).otherwise(i))
+    parts = parts.select("doc_id", "y", F.posexplode(F.transform(place, lambda p: F.substring("raw", (p * BLOCK + 1).cast("int"), F.lit(BLOCK)))).alias("i", "part"))
+    found = {y: [bytes(r.part) for r in parts.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "i").select("part").collect()] for y in (1, 0)}
+    if not found[1] or not found[0]:
+        return Model()
+    model = Model((dictionary(found[1]), dictionary(found[0])))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = rows.where("held") if both else rows
+    seen = _mapped(held.select("y", "rows", "text"), "x", lambda texts: shared.value.differences(texts)).select("y", "rows", "x").toPandas()
+    # weighted to the share of good rows that all labelled rows have
+    x, y, rows = (seen[c].to_numpy(float) for c in ("x", "y", "rows"))
+    good = rows[y == 1].sum() / rows.sum()
+    weight = np.where(y == 1, good / (y == 1).sum(), (1 - good) / (y == 0).sum()) * len(y)
+    (w,), bias = logistic(x[:, None], y, weight)
+    return Model(model.contents, float(w), bias)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of docs, then score, which must not be among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _mapped(docs, "score", lambda texts: shared.value.score(texts))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
