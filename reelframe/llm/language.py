@@ -1,11 +1,12 @@
 """Language identification by cross-parsing against one suffix automaton per language.
 
-A text is parsed greedily into the longest phrases that occur in a language's training text. Few phrases mean that
-the text looks like that language. Phrases are counted per symbol and times log2 of the training length, so that
-languages with less training text aren't favoured.
+A text is parsed from left to right into the longest phrases that occur in a language's training text; a letter that
+the training text lacks is a phrase of its own. Few phrases mean that the text looks like that language. Phrases are
+counted per symbol and times log2 of the training length, which is about the bits that a symbol takes, so that
+languages with less training text aren't favoured. Texts are lower-cased, and whatever lies between letters is a space.
 
-Training takes at most ``docs_per_lang`` documents and ``chars_per_lang`` symbols of each language, chosen by hash over
-all documents. Prediction reads whole texts.
+Training takes at most ``DOCS_PER_LANG`` documents of each language, chosen by hash over all documents, and an equal
+share of at most ``CHARS_PER_LANG`` characters from each, spread over its length. Prediction reads whole texts.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; so does everything when
 no language could be learned. Equal counts go to the language whose name sorts first. Repeated rows are scored each.
@@ -14,181 +15,144 @@ Columns besides those named are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, column, fold_is, pieces, table
+from .common import column, fold_is, pieces, table
 
 DOCS_PER_LANG = 64
 CHARS_PER_LANG = 24_000
-#: Symbols between forced restarts of the parse, so that all parts of a batch advance in step.
-SPAN = 256
-#: Letters told apart; rarer ones share a symbol that no automaton accepts.
-LETTERS = 250
+#: Parts of a training document, spread evenly, that make its share.
+PARTS = 4
 SHARPNESS = 8.0
+#: A text of LONG symbols that takes more bits than this each in every language is in none that is known: letters of a
+#: known language take at most 5 even if drawn evenly, letters of other scripts over 14.
+UNLIKE, LONG = 6.0, 200
+_BETWEEN = re.compile(r"[\W\d_]+")
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+def folded(text: str) -> str:
+    """Lower-case letters, with one space for whatever lies between them."""
+    return _BETWEEN.sub(" ", unicodedata.normalize("NFC", text).lower()).strip()
 
 
-def _fold(text: str) -> str:
-    return unicodedata.normalize("NFC", text).lower()
+def automaton(text: str) -> dict:
+    """The suffix automaton of a text: each state is a dictionary from the next symbol to the next state."""
+    nexts: list[dict] = [{}]
+    link, length, last = [-1], [0], 0
+    number = {id(nexts[0]): 0}
 
+    def add(edges: dict, to: int, size: int) -> int:
+        nexts.append(edges)
+        link.append(to)
+        length.append(size)
+        number[id(edges)] = len(nexts) - 1
+        return len(nexts) - 1
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol sequence: [state, symbol] -> state. State 0 is dead, 1 the root."""
-    nexts, link, length = [{}, {}], [0, 0], [0, 0]
-    last = 1
-    for c in symbols:
-        cur = len(nexts)
-        nexts.append({})
-        link.append(1)
-        length.append(length[last] + 1)
+    for c in text:
+        new = add({}, 0, length[last] + 1)
         p = last
-        while p and c not in nexts[p]:
-            nexts[p][c] = cur
+        while p >= 0 and c not in nexts[p]:
+            nexts[p][c] = nexts[new]
             p = link[p]
-        if p:
-            q = nexts[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
+        if p >= 0:
+            q = number[id(nexts[p][c])]
+            if length[q] == length[p] + 1:
+                link[new] = q
             else:
-                clone = len(nexts)
-                nexts.append(dict(nexts[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p and nexts[p].get(c) == q:
-                    nexts[p][c] = clone
+                clone = add(dict(nexts[q]), link[q], length[p] + 1)
+                while p >= 0 and nexts[p].get(c) is nexts[q]:
+                    nexts[p][c] = nexts[clone]
                     p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    out = np.zeros((len(nexts), width), np.int32)
-    for s, edges in enumerate(nexts):
-        for c, t in edges.items():
-            out[s, c] = t
-    return out
+                link[q] = link[new] = clone
+        last = new
+    return nexts[0]
+
+
+def phrases(root: dict, text: str) -> int:
+    """Number of longest phrases that a folded text is parsed into."""
+    n, state = 0, root
+    for c in text:
+        longer = state.get(c)
+        if longer is None:
+            if state is not root:
+                n += 1
+            longer = root.get(c)
+            if longer is None:
+                n += 1
+                longer = root
+        state = longer
+    return n + (state is not root)
+
+
+@lru_cache(1)
+def _automata(texts: tuple[str, ...]) -> list[dict]:
+    """The worker's automata, which the tasks that it runs one after the other share."""
+    return [automaton(t) for t in texts]
 
 
 class Model:
-    """Languages in order, a symbol for each code point, and the stacked automata."""
+    """Languages in order, with their folded training texts."""
 
     def __init__(self, texts: dict[str, str]):
-        self.langs = sorted(k for k, v in texts.items() if any(map(str.isalpha, v)))
-        counts: dict[str, int] = {}
-        for lang in self.langs:
-            for c in filter(str.isalpha, texts[lang]):
-                counts[c] = counts.get(c, 0) + 1
-        self.alphabet = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS])
-        self.width = len(self.alphabet) + 2  # 0: anything but letters, last: other letters
-        parts, self.roots, weights = [], [], []
-        lut, base = self.symbols(), 0
-        for lang in self.langs:
-            s = _squeeze(lut[np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32)])
-            t = automaton(s[s < self.width - 1].tolist(), self.width)
-            parts.append(np.where(t > 0, t + base, 0).astype(np.int32))
-            self.roots.append(base + 1)
-            weights.append(np.log2(len(s) + 2))
-            base += len(t)
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
-        self.weights = np.array(weights)
-
-    def symbols(self) -> np.ndarray:
-        lut = np.where(_letters(), self.width - 1, 0).astype(np.int16)
-        for i, c in enumerate(self.alphabet, 1):
-            lut[ord(c)] = i
-        for c in range(0x2000):  # capitals of the letters that are told apart
-            if (low := chr(c).lower()) != chr(c) and len(low) == 1 and lut[ord(low)] not in (0, self.width - 1):
-                lut[c] = lut[ord(low)]
-        return lut
-
-
-def _squeeze(s: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    return s[keep]
-
-
-def phrases(model: Model, lut: np.ndarray, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: phrases by language, symbols, whether it has a letter."""
-    n, langs = len(at) - 1, len(model.langs)
-    code = lut[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-    heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[at]
-    letters = np.concatenate(([0], np.cumsum(code != 0)))
-    lettered = letters[heads[1:]] > letters[heads[:-1]]
-    keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    heads = np.concatenate(([0], np.cumsum(keep)))[heads]
-    code = code[keep].astype(np.int64)
-    sizes = np.diff(heads)
-    parts = -(-sizes // SPAN)
-    owner = np.repeat(np.arange(n), parts)
-    start = heads[owner] + SPAN * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    width = np.minimum(SPAN, heads[owner + 1] - start)
-    order = np.argsort(-width, kind="stable")
-    owner, start, width = owner[order], start[order], width[order]
-    roots = np.array(model.roots, np.int64)[:, None]
-    state = np.repeat(roots, len(owner), 1)
-    found = np.zeros((langs, len(owner)), np.int32)
-    active = np.searchsorted(-width, -np.arange(1, SPAN + 1), "right")
-    for step in range(SPAN):
-        if not (k := active[step]):
-            break
-        c = code[start[:k] + step]
-        now = model.table.take(state[:, :k] * model.width + c)
-        missed = now == 0
-        again = model.table.take(roots * model.width + c)
-        found[:, :k] += missed & (state[:, :k] != roots)  # a phrase ends
-        found[:, :k] += missed & (again == 0)  # a symbol that the language lacks is one of its own
-        state[:, :k] = np.where(missed, np.where(again == 0, roots, again), now)
-    found += state != roots
-    out = np.zeros((n, langs), np.int64)
-    for j in range(langs):
-        out[:, j] = np.bincount(owner, found[j], n)
-    return out, sizes, lettered
+        known = {k: t for k, v in sorted(texts.items()) if (t := folded(v))}
+        self.langs, self.texts = list(known), tuple(known.values())
+        self.weights = np.log2(np.array([len(t) + 2 for t in self.texts], float))
+
+    def costs(self, text: str) -> np.ndarray:
+        """Bits that a symbol of a folded text takes in each language."""
+        return np.array([phrases(a, text) for a in _automata(self.texts)]) * self.weights / max(1, len(text))
+
+
+def _share(text: Column, chars: int) -> Column:
+    """Parts of a text, spread evenly over it, of at most chars characters altogether."""
+    width = chars // PARTS
+    step = (F.length(text) - width) / (PARTS - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(text, (F.floor(k * step) + 1).cast("int"), F.lit(width)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(parts, "\n"))
 
 
 def learn(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> Model:
     """Model from (doc_id, text, lang); which rows may be learned from is the caller's choice."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    mark = F.xxhash64(F.col("doc_id"), F.lit(29))
-    ids = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_lang)).alias("slot")).agg(F.min_by("doc_id", mark).alias("doc_id"))
-    picked = rows.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", 1, chars_per_lang).alias("text"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_lang)).alias("slot")
+    parts = rows.select("lang", slot, F.xxhash64("doc_id", F.lit(29)).alias("mark"), _share(F.col("text"), chars_per_lang // docs_per_lang).alias("part"))
+    picked = parts.groupBy("lang", "slot").agg(F.min(F.struct("mark", "part"))["part"].alias("part"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.text)):
-        texts.setdefault(r.lang, []).append(_fold(r.text))
-    return Model({k: "\n".join(dict.fromkeys(v))[:chars_per_lang] for k, v in texts.items()})
+    for r in sorted(picked.select("lang", "part").collect()):
+        texts.setdefault(r.lang, []).append(r.part)
+    return Model({k: "\n".join(dict.fromkeys(v)) for k, v in texts.items()})
+
 
+def predict(docs: DataFrame, model: Model, text: str = "text", unlike: float | None = None) -> DataFrame:
+    """All columns of docs, then lang_pred and score, which must not be among them.
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs, then lang_pred and score, which must not be among them."""
+    With unlike, texts of LONG symbols or more that take more bits each in every language are ``und`` too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
 
+    def judged(model: Model, text: str) -> tuple[str, float]:
+        symbols = folded(text)
+        if not symbols or not model.langs:
+            return "und", 0.0
+        cost = model.costs(symbols)
+        best = int(cost.argmin())
+        if unlike is not None and len(symbols) >= LONG and cost[best] > unlike:
+            return "und", 0.0
+        return model.langs[best], float(1 / ((cost[best] / cost) ** SHARPNESS).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        lut = model.symbols()
         for batch in batches:
             for part in pieces(batch, text):
-                raw, at = buffers(column(part, text))
-                if model.langs:
-                    count, size, lettered = phrases(model, lut, raw, at)
-                    cost = count * model.weights / np.maximum(size, 1)[:, None]
-                    best = cost.argmin(1)
-                    odds = (cost.min(1)[:, None] / np.maximum(cost, 1e-9)) ** SHARPNESS
-                    score = np.where(lettered, 1 / np.maximum(odds.sum(1), 1), 0.0)
-                    names = np.where(lettered, np.array(model.langs, object)[best], "und")
-                else:
-                    score, names = np.zeros(part.num_rows), np.full(part.num_rows, "und", object)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                names, scores = map(list, zip(*(judged(shared.value, t or "") for t in column(part, text).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -200,9 +164,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any recognisable language (no letter) go."""
+    """Pipeline stage: documents in no known language go, and a missing lang becomes the predicted one.
+
+    Long texts go whose symbols take more bits in every language than any text in its letters would, and texts without
+    a letter. Where no language is known, only texts without a letter go."""
     names = docs.columns
     model = learn(docs.select("doc_id", "text", "lang"))
-    inner = docs.select("doc_id", "text", F.struct(*[docs[c] for c in names]).alias("row")) if {"lang_pred", "score"} & set(names) else docs
-    kept = predict(inner, model).where("lang_pred != 'und'")
-    return kept.select("row.*") if inner is not docs else kept.select(*names)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    inner = docs.select("text", F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"))
+    kept = predict(inner, model, unlike=UNLIKE).where("lang_pred != 'und'")
+    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in names))
