@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,20 @@ def fold_is(key: str, modulus: int, remainder: int) -> Column:
 def hold(df: DataFrame) -> DataFrame:
     """The rows as a table written in the folder that spark.checkpoint.dir names, which cuts the lineage.
 
-    A local folder only where nothing is set, as in tests. Columnar files are a fraction of checkpoint()'s size."""
-    sc = df.sparkSession.sparkContext
+    Where nothing is set, a local folder does in local mode, as in tests; on a cluster that is an error, as executors
+    would not see each other's files. Columnar files are a fraction of checkpoint()'s size. The files of a table go
+    when the driver ends."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,16 +76,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        out = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
-        out[0] = 1
-        _POWERS[base] = np.multiply.accumulate(out)
-    return _POWERS[base][:n]
+#: Longest word, in bytes, that is hashed by table; longer ones by BLAKE2b.
+TABLED = 64
+_TABLE = np.frombuffer(np.random.RandomState(61).bytes(TABLED * 256 * 8), np.uint64)
+#: Bytes of words whose table entries are held at once.
+_SPAN = 1 << 22
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,20 +93,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(raw: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of consecutive texts: a 64-bit hash, byte start, byte end; and each text's first word.
 
-    fold gives for each byte what it counts as, 0 for bytes between words."""
+    fold gives for each byte what it counts as, 0 for bytes between words. The hash is the sum of a random number for
+    each place and byte, so that two different words have the same one with probability 2**-64."""
     code = fold[raw]
-    n = len(code)
-    inside = np.zeros(n + 2, bool)
+    inside = np.zeros(len(code) + 2, bool)
     inside[1:-1] = code != 0
-    cut = np.zeros(n + 1, bool)
+    cut = np.zeros(len(code) + 1, bool)
     cut[at] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(code * _powers(_BASE, n), out=total[1:])
-    back = _powers(pow(_BASE, -1, 2**64), n)
-    out = mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    return out, starts, ends, np.searchsorted(starts, at)
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    for i in np.flatnonzero(size > TABLED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(code[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= TABLED)
+    total = np.cumsum(size[short])
+    for lo, hi in pairwise([0, *np.unique(np.searchsorted(total, np.arange(_SPAN, total[-1], _SPAN))).tolist(), len(short)]) if len(short) else ():
+        if lo == hi:
+            continue
+        which, n = short[lo:hi], size[short[lo:hi]]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        out[which] = np.add.reduceat(_TABLE.take(place * 256 + code.take(place + np.repeat(starts[which], n))), first)
+    return mixed(out), starts, ends, np.searchsorted(starts, at)
+
+
+def same_words(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes of a from i on are those of b from j on, for each i, j and size."""
+    wide = lambda x: np.ndarray(len(x), np.uint64, np.concatenate((x, np.zeros(8, np.uint8))), strides=(1,))
+    x, y = wide(a), wide(b)
+    out = np.ones(len(i), bool)
+    left = np.arange(len(i))
+    for done in range(0, int(size.max(initial=0)), 8):  # eight bytes at a time, of the words that are as long
+        left = left[size[left] > done]
+        keep = np.uint64(2**64 - 1) >> (np.uint64(8) * np.maximum(0, 8 - (size[left] - done)).astype(np.uint64))
+        equal = ((x[i[left] + done] ^ y[j[left] + done]) & keep) == 0
+        out[left[~equal]] = False
+        left = left[equal]
+    return out
+
+
+def numbered(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for words of the same bytes only."""
+    order = np.argsort(hashes, kind="stable")
+    alike = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    i, j = order[alike], order[alike + 1]
+    size = ends - starts
+    if (size[i] != size[j]).any() or not same_words(code, starts[i], code, starts[j], size[i]).all():
+        known: dict[bytes, int] = {}  # different words with one hash
+        return np.array([known.setdefault(code[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    out = np.zeros(len(hashes), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], hashes[order[1:]] != hashes[order[:-1]]))) if len(order) else 0
+    return out
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

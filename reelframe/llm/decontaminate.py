@@ -6,7 +6,7 @@ share for at least WINDOW words shares a fingerprint. Fingerprints of documents
 extended along both texts, word by word; a run of WINDOW equal words is an occurrence. An item of fewer words is one
 window of its own length, and is looked up by the hash of the whole.
 
-Words are compared by 64-bit hashes. Benchmarks of up to ``BROADCAST_BYTES`` of text go to each task, and no document
+Hashes find the places, and the words themselves are compared there. Benchmarks of up to ``BROADCAST_BYTES`` of text go to each task, and no document
 is shuffled; larger ones are joined by fingerprint, and only documents with a common fingerprint meet their items.
 
 Defined results: null and empty texts have no words and are clean; null and empty items match nothing. Items without
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, carried, column, grams, pieces, table, word_hashes
+from .common import buffers, carried, column, grams, pieces, same_words, table, word_hashes
 
 WINDOW = 10
 GRAM = 5
@@ -34,7 +34,7 @@ RESULT = "n_words long, n_hit long, items array<string>"
 
 
 def _fold() -> np.ndarray:
-    fold = np.zeros(256, np.uint64)
+    fold = np.zeros(256, np.uint8)
     for lo, hi in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
         fold[lo:hi] = np.arange(lo, hi)
     fold[0x41:0x5B] = fold[0x61:0x7B]
@@ -68,7 +68,8 @@ class Items:
     def __init__(self, ids: list[str | None], texts: pa.Array):
         self.ids = np.array(ids, object)
         raw, at = buffers(texts)
-        self.words, _, _, self.heads = word_hashes(raw, at, FOLD)
+        self.code = FOLD[raw]
+        self.words, self.starts, self.ends, self.heads = word_hashes(raw, at, FOLD)
         self.owner = np.repeat(np.arange(len(ids)), np.diff(self.heads))
         place, value = fingerprints(self.words, self.heads)
         order = np.argsort(value, kind="stable")
@@ -94,10 +95,10 @@ def _pairs(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(near, many), np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
-def occurrences(items: Items, words: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and item of each window's occurrence in consecutive texts."""
+def candidates(items: Items, words: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Start, length, item and its word of each place in consecutive texts where the hashes of a window's words stand."""
     ends = np.repeat(heads[1:], np.diff(heads))
-    found = [(np.zeros(0, np.int64),) * 3]
+    found = [(np.zeros(0, np.int64),) * 4]
     place, value = fingerprints(words, heads)
     which, entry = _pairs(value, items.value)
     p, q = place[which], items.place[entry]
@@ -114,7 +115,7 @@ def occurrences(items: Items, words: np.ndarray, heads: np.ndarray) -> tuple[np.
             run = np.where(same, run + 1, 0)
             if o >= WINDOW - span:
                 full = run >= WINDOW
-                found.append((x[full] - WINDOW + 1, np.full(full.sum(), WINDOW), owner[full]))
+                found.append((x[full] - WINDOW + 1, np.full(full.sum(), WINDOW), owner[full], y[full] - WINDOW + 1))
     for n, (keys, owners) in items.short.items():
         g = grams(words, n)
         at = np.arange(len(g))
@@ -124,15 +125,31 @@ def occurrences(items: Items, words: np.ndarray, heads: np.ndarray) -> tuple[np.
         same = np.ones(len(x), bool)
         for o in range(n):
             same &= words[x + o] == items.words[items.heads[item] + o]
-        found.append((x[same], np.full(same.sum(), n), item[same]))
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+        found.append((x[same], np.full(same.sum(), n), item[same], items.heads[item[same]]))
+    return np.unique(np.stack([np.concatenate(f) for f in zip(*found, strict=True)]), axis=1)
+
+
+def occurrences(items: Items, raw: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and item of each window's occurrence: of the candidates, those whose words are equal themselves."""
+    start, length, item, place = candidates(items, words, heads)
+    if not len(start):
+        return start, length, item
+    first = np.cumsum(length) - length
+    step = np.arange(length.sum()) - np.repeat(first, length)
+    pairs, which = np.unique(np.stack([np.repeat(start, length) + step, np.repeat(place, length) + step]), axis=1, return_inverse=True)
+    x, y = pairs
+    size = ends[x] - starts[x]
+    same = size == items.ends[y] - items.starts[y]
+    same[same] = same_words(FOLD[raw], starts[x[same]], items.code, items.starts[y[same]], size[same])
+    good = np.logical_and.reduceat(same[which.ravel()], first)
+    return start[good], length[good], item[good]
 
 
 def judged(items: Items, texts: pa.Array) -> list[pa.Array]:
     """n_words, n_hit and items of each text."""
     raw, at = buffers(texts)
-    words, _, _, heads = word_hashes(raw, at, FOLD)
-    start, length, item = occurrences(items, words, heads)
+    words, starts, ends, heads = word_hashes(raw, at, FOLD)
+    start, length, item = occurrences(items, raw, words, starts, ends, heads)
     depth = np.zeros(len(words) + 1, np.int64)
     np.add.at(depth, start, 1)
     np.add.at(depth, start + length, -1)

@@ -12,6 +12,9 @@ passes, so no candidate is lost.
 
 At a similarity of 0.8 a pair is a candidate with probability 0.9996, at 0.85 and more above 0.99997.
 
+Sets are signed by 64-bit hashes of their shingles and equal ones found by a 128-bit digest of these; links between
+different sets are confirmed on the words themselves. Ids may be numbers or strings.
+
 Defined results: null text and text without words have an empty set and no links. A null doc_id has no links, and its
 component is null. Repeated rows with one doc_id are one document; where their texts differ, links of either count.
 Columns besides those named are ignored. An empty table gives an empty result.
@@ -21,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, column, grams, hold, pieces, table, word_hashes
+from .common import buffers, column, grams, hold, numbered, pieces, table, word_hashes
 from .components import components
 
 SIDE = 12
@@ -35,10 +39,13 @@ HALF = 3
 PERCENT = 80
 #: Documents on either side of a cell of a bucket.
 CELL = 512
+#: Groups of copies are sent to every task if they hold more than this part of all rows, so there are fewer than HOT.
+HOT = 1000
 
 
 def _fold() -> np.ndarray:
-    fold = np.arange(1, 257, dtype=np.uint64)
+    fold = np.arange(256).astype(np.uint8)
+    fold[0] = 0xFF  # NUL is part of a word, and this byte is in no text
     fold[0x41:0x5B] = fold[0x61:0x7B]
     fold[[0x20, *range(0x09, 0x0E)]] = 0
     return fold
@@ -122,7 +129,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
         key = least = second = last = table = None
         seen = 0
         for batch in batches:
-            keys, docs, tables = (column(batch, c).to_numpy() for c in ("key", "doc_id", "table"))
+            keys, docs, tables = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "table"))
             shared = np.zeros(len(keys), bool)
             shared[1:] = keys[1:] == keys[:-1]
             shared[:-1] |= shared[1:]
@@ -173,23 +180,44 @@ def _passing(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers, which are equal within this call for equal words only."""
+    raw, at = buffers(texts)
+    hashes, starts, ends, heads = word_hashes(raw, at, FOLD)
+    ids = numbered(FOLD[raw], starts, ends, hashes)
+    joined = lambda x, y: np.unique(x, return_inverse=True)[1] * (len(ids) + 1) + y
+    run, width = ids, 1
+    for bit in bin(k)[3:]:  # runs of twice the words, and of one more
+        run, width = joined(run[: max(0, len(run) - width)], np.unique(run, return_inverse=True)[1][width:]), 2 * width
+        if bit == "1":
+            run, width = joined(run[: max(0, len(run) - 1)], ids[width:]), width + 1
+    whole: dict[tuple, int] = {}
+    out = []
+    for a, b in pairwise(heads.tolist()):
+        few = [whole.setdefault(tuple(ids[a:b].tolist()), ~len(whole))] if 0 < b - a < k else []
+        out.append(np.unique(run[a : b - k + 1]) if b - a >= k else np.array(few, np.int64))
+    return out
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; words are compared themselves, not their hashes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] = "", np.zeros(0, np.uint64)
         for batch in batches:
             for part in pieces(batch, "ta"):
+                a, b = column(part, "ta"), column(part, "tb")
+                # rows come by b, so that its set is seldom made anew
+                told = b.to_pylist()
+                new = np.array([i == 0 or told[i] != told[i - 1] for i in range(len(told))])
+                sets = exact_sets(pa.concat_arrays([a, b.take(pa.array(np.flatnonzero(new)))]), k)
                 keep = []
-                for s, t in zip(shingle_sets(column(part, "ta"), k), column(part, "tb").to_pylist(), strict=True):
-                    if t != last[0]:  # rows come by b, so that its set is seldom made anew
-                        last = t, next(shingle_sets(pa.array([t], pa.string()), k))
-                    both = len(np.intersect1d(s, last[1], assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(last[1]) - both))
+                for s, t in zip(sets, (len(a) + np.cumsum(new) - 1).tolist(), strict=False):
+                    both = len(np.intersect1d(s, sets[t], assume_unique=True))
+                    keep.append(100 * both >= percent * (len(s) + len(sets[t]) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -269,15 +297,24 @@ def _crossing(buckets: DataFrame, signed: DataFrame, tied: DataFrame, percent: i
     return rows.select("key", "kind", "i", "j", "doc_id", "component", "n", "sketch", "table", "halves").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _same_ids(signed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the different sets of one doc_id."""
+    rows = signed.where("same is not null and doc_id is not null").select("doc_id", "same")
+    several = rows.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("doc_id")
+    sets = rows.join(several, "doc_id", "left_semi").distinct().join(groups.select("same", F.col("doc_id").alias("a")), "same").select("doc_id", "a")
+    return sets.join(sets.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of (doc_id, text)."""
     signed = hold(_signed(docs, k))
-    groups = signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = signed.join(groups.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")
+    first = F.min_by(F.struct("doc_id", "n", "sketch", "left", "right"), "doc_id").alias("first")
+    groups = signed.where("same is not null and doc_id is not null").groupBy("same").agg(first, F.count("*").alias("copies"))
+    groups = hold(groups.select("same", "copies", "first.*"))
+    reps = groups.drop("same", "copies")
     buckets = hold(_buckets(reps))
-    reps = reps.select("doc_id", "n", "sketch", "left", "right")
     stars = buckets.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    links = hold(_confirmed(hold(_passing(stars, reps, percent)), docs, k, percent))
+    links = hold(_confirmed(hold(_passing(stars, reps, percent)), docs, k, percent)).unionByName(hold(_same_ids(signed, groups)))
     tied = hold(components(links))
     crowded = buckets.where("crowded").select("key", "table", "doc_id")
     for forest in (True, False):
@@ -286,10 +323,16 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFram
             break
         links = links.unionByName(hold(_confirmed(pairs, docs, k, percent)))
         tied = hold(components(links))
-    copied = groups.where("copies > 1").select("same", "rep")
-    out = signed.select("doc_id", "n", "same").join(copied, "same", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = out.join(tied.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    tied = tied.select(F.col("node").alias("doc_id"), "component")
+    found = hold(groups.select("same", "copies", "doc_id").join(tied, "doc_id", "left").where("copies > 1 or component is not null").select("same", "copies", F.coalesce("component", "doc_id").alias("component")))
+    # sets of more than a HOT-th of the rows are fewer than HOT, so they can be sent to every task; the others meet in a join
+    hot = found.where(F.col("copies") * HOT > signed.count())
+    rows = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same"))
+    rows = rows.join(F.broadcast(hot.select("same", F.col("component").alias("hot"))), "same", "left")
+    ready = F.col("hot").isNotNull() | F.col("same").isNull()
+    cold = rows.where(~ready).select("doc_id", "n", "same").join(found.select("same", "component"), "same", "left")
+    out = rows.where(ready).select("doc_id", "n", F.col("hot").alias("component")).unionByName(cold.select("doc_id", "n", "component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

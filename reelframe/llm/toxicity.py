@@ -41,7 +41,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 
 
 def _folds() -> tuple[np.ndarray, np.ndarray]:
-    plain = np.zeros(256, np.uint64)
+    plain = np.zeros(256, np.uint8)
     for lo, hi in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
         plain[lo:hi] = np.arange(lo, hi)
     plain[0x41:0x5B] = plain[0x61:0x7B]

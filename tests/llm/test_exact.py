@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from reelframe.llm import bpe, components, decontaminate, embeddings, minhash, pii
 
@@ -194,3 +195,90 @@ def test_pii_terms_equal_the_sql(spark):
     want = {r[0]: r[-1] for r in con.execute(queries.ORACLES["op1_pii"]).fetchall()}
     assert sum("term_removed" in x for x in want.values()) == 6
     assert {r.doc_id: r.spans for r in pii.sanitise(docs(spark, rows)).select("doc_id", pii.listed("spans").alias("spans")).collect()} == want
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_collide_under_polynomials(spark):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2**64 for any odd base."""
+    x, y = thue_morse(1024)
+    short = [x[:64], y[:64]]
+    rows = [(1, x), (2, y), (3, x), (4, short[0]), (5, short[1])]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 2).collect()}
+    assert out == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    rest = " one two three four five six seven eight nine"
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        found = decontaminate.contamination(docs(spark, [(1, x + rest), (2, y + rest)]).drop("n"), spark.createDataFrame([(9, x + rest)], "item_id long, text string"), limit)
+        assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 10, 2: 0}
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """With hashes that tell few words apart, candidates abound, and the words themselves decide."""
+    from reelframe.llm import common
+
+    raw = np.frombuffer(b"ab cd ab ef ab cd gh", np.uint8)
+    hashes, starts, ends, _ = common.word_hashes(raw, np.array([0, len(raw)]), minhash.FOLD)
+    want = [0, 1, 0, 2, 0, 1, 3]
+    for h in (hashes, hashes % np.uint64(2), np.zeros_like(hashes)):
+        got = common.numbered(minhash.FOLD[raw], starts, ends, h)
+        assert [[i == j for j in got] for i in got] == [[i == j for j in want] for i in want]
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda *a: (common.word_hashes(*a)[0] % np.uint64(3), *common.word_hashes(*a)[1:]))
+    rnd = random.Random(4)
+    words = ["red", "blue", "green", "grey", "black", "white"]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 14)))) for i in range(8)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(30)] + [f"red {items[3][1]} grey"]
+    import pyarrow as pa
+
+    index = decontaminate.Items([str(i) for i, _ in items], pa.array([t for _, t in items]))
+    got = list(zip(*(x.to_pylist() for x in decontaminate.judged(index, pa.array(texts))), strict=True))
+    want = brute.contaminated(list(enumerate(texts)), items)
+    assert got == [want[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 6])
+def test_exact_sets(k):
+    import pyarrow as pa
+
+    rnd = random.Random(k)
+    texts = [" ".join(rnd.choices("ab", k=rnd.randint(0, 12))) for _ in range(60)] + [None, "", "A b", "\0 a"]
+    want = []
+    for t in texts:
+        w = brute.low(t).split()
+        want.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    got = minhash.exact_sets(pa.array(texts), k)
+    for s, x in zip(got, want, strict=True):
+        for t, y in zip(got, want, strict=True):
+            assert len(s) == len(x) and len(np.intersect1d(s, t)) == len(x & y)
+
+
+def test_near_dedup_of_odd_ids(spark):
+    """String ids, null ids, one id with two texts, and copies that are more than a thousandth of all rows."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", base), ("a", base + " more"), ("c", "other text here"), ("c", base), (None, base), ("d", None), ("e", None)]
+    rows += [(f"z{i:03}", "copied text of many rows") for i in range(200)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, component int").repartition(3)
+    out = minhash.near_duplicates(df, 2).collect()
+    assert len(out) == len(rows)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in out}
+    assert got[("a", 60)] == got[("b", 59)] == got[("c", 59)] == got[("c", 2)] == "a"
+    assert got[(None, 59)] is None and got[("d", 0)] == "d" and got[("e", 0)] == "e"
+    assert {c for (d, _), c in got.items() if d and d.startswith("z")} == {"z000"}
+
+
+def test_bpe_forgets_old_words(spark, corpus, monkeypatch):
+    """With a word table far too small, and with columns of the names used inside, the ids stay the same."""
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 5)
+    codec = bpe.Codec(bpe.vocabulary())
+    texts = [t or "" for _, t in corpus[:60]]
+    small = [x for i in range(0, 60, 7) for x in codec.encode(texts[i : i + 7])]
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 10**6)
+    assert small == list(bpe.Codec(bpe.vocabulary()).encode(texts))
+    df = spark.createDataFrame([(1, "a text", 7), (1, "a text", 7), (2, None, 8)], "doc_id long, text string, __text int").withColumnRenamed("__text", "__0")
+    df = df.withColumn("__text", F.lit("x")).withColumn("ids", F.lit(5))
+    out = bpe.encode(df, bpe.vocabulary(), keep=("doc_id", "__0", "__text")).collect()
+    assert sorted((r.doc_id, r["__0"], r["__text"], r.n_tokens) for r in out) == [(1, 7, "x", 2), (1, 7, "x", 2), (2, 8, "x", 0)]

@@ -40,26 +40,52 @@ def test_language_of_odd_texts(spark):
 
 
 def test_phrases_by_brute_force():
-    """Longest matches in the training text, restarted every SPAN symbols, give the same number of phrases."""
+    """Longest matches in the training text; a letter that it lacks is a phrase of its own."""
     text = "the cat sat on the mat and the rat sat on the cat"
-    model = language.Model({"xx": text, "yy": text[::-1]})
-    lut = model.symbols()
-    for doc in ("the cat on the rat", "zebra cats sat", "x", "the mat " * 100):
-        raw = np.frombuffer(doc.encode(), np.uint8)
-        found, _, _ = language.phrases(model, lut, raw, np.array([0, len(doc)]))
-        known = set(model.alphabet)
-        code = re.sub(r"[^a-z]+", " ", doc)
-        for j, source in enumerate((text, text[::-1])):
-            n = 0
-            for i in range(0, len(code), language.SPAN):
-                part, at = code[i : i + language.SPAN], 0
-                while at < len(part):
-                    end = at
-                    while end < len(part) and part[at : end + 1] in source and part[end] in known | {" "}:
-                        end += 1
-                    n += 1
-                    at = max(end, at + 1)
-            assert found[0, j] == n
+    for source in (text, text[::-1], "漢字かな 漢字"):
+        root = language.automaton(source)
+        for doc in ("", "the cat on the rat", "zebra cats sat", "x", "the mat " * 100, text * 3, "漢字 the かな", "日本"):
+            n = at = 0
+            while at < len(doc):
+                end = at + 1
+                while end < len(doc) and doc[at : end + 1] in source:
+                    end += 1
+                n, at = n + 1, end
+            assert language.phrases(root, doc) == n
+
+
+def test_language_by_brute_force(spark):
+    """The prediction is the language of the fewest phrases times log2 of the training length, by name where equal."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 150")
+    model = language.learn(rows)
+    assert model.langs == ["de", "en", "es", "fr"] and all(len(t) > 2000 for t in model.texts)
+
+    def cost(source, text):
+        n = at = 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at : end + 1] in source:
+                end += 1
+            n, at = n + 1, end
+        return n * np.log2(len(source) + 2)
+
+    for r in language.predict(rows, model).where("doc_id < 40").collect():
+        symbols = re.sub(r"[^a-zà-ÿœ]+", " ", (r.text or "").lower()).strip()
+        if len(symbols) < 3000:
+            costs = [cost(t, symbols) for t in model.texts]
+            assert r.lang_pred == (model.langs[int(np.argmin(costs))] if symbols else "und")
+
+
+def test_language_sample_is_bounded(spark):
+    """One long text doesn't crowd out the others; repeated rows, string ids, ties and an empty table."""
+    rows = [("a", "long words " * 90_000, "xx"), *((f"b{i}", f"kurze texte nummer {'abcdefgh'[i % 8]}", "xx") for i in range(20)), *[("c", "otro", "yy")] * 50, (None, "none", "zz"), ("d", None, "zz")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language.learn(df)
+    assert model.langs == ["xx", "yy"] and "kurze" in model.texts[0] and len(model.texts[0]) < 2000 and model.texts[1] == "otro"
+    assert len({(r.lang_pred, r.score) for r in language.predict(df, model).where("doc_id = 'c'").collect()}) == 1
+    assert language.predict(df.limit(0), model).count() == 0
+    twins = language.Model({"b": "same text", "a": "same text"})
+    assert {r.lang_pred for r in language.predict(df.where("doc_id = 'd' or doc_id = 'c'"), twins).collect()} == {"a", "und"}
 
 
 def test_quality(spark, labels):
