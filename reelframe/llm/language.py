@@ -1,9 +1,10 @@
 """Language identification by cross-parsing against one suffix automaton per language.
 
-A text is parsed from left to right into the longest phrases that occur in a language's training text; a letter that
+A text is parsed from left to right into the longest phrases that occur in a language's training text; a symbol that
 the training text lacks is a phrase of its own. Few phrases mean that the text looks like that language. Phrases are
 counted per symbol and times log2 of the training length, which is about the bits that a symbol takes, so that
-languages with less training text aren't favoured. Texts are lower-cased, and whatever lies between letters is a space.
+languages with less training text aren't favoured. Texts are lower-cased, whatever lies between letters is a space, and
+symbols are bytes of UTF-8, so that letters of all scripts are told apart.
 
 Training takes at most ``DOCS_PER_LANG`` documents of each language, chosen by hash over all documents, and an equal
 share of at most ``CHARS_PER_LANG`` characters from each, spread over its length. Prediction reads whole texts.
@@ -32,70 +33,114 @@ CHARS_PER_LANG = 24_000
 #: Parts of a training document, spread evenly, that make its share.
 PARTS = 4
 SHARPNESS = 8.0
+#: Text bytes that are parsed together; a longer document is taken alone and whole.
+PART_BYTES = 8 << 20
+#: Texts that still take steps together; what is left of fewer is parsed one after the other, with the same result.
+FEW = 24
 #: A text of LONG symbols that takes more bits than this each in every language is in none that is known: letters of a
-#: known language take at most 5 even if drawn evenly, letters of other scripts over 14.
+#: known language take about 5 at most even if drawn evenly, letters of other scripts up to 14.
 UNLIKE, LONG = 6.0, 200
 _BETWEEN = re.compile(r"[\W\d_]+")
 
 
-def folded(text: str) -> str:
-    """Lower-case letters, with one space for whatever lies between them."""
-    return _BETWEEN.sub(" ", unicodedata.normalize("NFC", text).lower()).strip()
+def folded(text: str) -> bytes:
+    """Lower-case letters in UTF-8, with one space for whatever lies between them."""
+    return _BETWEEN.sub(" ", unicodedata.normalize("NFC", text).lower()).strip().encode()
 
 
-def automaton(text: str) -> dict:
-    """The suffix automaton of a text: each state is a dictionary from the next symbol to the next state."""
-    nexts: list[dict] = [{}]
+def automaton(text: bytes) -> list[dict[int, int]]:
+    """The suffix automaton of a text: for each state, the next state by symbol. State 0 is the root."""
+    nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    number = {id(nexts[0]): 0}
-
-    def add(edges: dict, to: int, size: int) -> int:
-        nexts.append(edges)
-        link.append(to)
-        length.append(size)
-        number[id(edges)] = len(nexts) - 1
-        return len(nexts) - 1
-
     for c in text:
-        new = add({}, 0, length[last] + 1)
+        new = len(nexts)
+        nexts.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
         while p >= 0 and c not in nexts[p]:
-            nexts[p][c] = nexts[new]
+            nexts[p][c] = new
             p = link[p]
         if p >= 0:
-            q = number[id(nexts[p][c])]
+            q = nexts[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                clone = add(dict(nexts[q]), link[q], length[p] + 1)
-                while p >= 0 and nexts[p].get(c) is nexts[q]:
-                    nexts[p][c] = nexts[clone]
+                clone = len(nexts)
+                nexts.append(dict(nexts[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and nexts[p].get(c) == q:
+                    nexts[p][c] = clone
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    return nexts[0]
-
-
-def phrases(root: dict, text: str) -> int:
-    """Number of longest phrases that a folded text is parsed into."""
-    n, state = 0, root
+    return nexts
+
+
+class Parser:
+    """Counts the longest phrases of folded texts in several training texts.
+
+    All automata are one table of transitions, so that all texts of a batch and all languages take a step together; the
+    few texts that are longer than all others are finished one after the other. A state is its row's place in the table.
+    Row 0 leads nowhere: a text is there before its first symbol and after one that a language lacks."""
+
+    def __init__(self, texts: tuple[bytes, ...]):
+        self.automata = [automaton(t) for t in texts]
+        self.codes = np.zeros(256, np.int32)  # 0 is a byte that no training text has
+        used = sorted(set().union(*texts))
+        self.codes[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        sizes = [len(a) for a in self.automata]
+        self.roots = (1 + np.cumsum([0, *sizes[:-1]])) * self.width
+        edges = [(r + s * self.width + self.codes[c], r + t * self.width) for r, a in zip(self.roots.tolist(), self.automata, strict=True) for s, to in enumerate(a) for c, t in to.items()]
+        self.table = np.zeros((1 + sum(sizes)) * self.width, np.int32)
+        at, to = np.array(edges, np.int64).T
+        self.table[at] = to
+
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each text in each language: places where the phrase so far doesn't go on, and a new one begins."""
+        size = np.array([len(t) for t in texts])
+        order = np.argsort(-size, kind="stable")
+        code = self.codes[np.frombuffer(b"".join(texts), np.uint8)]
+        start, size = (np.cumsum(size) - size)[order], size[order]
+        first = self.table[self.roots[:, None] + np.arange(self.width)]
+        state, found = np.zeros((len(self.roots), len(texts)), np.int32), np.zeros((len(self.roots), len(texts)), np.int32)
+        done, k = 0, len(texts) - int(np.searchsorted(size[::-1], 0, "right"))
+        while k >= max(1, FEW):
+            symbol = code[start[:k] + done]
+            now = self.table.take(state[:, :k] + symbol)
+            begins = now == 0
+            found[:, :k] += begins
+            state[:, :k] = np.where(begins, first.take(symbol, 1), now)
+            done += 1
+            k = len(texts) - int(np.searchsorted(size[::-1], done, "right"))
+        for i in range(k):
+            rest = texts[order[i]][done:]
+            for lang, (nexts, root) in enumerate(zip(self.automata, self.roots.tolist(), strict=True)):
+                at = int(state[lang, i])
+                found[lang, i] += phrases(nexts, rest, (at - root) // self.width if at else -1)
+        out = np.zeros((len(texts), len(self.roots)), np.int64)
+        out[order] = found.T
+        return out
+
+
+def phrases(nexts: list[dict[int, int]], text: bytes, state: int = -1) -> int:
+    """How many phrases begin in a text that goes on from a state, -1 where none has begun."""
+    n = 0
     for c in text:
-        longer = state.get(c)
+        longer = nexts[state].get(c) if state >= 0 else None
         if longer is None:
-            if state is not root:
-                n += 1
-            longer = root.get(c)
-            if longer is None:
-                n += 1
-                longer = root
+            n += 1
+            longer = nexts[0].get(c, -1)
         state = longer
-    return n + (state is not root)
+    return n
 
 
 @lru_cache(1)
-def _automata(texts: tuple[str, ...]) -> list[dict]:
-    """The worker's automata, which the tasks that it runs one after the other share."""
-    return [automaton(t) for t in texts]
+def parser(texts: tuple[bytes, ...]) -> Parser:
+    """The worker's parser, which the tasks that it runs one after the other share."""
+    return Parser(texts)
 
 
 class Model:
@@ -106,9 +151,9 @@ class Model:
         self.langs, self.texts = list(known), tuple(known.values())
         self.weights = np.log2(np.array([len(t) + 2 for t in self.texts], float))
 
-    def costs(self, text: str) -> np.ndarray:
-        """Bits that a symbol of a folded text takes in each language."""
-        return np.array([phrases(a, text) for a in _automata(self.texts)]) * self.weights / max(1, len(text))
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """Bits that a symbol of each folded text takes in each language."""
+        return parser(self.texts).count(texts) * self.weights / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
 def _share(text: Column, chars: int) -> Column:
@@ -138,21 +183,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text", unlike: float | N
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
 
-    def judged(model: Model, text: str) -> tuple[str, float]:
-        symbols = folded(text)
-        if not symbols or not model.langs:
-            return "und", 0.0
-        cost = model.costs(symbols)
-        best = int(cost.argmin())
-        if unlike is not None and len(symbols) >= LONG and cost[best] > unlike:
-            return "und", 0.0
-        return model.langs[best], float(1 / ((cost[best] / cost) ** SHARPNESS).sum())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            for part in pieces(batch, text):
-                names, scores = map(list, zip(*(judged(shared.value, t or "") for t in column(part, text).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+            for part in pieces(batch, text, PART_BYTES):
+                symbols = [folded(t or "") for t in column(part, text).to_pylist()]
+                names, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
+                known = np.array([bool(t) for t in symbols]) & bool(model.langs)
+                if known.any():
+                    cost = model.costs([t for t in symbols if t])
+                    if unlike is not None:
+                        known[known] = (cost.min(1) <= unlike) | (np.array([len(t) for t in symbols if t]) < LONG)
+                        cost = cost[[bool(k) for k, t in zip(known, symbols, strict=True) if t]]
+                    names[known] = np.array(model.langs, object)[cost.argmin(1)]
+                    score[known] = 1 / ((cost.min(1)[:, None] / cost) ** SHARPNESS).sum(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 

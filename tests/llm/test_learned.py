@@ -39,19 +39,28 @@ def test_language_of_odd_texts(spark):
     assert language.predict(df, language.Model({})).where("lang_pred <> 'und'").count() == 0
 
 
-def test_phrases_by_brute_force():
-    """Longest matches in the training text; a letter that it lacks is a phrase of its own."""
+def parsed(source, text):
+    """Number of longest phrases of bytes, by searching the training text."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in source:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_phrases_by_brute_force(monkeypatch, few):
+    """Longest matches in the training text; a symbol that it lacks is a phrase of its own. Texts in step or alone."""
+    monkeypatch.setattr(language, "FEW", few)
     text = "the cat sat on the mat and the rat sat on the cat"
-    for source in (text, text[::-1], "漢字かな 漢字"):
-        root = language.automaton(source)
-        for doc in ("", "the cat on the rat", "zebra cats sat", "x", "the mat " * 100, text * 3, "漢字 the かな", "日本"):
-            n = at = 0
-            while at < len(doc):
-                end = at + 1
-                while end < len(doc) and doc[at : end + 1] in source:
-                    end += 1
-                n, at = n + 1, end
-            assert language.phrases(root, doc) == n
+    sources = tuple(t.encode() for t in (text, text[::-1], "漢字かな 漢字"))
+    given = [t.encode() for t in ("", "the cat on the rat", "zebra cats sat", "x", "the mat " * 100, text * 3, "漢字 the かな", "日本", "")]
+    if few == 0:
+        given.append(b"t")
+    got = language.Parser(sources).count(given)
+    assert got.tolist() == [[parsed(s, t) for s in sources] for t in given]
 
 
 def test_language_by_brute_force(spark):
@@ -60,19 +69,10 @@ def test_language_by_brute_force(spark):
     model = language.learn(rows)
     assert model.langs == ["de", "en", "es", "fr"] and all(len(t) > 2000 for t in model.texts)
 
-    def cost(source, text):
-        n = at = 0
-        while at < len(text):
-            end = at + 1
-            while end < len(text) and text[at : end + 1] in source:
-                end += 1
-            n, at = n + 1, end
-        return n * np.log2(len(source) + 2)
-
     for r in language.predict(rows, model).where("doc_id < 40").collect():
-        symbols = re.sub(r"[^a-zà-ÿœ]+", " ", (r.text or "").lower()).strip()
+        symbols = re.sub(r"[^a-zà-ÿœ]+", " ", (r.text or "").lower()).strip().encode()
         if len(symbols) < 3000:
-            costs = [cost(t, symbols) for t in model.texts]
+            costs = [parsed(t, symbols) * np.log2(len(t) + 2) for t in model.texts]
             assert r.lang_pred == (model.langs[int(np.argmin(costs))] if symbols else "und")
 
 
@@ -81,7 +81,7 @@ def test_language_sample_is_bounded(spark):
     rows = [("a", "long words " * 90_000, "xx"), *((f"b{i}", f"kurze texte nummer {'abcdefgh'[i % 8]}", "xx") for i in range(20)), *[("c", "otro", "yy")] * 50, (None, "none", "zz"), ("d", None, "zz")]
     df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
     model = language.learn(df)
-    assert model.langs == ["xx", "yy"] and "kurze" in model.texts[0] and len(model.texts[0]) < 2000 and model.texts[1] == "otro"
+    assert model.langs == ["xx", "yy"] and b"kurze" in model.texts[0] and len(model.texts[0]) < 2000 and model.texts[1] == b"otro"
     assert len({(r.lang_pred, r.score) for r in language.predict(df, model).where("doc_id = 'c'").collect()}) == 1
     assert language.predict(df.limit(0), model).count() == 0
     twins = language.Model({"b": "same text", "a": "same text"})
@@ -161,7 +161,7 @@ def test_every_notice_of_a_line():
     scanner, short = licenses.Scanner(licenses.TEMPLATES), [t for t in licenses.TEMPLATES if len(t[1]) < 100]
     line = " ".join(t for _, t in short * 2)
     got = scanner.scan(line)
-    assert len(short) == 9 and [(s[0], line[s[1] : s[2]]) for s in got] == [(n, t.rstrip(".")) for n, t in short * 2]
+    assert len(short) == 10 and [(s[0], line[s[1] : s[2]]) for s in got] == [(n, t.rstrip(".")) for n, t in short * 2]
     filler = "the license holder may copy the software and this permission to use the work under the terms of the license is granted to any person provided that copies of the software keep the copyright notice "
     for name, text in licenses.TEMPLATES:
         whole = filler * 8 + text + " " + filler * 8
