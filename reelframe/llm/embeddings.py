@@ -3,7 +3,8 @@
 Equal vectors of a label are one representative with a count. Vectors are scaled to unit length, so that a cosine
 bound is a bound on distance, and projected on leading principal axes (found from at most ``SAMPLE`` vectors; any
 orthonormal axes give right results). They are sorted by label and grid cell and cut into blocks of at most ``BLOCK``.
-Blocks whose boxes (on the axes and the length of the rest) are farther apart than epsilon are skipped; blocks that
+Blocks meet by the cells of the first two axes that they touch; those whose boxes (on all axes and the length of the
+rest) are farther apart than epsilon are skipped; blocks that
 are within epsilon as wholes are linked without looking at pairs. The others meet in one task for each pair of blocks,
 which halves both sequences again and again, skips distant intervals, and compares what remains in double precision.
 A task returns counts and one link per vector and component, never all pairs.
@@ -124,13 +125,12 @@ def _blocks(rows: DataFrame, basis: dict[int, np.ndarray], cell: float) -> DataF
 
 
 def _summaries(blocks: DataFrame) -> DataFrame:
-    """Of each block: its box, first cells, weight, smallest vec_id, centre and radius."""
+    """Of each block: its box, weight, smallest vec_id, centre and radius."""
 
     def of(key: tuple, rows: pa.Table) -> pa.Table:
         x = units(rows["embedding"])
         p = np.array(rows["place"].to_pylist())
         centre = x.mean(0)
-        first = [c[0] for c in rows["cells"].to_pylist()]
         radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max())
         doubles, low = pa.list_(pa.float64()), rows["vec_id"]
         return pa.table(
@@ -138,8 +138,6 @@ def _summaries(blocks: DataFrame) -> DataFrame:
                 "block": pa.array([key[0].as_py()]),
                 "label": rows["label"].slice(0, 1),
                 "dim": rows["dim"].slice(0, 1),
-                "first": pa.array([min(first)], pa.int32()),
-                "last": pa.array([max(first)], pa.int32()),
                 "low": pa.array([p.min(0)], doubles),
                 "high": pa.array([p.max(0)], doubles),
                 "weight": pa.array([sum(rows["copies"].to_pylist())]),
@@ -150,21 +148,33 @@ def _summaries(blocks: DataFrame) -> DataFrame:
         )
 
     label, vec = (blocks.schema[c].dataType.simpleString() for c in ("label", "vec_id"))
-    return blocks.groupBy("block").applyInArrow(of, f"block long, label {label}, dim int, first int, last int, low array<double>, high array<double>, weight long, least {vec}, centre array<double>, radius double")
+    return blocks.groupBy("block").applyInArrow(of, f"block long, label {label}, dim int, low array<double>, high array<double>, weight long, least {vec}, centre array<double>, radius double")
 
 
 def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """Pairs of blocks that may hold links, and whether all of their vectors are linked."""
-    one = blocks.select([F.col(c).alias(f"{c}1") for c in blocks.columns]).withColumn("cell", F.explode(F.sequence("first1", "last1")))
-    two = blocks.select([F.col(c).alias(f"{c}2") for c in blocks.columns]).withColumn("cell", F.explode(F.sequence(F.col("first2") - 1, F.col("last2") + 1)))
-    pairs = one.join(two, (F.col("label1") == F.col("label2")) & (F.col("dim1") == F.col("dim2")) & (one.cell == two.cell) & (F.col("block1") <= F.col("block2"))).drop("cell")
+    cell = max(epsilon, 0.05) + 1e-6  # no narrower than the largest distance of a link
+
+    def celled(side: int, more: int) -> DataFrame:
+        """The blocks once for each cell of the first two axes that their boxes, or their neighbourhoods, touch."""
+        rows = blocks.select([F.col(c).alias(f"{c}{side}") for c in blocks.columns])
+        for axis in (0, 1):
+            edge = lambda end: F.floor(F.get(f"{end}{side}", F.lit(axis)) / cell)  # noqa: B023, E731
+            rows = rows.withColumn(f"from{axis}{side}", edge("low") - more)
+            rows = rows.withColumn(f"cell{axis}", F.explode(F.sequence(f"from{axis}{side}", edge("high") + more)))
+        return rows
+
+    one, two = celled(1, 0), celled(2, 1)
+    pairs = one.join(two, (F.col("label1") == F.col("label2")) & (F.col("dim1") == F.col("dim2")) & (one.cell0 == two.cell0) & (one.cell1 == two.cell1) & (F.col("block1") <= F.col("block2")))
+    # the cells that two blocks have in common are a rectangle, and its first corner stands for the pair
+    pairs = pairs.where((one.cell0 == F.greatest("from01", "from02")) & (one.cell1 == F.greatest("from11", "from12")))
     root = lambda parts: F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v * v))
     sides = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(F.lit(0.0), x - y))
     gap = root(F.zip_with(sides("low1", "high2"), sides("low2", "high1"), lambda x, y: F.greatest(x, y)))
     pairs = pairs.where(gap <= epsilon + SLACK)
     centres = root(F.zip_with("centre1", "centre2", lambda x, y: x - y))
     near = centres + F.col("radius1") + F.col("radius2") <= epsilon - SLACK
-    return pairs.select("block1", "block2", "least1", "least2", "weight1", "weight2", near.alias("near")).dropDuplicates(["block1", "block2"])
+    return pairs.select("block1", "block2", "least1", "least2", "weight1", "weight2", near.alias("near"))
 
 
 def _linked(blocks: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:

@@ -1,10 +1,11 @@
 """License scans by wording and conditional compression.
 
 A text is cut into blocks: paragraphs, and each of their lines where there are several. Blocks with a word that licence
-wordings use are candidates. Every template is aligned with every candidate, word by word: few of its words may be
-missing or put in between, none of them with a digit or a name of a licence. The best alignment is a span, and what is
-left of the block on either side is searched again, until nothing more is found. For each span it is given how
-far the template, as zstandard raw dictionary, reduces the compressed size of the block.
+wordings use are candidates. Each candidate is compressed with each template as zstandard raw dictionary, and templates
+are ranked by how far they reduce its size. In that order, and without leaving any out, templates are confirmed: aligned
+with the candidate word by word, where few of the template's words may be missing or put in between, none of them with a
+digit or a name of a licence. The best alignment is a span, and what is left of the block on either side is searched
+again, until nothing more is found. Each span comes with its template's size reduction and rank in the block.
 
 An alignment with at most k odd words holds at least one of k + 1 parts of the wording unbroken, so only the surroundings
 of such parts are aligned, and nothing is lost.
@@ -32,22 +33,29 @@ from .common import column, pieces, table
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 #: Parts of words that make a block a candidate.
-CUES = ("licens", "licence", "redistribut", "permission", "copyright")
+CUES = ("licens", "licence", "redistribut", "permission", "copyright", "unencumbered")
 #: Words that must be there and may not be added, as they tell licences apart.
-NAMES = frozenset("apache mit gnu lesser general public affero mozilla isc bsd cc by nc sa nd".split())
+NAMES = frozenset("apache mit gnu lesser general public affero mozilla isc bsd eclipse cc by nc sa nd".split())
 #: Largest share of a template's words that may differ.
 DIFFERENCE = 0.1
 #: Characters of a block that are looked at together; any wording is shorter than half of it.
@@ -87,6 +95,10 @@ class Scanner:
         raw = block.lower().encode()
         return 1 - len(self.given[i].compress(raw)) / len(self.alone.compress(raw))
 
+    def ranked(self, block: str) -> list[tuple[float, int]]:
+        """Size reduction and number of each template, largest first."""
+        return sorted(((self.reduction(block, i), i) for i in range(len(self.templates))), key=lambda r: (-r[0], r[1]))
+
     def near(self, found: list[str], i: int) -> list[tuple[int, int]]:
         """Ranges of words around the unbroken parts of the template's wording, merged."""
         joined = f" {' '.join(found)} "
@@ -144,24 +156,22 @@ class Scanner:
                 left += [(a, first), (last, b)]
         return out
 
-    def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
-        """Licence, start, end, differing words and size reduction of each span, by start."""
-        out: dict[tuple[str, int, int], tuple[int, float]] = {}
+    def scan(self, text: str) -> list[tuple[str, int, int, int, float, int]]:
+        """Licence, start, end, differing words, size reduction and rank of each span, by start."""
+        out: dict[tuple[str, int, int], tuple[int, int, float]] = {}
         for at, block in self.blocks(text):
-            for i, (name, _) in enumerate(self.templates):
-                spans = self.confirmed(block, i)
-                reduction = self.reduction(block, i) if spans else 0.0
-                for first, last, odd in spans:
-                    key = name, at + first, at + last
-                    out[key] = min(out.get(key, (odd, -reduction)), (odd, -reduction))
-        spans = [(n, a, b, d, -r) for (n, a, b), (d, r) in out.items()]
+            for rank, (reduction, i) in enumerate(self.ranked(block), 1):
+                for first, last, odd in self.confirmed(block, i):
+                    key, seen = (self.templates[i][0], at + first, at + last), (odd, rank, -reduction)
+                    out[key] = min(out.get(key, seen), seen)
+        spans = [(n, a, b, d, -r, k) for (n, a, b), (d, k, r) in out.items()]
         return sorted((s for s in spans if not any(o[0] == s[0] and o[1] <= s[1] and s[2] <= o[2] and o[1:3] != s[1:3] for o in spans)), key=lambda s: (s[1], s[2], s[0]))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """doc_id and an array of spans (licence, start and end in code points, differing words, size reduction)."""
+    """doc_id and an array of spans (licence, start and end in code points, differing words, size reduction, rank)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = [("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("differences", pa.int64()), ("reduction", pa.float64())]
+    fields = [("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("differences", pa.int64()), ("reduction", pa.float64()), ("rank", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
@@ -170,7 +180,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
                 spans = [[dict(zip((n for n, _ in fields), s, strict=True)) for s in scanner.scan(t or "")] for t in column(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(spans, pa.list_(pa.struct(fields)))], ["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, found array<struct<license:string,start:long,end:long,differences:long,reduction:double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, found array<struct<license:string,start:long,end:long,differences:long,reduction:double,rank:long>>")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ The values found are the protected entities. Over the whole corpus, documents ar
 the entity, and the word; a word that stands only inside an e-mail address is not counted as together with it. A word's
 disclosure is its pointwise mutual information with the entity over the entity's own information: 1 where the word occurs
 only in texts with the entity, 0 where it tells nothing. Words that accompany an entity in at least ``SUPPORT`` distinct
-texts are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on, wherever they stand in any document; of
-several entities the one that is disclosed most counts. Entities of fewer texts have no terms: in one or two texts, any
+texts are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on to the class of word that their letters
+show (an acronym, a name, any other term), wherever they stand in any document; of several entities the one that is
+disclosed most counts. Entities of fewer texts have no terms: in one or two texts, any
 rare word would have disclosure 1.
 
 Defined results: null text is empty text and has no spans. Rows with the same doc_id are searched each, and those of the
@@ -170,10 +171,13 @@ def listed(spans: Column) -> Column:
 
 
 def rewritten(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, as a placeholder: the kind, nothing for removed terms."""
+    """The text with each span, or run of overlapping spans, as a placeholder: the kind, nothing for removed terms, the
+    class of word for generalised ones."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    label = lambda kind: F.when(kind == "term_removed", "").when(kind == "term_generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), label(s["kind"])))).otherwise(a["out"]).alias("out"))
+    part = lambda s: F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    shape = lambda s: F.when(part(s).rlike(r"^\p{Lu}+$"), "[ACRONYM]").when(part(s).rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+    label = lambda s: F.when(s["kind"] == "term_removed", "").when(s["kind"] == "term_generalised", shape(s)).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), label(s)))).otherwise(a["out"]).alias("out"))
     return F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
 

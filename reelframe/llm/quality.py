@@ -106,7 +106,7 @@ def _mapped(docs: DataFrame, name: str, of) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     sample = labelled_sample(labels, label, per_class)
-    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rows").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rows").agg(F.min("text").alias("text"))
     rows = hold(rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0))
     size = {(r.y, r.held): r.n for r in rows.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
     if len({y for y, _ in size}) < 2:

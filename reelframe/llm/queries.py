@@ -60,18 +60,21 @@ _DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 _PRIVATE = rf"""
 WITH t AS (SELECT doc_id, text, coalesce(text, '') AS s FROM documents),
 raw AS (SELECT doc_id, text, kind, o, regexp_extract_all(s, p) AS m, string_split_regex(s, p) AS g FROM t, (VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), ('card', 3, '[0-9](?:[ -]?[0-9])+'), ('phone', 4, '\+[0-9][ ().0-9-]+[0-9]')) k(kind, o, p)),
-pos AS (SELECT doc_id, text, kind, o, m[i] AS x, CAST({_LENGTHS.format("g[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} AS BIGINT) AS a, right(g[i], 64) AS l, left(g[i + 1], 64) AS r FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw WHERE len(m) > 0) e),
+pos AS (SELECT doc_id, text, kind, o, m[i] AS x, CAST({_LENGTHS.format("g[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw WHERE len(m) > 0) e),
 good AS (SELECT *, a + length(x) AS b FROM pos WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_bool_and(list_transform(string_split(x, '.'), lambda s: coalesce(TRY_CAST(s AS HUGEINT) <= 255, false))) WHEN 'phone' THEN length({_DIGITS}) BETWEEN 8 AND 15
  ELSE length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN 2 * CAST({_DIGITS}[i] AS INT) // 10 + 2 * CAST({_DIGITS}[i] AS INT) % 10 ELSE CAST({_DIGITS}[i] AS INT) END)) % 10 = 0 END),
-ctx AS (SELECT doc_id, text, concat(kind, ':', CASE kind WHEN 'email' THEN lower(x) WHEN 'ip' THEN x ELSE {_DIGITS} END) AS entity, unnest([concat(l, ' '), concat(' ', r)]) AS c, unnest([a - length(l), b - 1]) AS origin FROM good),
-cut AS (SELECT *, regexp_extract_all(c, '\p{{L}}+') AS m, string_split_regex(c, '\p{{L}}+') AS g FROM ctx),
-near AS (SELECT doc_id, text, entity, lower(m[i]) AS word, CAST(origin + {_LENGTHS.format("g[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} AS BIGINT) AS a, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut) e WHERE length(m[i]) >= 4 AND g[i] <> '' AND g[i + 1] <> ''),
-together AS (SELECT entity, word, count(DISTINCT (doc_id, text)) AS both_, count(DISTINCT text) AS texts FROM near GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-ent AS (SELECT entity, count(DISTINCT (doc_id, text)) AS n_entity FROM near GROUP BY entity),
-wrd AS (SELECT word, count(*) AS n_word FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{4,}}'))) AS word FROM documents) w GROUP BY word),
-terms AS (SELECT entity, word, greatest(0, ln(n * both_ / (n_entity * greatest(n_word, both_))) / ln(n / n_entity)) AS d FROM together JOIN ent USING (entity) JOIN wrd USING (word), (SELECT count(text) AS n FROM documents) c WHERE n_entity < n),
-extra AS (SELECT doc_id, CASE WHEN max(d) >= 0.98 THEN 'term_removed' ELSE 'term_generalised' END AS kind, a, a + n AS b FROM near JOIN terms USING (entity, word) WHERE d >= 0.9 GROUP BY doc_id, a, n),
-spans AS (SELECT doc_id, kind, o, a, b FROM good UNION ALL SELECT doc_id, kind, 5, a, b FROM extra e WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.doc_id = e.doc_id AND g.a < e.b AND e.a < g.b))
+cut AS (SELECT doc_id, text, regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, string_split_regex(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM t),
+shadow AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(g) + 1), lambda i: concat(g[i], repeat(' ', coalesce(length(m[i]), 0)))), '') AS s FROM cut),
+told AS (SELECT doc_id, text, s, list_distinct(list_transform(regexp_extract_all(s, '\p{{L}}{{4,}}'), lambda w: lower(w))) AS words FROM shadow),
+near AS (SELECT DISTINCT doc_id, text, concat(kind, ':', CASE kind WHEN 'email' THEN lower(x) WHEN 'ip' THEN x ELSE {_DIGITS} END) AS entity FROM good),
+ent AS (SELECT entity, count(*) AS n_entity FROM near GROUP BY entity HAVING count(DISTINCT text) >= 3),
+seen AS (SELECT DISTINCT entity, doc_id, text, unnest(words) AS word FROM near JOIN ent USING (entity) JOIN told USING (doc_id, text)),
+together AS (SELECT entity, word, count(*) AS both_ FROM seen GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+wrd AS (SELECT word, count(*) AS n_word FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{4,}}'), lambda w: lower(w)))) AS word FROM documents) w GROUP BY word),
+terms AS (SELECT word, max(d) AS d FROM (SELECT word, greatest(0, ln(n * both_ / (n_entity * greatest(n_word, both_))) / ln(n / n_entity)) AS d FROM together JOIN ent USING (entity) JOIN wrd USING (word), (SELECT count(text) AS n FROM documents) c WHERE n_entity < n) x WHERE d >= 0.9 GROUP BY word),
+found AS (SELECT doc_id, regexp_extract_all(s, '\p{{L}}{{4,}}') AS m, string_split_regex(s, '\p{{L}}{{4,}}') AS g FROM told WHERE list_has_any(words, coalesce((SELECT list(word) FROM terms), []))),
+extra AS (SELECT doc_id, CASE WHEN d >= 0.98 THEN 'term_removed' ELSE 'term_generalised' END AS kind, a, a + n AS b FROM (SELECT doc_id, lower(m[i]) AS word, length(m[i]) AS n, CAST({_LENGTHS.format("g[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found) e) w JOIN terms USING (word)),
+spans AS (SELECT doc_id, kind, o, a, b FROM good UNION ALL SELECT doc_id, kind, 5, a, b FROM extra)
 SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
  sha256(coalesce(string_agg(concat_ws(':', kind, a, b), ',' ORDER BY o, kind, a, b) FILTER (o < 5), '')) AS base_sha256, coalesce(string_agg(concat_ws(':', kind, a, b), ',' ORDER BY o, kind, a, b) FILTER (o IS NOT NULL), '') AS spans
 FROM t LEFT JOIN spans ON t.doc_id = spans.doc_id GROUP BY t.doc_id"""

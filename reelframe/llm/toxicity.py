@@ -3,14 +3,14 @@
 The lexicon is learned: words that occur far more often in toxic than in other training documents. Features of a text
 are lexicon density, distinct lexicon words, lexicon words near second-person words, capitals, punctuation, digits,
 obfuscation (words with digits or signs inside, and words that match the lexicon once such signs are read as letters),
-and length. Trees and calibration are fitted on separate parts of the sample.
+and length. Lexicon and trees are fitted on three quarters of the sample, the calibration on the rest.
 
 Training takes at most ``PER_CLASS`` documents of each label, chosen by hash over all labelled rows and weighted by
 the rows that they stand for. Both training and scoring read whole texts.
 
 Defined results: null text is empty text, scored by its zero features. Where a label has no training text, every
 score is 0. Equal rows get equal scores. Labels other than 0 and 1 are ignored; a document with both counts as 1.
-Columns besides those named are ignored. An empty table gives an empty result.
+Of training rows with one doc_id the least text counts. Columns besides those named are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,6 +85,8 @@ def features(raw: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> np.ndarray
     inner = np.zeros(len(raw), bool)
     if len(raw) > 2:
         inner[1:-1] = sign[raw[1:-1]] & letters[:-2] & letters[2:]
+        full = np.flatnonzero(np.diff(at))
+        inner[at[full]] = inner[at[full + 1] - 1] = False  # neighbours in other texts don't count
     size, count = np.maximum(np.diff(at), 1), np.maximum(np.diff(heads), 1)
     hits = total(hit, heads)
     hidden = np.maximum(total(_in(read, lexicon), read_heads) - hits, 0)
@@ -127,18 +129,21 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
         ids = labelled_sample(labels, label, per_class)
-        sample = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", F.col("rows").cast("double").alias("weight"))
-        size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "rows").agg(F.min("text").alias("text"))
+        sample = hold(sample.select("text", "y", F.col("rows").cast("double").alias("weight"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0).alias("held")))
+        parts = {(r.y, r.held): r.n for r in sample.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
         self.lexicon, self.trees = np.zeros(0, np.uint64), None
-        if len(size) < 2:
+        if len({y for y, _ in parts}) < 2:
             return
+        apart = len(parts) == 4  # few rows do both jobs
+        learned = sample.where(~F.col("held")) if apart else sample
+        size = {y: parts.get((y, False), 0) + (0 if apart else parts.get((y, True), 0)) for y in (0, 1)}
         share = lambda y: (F.sum(F.when(F.col("y") == y, 1).otherwise(0)) + 0.5) / (size[y] + 1)
-        counted = _words(sample).groupBy("word").agg(F.sum("y").alias("n"), (share(1) / share(0)).alias("ratio"))
+        counted = _words(learned).groupBy("word").agg(F.sum("y").alias("n"), (share(1) / share(0)).alias("ratio"))
         strong = counted.where((F.col("n") >= max(LEXICON_DOCS, LEXICON_SHARE * size[1])) & (F.col("ratio") >= LEXICON_RATIO))
         self.lexicon = np.unique(np.array([r.word for r in strong.orderBy(F.desc("ratio"), "word").limit(LEXICON_SIZE).collect()], np.int64).view(np.uint64))
-        rows = hold(_featured(sample, self.lexicon).select("y", "weight", array_to_vector("dense").alias("features"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0).alias("held")))
-        part = {(r.held, r.y) for r in rows.select("held", "y").distinct().collect()}
-        fit, held = (rows.where(~F.col("held")), rows.where("held")) if len(part) == 4 else (rows, rows)
+        rows = hold(_featured(sample, self.lexicon).select("y", "weight", "held", array_to_vector("dense").alias("features")))
+        fit, held = (rows.where(~F.col("held")), rows.where("held")) if apart else (rows, rows)
         boost = GBTClassifier(labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, minInstancesPerNode=5)
         self.trees = boost.fit(fit.withColumn("y", F.col("y").cast("double")))
         margin = self._margin(held).select(F.col("y").cast("double").alias("label"), "weight", "margin")

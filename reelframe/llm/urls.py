@@ -1,10 +1,12 @@
 """URL filters: host and path rules first, boosted trees on lexical features for the rest.
 
 The trees learn from the URLs that a rule decides, which are its labelled URLs. Features: lengths, depth, digit and
-hyphen ratios, character entropy, parameter count, and how often labelled hosts with the same last one and two labels
-are blocked (smoothed, counted over all labelled rows). Everything but the fit of the trees is DataFrame expressions.
+hyphen ratios, character entropy, parameter count, and how often the other labelled URLs whose hosts have the same last
+one and two labels are blocked (smoothed, counted over all labelled rows but the row itself). Everything but the fit of
+the trees is DataFrame expressions.
 
-Training takes at most ``PER_CLASS`` URLs of each verdict, chosen by hash over all that a rule decides.
+Training takes at most ``PER_CLASS`` URLs of each verdict, chosen by hash over all that a rule decides; of rows with one
+page_id, one.
 
 Defined results: host and path of a null url, or one without "://", are empty; no rule fits them and the trees judge
 them by their (empty) features. Where no rule decides both verdicts, the method's verdict is allow. Rules of equal
@@ -75,20 +77,24 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, per
     if not total.n or not 0 < total.b < total.n:
         return rows.select("page_id", "host", "path", "ruled.rule", F.coalesce("ruled.verdict", F.lit("allow")).alias("verdict"))
     base = total.b / total.n
-    rate = (F.sum("b") + SMOOTHING * base) / (F.sum("n") + SMOOTHING)
+    own = F.col("ruled").isNotNull().cast("double")
+    rates = []
     for key in ("suffix", "top"):
-        rows = rows.join(counts.groupBy(key).agg(rate.alias(f"{key}_rate")), key, "left")
-    numbers = lexical(F.col("url"), F.col("host"), F.col("path"))
-    numbers += [F.coalesce(f"{k}_rate", F.lit(base)) for k in ("suffix", "top")]
-    dense = rows.select("page_id", "host", "path", "ruled", array_to_vector(F.array(*numbers)).alias("features"))
+        b, n = f"{key}_b", f"{key}_n"
+        rows = rows.join(counts.groupBy(key).agg(F.sum("b").alias(b), F.sum("n").alias(n)), key, "left")
+        rates.append((F.coalesce(b, F.lit(0.0)) - own * F.coalesce(blocked, F.lit(0.0)) + SMOOTHING * base) / (F.coalesce(n, F.lit(0)) - own + SMOOTHING))
+    numbers = lexical(F.col("url"), F.col("host"), F.col("path")) + rates
+    dense = rows.select("page_id", "host", "path", "ruled", F.array(*numbers).alias("numbers"))
     y = (F.col("ruled.verdict") == "block").cast("double").alias("y")
     picked = known.where("page_id is not null").groupBy(y, F.pmod(F.xxhash64("page_id"), F.lit(per_class)).alias("slot")).agg(F.min_by("page_id", F.xxhash64("page_id", F.lit(7))).alias("page_id")).select("page_id")
-    sample = hold(dense.join(F.broadcast(picked.distinct()), "page_id", "left_semi").select(y, "features"))
+    sample = dense.join(F.broadcast(picked.distinct()), "page_id", "left_semi").where("ruled is not null")
+    sample = sample.groupBy("page_id").agg(F.min(F.struct(y, "numbers")).alias("row")).select("row.y", array_to_vector("row.numbers").alias("features"))
+    sample = hold(sample)
     if sample.select("y").distinct().count() < 2:
         return dense.select("page_id", "host", "path", "ruled.rule", F.coalesce("ruled.verdict", F.lit("allow")).alias("verdict"))
     trees = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, minInstancesPerNode=5).fit(sample)
     said = F.when(F.col("prediction") == 1, "block").otherwise("allow")
-    return trees.transform(dense).select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", said).alias("verdict"))
+    return trees.transform(dense.withColumn("features", array_to_vector("numbers"))).select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", said).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
