@@ -5,7 +5,7 @@ kind, and a match that fails its test is dropped. Each pattern is written so tha
 possessive, and a match starts at the head of a run or where the last match ended.
 
 The values found are the protected entities. Over the whole corpus, documents are counted that have a word and an entity,
-the entity, and the word; a word that stands only inside an e-mail address is not counted as together with it. A word's
+the entity, and the word; what stands inside an e-mail address is no word. A word's
 disclosure is its pointwise mutual information with the entity over the entity's own information: 1 where the word occurs
 only in texts with the entity, 0 where it tells nothing. Words that accompany an entity in at least ``SUPPORT`` distinct
 texts are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on to the class of word that their letters
@@ -89,10 +89,16 @@ def _placed(part: Column, at: Column) -> Column:
 def base(docs: DataFrame) -> DataFrame:
     """docs, and for each kind an array of (text, start): the matches.
 
-    Texts without the kind's characteristic sign skip its pattern."""
-    sign = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+    Texts in which nothing could pass the kind's test skip its pattern: without an @, three dots between digits, sixteen
+    digits in a run, a plus before a digit."""
     text = F.coalesce("text", F.lit(""))
-    parts = docs.withColumns({f"{k}_parts": F.when(text.rlike(sign[k]), _split(text, PATTERNS[k])) for k in PATTERNS})
+    may = {
+        "email": text.contains("@"),
+        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+        "card": text.rlike(r"(?:[0-9][\x20-]?+){15}+[0-9]"),
+        "phone": text.contains("+") & text.rlike(r"\+[0-9]"),
+    }
+    parts = docs.withColumns({f"{k}_parts": F.when(may[k], _split(text, PATTERNS[k])) for k in PATTERNS})
     none = F.array().cast("array<struct<text:string,start:long>>")
     found = {k: F.coalesce(F.filter(_located(F.col(f"{k}_parts"), _placed), _test(k)), none) for k in PATTERNS}
     return parts.withColumns(found).drop(*(f"{k}_parts" for k in PATTERNS))
@@ -122,48 +128,67 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _valued(docs: DataFrame) -> DataFrame:
-    """(_key, same, entities, words) of the rows with a value, both arrays distinct; same tells texts apart."""
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, _key, same, known, the kinds, words) of each row; same tells texts apart, known is false for null text."""
+    words = _words(_shadow()).alias("words")
+    return base(docs.select("doc_id", "text")).select("doc_id", _key(), F.xxhash64("text").alias("same"), F.col("text").isNotNull().alias("known"), *PATTERNS, words)
+
+
+def disclosing(read: DataFrame) -> DataFrame:
+    """(entity, word, disclosure) of the words that give an entity away, from the rows that _read() makes."""
     value = {"email": lambda t: F.lower(t), "ip": lambda t: t, "card": _digits, "phone": _digits}
     entity = lambda kind: lambda m: F.concat(F.lit(kind + ":"), value[kind](m["text"]))
     entities = F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in PATTERNS)))
-    found = base(docs.select("doc_id", "text")).where(F.greatest(*(F.size(k) for k in PATTERNS)) > 0)
-    return found.select(_key(), F.xxhash64("text").alias("same"), entities.alias("entities"), _words(_shadow()).alias("words"))
-
-
-def disclosing(docs: DataFrame, valued: DataFrame) -> DataFrame:
-    """(entity, word, disclosure) of the words that give an entity away."""
-    near = valued.select("_key", "same", F.explode("entities").alias("entity")).distinct()
+    near = read.where(F.greatest(*(F.size(k) for k in PATTERNS)) > 0).select("_key", "same", F.explode(entities).alias("entity")).distinct()
     entity = near.groupBy("entity", "same").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
     # an entity of fewer texts has no word in SUPPORT of them
     entity = hold(entity.where(F.col("texts") >= SUPPORT).drop("texts"))
     pairs = near.join(entity, "entity", "left_semi")
-    rows = valued.select("_key", "words").join(pairs.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    rows = read.select("_key", "words").join(pairs.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
     seen = pairs.join(rows.select("_key", F.explode("words").alias("word")), "_key")
     together = seen.groupBy("entity", "word", "same").agg(F.count("*").alias("n")).groupBy("entity", "word").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     together = hold(together.where(F.col("texts") >= SUPPORT).drop("texts"))
     # counted over the whole corpus before anything is joined, so that the join has one row for each word
-    word = docs.where("text is not null").select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
-    total = docs.where("text is not null").agg(F.count("*").alias("n"))
+    word = read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
+    total = read.where("known").agg(F.count("*").alias("n"))
     rows = together.join(entity, "entity").join(word, "word").crossJoin(F.broadcast(total))
     mutual = F.log(F.col("n") * F.col("both") / (F.col("n_entity") * F.greatest("n_word", "both")))
     rows = rows.where("n_entity < n").withColumn("disclosure", F.greatest(F.lit(0.0), mutual / F.log(F.col("n") / F.col("n_entity"))))
     return rows.where(F.col("disclosure") >= GENERALISE).select("entity", "word", "disclosure")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with the patterns' arrays of base(), and "spans": array of (kind, start, end)."""
+def _told(read: DataFrame) -> DataFrame:
+    """(_key, _told) of the rows that have terms: a map from term to kind."""
     kind = F.when(F.max("disclosure") >= REMOVE, "term_removed").otherwise("term_generalised")
-    terms = hold(disclosing(docs, hold(_valued(docs))).groupBy("word").agg(kind.alias("kind")))
-    # the distinct words of each row meet the terms, and only rows that have one are searched for its places
-    told = docs.select(_key(), F.explode(_words(_shadow())).alias("word")).join(terms, "word")
-    told = told.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "kind"))).alias("_told"))
-    rows = base(docs).withColumn("_key", _key()).join(told, "_key", "left")
-    places = _located(_split(_shadow(), _WORD), _placed)
+    terms = hold(disclosing(read).groupBy("word").agg(kind.alias("kind")))
+    told = read.select("_key", F.explode("words").alias("word")).join(terms, "word")
+    return told.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "kind"))).alias("_told"))
+
+
+def _with_terms(rows: DataFrame) -> DataFrame:
+    """rows with "_terms": spans of a row's terms, by kind and place, from its text and "_told".
+
+    The text's words are a column of their own before they are placed, so that they are looked for once."""
+    known = F.col("_told").isNotNull()
+    rows = rows.withColumn("_parts", F.when(known, _shadow())).withColumn("_parts", F.when(known, _split(F.col("_parts"), _WORD)))
     span = lambda w: F.struct(F.try_element_at("_told", F.lower(w["text"])).alias("kind"), w["start"].alias("start"), (w["start"] + F.length(w["text"])).alias("end"))
-    extra = F.array_sort(F.filter(F.transform(places, span), lambda e: e["kind"].isNotNull()))
-    extra = F.when(F.col("_told").isNotNull(), extra).otherwise(F.array().cast(SPAN))
-    return rows.withColumn("spans", F.concat(_spans(), extra)).drop("_key", "_told")
+    found = F.array_sort(F.filter(F.transform(_located(F.col("_parts"), _placed), span), lambda e: e["kind"].isNotNull()))
+    return rows.withColumn("_terms", F.when(known, found).otherwise(F.array().cast(SPAN))).drop("_parts", "_told")
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with the patterns' arrays of base(), and "spans": array of (kind, start, end)."""
+    rows = base(docs).withColumn("_key", _key()).join(_told(hold(_read(docs))), "_key", "left")
+    return _with_terms(rows).withColumn("spans", F.concat(_spans(), F.col("_terms"))).drop("_key", "_terms")
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, the patterns' arrays and "spans" as sanitise() has them. Only rows with terms are read again, no text of
+    the others moves."""
+    read = hold(_read(docs))
+    extra = _with_terms(docs.select(_key(), "text").join(_told(read), "_key")).groupBy("_key").agg(F.first("_terms").alias("extra"))
+    rows = read.select("doc_id", "_key", *PATTERNS).join(extra, "_key", "left")
+    return rows.select("doc_id", *PATTERNS, F.concat(_spans(), F.coalesce("extra", F.array().cast(SPAN))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -182,7 +207,7 @@ def rewritten(text: Column, spans: Column) -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return rows.select("doc_id", *counts, F.sha2(listed(_spans()), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
@@ -190,7 +215,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data and the terms that give it away are replaced in the text; n_chars follows."""
     names = docs.columns
-    inner, boxed = carried(docs, {*PATTERNS, *(f"{k}_parts" for k in PATTERNS), "spans", "_key", "_told"})
+    inner, boxed = carried(docs, {*PATTERNS, *(f"{k}_parts" for k in PATTERNS), "spans", "_key", "_told", "_parts", "_terms"})
     rows = sanitise(inner).withColumn("text", F.when(F.size("spans") > 0, rewritten(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     kept = lambda c: F.col(f"row.`{c}`") if boxed else F.col(f"`{c}`")

@@ -70,7 +70,7 @@ near AS (SELECT DISTINCT doc_id, text, concat(kind, ':', CASE kind WHEN 'email'
 ent AS (SELECT entity, count(*) AS n_entity FROM near GROUP BY entity HAVING count(DISTINCT text) >= 3),
 seen AS (SELECT DISTINCT entity, doc_id, text, unnest(words) AS word FROM near JOIN ent USING (entity) JOIN told USING (doc_id, text)),
 together AS (SELECT entity, word, count(*) AS both_ FROM seen GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-wrd AS (SELECT word, count(*) AS n_word FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{4,}}'), lambda w: lower(w)))) AS word FROM documents) w GROUP BY word),
+wrd AS (SELECT word, count(*) AS n_word FROM (SELECT unnest(words) AS word FROM told) w GROUP BY word),
 terms AS (SELECT word, max(d) AS d FROM (SELECT word, greatest(0, ln(n * both_ / (n_entity * greatest(n_word, both_))) / ln(n / n_entity)) AS d FROM together JOIN ent USING (entity) JOIN wrd USING (word), (SELECT count(text) AS n FROM documents) c WHERE n_entity < n) x WHERE d >= 0.9 GROUP BY word),
 found AS (SELECT doc_id, regexp_extract_all(s, '\p{{L}}{{4,}}') AS m, string_split_regex(s, '\p{{L}}{{4,}}') AS g FROM told WHERE list_has_any(words, coalesce((SELECT list(word) FROM terms), []))),
 extra AS (SELECT doc_id, CASE WHEN d >= 0.98 THEN 'term_removed' ELSE 'term_generalised' END AS kind, a, a + n AS b FROM (SELECT doc_id, lower(m[i]) AS word, length(m[i]) AS n, CAST({_LENGTHS.format("g[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found) e) w JOIN terms USING (word)),

@@ -190,13 +190,14 @@ def test_pii_terms_equal_the_sql(spark):
     rows = [(i, f"report {i} says that wizard reach boss@corp.org about itemé number {i * 7}") for i in range(6)]
     rows += [(100 + i, f"report {i} says that people reach someone about itemé number") for i in range(60)]
     gap = "and other words that all of them have in between somewhere " * 4
-    rows += [(300 + i, f"goblin {gap} says so number {i} to call 1.2.3.{i % 2} now") for i in range(8)] + [(320 + i, f"{gap} goblin number {i}") for i in range(1)]
+    rows += [(300 + i, f"goblin {gap} says so number {i} to call 1.2.3.4 now") for i in range(8)] + [(320 + i, f"{gap} goblin number {i}") for i in range(1)]
     rows += [(400 + i, f"{gap} says so number {i} to call someone now") for i in range(200)]
     rows += [(1000 + i, "".join(rnd.choices(bits, k=rnd.randint(0, 25)))) for i in range(300)] + ODD[:5]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     want = {r[0]: r[-1] for r in con.execute(queries.ORACLES["op1_pii"]).fetchall()}
-    assert sum("term_removed" in x for x in want.values()) == 6
+    assert sum("term_removed" in x for x in want.values()) == 6 and sum("term_generalised" in x for x in want.values()) == 9
+    assert {r.doc_id: r.spans for r in pii.found(docs(spark, rows)).select("doc_id", pii.listed("spans").alias("spans")).collect()} == want
     assert {r.doc_id: r.spans for r in pii.sanitise(docs(spark, rows)).select("doc_id", pii.listed("spans").alias("spans")).collect()} == want
 
 
