@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and what is left of them when marks go.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 #: Words by which English and French are told apart.
 ENGLISH = "the and with from into after before while about their there where which that this these those his her its film story crew mission planet space american directed written starring returns discovers becomes".split()
 FRENCH = "le la les des une un dans avec pour par sur film histoire mission équipage planète espace américain réalisé écrit mettant retourne découvre devient alors après avant pendant qui que dont son sa ses".split()
 
 
+def _decomposed(form: str, keep: Callable[[str], bool]) -> dict[str, str]:
+    """What is left of each character that its decomposition changes, by the rule which parts are kept."""
+    made = ((chr(c), unicodedata.normalize(form, chr(c))) for c in range(0x80, 0x20000) if not 0xAC00 <= c < 0xE000)
+    return {c: left for c, parts in made if parts != c and (left := "".join(filter(keep, parts))) != c}
+
+
+#: ASCII parts of the characters that decompose into some, and base letters of those that carry combining marks.
+_ASCII = {c: t for c, t in _decomposed("NFKD", str.isascii).items() if t}
+_BASE = {c: t for c, t in _decomposed("NFD", lambda c: unicodedata.category(c) != "Mn").items() if len(t) == 1}
+
+
+def _single(text: Column, table: dict[str, str]) -> Column:
+    one = {c: t for c, t in table.items() if len(t) == 1}
+    return F.translate(text, "".join(one), "".join(one.values()))
+
+
+def ascii_only(text: Column) -> Column:
+    """Text in ASCII: letters without their marks, everything else left out.
+
+    Ligatures, fractions and the like are spelt out up to the letter-like symbols; squared units and circled numbers of
+    East Asian sets are left out."""
+    several = {c: t for c, t in _ASCII.items() if len(t) > 1 and (c < "\u2200" or "\ufb00" <= c <= "\ufb06")}
+    spelt = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(spelt[c], c)), "")
+    known = F.when(F.length(F.translate(text, "".join(several), "")) < F.length(text), each).otherwise(text)
+    return F.regexp_replace(_single(known, _ASCII), r"[^\x00-\x7F]", "")
+
+
 def unmarked(text: Column) -> Column:
-    return F.translate(text, MARKED, PLAIN)
+    """Letters of all scripts without combining marks."""
+    return F.regexp_replace(_single(text, _BASE), r"\p{Mn}+", "")
 
 
 def squashed(text: Column) -> Column:
@@ -24,13 +53,12 @@ def squashed(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower-case ASCII letters and digits; everything else separates words."""
-    ascii_only = F.regexp_replace(unmarked(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(ascii_only(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " "))
 
 
 def fold_keeping_signs(text: Column) -> Column:
     """Lower-case ASCII with its punctuation."""
-    return F.lower(squashed(F.regexp_replace(unmarked(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", "")))
+    return F.lower(squashed(ascii_only(F.coalesce(text, F.lit("")))))
 
 
 def fold_marks(text: Column) -> Column:
@@ -51,7 +79,7 @@ def shorten(text: Column, limit: int) -> Column:
 
 
 def slug(text: Column, default: str = "film") -> Column:
-    made = F.lower(F.trim(F.regexp_replace(F.regexp_replace(unmarked(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", ""), "[^a-zA-Z0-9]+", "-"), F.lit("-")))
+    made = F.lower(F.trim(F.regexp_replace(ascii_only(F.coalesce(text, F.lit(""))), "[^a-zA-Z0-9]+", "-"), F.lit("-")))
     return F.when(made == "", default).otherwise(made)
 
 
@@ -88,3 +116,24 @@ def url_of_poster(file: Column, prefix: str = "https://commons.wikimedia.org/wik
     for code, sign in (("%28", "("), ("%29", ")"), ("%2C", ","), ("%21", "!"), ("%27", "'"), ("%2F", "/"), ("%3A", ":")):
         encoded = F.replace(encoded, F.lit(code), F.lit(sign))
     return F.when(blank(file), "").otherwise(F.concat(F.lit(prefix), encoded))
+
+
+def listed(value: Column, kind: str) -> Column:
+    """A scalar or a list as a list of trimmed texts without empty ones; a scalar that is null or empty is no entry.
+
+    kind is the column's type: text, an array, a variant that holds either, or another scalar."""
+    if kind.startswith("array"):
+        many = value.cast("array<string>")
+    elif kind == "variant":
+        one = F.schema_of_variant(value).startswith("ARRAY")
+        many = F.when(one, F.try_variant_get(value, "$", "array<string>")).otherwise(F.array(F.try_variant_get(value, "$", "string")))
+    else:
+        many = F.array(value.cast("string"))
+    trimmed = F.transform(many, lambda v: F.trim(v))
+    return F.coalesce(F.filter(trimmed, lambda v: v.isNotNull() & (v != "")), F.array().cast("array<string>"))
+
+
+def joined(rows: DataFrame, fields: list[str]) -> Column:
+    """Texts and lists of the named columns, those that the rows have, in one text."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return F.array_join(F.flatten(F.array(*(listed(F.col(f), kinds[f]) for f in fields if f in kinds))), " ")
