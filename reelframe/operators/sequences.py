@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GAP, AIM, MOST, RADIUS = 1.2, 45.0, 90.0, 3
+#: The longest gap between contiguous shots, the aimed and the longest length, rounds to both sides.
+GAP, AIM, MOST, ROUNDS = 1.2, 45.0, 90.0, 3
 
 
 def islands(shots: DataFrame, gap: float = GAP) -> DataFrame:
@@ -16,59 +20,59 @@ def islands(shots: DataFrame, gap: float = GAP) -> DataFrame:
     return shots.withColumn("_new", new).withColumn("island", F.sum("_new").over(order)).drop("_new")
 
 
-def window_around(bounds: list[tuple[float, float]], i: int, aim: float = AIM, most: float = MOST, radius: int = RADIUS, gap: float = GAP) -> tuple[int, int]:
-    """First and last shot of the window around shot i: some rounds to both sides, then towards the aimed length.
-
-    bounds are (debut, fin) in order; a window stays within contiguous shots and the greatest length."""
-    a = b = i
-    free = lambda k: bounds[k + 1][0] - bounds[k][1] <= gap
-    span = lambda x, y: bounds[y][1] - bounds[x][0]
-    left = lambda: a > 0 and free(a - 1) and span(a - 1, b) <= most
-    right = lambda: b + 1 < len(bounds) and free(b) and span(a, b + 1) <= most
-    for _ in range(radius):
-        before = a, b
-        a -= left()
-        b += right()
-        if before == (a, b):
-            break
-    while span(a, b) < aim:
-        ways = []
-        if left():
-            ways.append((max(0.0, bounds[a][0] - bounds[a - 1][1]), span(a - 1, b), -1))
-        if right():
-            ways.append((max(0.0, bounds[b + 1][0] - bounds[b][1]), span(a, b + 1), 1))
-        if not ways:
-            break
-        if min(ways)[2] < 0:
-            a -= 1
-        else:
-            b += 1
-    return a, b
-
-
-def merged(windows: list[tuple[int, int, int]], bounds: list[tuple[float, float]], most: float = MOST) -> list[tuple[int, int, int]]:
-    """Windows (first, last, score) with those joined that touch, as long as the whole isn't too long."""
-    out: list[tuple[int, int, int]] = []
-    for a, b, score in sorted(windows, key=lambda w: w[:2]):
-        if out and a <= out[-1][1] + 1:
-            x, y, best = out[-1]
-            c, d = min(a, x), max(b, y)
-            if max(bounds[b][1], bounds[y][1]) - min(bounds[a][0], bounds[x][0]) <= most:
-                out[-1] = c, d, max(best, score)
-                continue
-        out.append((a, b, score))
-    return out
+class Run:
+    """The shots of a film in order. A window is a pair of positions within one run of contiguous shots."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, gap: float = GAP, most: float = MOST):
+        self.start, self.end, self.most = start, np.maximum(start, end), most
+        self.gaps = self.start[1:] - self.end[:-1]
+        self.run = np.concatenate(([0], np.cumsum(self.gaps > gap)))
+
+    def seconds(self, window: tuple[int, int]) -> float:
+        return self.end[window[1]] - self.start[window[0]]
+
+    def wider(self, window: tuple[int, int], left: bool) -> tuple[int, int] | None:
+        """The window with one more shot on a side, if the run goes on there and the length allows it."""
+        grown = (window[0] - left, window[1] + (not left))
+        inside = 0 <= grown[0] and grown[1] < len(self.start) and self.run[grown[0]] == self.run[grown[1]]
+        return grown if inside and self.seconds(grown) <= self.most else None
+
+    def around(self, at: int, aim: float = AIM, rounds: int = ROUNDS) -> tuple[int, int]:
+        """Some rounds of one shot to either side, then one shot after the other, across the smaller gap, up to the aim."""
+        window = at, at
+        for left in (True, False) * rounds:
+            window = self.wider(window, left) or window
+        while self.seconds(window) < aim:
+            ways = [(max(0.0, self.gaps[grown[0] if left else grown[1] - 1]), self.seconds(grown), not left, grown) for left in (True, False) if (grown := self.wider(window, left))]
+            if not ways:
+                break
+            window = min(ways)[-1]
+        return window
+
+    def united(self, windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Windows (first, last, score), those that touch joined while the whole isn't too long."""
+
+        def take(done: list[tuple[int, int, int]], new: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+            if done and new[0] <= done[-1][1] + 1:
+                both = min(new[0], done[-1][0]), max(new[1], done[-1][1])
+                if self.seconds(both) <= self.most:
+                    return [*done[:-1], (*both, max(new[2], done[-1][2]))]
+            return [*done, new]
+
+        return reduce(take, sorted(windows, key=lambda w: w[:2]), [])
 
 
 def candidates(shots: DataFrame, least: int) -> DataFrame:
-    """(film_id, first, last, debut, fin, score) around the shots of (film_id, n, debut, fin, score) that score enough."""
+    """(film_id, first, last, debut, fin, score) around the shots of (film_id, n, debut, fin, score) that score enough.
+
+    Windows grow and join by what came before, so a film is one group of narrow rows."""
 
     def fold_film(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["debut", "n"])
-        bounds = list(zip(rows.debut, rows.fin.where(rows.fin > rows.debut, rows.debut), strict=True))
-        found = [(*window_around(bounds, i), int(s)) for i, s in enumerate(rows.score) if s >= least]
+        run = Run(rows.debut.to_numpy(float), rows.fin.to_numpy(float))
+        found = run.united([(*run.around(i), int(s)) for i, s in enumerate(rows.score) if s >= least])
         n = rows.n.tolist()
-        out = [(rows.film_id.iloc[0], n[a], n[b], bounds[a][0], bounds[b][1], s) for a, b, s in merged(found, bounds)]
+        out = [(rows.film_id.iloc[0], n[a], n[b], run.start[a], run.end[b], s) for a, b, s in found]
         return pd.DataFrame(out, columns=["film_id", "first", "last", "debut", "fin", "score"])
 
     kind = {f.name: f.dataType.simpleString() for f in shots.schema}
@@ -76,26 +80,27 @@ def candidates(shots: DataFrame, least: int) -> DataFrame:
     return shots.select("film_id", "n", "debut", "fin", "score").groupBy("film_id").applyInPandas(fold_film, schema)
 
 
-def packed(shots: DataFrame, aim: float = AIM, most: float = MOST) -> DataFrame:
-    """(film_id, first, last, debut, fin): whole films in consecutive windows; one fold for each run of contiguous shots."""
+def ranked(windows: DataFrame, whole_films: bool = False) -> DataFrame:
+    """Windows by score, film and start; those of whole films by film and start."""
+    return windows.orderBy(*([] if whole_films else [F.desc("score")]), "film_id", "debut")
 
-    def fold_run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["debut", "n"])
-        out, start = [], None
-        for n, a, b in zip(rows.n, rows.debut, rows.fin, strict=True):
-            if start is not None and b - start[1] <= most and out[-1][4] - start[1] < aim:
-                out[-1] = (*out[-1][:2], n, start[1], b)
-            else:
-                start = n, a
-                out.append((rows.film_id.iloc[0], n, n, a, b))
-        return pd.DataFrame(out, columns=["film_id", "first", "last", "debut", "fin"])
 
-    kind = {f.name: f.dataType.simpleString() for f in shots.schema}
-    rows = islands(shots).select("film_id", "island", "n", "debut", "fin")
-    return rows.groupBy("film_id", "island").applyInPandas(fold_run, f"film_id {kind['film_id']}, first {kind['n']}, last {kind['n']}, debut double, fin double")
+def packed(shots: DataFrame, aim: float = AIM, most: float = MOST) -> DataFrame:
+    """(film_id, first, last, debut, fin): whole films in consecutive windows, filled shot by shot up to the aimed length.
+
+    A window is the last entry of an array that grows along the shots of a contiguous run."""
+    n = shots.schema["n"].dataType.simpleString()
+    window = f"struct<first:{n},last:{n},debut:double,fin:double>"
+    shots_ = F.array_sort(F.collect_list(F.struct(F.col("debut").cast("double").alias("debut"), "n", F.col("fin").cast("double").alias("fin")))).alias("s")
+    fresh = lambda x: F.struct(x["n"].alias("first"), x["n"].alias("last"), x["debut"].alias("debut"), x["fin"].alias("fin"))
+    longer = lambda w, x: F.struct(w["first"].alias("first"), x["n"].alias("last"), w["debut"].alias("debut"), x["fin"].alias("fin"))
+    open_ = lambda w, x: (w["fin"] - w["debut"] < aim) & (x["fin"] - w["debut"] <= most)
+    last = lambda a: F.element_at(a, -1)
+    step = lambda a, x: F.when((F.size(a) > 0) & open_(last(a), x), F.concat(F.slice(a, 1, F.greatest(F.size(a), F.lit(1)) - 1), F.array(longer(last(a), x)))).otherwise(F.concat(a, F.array(fresh(x))))
+    rows = islands(shots).groupBy("film_id", "island").agg(shots_)
+    return rows.select("film_id", F.inline(F.aggregate("s", F.array().cast(f"array<{window}>"), step)))
 
 
 def latest(runs: DataFrame) -> DataFrame:
-    """Of each (film_id, id) the row with the greatest run_ts, in order of time."""
-    order = Window.partitionBy("film_id", "id").orderBy(F.desc("run_ts"))
-    return runs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """Of each (film_id, id) the row with the greatest run_ts; of equal ones the row that is greatest as text."""
+    return runs.groupBy("film_id", "id").agg(F.max_by(F.struct(*runs.columns), F.struct("run_ts", F.to_json(F.struct(*runs.columns)))).alias("r")).select("r.*")
