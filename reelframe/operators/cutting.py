@@ -35,7 +35,11 @@ def detect_twice(frames: DataFrame, clips: DataFrame, threshold: float = 3.0, se
     long = F.col("fin") - F.col("debut") > longest
     spans = shots.where(long).select("film_id", F.col("debut").alias("a"), F.col("fin").alias("b"))
     least = min(1.0, max(0.01, (second or max(0.8, threshold * 0.6)) / 10))
-    found = frames.where(F.col("score") > least).join(spans, "film_id").where((F.col("t") > F.col("a") + EDGE) & (F.col("t") < F.col("b") - EDGE))
+    # frames and spans meet by minute, so that a long film isn't one group of pairs
+    minute = lambda t: F.floor(t / 60)
+    placed = spans.withColumn("minute", F.explode(F.sequence(minute(F.col("a")), minute(F.col("b")))))
+    found = frames.where(F.col("score") > least).withColumn("minute", minute(F.col("t"))).join(placed, ["film_id", "minute"])
+    found = found.where((F.col("t") > F.col("a") + EDGE) & (F.col("t") < F.col("b") - EDGE))
     points = found.select("film_id", "a", "b", F.bround("t", 3).alias("t"))
     points = points.unionByName(spans.select("film_id", "a", "b", F.explode(F.array("a", "b")).alias("t")))
     finer = between(points, "film_id", "a", "b")
@@ -45,11 +49,11 @@ def detect_twice(frames: DataFrame, clips: DataFrame, threshold: float = 3.0, se
 def clean_bounds(bounds: DataFrame, gap: float = 0.08) -> DataFrame:
     """Shots from bounds that may overlap or leave holes: a start counts unless it is too near the last point."""
     rows = bounds.select("film_id", F.bround("debut", 3).alias("debut"), F.bround("fin", 3).alias("fin"), "pos").where("fin > debut")
-    listed = rows.groupBy("film_id").agg(F.array_sort(F.collect_list(F.struct("pos", "debut", "fin"))).alias("b"))
-    none = F.array().cast("array<double>")
-    near = lambda a, x: (F.size(a) > 0) & (F.bround(x["debut"] - F.element_at(a, -1), 6) < gap)
-    points = F.aggregate("b", none, lambda a, x: F.concat(a, F.when(near(a, x), F.array(x["fin"])).otherwise(F.array(x["debut"], x["fin"]))))
-    return between(listed.select("film_id", F.explode(points).alias("t")), "film_id")
+    # the last point is always the end of the row before
+    last = F.lag("fin").over(Window.partitionBy("film_id").orderBy("pos", "debut", "fin"))
+    near = F.coalesce(F.bround(F.col("debut") - last, 6) < gap, F.lit(False))
+    points = F.when(near, F.array("fin")).otherwise(F.array("debut", "fin"))
+    return between(rows.withColumn("_t", points).select("film_id", F.explode("_t").alias("t")), "film_id")
 
 
 def numbered(shots: DataFrame) -> DataFrame:

@@ -36,7 +36,11 @@ def digest(lines: DataFrame, group: list[str], limit: int = 900) -> DataFrame:
     start = F.substring("texte", 1, 160)
     first = Window.partitionBy(*group, start).orderBy("n")
     rows = lines.where("texte <> ''").withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    listed = F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("plan "), F.col("n").cast("string"), F.lit(" : "), "texte").alias("t"))))
+    rows = rows.withColumn("_t", F.concat(F.lit("plan "), F.col("n").cast("string"), F.lit(" : "), "texte"))
+    # lines that begin beyond the limit are cut off anyway, so they aren't gathered
+    before = F.sum(F.length("_t") + 3).over(Window.partitionBy(*group).orderBy("n", "_t").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= limit + 3)
+    listed = F.array_sort(F.collect_list(F.struct("n", F.col("_t").alias("t"))))
     text = F.array_join(F.transform(listed, lambda x: x["t"]), " | ")
     rows = rows.groupBy(*group).agg(text.alias("text"))
     return rows.withColumn("text", F.when(F.length("text") > limit, F.concat(F.rtrim(F.substring("text", 1, limit)), F.lit("…"))).otherwise(F.col("text")))

@@ -10,7 +10,7 @@ from reelframe.functions.text import blank, first_truthy, fold_keeping_signs, sq
 #: Phrases of biographies, which a pitch shouldn't hold.
 BIOGRAPHIC = ["était un cinéaste", "dramaturge et acteur", "parfois crédité sous le nom", "nouveau cinéma allemand", "new german cinema", "was a german film director"]
 #: Patterns of codec and release names in folded text.
-TECHNICAL = [r"e[- ]?ac[- ]?3", r"ac[- ]?3", r"\bdolby\b", r"\bdts\b", r"\bpcm\b", r"[57][., ]1", r"\bstereo\b", r"\bmono\b", r"\baudio\b", r"\btrack\b", r"\bversion\b", r"\b(480p|576p|720p|1080p|2160p|4k|uhd)\b", r"\b(blu[- ]?ray|brrip|dvdrip|hdrip|webrip|web[- ]?dl|remux)\b", r"\b(x264|x265|h264|h265|hevc|aac|rarbg|yify|proper|repack)\b"]
+TECHNICAL = [r"e[- ]?ac[- ]?3", r"ac[- ]?3", r"\bdolby\b", r"\bdts\b", r"\bpcm\b", r"[57][\., ]1", r"\bstereo\b", r"\bmono\b", r"\baudio\b", r"\btrack\b", r"\bversion\b", r"\b(480p|576p|720p|1080p|2160p|4k|uhd)\b", r"\b(blu[- ]?ray|brrip|dvdrip|hdrip|webrip|web[- ]?dl|remux)\b", r"\b(x264|x265|h264|h265|hevc|aac|rarbg|yify|proper|repack)\b"]
 #: Words of announcements, and words in brackets of subtitles.
 ANNOUNCED = ["welcome", "attention", "please state", "this is", "announcement", "voiceprint", "recording", "message", "captain speaking", "ordinateur", "systeme", "transmission"]
 SUNG = [" sing ", " singing", "song", "chanson", "musique", "orchestra", "theme"]

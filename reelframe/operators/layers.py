@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.text import blank, first_truthy
 
-from .labels import technical_name
-
 #: Phrases of descriptions that speak of several images, and what a single shot's description says.
 ORDINALS = {"première image": "au début du plan", "premier plan": "au début du plan", "seconde image": "puis", "deuxième plan": "puis", "troisième image": "enfin", "troisième plan": "enfin"}
 VERBS = {"affiche": {"au début du plan": "Au début du plan apparaît", "puis": "puis apparaît", "enfin": "enfin apparaît"}, "montre": {"au début du plan": "Au début du plan, on voit", "puis": "puis on voit", "enfin": "enfin on voit"}}
@@ -80,12 +78,6 @@ def single_shot(description: Column) -> Column:
     return F.trim(out)
 
 
-def trusted_identity(title: Column, method: Column, music: Column) -> Column:
-    """False where a title looks like a release name, came from a spectrum, or from metadata without any music."""
-    low = F.lower(F.coalesce(method, F.lit("")))
-    return ~(technical_name(title) | F.contains(low, F.lit("spectr")) | (F.contains(low, F.lit("métadonn")) & ~F.coalesce(music, F.lit(False))))
-
-
 def timeline(segments: DataFrame, *fields: str) -> DataFrame:
     """(film_id, n, timeline): each shot's segments in order."""
     return segments.groupBy("film_id", "n").agg(F.array_sort(F.collect_list(F.struct("debut", "fin", *fields))).alias("timeline"))
@@ -98,6 +90,10 @@ def rolled_up(sequences: DataFrame) -> DataFrame:
 
 
 def catalogue_order(photos: DataFrame, mode: str) -> DataFrame:
-    """Photos by file, date (as text, newest first), type, or those to verify first."""
-    orders = {"file": [F.col("titre")], "date": [F.desc("date"), F.col("titre")], "type": [F.col("type_image"), F.col("titre")], "verify": [F.desc("a_verifier"), F.col("titre")]}
-    return photos.orderBy(*orders[mode])
+    """Photos in one of the catalogue's orders, texts by French collation: file; date (as text, newest first; the time of
+    change where there is none); type, then file; certainty; those to verify first, then file."""
+    has = set(photos.columns)
+    text = lambda c: F.collate(F.coalesce(F.col(c).cast("string"), F.lit("")), "fr")
+    when = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("date_photo", "mtime") if c in has), F.lit(""))
+    orders = {"file": lambda: [text("fichier")], "date": lambda: [F.desc(when)], "type": lambda: [text("type_image"), text("fichier")], "certainty": lambda: [text("certitude")], "verify": lambda: [F.desc("a_verifier"), text("fichier")]}
+    return photos.orderBy(*orders[mode]())

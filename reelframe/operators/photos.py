@@ -82,3 +82,54 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.select("path", F.struct("size", "mtime").alias("a")), after.select("path", F.struct("size", "mtime").alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
     return a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("path", change.alias("change"))
+
+
+#: Fields of a photo's analysis in the published index, with their types.
+INDEXED = {
+    **dict.fromkeys("description type_image".split(), "string"),
+    **dict.fromkeys("sujets personnes objets lieux".split(), "array<string>"),
+    **dict.fromkeys("texte_visible lumiere composition".split(), "string"),
+    **dict.fromkeys("couleurs ambiance".split(), "array<string>"),
+    "qualite_technique": "string",
+    **dict.fromkeys("usage_catalogue mots_cles criteres_repondus".split(), "array<string>"),
+    **dict.fromkeys("certitude a_verifier note".split(), "string"),
+}
+
+
+def synchronised(listing: DataFrame, stored: DataFrame, key: str, kept: list[str], most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The photos of a listing, and the first errors by key.
+
+    Known ones keep the stored columns in kept, new ones have none, those that are listed no more are gone. A listed
+    file that couldn't be read (column error) is no photo but an error."""
+    facts = [c for c in listing.columns if c != "error"]
+    rows = listing.where("error is null").select(facts).join(stored.select(key, *kept), key, "left")
+    errors = listing.where("error is not null").select(key, "error").orderBy(key).limit(most)
+    return rows, errors
+
+
+def index(photos: DataFrame, analysis: str = "analyse") -> DataFrame:
+    """Photos with the fields of their analysis (a struct) as columns: an empty list or text where one is missing."""
+    known = {f.name: f.dataType.simpleString() for f in photos.schema[analysis].dataType.fields}
+
+    def cell(name: str, kind: str) -> Column:
+        empty = F.array().cast(kind) if kind != "string" else F.lit("")
+        return F.coalesce(F.col(f"{analysis}.{name}").cast(kind), empty) if name in known else empty
+
+    return photos.select(*(c for c in photos.columns if c not in INDEXED), *(cell(n, k).alias(n) for n, k in INDEXED.items()))
+
+
+def progress(listing: DataFrame, done: DataFrame, key: str, active: bool, model: str) -> DataFrame:
+    """One row on a run: active, phase, how many of how many, per cent, the last item, model, finished."""
+    total = listing.agg(F.count("*").alias("total"))
+    made = done.agg(F.count("*").alias("current"), F.max(key).alias("item"))
+    rows = total.crossJoin(made)
+    return rows.select(
+        F.lit(active).alias("active"),
+        F.lit("analyse photo active" if active else "photo arrêtée").alias("phase"),
+        "current",
+        "total",
+        F.when(F.col("total") > 0, F.bround(100 * F.col("current") / F.col("total"))).otherwise(0).cast("long").alias("percent"),
+        F.col("item").cast("string").alias("item"),
+        F.lit(model).alias("model"),
+        (F.lit(not active) & (F.col("total") > 0) & (F.col("current") >= F.col("total"))).alias("finished"),
+    )

@@ -53,6 +53,15 @@ def top(rows: DataFrame, group: list[str], value: str, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(window).cast("long")).where(F.col("rank") <= k)
 
 
+def dialogue_summary(segments: DataFrame, attached: DataFrame) -> DataFrame:
+    """Segments and shots with dialogue of each film, and grand totals where film_id is null.
+
+    attached: (film_id, n) of the shots that segments overlap, repeats allowed"""
+    heard = attached.select("film_id", "n").distinct()
+    rows = segments.select("film_id", F.lit(1).alias("segment"), F.lit(0).alias("shot")).unionByName(heard.select("film_id", F.lit(0).alias("segment"), F.lit(1).alias("shot")))
+    return rows.rollup("film_id").agg(F.sum("segment").cast("long").alias("segments"), F.sum("shot").cast("long").alias("shots_with_dialogue"))
+
+
 def layer_coverage(shots: DataFrame, segments: DataFrame) -> DataFrame:
     """Shots and dialogue segments of each film, and grand totals where film_id is null."""
     rows = shots.select("film_id", F.lit(1).alias("shot"), F.lit(0).alias("segment")).unionByName(segments.select("film_id", F.lit(0).alias("shot"), F.lit(1).alias("segment")))

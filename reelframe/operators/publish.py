@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.numbers import decade, timecode
-from reelframe.functions.text import squashed
+from reelframe.functions.text import first_truthy, squashed
 
 
 def flattened(shots: DataFrame, films: DataFrame | None = None) -> DataFrame:
@@ -78,3 +78,83 @@ def prompt(lines: list[tuple[str, Column, int]]) -> Column:
     lows = F.transform(kept, lambda x: F.lower(x["text"]))
     once = F.filter(seen, lambda x: F.array_position(lows, F.lower(x["text"])) == x["i"] + 1)
     return F.array_join(F.transform(once, lambda x: F.concat_ws(" : ", x["label"], x["text"])), "\n")
+
+
+def known_music(items: Column) -> Column:
+    """Documented music as "title — author (usage · confidence)", apart by semicolons; items without both are left out.
+
+    items: array of structs with titre, auteur, compositeur, artiste, usage, type and confiance"""
+    filled = lambda sign, *parts: F.array_join(F.filter(F.array(*(F.coalesce(p, F.lit("")) for p in parts)), lambda x: x != ""), sign)
+
+    def line(i: Column) -> Column:
+        name = filled(" — ", i["titre"], first_truthy(i["auteur"], i["compositeur"], i["artiste"]))
+        more = filled(" · ", first_truthy(i["usage"], i["type"]), i["confiance"])
+        return F.when((name != "") & (more != ""), F.concat(name, F.lit(" ("), more, F.lit(")"))).otherwise(name)
+
+    return F.coalesce(F.array_join(F.filter(F.transform(items, line), lambda x: x != ""), " ; "), F.lit(""))
+
+
+#: What the parts of a request begin with.
+FILM_MARK, SCENE_MARK = "Contexte du film, à utiliser avec prudence :", "Contexte de scène, à utiliser pour désambiguïser le plan :"
+TASK_MARKS = ["Question unique :", "Réponds uniquement par un objet JSON"]
+
+
+def prompt_parts(prompt: Column, film: str = FILM_MARK, scene: str = SCENE_MARK, tasks: list[str] | None = None) -> Column:
+    """Struct (constant, film, scene) of a request: what all have, what a film's have, what is the scene's own.
+
+    The parts begin on the lines with their marks; the opening and the task are the constant one. Without a task the
+    whole request is constant. Requests sorted by constant and film share the longest beginnings."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  a value that is worked out once
+    cut = lambda a, b: F.regexp_replace(F.substring(prompt, a, b - a), r"(?U)^\s+|\s+$", "")
+
+    def line(text: Column, marks: list[str]) -> Column:
+        """Where the line with the first of the marks begins, null if there is none."""
+        first = F.array_min(F.array_compact(F.array(*(F.nullif(F.instr(text, F.lit(m)), F.lit(0)) for m in marks))))
+        return let(first, lambda at: at - F.instr(F.reverse(F.concat(F.lit("\n"), F.substring(prompt, F.lit(1), at - 1))), "\n") + 1)
+
+    def parts(task: Column, f: Column, s: Column) -> Column:
+        opening = cut(F.lit(1), F.array_min(F.array_compact(F.array(f, s, task))))
+        whole = let(opening, lambda o: F.when(o != "", F.concat(o, F.lit("\n\n"), cut(task, F.length(prompt) + 1))).otherwise(cut(task, F.length(prompt) + 1)))
+        of_film = F.coalesce(F.when(f.isNotNull(), cut(f, F.when(s > f, s).otherwise(task))), F.lit(""))
+        of_scene = F.coalesce(F.when(s.isNotNull(), cut(s, task)), F.lit(""))
+        return F.struct(whole.alias("constant"), of_film.alias("film"), of_scene.alias("scene"))
+
+    none = F.struct(prompt.alias("constant"), F.lit("").alias("film"), F.lit("").alias("scene"))
+    before = lambda task: F.substring(prompt, F.lit(1), task - 1)
+    found = lambda task: let(line(before(task), [film]), lambda f: let(line(before(task), [scene]), lambda s: parts(task, f, s)))
+    return let(line(prompt, TASK_MARKS if tasks is None else tasks), lambda task: F.when(task.isNotNull(), found(task)).otherwise(none))
+
+
+def images(shots: DataFrame, files: DataFrame, keys: list[str], purpose: str = "first", k: int = 3) -> DataFrame:
+    """(keys, pos, path): the images of a shot that there are, in the order of their use.
+
+    shots have keys, vignettes (array), vignette and frames (array); files: (path). first: the first k thumbnails that
+    exist, else the main one; face: the middle thumbnail, else any; full: the frames, else thumbnails, else the main one."""
+    none = F.array().cast("array<string>")
+    list_of = lambda c: F.filter(F.coalesce(F.col(c), none), lambda v: F.coalesce(v, F.lit("")) != "")
+    thumbs, main = list_of("vignettes"), F.filter(F.array("vignette"), lambda v: F.coalesce(v, F.lit("")) != "")
+    middle = F.when(F.size(thumbs) >= 2, F.slice(thumbs, F.floor(F.size(thumbs) / 2).cast("int") + 1, 1)).otherwise(none)
+    # groups of candidates: the first group of which one exists is used
+    groups = {
+        "first": [F.slice(thumbs, 1, k), main],
+        "face": [F.concat(middle, F.when(F.size(thumbs) > 0, thumbs).otherwise(main))],
+        "full": [list_of("frames"), F.when(F.size(thumbs) > 0, thumbs).otherwise(main)] if purpose == "full" else [],
+    }[purpose]
+    ordered = lambda n: lambda v, i: F.struct(F.lit(n).alias("g"), i.alias("i"), v.alias("path"))
+    listed = F.flatten(F.array(*(F.transform(F.array_distinct(g), ordered(n)) for n, g in enumerate(groups))))
+    rows = shots.select(*keys, F.inline(listed)).join(files.select("path").distinct(), "path", "left_semi")
+    window = Window.partitionBy(*keys)
+    rows = rows.withColumn("_g", F.min("g").over(window)).where("g = _g")
+    rows = rows.withColumn("pos", F.row_number().over(window.orderBy("i")).cast("long"))
+    return (rows.where("pos = 1") if purpose == "face" else rows).select(*keys, "pos", "path")
+
+
+def sequence_images(sequences: DataFrame, images_: DataFrame) -> DataFrame:
+    """(film_id, first, pos, path): the first image of the first, middle and last shot of a sequence, each path once.
+
+    sequences: (film_id, first, last) of consecutive numbers; images_: (film_id, n, pos, path)"""
+    n = F.array_distinct(F.array(F.col("first"), F.col("first") + F.floor((F.col("last") - F.col("first") + 1) / 2), F.col("last")))
+    rows = sequences.select("film_id", "first", F.explode(n).alias("n")).join(images_.where("pos = 1").select("film_id", "n", "path"), ["film_id", "n"])
+    once = rows.groupBy("film_id", "first", "path").agg(F.min("n").alias("n"))
+    order = Window.partitionBy("film_id", "first").orderBy("n")
+    return once.select("film_id", "first", F.row_number().over(order).cast("long").alias("pos"), "path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelframe.functions.text import blank, first_truthy
+from reelframe.functions.text import blank, first_truthy, looks_english
 
 
 def pivoted(claims: DataFrame, single: list[str], several: list[str], dates: list[str], most: int = 10) -> DataFrame:
@@ -88,3 +88,15 @@ def translated(catalogue: DataFrame, fields: DataFrame, key: str, names: list[st
     rows = fields.where(~blank(F.col("value"))).groupBy(key).pivot("field", names).agg(F.first("value"))
     rows = catalogue.alias("a").join(rows.alias("b"), key, "left")
     return rows.select(key, *(first_truthy(F.col(f"b.{n}"), F.col(f"a.{n}")).alias(n) for n in names), *(F.col(f"a.{c}") for c in catalogue.columns if c not in (key, *names)))
+
+
+#: The fields of a record that are translated.
+NARRATIVE = ["pitch", "synopsis", "scenario", "poster_legende"]
+
+
+def to_translate(catalogue: DataFrame, key: str, fields: list[str] | None = None, force: bool = False) -> DataFrame:
+    """(key, field, value) of the narrative texts that look English, or of all; records without any give no row."""
+    names = [f for f in (NARRATIVE if fields is None else fields) if f in catalogue.columns]
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.trim(F.coalesce(F.col(f), F.lit(""))).alias("value")) for f in names))
+    rows = catalogue.select(key, F.inline(each)).where("value <> ''")
+    return rows if force else rows.where(looks_english(F.col("value")))

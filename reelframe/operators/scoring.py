@@ -23,6 +23,22 @@ def attempted() -> Column:
     return complete4() | ~blank(F.col("modele"))
 
 
+def context_current(pitch: Column, synopsis: Column, scenario: Column) -> Column:
+    """Whether a shot was analysed with all three texts on its film."""
+    return ~(blank(pitch) | blank(synopsis) | blank(scenario))
+
+
+def analysed(mode: str, current: Column | None = None) -> Column:
+    """Whether a shot needs no analysis: of the mode triage if machine is stated at all, of complet if the four
+    descriptive fields are there, of any other if one is; with current, only if that holds too."""
+    fields = ["echelle", "lieu", "description", "mots_cles"]
+    some = F.lit(False)
+    for f in fields:
+        some = some | ~blank(F.col(f))
+    done = {"triage": F.col("machine").isNotNull(), "complet": complete4()}.get(mode, some | F.col("machine").isNotNull())
+    return done if current is None else done & F.coalesce(current, F.lit(False))
+
+
 def _sum(parts: list[Column]) -> Column:
     total = F.lit(0)
     for p in parts:

@@ -17,9 +17,14 @@ def best_attempts(attempts: DataFrame, full: int) -> DataFrame:
 
 def timing(attempts: DataFrame, *keys: str) -> DataFrame:
     """Answers, median and 90th of 100 seconds (the value at the floor of nine tenths of the last position), shots an hour."""
-    listed = F.sort_array(F.collect_list("seconds"))
-    at = F.floor((F.count("*") - 1) * 9 / 10).cast("int") + 1
-    return attempts.groupBy(*keys).agg(F.count("*").alias("answers"), F.percentile("seconds", F.lit(0.5)).alias("median"), F.element_at(listed, at).alias("p90"), F.try_divide(F.count("*") * 3600, F.sum("seconds")).alias("per_hour"))
+    # equal times are one row with a count, so that neither quantile needs all times in one place
+    times = attempts.groupBy(*keys, "seconds").agg(F.count("*").alias("c"))
+    running = F.sum("c").over(Window.partitionBy(*keys).orderBy("seconds"))
+    times = times.withColumns({"upto": running, "answers": F.sum("c").over(Window.partitionBy(*keys))})
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("seconds")))
+    low, high = at(F.floor((F.col("answers") - 1) / 2)), at(F.ceil((F.col("answers") - 1) / 2))
+    out = times.groupBy(*keys).agg(F.first("answers").alias("answers"), ((low + high) / 2).alias("median"), at(F.floor((F.col("answers") - 1) * 9 / 10)).alias("p90"), F.sum(F.col("c") * F.col("seconds")).alias("_all"))
+    return out.select(*keys, "answers", "median", "p90", F.try_divide(F.col("answers") * 3600, F.col("_all")).alias("per_hour"))
 
 
 def agreement(attempts: DataFrame, a: str, b: str, fields: list[str]) -> DataFrame:
@@ -47,3 +52,26 @@ def running_time(runs: DataFrame, key: str) -> DataFrame:
     """Seconds spent up to each run, to a tenth."""
     order = Window.partitionBy(key).orderBy("run", "seconds").rowsBetween(Window.unboundedPreceding, 0)
     return runs.withColumn("spent", F.bround(F.sum("seconds").over(order), 1))
+
+
+def validity(answers: DataFrame, key: str, required: list[str], vocabulary: dict[str, list[str]]) -> DataFrame:
+    """(key, answers, valid, percent, out_of_vocabulary, missing) of answers whose column valid says that they parsed.
+
+    Values outside a closed vocabulary and required fields that are null are counted over valid answers."""
+    odd = [F.size(F.array_except(F.filter(F.array(c), lambda x: x.isNotNull()), F.array(*(F.lit(w) for w in words)))) for c, words in vocabulary.items()]
+    none = [F.col(c).isNull().cast("int") for c in required]
+    total = lambda parts: F.coalesce(F.sum(F.when(F.col("valid"), sum(parts, F.lit(0)))), F.lit(0)).cast("long")
+    valid = F.count_if(F.coalesce("valid", F.lit(False)))
+    return answers.groupBy(key).agg(F.count("*").alias("answers"), valid.alias("valid"), F.round(100 * valid / F.greatest(F.count("*"), F.lit(1)), 1).alias("percent"), total(odd).alias("out_of_vocabulary"), total(none).alias("missing"))
+
+
+def simplified(schema: object) -> object:
+    """A JSON schema in which each choice between a scalar and a list is the list, and any other choice its first entry."""
+    if isinstance(schema, list):
+        return [simplified(s) for s in schema]
+    if not isinstance(schema, dict):
+        return schema
+    choices = schema.get("oneOf") or []
+    rest = {k: v for k, v in schema.items() if k != "oneOf"} if choices else {k: simplified(v) for k, v in schema.items()}
+    lists = [c for c in choices if isinstance(c, dict) and c.get("type") == "array"]
+    return rest | simplified((lists or choices)[0]) if choices else rest

@@ -15,22 +15,26 @@ LISTING = "path string, size long, mtime long, seen timestamp"
 def settled(listings: DataFrame, wait: float = 20.0) -> DataFrame:
     """(path, size, mtime) of files that two listings, wait seconds apart or more, show with the same size and time.
 
-    A file that is still growing starts anew at each change; a settled one is reported once until it changes again."""
+    What the latest listing shows is current; listings may arrive in any order, as the first and the last one that show
+    it count. A file that is still growing starts anew at each change; a settled one is reported once until it changes
+    again, which a running aggregate in update mode would not do."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, mtime, since, told = state.get if state.exists else (-1, -1, 0.0, False)
+        size, mtime, first, last, told = state.get if state.exists else (-1, -1, 0.0, float("-inf"), False)
         out = []
-        for r in pd.concat(list(batches)).sort_values("seen").itertuples():
+        for r in pd.concat(list(batches)).sort_values(["seen", "mtime", "size"]).itertuples():
             now = r.seen.timestamp()
-            if (r.size, r.mtime) != (size, mtime):
-                size, mtime, since, told = int(r.size), int(r.mtime), now, False
-            elif not told and now - since >= wait:
+            if (r.size, r.mtime) == (size, mtime):
+                first, last = min(first, now), max(last, now)
+            elif (now, r.mtime, r.size) > (last, mtime, size):
+                size, mtime, first, last, told = int(r.size), int(r.mtime), now, now, False
+            if not told and last - first >= wait:
                 told = True
                 out.append((key[0], size, mtime))
-        state.update((size, mtime, since, told))
+        state.update((size, mtime, first, last, told))
         yield pd.DataFrame(out, columns=["path", "size", "mtime"])
 
-    return listings.groupBy("path").applyInPandasWithState(step, "path string, size long, mtime long", "size long, mtime long, since double, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return listings.groupBy("path").applyInPandasWithState(step, "path string, size long, mtime long", "size long, mtime long, first double, last double, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def refresh(shots: DataFrame, path: str, checkpoint: str, **trigger):
@@ -46,7 +50,9 @@ def refresh(shots: DataFrame, path: str, checkpoint: str, **trigger):
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             rows = batch
-        latest = rows.groupBy("film_id", "n").agg(F.max_by(F.struct(*batch.columns), "version").alias("r")).select("r.*")
+        # of equal versions the row that is greatest as text
+        order = F.struct("version", F.to_json(F.struct(*batch.columns)))
+        latest = rows.groupBy("film_id", "n").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(f"{path}.next")  # the old rows are read before their folders are replaced
         session.read.schema(latest.schema).parquet(f"{path}.next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("film_id").parquet(path)
 
