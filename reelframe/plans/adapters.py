@@ -7,34 +7,52 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ADAPTERS = {
-    "shots": """SELECT film_id, n, fin - duree AS debut, fin, duree, description, lang, certitude, echelle, lieu, machine, interface, mots_cles, modele
-FROM (SELECT d.source AS film_id, CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS BIGINT) AS n,
+    # a film is a part of a source, so that films are many and bounded however large the tables are
+    "shots": """SELECT film_id, n, fin - duree AS debut, fin, duree, description, lang, certitude, echelle, lieu, machine, interface, mots_cles, modele, generique, texte_role, lieu_decors, objets_cles, vignettes, vignette
+FROM (SELECT d.film_id, CAST(row_number() OVER (PARTITION BY d.film_id ORDER BY d.doc_id) AS BIGINT) AS n,
   CAST(1 + d.n_chars % 40 AS DOUBLE) AS duree,
-  CAST(sum(1 + d.n_chars % 40) OVER (PARTITION BY d.source ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS fin,
+  CAST(sum(1 + d.n_chars % 40) OVER (PARTITION BY d.film_id ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS fin,
   CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE d.text END AS description, d.lang,
   CASE WHEN l.quality = 1 THEN 'sûr' WHEN l.quality = 0 THEN 'probable' WHEN d.doc_id % 3 = 0 THEN 'douteux' ELSE NULL END AS certitude,
   CASE d.doc_id % 5 WHEN 0 THEN 'gros plan' WHEN 1 THEN 'plan moyen' WHEN 2 THEN 'plan large' WHEN 3 THEN '' ELSE NULL END AS echelle,
   CASE WHEN d.doc_id % 7 = 0 THEN NULL WHEN d.doc_id % 2 = 0 THEN 'intérieur' ELSE 'extérieur' END AS lieu,
   d.doc_id % 4 = 0 AS machine, CASE WHEN d.doc_id % 8 = 0 THEN 'hologramme' ELSE '' END AS interface,
-  substr(d.text, 1, 40) AS mots_cles, concat('model-', CAST(d.doc_id % 3 AS VARCHAR(9))) AS modele
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) s""",
-    "films": """SELECT concat('src', CAST(s_suppkey AS VARCHAR(9))) AS film_id, s_name AS titre, CAST(1950 + s_suppkey % 50 AS INT) AS annee,
+  substr(d.text, 1, 40) AS mots_cles, concat('model-', CAST(d.doc_id % 3 AS VARCHAR(9))) AS modele,
+  d.doc_id % 41 = 0 AS generique, CASE WHEN d.doc_id % 41 = 0 THEN 'carton de fin' ELSE '' END AS texte_role,
+  substr(d.text, 60, 12) AS lieu_decors, substr(d.text, 90, 9) AS objets_cles,
+  concat('t/', CAST(d.doc_id AS VARCHAR(19)), '-1.jpg|t/', CAST(d.doc_id AS VARCHAR(19)), '-2.jpg|t/', CAST(d.doc_id AS VARCHAR(19)), '-3.jpg') AS vignettes, concat('m/', CAST(d.doc_id AS VARCHAR(19)), '.jpg') AS vignette
+  FROM (SELECT *, concat(source, '-', CAST(CAST((doc_id - doc_id % 2000) / 2000 AS BIGINT) AS VARCHAR(19))) AS film_id FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id) s""",
+    "films": """SELECT concat('src', CAST(s_suppkey % 20 AS VARCHAR(9)), '-', CAST(CAST((s_suppkey - s_suppkey % 20) / 20 AS BIGINT) AS VARCHAR(19))) AS film_id, CAST(s_suppkey AS BIGINT) AS number, s_name AS titre, CAST(1950 + s_suppkey % 50 AS INT) AS annee,
   CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE n_name END AS pays, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE r_name END AS pitch
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "segments": """SELECT film_id, CAST(6 * k AS DOUBLE) + 0.5 AS debut, CAST(6 * k + 1 + length(text) % 9 AS DOUBLE) + 0.5 AS fin, text AS texte
-FROM (SELECT concat('src', CAST(conv_id % 20 AS VARCHAR(9))) AS film_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS k, text FROM conversations) c""",
+FROM (SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY conv_id, turn) AS k, text FROM (SELECT *, concat('src', CAST(conv_id % 20 AS VARCHAR(9)), '-', CAST(CAST((conv_id - conv_id % 2000) / 2000 AS BIGINT) AS VARCHAR(19))) AS film_id FROM conversations) v) c""",
     "pairs": """SELECT l_orderkey AS shot_id, l_linenumber AS pair, (l_discount - 0.05) / 5 AS dx, (l_tax - 0.04) / 5 AS dy, (l_quantity - 25) / 1500 AS scale_delta,
   (CAST(l_partkey % 21 AS DOUBLE) - 10) / 10 AS rotation, CAST(l_suppkey % 16 AS DOUBLE) / 1000 AS jitter, CAST(l_partkey % 10 AS DOUBLE) / 10 AS inliers FROM lineitem""",
     "vlabels": """SELECT user_id AS shot_id, CAST(event_id % 3 AS BIGINT) AS segment, CASE event_type WHEN 'click' THEN 'pan_left' WHEN 'view' THEN 'static' WHEN 'error' THEN 'shake' WHEN 'signup' THEN 'zoom_in' ELSE 'undefined' END AS label,
   least(CAST(1 AS DOUBLE), value / 100) AS score FROM events""",
     "frames": "SELECT user_id AS film_id, CAST(event_id AS DOUBLE) * 1.5 AS t, least(CAST(1 AS DOUBLE), value / 60) AS score FROM events",
-    "faces": "SELECT CAST(vec_id % 4 AS BIGINT) AS film_id, vec_id AS n, label, embedding FROM embeddings",
+    "faces": "SELECT CAST((vec_id - vec_id % 300) / 300 AS BIGINT) AS film_id, vec_id AS n, label, embedding FROM embeddings",
     "photos": """SELECT p_partkey AS photo_id, p_name AS titre, p_type AS type_image, p_brand AS lieu, p_size % 3 = 0 AS a_verifier,
   CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(p_name) END AS description, CASE WHEN p_size % 2 = 0 THEN 'paysage' ELSE 'portrait' END AS orientation FROM part""",
     "files": """SELECT concat('lib/', CAST(p_partkey % 7 AS VARCHAR(9)), '/', replace(p_name, ' ', '_'), '-', CAST(p_partkey AS VARCHAR(9)), CASE WHEN p_size % 4 = 0 THEN '.MKV' WHEN p_size % 4 = 1 THEN '.jpg' WHEN p_size % 4 = 2 THEN '.mp4' ELSE '.txt' END) AS path,
   CAST(p_size * 1000 AS BIGINT) AS size, CAST(1700000000 + p_partkey AS BIGINT) AS mtime FROM part""",
     "attempts": """SELECT l_orderkey AS shot_id, l_linenumber AS attempt, CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS engine, l_quantity / 10 AS seconds, CAST(l_partkey % 5 AS BIGINT) AS score, CAST(l_suppkey % 7 AS BIGINT) AS nfields,
   l_returnflag AS echelle, l_linestatus AS lieu FROM lineitem""",
+    "answers": """SELECT p_partkey AS shot_id, p_partkey % 2 = 0 AS musique_presente, CASE p_partkey % 9 WHEN 0 THEN 'Dolby 5.1 track' WHEN 4 THEN p_name WHEN 5 THEN p_name WHEN 6 THEN NULL ELSE '' END AS titre_morceau,
+  CASE WHEN p_partkey % 9 = 4 THEN p_brand ELSE '' END AS artiste_morceau, '' AS auteur_morceau, CASE WHEN p_partkey % 9 = 5 THEN 'analyse spectrale locale' WHEN p_partkey % 9 = 4 THEN 'métadonnées locales' ELSE '' END AS identification_methode,
+  '' AS identification_confiance, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 3 = 1 END AS a_verifier,
+  CASE p_partkey % 9 WHEN 1 THEN concat('On entend « ', p_name, ' » de ', p_brand, '.') WHEN 2 THEN concat('song: ', p_type, ' by ', p_name) ELSE 'rien' END AS dialogue,
+  CASE p_partkey % 9 WHEN 3 THEN p_name WHEN 7 THEN 'x265 remux' WHEN 5 THEN p_brand ELSE '' END AS tag_title, p_brand AS tag_artist, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS tag_composer,
+  CASE WHEN p_partkey % 9 = 8 THEN concat(' ', p_name) ELSE '' END AS print_title, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END AS print_artist, CASE WHEN p_size % 4 = 0 THEN p_type ELSE '' END AS print_author FROM part""",
+    "wikis": """SELECT doc_id AS page_id, doc_id % 4 AS k, source, lang, CAST(n_chars AS VARCHAR(19)) AS len, concat(CASE doc_id % 4 WHEN 3 THEN '' ELSE concat('{{Short description|', lang, '}}', chr(10), '{{Infobox film', chr(10), '| name = Film ', source, chr(10), '| Running time = {{duration|m=', CAST(n_chars AS VARCHAR(19)), '}}', chr(10),
+  '| starring = {{Plainlist|', chr(10), '* [[Ann ', source, ']]', chr(10), '| x = y', chr(10), '}}', chr(10), '| image = [[File:Poster_', CAST(doc_id AS VARCHAR(19)), '.jpg|thumb]]', chr(10), '| caption = Poster of ', chr(39), chr(39), source, chr(39), chr(39), '<!-- no -->', chr(10), CASE doc_id % 4 WHEN 2 THEN '' ELSE concat('}}', chr(10)) END) END,
+  CASE doc_id % 4 WHEN 2 THEN '' ELSE concat('The film ', source, ' has [[', lang, '|', CAST(n_chars AS VARCHAR(19)), ' signs]].<ref>x</ref>', chr(10), chr(10), 'Second.', chr(10), chr(10)) END, '== Cast ==', chr(10), 'Ann', chr(10), CASE doc_id % 2 WHEN 0 THEN '== Plot ==' ELSE '===Synopsis===' END, chr(10), 'It is about ', source, ' &amp; ', lang, '.', chr(10), '== Notes ==', chr(10), 'None') AS body FROM documents""",
+    "stills": """SELECT concat('t/', CAST(doc_id AS VARCHAR(19)), '-1.jpg') AS path FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT concat('t/', CAST(doc_id AS VARCHAR(19)), '-2.jpg') FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT concat('t/', CAST(doc_id AS VARCHAR(19)), '-3.jpg') FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT concat('m/', CAST(doc_id AS VARCHAR(19)), '.jpg') FROM documents WHERE doc_id % 7 <> 0""",
+    "captions": """SELECT doc_id, n_chars % 5 + 1 AS k, CASE WHEN doc_id % 7 = 0 THEN CAST(n_chars % 4 AS INT) ELSE NULL END AS personnages, CASE WHEN doc_id % 13 = 0 THEN lang ELSE '' END AS personnages_sujets,
+  CASE doc_id % 6 WHEN 0 THEN concat(CAST(n_chars % 5 + 1 AS VARCHAR(9)), ' femmes et hommes dans la rue') WHEN 1 THEN concat(CASE n_chars % 3 WHEN 0 THEN 'Trois' WHEN 1 THEN 'Deux' ELSE 'Un' END, ' enfants, une fillette') WHEN 2 THEN 'Foule : personne âgée, silhouettes'
+  WHEN 3 THEN concat('Un ', CASE n_chars % 3 WHEN 0 THEN 'chien' WHEN 1 THEN 'vieux cheval' ELSE 'rat' END, ' court') WHEN 4 THEN 'Rue vide, hommes-grenouilles absents' ELSE concat('Genres mixtes, ', CAST(n_chars % 5 + 1 AS VARCHAR(9)), ' adolescents') END AS description FROM documents""",
     "claims": """SELECT l_orderkey AS entity, concat('P', CAST(l_partkey % 13 AS VARCHAR(9))) AS prop, l_linenumber AS pos, CAST(l_suppkey AS BIGINT) AS value_id, substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) AS value_time FROM lineitem""",
 }
 
@@ -53,6 +71,14 @@ def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def _with(given: str, sql: str) -> str:
+    """SQL whose first common tables are the given ones."""
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if given and sql.startswith(head):
+            return f"{head}{given}, {sql.removeprefix(head)}"
+    return f"WITH {given} {sql}" if given else sql
+
+
 def query(*tables: str, oracle: str | None = None):
     """Registers a function of the named tables under its own name; the oracle SQL reads them by the same names."""
 
@@ -64,7 +90,7 @@ def query(*tables: str, oracle: str | None = None):
         QUERIES[f.__name__] = run
         if oracle is not None:
             given = ", ".join(f"{t} AS ({ADAPTERS[t]})" for t in tables if t in ADAPTERS)
-            ORACLES[f.__name__] = f"WITH {given} {oracle}" if given and not oracle.lstrip().startswith("WITH ") else f"WITH {given}, {oracle.lstrip()[5:]}" if given else oracle
+            ORACLES[f.__name__] = _with(given, oracle.lstrip())
         return run
 
     return register

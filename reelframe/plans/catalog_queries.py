@@ -5,99 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.functions.numbers import cosine, jaccard, unit
+from reelframe.functions.numbers import cosine, unit
 from reelframe.functions.text import fold, fold_keeping_signs, looks_english, photo_id, shorten, slug, tokens
-from reelframe.operators import characters, dialogue, photos as photo_ops, presence, records, scenes, scoring, sequences, validation
+from reelframe.operators import characters, photos as photo_ops, records, validation
 from reelframe.sources import documents as sources
 
 from .adapters import query
-
-#: Terms that occur in the test texts, as the French ones don't.
-THEMES = {"feu": ["the", "tion"], "groupe": ["que", "eau"], "voiture/ville": ["und", "ung"], "refuge/intérieur": ["los", "cion"]}
-_FOLD = "trim(regexp_replace(lower(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
-_TEXT = _FOLD.format("concat_ws(' ', description, lieu, echelle, mots_cles)")
-
-
-def _featured(shots: DataFrame) -> DataFrame:
-    return scenes.signed(scenes.tagged(shots, THEMES))
-
-
-@query("shots", oracle=f"""SELECT film_id, n, coalesce(nullif(concat_ws('|', {', '.join(f"CASE WHEN {' OR '.join(f"contains(t, '{x}')" for x in terms)} THEN '{name}' END" for name, terms in THEMES.items())}), ''), 'continuité') AS tags FROM (SELECT film_id, n, {_TEXT} AS t FROM shots) x""")
-def shot_tags(shots: DataFrame) -> DataFrame:
-    return scenes.tagged(shots, THEMES).select("film_id", "n", F.array_join("tags", "|").alias("tags"))
-
-
-@query("shots", oracle=f"""SELECT film_id, n, CAST(count(DISTINCT w) FILTER (length(w) >= 4 AND w NOT IN ({', '.join(f"'{w}'" for w in sorted(scenes.STOP))})) AS BIGINT) AS words FROM (SELECT film_id, n, unnest(string_split({_FOLD.format("concat_ws(' ', description, lieu, mots_cles)")}, ' ')) AS w FROM shots) x GROUP BY film_id, n""")
-def shot_signatures(shots: DataFrame) -> DataFrame:
-    return scenes.signed(shots).select("film_id", "n", F.size("signature").cast("long").alias("words"))
-
-
-@query("shots", oracle=f"""WITH s AS (SELECT film_id, n, list_distinct(list_filter(string_split({_FOLD.format("concat_ws(' ', description, lieu, mots_cles)")}, ' '), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(f"'{w}'" for w in sorted(scenes.STOP))}))) AS g FROM shots)
-SELECT a.film_id, a.n, CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) END AS likeness FROM s a JOIN s b ON a.film_id = b.film_id AND a.n + 1 = b.n""")
-def neighbour_likeness(shots: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = scenes.signed(shots).select("film_id", "n", "signature")
-    rows = rows.withColumn("next", F.lead("signature").over(Window.partitionBy("film_id").orderBy("n"))).where("next is not null")
-    return rows.select("film_id", "n", F.round(jaccard(F.col("signature"), F.col("next")), 9).alias("likeness"))
-
-
-@query("shots")
-def scene_members(shots: DataFrame) -> DataFrame:
-    return scenes.scenes_of(_featured(shots), themes=THEMES)
-
-
-@query("shots")
-def scene_rows(shots: DataFrame) -> DataFrame:
-    rows = _featured(shots)
-    return scenes.described(rows, scenes.scenes_of(rows, themes=THEMES), THEMES)
-
-
-@query("shots")
-def scene_terms(shots: DataFrame) -> DataFrame:
-    rows = _featured(shots)
-    placed = rows.join(scenes.scenes_of(rows, themes=THEMES), ["film_id", "n"])
-    return scenes.frequent_terms(placed.select("film_id", "scene", "n", F.explode("signature").alias("t")), "t", 8, ["film_id", "scene"])
-
-
-@query("shots", oracle="SELECT 'a' AS film_id, 'gap' AS fault, 0::BIGINT AS number FROM shots WHERE false")
-def scene_faults(shots: DataFrame) -> DataFrame:
-    rows = _featured(shots)
-    return scenes.faults(rows, scenes.scenes_of(rows, themes=THEMES))
-
-
-@query("shots")
-def scene_lookup(shots: DataFrame) -> DataFrame:
-    rows = _featured(shots)
-    made = scenes.described(rows, scenes.scenes_of(rows, themes=THEMES), THEMES)
-    keyed = shots.select("film_id", "n", F.when(F.col("n") % 2 == 0, "scene_001").alias("scene_id"))
-    return scenes.looked_up(keyed, made).select("film_id", "n", "scene")
-
-
-@query("shots", "segments")
-def audio_windows(shots: DataFrame, segments: DataFrame) -> DataFrame:
-    return sequences.candidates(scoring.sound(dialogue.with_dialogue(shots, segments)), 4)
-
-
-@query("shots")
-def packed_sequences(shots: DataFrame) -> DataFrame:
-    return sequences.packed(shots)
-
-
-@query("shots", oracle="SELECT film_id, n, CAST(sum(CASE WHEN debut - p <= 1.2 THEN 0 ELSE 1 END) OVER (PARTITION BY film_id ORDER BY debut, n) AS BIGINT) AS island FROM (SELECT *, lag(fin) OVER (PARTITION BY film_id ORDER BY debut, n) AS p FROM shots WHERE n % 5 <> 0) x")
-def contiguous_runs(shots: DataFrame) -> DataFrame:
-    """Runs of contiguous shots once every fifth shot is taken out."""
-    return sequences.islands(shots.where("n % 5 <> 0")).select("film_id", "n", F.col("island").cast("long").alias("island"))
-
-
-@query("faces")
-def face_clusters(faces: DataFrame) -> DataFrame:
-    return characters.clustered(faces, 0.3)
-
-
-@query("faces")
-def recurring_characters(faces: DataFrame) -> DataFrame:
-    return characters.recurring(characters.clustered(faces, 0.3))
+from .scenes import FOLD as _FOLD
 
 
 @query("shots", oracle="SELECT film_id, concat(coalesce(echelle, ''), '|', coalesce(lieu, '')) AS profile, count(DISTINCT n) AS shots FROM shots WHERE coalesce(echelle, '') <> '' OR coalesce(lieu, '') <> '' GROUP BY ALL HAVING count(DISTINCT n) >= 6")
@@ -215,11 +129,10 @@ def claim_columns(claims: DataFrame) -> DataFrame:
     return records.pivoted(claims, ["P1"], ["P2"], ["P3"]).withColumn("P2", F.nullif("P2", F.lit("")))
 
 
-@query("films", "claims", oracle="SELECT titre AS title, entity FROM (SELECT f.titre, c.entity, row_number() OVER (PARTITION BY f.titre ORDER BY c.prop, c.pos, c.entity) AS r FROM films f JOIN claims c ON c.entity % 25 = CAST(substr(f.film_id, 4) AS INT) WHERE (c.prop = 'P1' OR c.value_time LIKE '%-05-%') AND abs(f.annee - 1950 - c.value_id % 50) <= 1) x WHERE r = 1")
+@query("films", "claims", oracle="SELECT titre AS title, entity FROM (SELECT f.titre, c.entity, row_number() OVER (PARTITION BY f.titre ORDER BY c.prop, c.pos, c.entity) AS r FROM films f JOIN claims c ON c.entity % 1000 = f.number WHERE (c.prop = 'P1' OR c.value_time LIKE '%-05-%') AND abs(f.annee - 1950 - c.value_id % 50) <= 1) x WHERE r = 1")
 def resolved_entities(films: DataFrame, claims: DataFrame) -> DataFrame:
-    number = F.substring("film_id", 4, 9).cast("long")
-    wanted = films.select(F.col("titre").alias("title"), F.col("annee").alias("year"), number.alias("k"))
-    found = claims.select((F.col("entity") % 25).alias("k"), F.col("prop").alias("attempt"), F.col("pos").alias("rank"), "entity", (F.col("prop") == "P1").alias("is_film"), F.when(F.col("value_time").like("%-05-%"), "a film").alias("description"), (1950 + F.col("value_id") % 50).alias("found_year"))
+    wanted = films.select(F.col("titre").alias("title"), F.col("annee").alias("year"), F.col("number").alias("k"))
+    found = claims.select((F.col("entity") % 1000).alias("k"), F.col("prop").alias("attempt"), F.col("pos").alias("rank"), "entity", (F.col("prop") == "P1").alias("is_film"), F.when(F.col("value_time").like("%-05-%"), "a film").alias("description"), (1950 + F.col("value_id") % 50).alias("found_year"))
     return records.resolved(wanted.drop("k"), found.join(wanted.select("k", "title"), "k").drop("k"))
 
 
@@ -288,28 +201,11 @@ def sensitive_lines(documents: DataFrame) -> DataFrame:
     return sources.sensitive_lines(documents.withColumnRenamed("doc_id", "id"), {"mail": r"[a-z0-9.]+@[a-z0-9.-]+\.[a-z]+", "key": "(?i)(api|secret|token)[_ -]?key"})
 
 
-@query("pages")
+@query("pages", oracle="SELECT page_id, CASE WHEN length(t) <= 700 THEN t ELSE concat(regexp_replace(regexp_replace(substr(t, 1, 700), ' [^ ]*$', ''), '[ .,;:]+$', ''), '…') END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|\\{\\|.*?\\|\\}', ' ', 'g'), '\\{\\{[^{}]*\\}\\}', ' ', 'g'), '(?i)\\[\\[(?:file|image|fichier):[^\\[\\]]*\\]\\]', ' ', 'g'), '\\[\\[(?:[^\\[\\]|]*\\|)?([^\\[\\]]*)\\]\\]', '\\1', 'g'), '\\[https?://\\S+ ?([^\\]]*)\\]', '\\1', 'g'), '''{2,}|(?m)^=+.*?=+$|(?m)^[*#:;]+', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages) x")
 def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", sources.plain_text(F.col("html"), 700).alias("text"))
 
 
-def _captioned(documents: DataFrame) -> DataFrame:
-    caption = F.when(F.col("doc_id") % 5 == 0, "Deux femmes et un chien ; ").when(F.col("doc_id") % 5 == 1, "4 enfants, silhouettes ; ").when(F.col("doc_id") % 5 == 2, "Une foule âgée ; ").otherwise("")
-    return documents.select("doc_id", F.concat(caption, "text").alias("description"))
-
-
-@query("documents", oracle="""SELECT doc_id, doc_id % 5 < 3 AS persons, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 0 END AS n, CASE WHEN doc_id % 5 = 0 THEN 'chien' ELSE '' END AS animals,
-CASE doc_id % 5 WHEN 0 THEN 'personne visible|femme visible|adulte visible|animal visible' WHEN 1 THEN 'personne visible|enfant visible|groupe|silhouette|aucun animal visible' WHEN 2 THEN 'personne visible|aucun animal visible' ELSE 'aucune personne visible|aucun animal visible' END AS categories FROM documents""")
-def shown_persons(documents: DataFrame) -> DataFrame:
-    rows = presence.presences(_captioned(documents))
-    return rows.select("doc_id", "persons", F.col("count").cast("int").alias("n"), F.array_join("animals", "|").alias("animals"), F.array_join("categories", "|").alias("categories"))
-
-
-@query("documents", oracle="SELECT count(*) AS shots, count(*) FILTER (doc_id % 5 < 3) AS with_persons, count(*) FILTER (doc_id % 5 = 0) AS with_animals, count(*) FILTER (doc_id % 5 = 1) AS groups FROM documents")
-def presence_statistics(documents: DataFrame) -> DataFrame:
-    return presence.statistics(presence.presences(_captioned(documents)))
-
-
 @query("shots", oracle="SELECT film_id, CAST(row_number() OVER (ORDER BY film_id) AS BIGINT) AS rank, count(*) OVER () AS total FROM (SELECT DISTINCT film_id FROM shots) x")
 def film_positions(shots: DataFrame) -> DataFrame:
     return sources.positions(shots, "film_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, labels, layers, shots  # noqa: F401
+from . import catalog_queries, details, labels, layers, scenes, shots  # noqa: F401
 from .adapters import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,11 +10,11 @@ from reelframe.operators import layers
 from .adapters import query
 
 
-@query("lineitem", "orders", oracle="SELECT o_custkey % 50 AS film_id, o_orderkey AS n, coalesce(k, 0) AS n_groups FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY l_orderkey) g ON o_orderkey = l_orderkey")
+@query("lineitem", "orders", oracle="SELECT o_custkey % 50 AS film_id, o_orderkey AS n, coalesce(k, 0) AS n_groups FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY l_orderkey) g ON o_orderkey = l_orderkey")
 def shot_members(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Groups of one shot each: the line items of an order."""
     shots = orders.select((F.col("o_custkey") % 50).alias("film_id"), F.col("o_orderkey").alias("n"))
-    rows = lineitem.where("l_partkey % 2 = 0").select(F.col("l_orderkey").alias("n"), "l_partkey", "l_linenumber").join(shots, "n")
+    rows = lineitem.select(F.col("l_orderkey").alias("n"), "l_partkey", "l_linenumber").join(shots, "n")
     groups = rows.select("film_id", F.array("n").alias("plans"), "l_partkey", "l_linenumber")
     return layers.members(groups, shots, ["l_partkey", "l_linenumber"], "groups").select("film_id", "n", F.size("groups").cast("long").alias("n_groups"))
 
@@ -60,19 +60,6 @@ def audio_roll_up(events: DataFrame) -> DataFrame:
     return layers.rolled_up(events.select(F.col("user_id").alias("film_id"), family.alias("family")))
 
 
-@query("photos", oracle="SELECT photo_id, photo_id % 4 NOT IN (0, 1) AND NOT (photo_id % 4 = 2 AND NOT a_verifier) AS trusted FROM photos")
-def trusted_identities(photos: DataFrame) -> DataFrame:
-    k = F.col("photo_id") % 4
-    title = F.when(k == 0, "AC3 5.1 remux").otherwise("a theme")
-    method = F.when(k == 1, "analyse spectrale").when(k == 2, "métadonnées locales").otherwise("sous-titres")
-    return photos.select("photo_id", layers.trusted_identity(title, method, F.col("a_verifier")).alias("trusted"))
-
-
-@query("photos", oracle="SELECT photo_id, a_verifier FROM photos ORDER BY a_verifier DESC, titre")
-def photos_to_verify_first(photos: DataFrame) -> DataFrame:
-    return layers.catalogue_order(photos, "verify").select("photo_id", "a_verifier")
-
-
-@query("shots", oracle="SELECT film_id, n, duree FROM shots WHERE film_id = 'src3' AND n = 2")
+@query("shots", oracle="SELECT film_id, n, duree FROM shots WHERE film_id = 'src3-0' AND n = 2")
 def one_shot(shots: DataFrame) -> DataFrame:
-    return layers.one(shots, "src3", 2).select("film_id", "n", "duree")
+    return layers.one(shots, "src3-0", 2).select("film_id", "n", "duree")

@@ -39,8 +39,8 @@ def doubt_scores(shots: DataFrame) -> DataFrame:
 _HINTS = ["the", "des", "und", "que", "tion", "hologram"]
 
 
-@query("shots", oracle=f"""SELECT film_id, n, CASE WHEN h = 0 THEN 0 ELSE least(6, h + 2) END AS score FROM (SELECT film_id, n, CAST({" + ".join(f"CASE WHEN contains(t, '{h}') THEN 1 ELSE 0 END" for h in _HINTS)} AS BIGINT) AS h
-FROM (SELECT film_id, n, lower(strip_accents(concat_ws(' ', description, mots_cles, interface))) AS t FROM shots) a) b""")
+@query("shots", oracle=f"""SELECT film_id, n, CASE WHEN h = 0 THEN 0 ELSE least(6, h + 2) END + CASE WHEN generique THEN 8 ELSE 0 END AS score FROM (SELECT film_id, n, generique, CAST({" + ".join(f"CASE WHEN contains(t, '{h}') THEN 1 ELSE 0 END" for h in _HINTS)} AS BIGINT) AS h
+FROM (SELECT film_id, n, generique, lower(regexp_replace(strip_accents(concat_ws(' ', description, mots_cles, interface)), '[^\x00-\x7F]', '', 'g')) AS t FROM shots) a) b""")
 def typography_scores(shots: DataFrame) -> DataFrame:
     return scoring.typography(shots, _HINTS).select("film_id", "n", "score")
 

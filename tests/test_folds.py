@@ -7,29 +7,62 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelframe.functions import numbers, text
-from reelframe.operators import characters, cutting, dialogue, movement, records, scenes, scoring, sequences
+from reelframe.operators import characters, cutting, dialogue, movement, records, scenes, scoring, sequences, validation
 
-RANK = {t: i for i, t in enumerate([scenes.CREDITS, *scenes.THEMES, scenes.TALK, scenes.FLOW])}
+THEMES = ["feu", "groupe"]
+BITS = {t: 1 << i for i, t in enumerate(scenes.order_of(dict.fromkeys(THEMES, [])))}
 
 
 def shot(a, b, tags, words):
-    return a, b, frozenset(tags), frozenset(words)
+    return scenes.Shot(a, b, sum(BITS[t] for t in tags), frozenset(words))
+
+
+def grouped(rows):
+    return scenes.numbered(rows, scenes.Limits())
 
 
 def test_credits_stand_alone():
     rows = [shot(0, 5, ["générique"], "ab"), shot(5, 9, ["générique"], "ab"), shot(9, 14, ["feu"], "ab")]
-    assert scenes.group_shots(rows, RANK, scenes.Limits()) == [1, 1, 2]
+    assert grouped(rows) == [1, 1, 2]
 
 
 def test_most_shots_of_a_scene():
-    rows = [shot(i, i + 1, ["feu"], "ab") for i in range(30)]
-    got = scenes.group_shots(rows, RANK, scenes.Limits())
+    got = grouped([shot(i, i + 1, ["feu"], "ab") for i in range(30)])
     assert max(got.count(k) for k in set(got)) == 12
 
 
 def test_theme_change_without_likeness():
     rows = [shot(0, 10, ["feu"], "ab"), shot(10, 20, ["feu"], "ab"), shot(20, 30, ["groupe"], "xy")]
-    assert scenes.group_shots(rows, RANK, scenes.Limits()) == [1, 1, 2]
+    assert grouped(rows) == [1, 1, 2]
+
+
+@pytest.mark.parametrize(
+    ("rule", "rows", "cut"),
+    [
+        ("length", [(0, 70, "feu", "ab"), (70, 136, "feu", "ab"), (136, 140, "feu", "xyzuvwqrst")], True),
+        ("alike", [(0, 70, "feu", "ab"), (70, 136, "feu", "ab"), (136, 140, "feu", "abxy")], False),
+        ("short", [(0, 7, "feu", "ab"), (7, 17, "feu", "ab"), (17, 27, "groupe", "xy")], False),
+        ("no common tag", [(9 * i, 9 * i + 9, "feu", "ab") for i in range(6)] + [(54, 60, "groupe", "xy")], True),
+        ("main theme", [(8 * i, 8 * i + 8, "feu" if i < 9 else "groupe", "abcdefghijk") for i in range(10)] + [(80, 88, "groupe", "kxyzuvwmnopqrst")], True),
+        ("five of ten", [(4 * i, 4 * i + 4, "feu", "ab") for i in range(11)] + [(44, 48, "groupe", "xy")], True),
+    ],
+)
+def test_rules_of_a_break(rule, rows, cut):
+    """Each rule at its bounds, before neighbours join."""
+    made = scenes.runs([shot(a, b, [t], w) for a, b, t, w in rows], scenes.Limits())
+    assert [s.size for s in made] == ([len(rows) - 1, 1] if cut else [len(rows)]), rule
+
+
+def test_short_neighbours_join_until_none_does():
+    limits = scenes.Limits()
+    alone = lambda k, tag="feu": scenes.Scene(k, shot(5 * k, 5 * k + 5, [tag], "ab"))
+    joined = scenes.settled([alone(k) for k in range(5)], limits)
+    assert [(s.first, s.at) for s in joined] == [(0, 1), (2, 4)]  # two pairs, then the last one, as it adds little
+    assert len(scenes.settled([alone(0), alone(1, "groupe"), alone(2)], limits)) == 3
+    assert len(scenes.settled([alone(0), alone(1, "générique")], limits)) == 2
+    assert [s.size for s in scenes.settled([alone(k) for k in range(14)], limits)] == [2] * 7
+    long = [scenes.Scene(0, shot(0, 100, ["feu"], "a")), scenes.Scene(1, shot(100, 160, ["feu"], "a"))]
+    assert len(scenes.settled(long, limits)) == 2
 
 
 def test_scenes_partition_the_shots():
@@ -40,17 +73,19 @@ def test_scenes_partition_the_shots():
             d = rng.choice([1, 4, 20, 50])
             rows.append(shot(t, t + d, rng.sample(["feu", "groupe", "générique", "continuité"], rng.randint(1, 2)), rng.sample("abcdefghij", 3)))
             t += d
-        got = scenes.group_shots(rows, RANK, scenes.Limits())
+        got = grouped(rows)
         assert len(got) == len(rows) and got[0] == 1
         assert all(b - a in (0, 1) for a, b in zip(got, got[1:], strict=False))
 
 
 def test_window_stays_in_its_run_and_length():
-    bounds = [(0, 10), (10, 20), (20, 30), (35, 45), (45, 55)]
-    assert sequences.window_around(bounds, 1) == (0, 2)
-    assert sequences.window_around([(0, 80), (80, 95), (95, 99)], 1) == (1, 2)
-    assert sequences.merged([(0, 2, 4), (2, 3, 9)], [(0, 10), (10, 20), (20, 30), (30, 95)]) == [(0, 2, 4), (2, 3, 9)]
-    assert sequences.merged([(0, 1, 4), (2, 3, 9)], [(0, 10), (10, 20), (20, 30), (30, 40)]) == [(0, 3, 9)]
+    run = lambda bounds: sequences.Run(*map(np.array, zip(*bounds, strict=True)))
+    assert run([(0, 10), (10, 20), (20, 30), (35, 45), (45, 55)]).around(1) == (0, 2)
+    assert run([(0, 80), (80, 95), (95, 99)]).around(1) == (1, 2)
+    assert run([(k, k + 1) for k in range(200)]).around(100) == (59, 103)  # three rounds, then to the left where gaps are equal
+    assert run([(0, 10), (10.5, 20), (20, 30)]).around(1, aim=19, rounds=0) == (1, 2)  # across the smaller gap
+    assert run([(0, 10), (10, 20), (20, 30), (30, 95)]).united([(0, 2, 4), (2, 3, 9)]) == [(0, 2, 4), (2, 3, 9)]
+    assert run([(0, 10), (10, 20), (20, 30), (30, 40)]).united([(2, 3, 9), (0, 1, 4)]) == [(0, 3, 9)]
 
 
 def test_packed(spark):
@@ -120,11 +155,40 @@ def test_doubt_of_refined(spark):
     assert [r.score for r in scoring.doubt(df, F.col("done")).collect()] == [0, 5]
 
 
-@pytest.mark.parametrize(("given", "folded"), [("Œuvre", "uvre"), ("l’écran", "lecran"), ("a b", "ab"), ("漢 Été", "ete")])
+@pytest.mark.parametrize(("given", "folded"), [("Dvořák Šárka Ākāśa", "dvoraksarkaakasa"), ("e\u0301te\u0301", "ete"), ("ﬁn ½ …", "fin12"), ("Œuvre", "uvre"), ("l’écran", "lecran"), ("a b", "ab"), ("漢 Été", "ete")])
 def test_fold(spark, given, folded):
     assert spark.range(1).select(text.fold(F.lit(given))).first()[0].replace(" ", "") == folded.replace(" ", "")
 
 
+def test_marks_of_all_scripts(spark):
+    df = spark.createDataFrame([("L’Été, Šárka e\u0301 Ελλάς й 漢",)], "t string")
+    assert df.select(text.fold_marks(F.col("t")).alias("x")).first().x == "l'ete, sarka e ελλας и 漢"
+
+
+def test_equal_runs_have_one_latest(spark):
+    rows = [("f", 1, 5, "b"), ("f", 1, 5, "a"), ("f", 1, 4, "c"), ("f", 2, 1, None)]
+    for given in (rows, rows[::-1]):
+        got = sequences.latest(spark.createDataFrame(given, "film_id string, id int, run_ts int, note string").repartition(3)).collect()
+        assert sorted((r.id, r.run_ts, r.note) for r in got) == [(1, 5, "b"), (2, 1, None)]
+
+
+def test_schema_choices():
+    both = {"oneOf": [{"type": "string"}, {"type": "array", "items": {"type": "string"}}], "description": "x"}
+    assert validation.simplified({"properties": {"a": both, "b": {"oneOf": [{"type": "null"}, {"type": "string"}]}}, "required": ["a"]}) == {"properties": {"a": {"type": "array", "items": {"type": "string"}, "description": "x"}, "b": {"type": "null"}}, "required": ["a"]}
+
+
+def test_quantiles_of_equal_times(spark):
+    df = spark.createDataFrame([("e", float(x)) for x in [1, 1, 1, 2, 9, 9, 9, 9, 9, 30]] + [("f", 4.0), ("f", 2.0)], "engine string, seconds double")
+    got = {r.engine: (r.answers, r.median, r.p90) for r in validation.timing(df, "engine").collect()}
+    assert got == {"e": (10, 9.0, 9.0), "f": (2, 3.0, 2.0)}
+
+
+def test_digest_is_cut_at_its_limit(spark):
+    df = spark.createDataFrame([("f", i, f"line {i:04d} " + "x" * 40) for i in range(500)], "film_id string, n int, texte string")
+    whole = " | ".join(f"plan {i} : line {i:04d} " + "x" * 40 for i in range(500))
+    assert dialogue.digest(df, ["film_id"]).first().text == whole[:900].rstrip() + "…"
+
+
 def test_small_helpers(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(text.shorten(F.lit("one two three"), 8)) == "one two…"
