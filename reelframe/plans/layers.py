@@ -42,9 +42,10 @@ def overridden_tracks(films: DataFrame) -> DataFrame:
     return layers.overridden(films.select("film_id", F.lit(0).alias("track")), films.where("annee % 5 = 0").select("film_id", F.lit(2).alias("track")), "film_id", "track")
 
 
-@query("shots", oracle="SELECT film_id, n, CASE n % 3 WHEN 0 THEN 'Au début du plan apparaît un logo. Puis on voit la rue' WHEN 1 THEN 'Un homme, puis la mer' ELSE 'Rien' END AS description FROM shots")
+@query("shots", oracle="SELECT film_id, n, CASE n % 3 WHEN 0 THEN concat('Au début du plan apparaît ', lang, '. Puis on voit ', film_id) WHEN 1 THEN concat('Un ', lang, ', puis ', film_id) ELSE lang END AS description FROM shots")
 def single_shot_descriptions(shots: DataFrame) -> DataFrame:
-    given = F.when(F.col("n") % 3 == 0, "La première image affiche un logo , la seconde image montre  la rue").when(F.col("n") % 3 == 1, "Un homme, le deuxième plan la mer").otherwise(" Rien ")
+    text = lambda *parts: F.concat(*(F.col(p) if p in shots.columns else F.lit(p) for p in parts))
+    given = F.when(F.col("n") % 3 == 0, text("La première image affiche ", "lang", " , la seconde image montre  ", "film_id")).when(F.col("n") % 3 == 1, text("Un ", "lang", ", le deuxième plan ", "film_id")).otherwise(text(" ", "lang", " "))
     return shots.select("film_id", "n", layers.single_shot(given).alias("description"))
 
 

@@ -75,10 +75,10 @@ def archived_shots(shots: DataFrame) -> DataFrame:
 def stored_photos(photos: DataFrame) -> DataFrame:
     """Photos from JSON stores of some thousands each."""
     path = folder(photos.sparkSession)
-    stores = photos.groupBy(F.floor(F.col("photo_id") / 2000).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("photo_id", "titre")).alias("photos"))).alias("value"))
-    stores.select("value").repartition(4).write.option("lineSep", "\n").text(path)
-    lines = photos.sparkSession.read.text(path)
-    return lines.select(F.from_json("value", "photos array<struct<photo_id:long,titre:string>>").alias("x")).select(F.inline("x.photos"))
+    part = F.floor(F.col("photo_id") / 2000).alias("part")
+    stores = photos.groupBy(part).agg(F.to_json(F.struct(F.collect_list(F.struct("photo_id", "titre")).alias("photos"))).alias("value"))
+    stores.repartition("part").write.partitionBy("part").option("lineSep", "\n").text(path)
+    return sources.photo_store(photos.sparkSession, path, "photo_id: long, titre: string")
 
 
 # streams
