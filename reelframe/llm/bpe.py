@@ -19,7 +19,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, pieces, table
+from .common import column, held_by_worker, pieces, table
 
 #: Words of one generation that a worker remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 160_000
 #: Text bytes whose new words are indexed together; a longer document is taken alone and whole.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Fixed values of the tokenizer's word pattern: contractions, letter runs, single digits, runs of anything else.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
@@ -174,10 +173,9 @@ class Codec:
             yield " ".join(map(self.ids.__getitem__, ws)), " ".join(map(self.text.__getitem__, ws))
 
 
-@lru_cache(1)
 def codec(path: str) -> Codec:
     """The worker's codec, which the tasks that it runs one after the other share."""
-    return Codec(path)
+    return held_by_worker(("bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -47,6 +47,17 @@ def hold(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """The one large object that a worker keeps from task to task; asking for another one drops it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null rows are empty."""
     column = pc.fill_null(column, "")

@@ -19,14 +19,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold_is, pieces, table
+from .common import column, fold_is, held_by_worker, pieces, table
 
 DOCS_PER_LANG = 64
 CHARS_PER_LANG = 24_000
@@ -34,7 +33,7 @@ CHARS_PER_LANG = 24_000
 PARTS = 4
 SHARPNESS = 8.0
 #: Text bytes that are parsed together; a longer document is taken alone and whole.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Texts that still take steps together; what is left of fewer is parsed one after the other, with the same result.
 FEW = 24
 #: A text of LONG symbols that takes more bits than this each in every language is in none that is known: letters of a
@@ -86,23 +85,27 @@ class Parser:
     Row 0 leads nowhere: a text is there before its first symbol and after one that a language lacks."""
 
     def __init__(self, texts: tuple[bytes, ...]):
-        self.automata = [automaton(t) for t in texts]
-        self.codes = np.zeros(256, np.int32)  # 0 is a byte that no training text has
+        self.codes = np.zeros(256, np.uint8)  # 0 is a byte that no training text has; no text has all 256 of UTF-8
         used = sorted(set().union(*texts))
         self.codes[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
-        sizes = [len(a) for a in self.automata]
-        self.roots = (1 + np.cumsum([0, *sizes[:-1]])) * self.width
-        edges = [(r + s * self.width + self.codes[c], r + t * self.width) for r, a in zip(self.roots.tolist(), self.automata, strict=True) for s, to in enumerate(a) for c, t in to.items()]
-        self.table = np.zeros((1 + sum(sizes)) * self.width, np.int32)
-        at, to = np.array(edges, np.int64).T
-        self.table[at] = to
+        tables, roots, rows, codes = [np.zeros(self.width, np.int32)], [], 1, self.codes.tolist()
+        for text in texts:
+            nexts = automaton(text)
+            roots.append(rows * self.width)
+            table = np.zeros(len(nexts) * self.width, np.int32)
+            for s, to in enumerate(nexts):
+                for c, t in to.items():
+                    table[s * self.width + codes[c]] = (rows + t) * self.width
+            tables.append(table)
+            rows += len(nexts)
+        self.table, self.roots = np.concatenate(tables), np.array(roots)
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text in each language: places where the phrase so far doesn't go on, and a new one begins."""
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")
-        code = self.codes[np.frombuffer(b"".join(texts), np.uint8)]
+        code = self.codes[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int32)
         start, size = (np.cumsum(size) - size)[order], size[order]
         first = self.table[self.roots[:, None] + np.arange(self.width)]
         state, found = np.zeros((len(self.roots), len(texts)), np.int32), np.zeros((len(self.roots), len(texts)), np.int32)
@@ -115,32 +118,26 @@ class Parser:
             state[:, :k] = np.where(begins, first.take(symbol, 1), now)
             done += 1
             k = len(texts) - int(np.searchsorted(size[::-1], done, "right"))
+        one, codes = memoryview(self.table), self.codes.tobytes()
         for i in range(k):
-            rest = texts[order[i]][done:]
-            for lang, (nexts, root) in enumerate(zip(self.automata, self.roots.tolist(), strict=True)):
-                at = int(state[lang, i])
-                found[lang, i] += phrases(nexts, rest, (at - root) // self.width if at else -1)
+            rest = texts[order[i]][done:].translate(codes)
+            for lang, root in enumerate(self.roots.tolist()):
+                at, n = int(state[lang, i]), 0
+                for c in rest:
+                    longer = one[at + c]
+                    if not longer:
+                        n += 1
+                        longer = one[root + c]
+                    at = longer
+                found[lang, i] += n
         out = np.zeros((len(texts), len(self.roots)), np.int64)
         out[order] = found.T
         return out
 
 
-def phrases(nexts: list[dict[int, int]], text: bytes, state: int = -1) -> int:
-    """How many phrases begin in a text that goes on from a state, -1 where none has begun."""
-    n = 0
-    for c in text:
-        longer = nexts[state].get(c) if state >= 0 else None
-        if longer is None:
-            n += 1
-            longer = nexts[0].get(c, -1)
-        state = longer
-    return n
-
-
-@lru_cache(1)
 def parser(texts: tuple[bytes, ...]) -> Parser:
     """The worker's parser, which the tasks that it runs one after the other share."""
-    return Parser(texts)
+    return held_by_worker(("language", texts), lambda: Parser(texts))
 
 
 class Model:
@@ -217,6 +214,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = learn(docs.select("doc_id", "text", "lang"))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    inner = docs.select("text", F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"))
+    clash = {"lang_pred", "score"} & {c.lower() for c in names}
+    inner = docs.select("text", F.struct(*[docs[f"`{c}`"] for c in names if c != "text"]).alias("row")) if clash else docs
     kept = predict(inner, model, unlike=UNLIKE).where("lang_pred != 'und'")
-    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in names))
+    column_of = lambda c: F.col(f"row.`{c}`") if clash and c != "text" else F.col(f"`{c}`")
+    return kept.select(*(F.coalesce(column_of(c), "lang_pred").alias(c) if c == "lang" else column_of(c).alias(c) for c in names))
