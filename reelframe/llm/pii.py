@@ -36,6 +36,8 @@ PATTERNS = {
 LETTERS = 4
 SUPPORT = 3
 REMOVE, GENERALISE = 0.98, 0.9
+#: Most keys of rows with terms that are sent to every task, 8 bytes each, so that other rows' texts stay where they are.
+KEYS_SENT = 1 << 20
 #: Matches of a text that are placed together.
 CHUNK = 128
 SPAN = "array<struct<kind:string,start:long,end:long>>"
@@ -186,7 +188,11 @@ def found(docs: DataFrame) -> DataFrame:
     """doc_id, the patterns' arrays and "spans" as sanitise() has them. Only rows with terms are read again, no text of
     the others moves."""
     read = hold(_read(docs))
-    extra = _with_terms(docs.select(_key(), "text").join(_told(read), "_key")).groupBy("_key").agg(F.first("_terms").alias("extra"))
+    told = hold(_told(read))
+    texts = docs.select(_key(), "text")
+    if told.count() <= KEYS_SENT:
+        texts = texts.join(F.broadcast(told.select("_key")), "_key", "left_semi")  # then only their texts are shuffled
+    extra = _with_terms(texts.join(told, "_key")).groupBy("_key").agg(F.first("_terms").alias("extra"))
     rows = read.select("doc_id", "_key", *PATTERNS).join(extra, "_key", "left")
     return rows.select("doc_id", *PATTERNS, F.concat(_spans(), F.coalesce("extra", F.array().cast(SPAN))).alias("spans"))
 
