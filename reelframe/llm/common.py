@@ -101,18 +101,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of consecutive texts: a 64-bit hash, byte start, byte end; and each text's first word.
-
-    fold gives for each byte what it counts as, 0 for bytes between words. The hash is the sum of a random number for
-    each place and byte, so that two different words have the same one with probability 2**-64."""
-    code = fold[raw]
-    inside = np.zeros(len(code) + 2, bool)
-    inside[1:-1] = code != 0
-    cut = np.zeros(len(code) + 1, bool)
-    cut[at] = True
-    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
-    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+def span_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: the sum of a random number for each place and byte, so that two
+    different spans have the same one with probability 2**-64."""
     size = ends - starts
     out = np.zeros(len(starts), np.uint64)
     for i in np.flatnonzero(size > TABLED).tolist():
@@ -126,7 +117,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.n
         first = np.cumsum(n) - n
         place = np.arange(n.sum()) - np.repeat(first, n)
         out[which] = np.add.reduceat(_TABLE.take(place * 256 + code.take(place + np.repeat(starts[which], n))), first)
-    return mixed(out), starts, ends, np.searchsorted(starts, at)
+    return mixed(out)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of consecutive texts: a 64-bit hash, byte start, byte end; and each text's first word.
+
+    fold gives for each byte what it counts as, 0 for bytes between words."""
+    code = fold[raw]
+    inside = np.zeros(len(code) + 2, bool)
+    inside[1:-1] = code != 0
+    cut = np.zeros(len(code) + 1, bool)
+    cut[at] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    return span_hashes(code, starts, ends), starts, ends, np.searchsorted(starts, at)
 
 
 def same_words(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:

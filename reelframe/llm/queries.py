@@ -10,6 +10,7 @@ from .licenses import op8_license_scan
 from .minhash import op10_minhash_dedup
 from .pii import op1_pii
 from .quality import op3_quality
+from .sentences import op13_sentencepiece
 from .toxicity import op7_toxicity
 from .urls import op5_url_filter
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
