@@ -1,11 +1,8 @@
-"""Helpers that the corpus operators share: folds, cut lineage, and text columns as byte arrays."""
+"""Helpers that the corpus operators share: folds, and text columns as byte arrays."""
 
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -15,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import hold  # noqa: F401
+
 #: Text bytes that one step inside a task works on; a longer document is taken alone and whole.
 PIECE_BYTES = 1 << 19
 
@@ -28,25 +27,6 @@ def fold_is(key: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == remainder, F.lit(True))
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """The rows as a table written in the folder that spark.checkpoint.dir names, which cuts the lineage.
-
-    Where nothing is set, a local folder does in local mode, as in tests; on a cluster that is an error, as executors
-    would not see each other's files. Columnar files are a fraction of checkpoint()'s size. The files of a table go
-    when the driver ends."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _HELD: dict = {}
 
 

@@ -9,7 +9,9 @@ from .language import op9_language_id
 from .licenses import op8_license_scan
 from .minhash import op10_minhash_dedup
 from .pii import op1_pii
+from .prefixes import op11_prefix_trie
 from .quality import op3_quality
+from .search import op12_lexical_search
 from .sentences import op13_sentencepiece
 from .toxicity import op7_toxicity
 from .urls import op5_url_filter
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -81,6 +85,29 @@ SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (k
  sha256(coalesce(string_agg(concat_ws(':', kind, a, b), ',' ORDER BY o, kind, a, b) FILTER (o < 5), '')) AS base_sha256, coalesce(string_agg(concat_ws(':', kind, a, b), ',' ORDER BY o, kind, a, b) FILTER (o IS NOT NULL), '') AS spans
 FROM t LEFT JOIN spans ON t.doc_id = spans.doc_id GROUP BY t.doc_id"""
 
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))),
+ lambda p, q: list_reduce(list_prepend(xor(p, q), [0, 1, 2, 3, 4, 5, 6, 7]), lambda y, k: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295)"""
+
+_TRIE = f"""
+WITH t AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, r, t) AS s FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) x GROUP BY conv_id),
+h AS (SELECT conv_id, s, conv_id - conv_id % 100 AS base, CAST({_CRC} % 6 AS BIGINT) AS h FROM t),
+b AS (SELECT h.conv_id, list_concat(coalesce(t.s, [])[1:h], h.s[h + 1:]) AS s FROM h LEFT JOIN t ON t.conv_id = h.base),
+p AS (SELECT conv_id AS c, d, len(s) AS n, s[1:d] AS k, s[1:d - 1] AS up, CASE WHEN d = 0 THEN 0 ELSE length(s[d].t) END AS chars FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b) x),
+v AS (SELECT d, k, any_value(up) AS up, min(c) AS node, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends FROM p GROUP BY d, k),
+kid AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM v WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT a.d, a.k, count(*) FILTER (kid.n IS NULL) AS leaves, sum(v.saved) AS saved FROM v JOIN p ON p.c = v.node AND p.d <= v.d JOIN v a ON a.d = p.d AND a.k = p.k LEFT JOIN kid ON kid.d = v.d AND kid.k = v.k GROUP BY a.d, a.k)
+SELECT v.node AS conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN o.node END AS parent_conv_id, v.n_convs, coalesce(kid.n, 0) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN sub ON sub.d = v.d AND sub.k = v.k LEFT JOIN kid ON kid.d = v.d AND kid.k = v.k LEFT JOIN v o ON o.d = v.d - 1 AND o.k = v.up"""
+
+_RANKED = rf"""
+WITH d AS (SELECT doc_id, len(w) AS n, w FROM (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents) x),
+c AS (SELECT count(*) FILTER (n > 0) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM d),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark) x GROUP BY ALL),
+f AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM d) x WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score FROM q JOIN v USING (t) JOIN f USING (t), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 #: No entry where SQL cannot express the result (trained models, BPE); tests hold those against brute force or
 #: held-out accuracy.
-ORACLES: dict[str, str] = {"op1_pii": _PRIVATE, "op2_decontamination": _CONTAMINATION, "op6_embedding_dedup": _VECTORS, "op10_minhash_dedup": _NEAR}
+ORACLES: dict[str, str] = {"op1_pii": _PRIVATE, "op2_decontamination": _CONTAMINATION, "op6_embedding_dedup": _VECTORS, "op10_minhash_dedup": _NEAR, "op11_prefix_trie": _TRIE, "op12_lexical_search": _RANKED}
