@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -29,15 +30,18 @@ def _single(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(one), "".join(one.values()))
 
 
+#: What is left of characters that become several: up to the letter-like symbols, and Latin ligatures.
+_SPELT = {c: t for c, t in _ASCII.items() if len(t) > 1 and (c < "\u2200" or "\ufb00" <= c <= "\ufb06")}
+
+
 def ascii_only(text: Column) -> Column:
     """Text in ASCII: letters without their marks, everything else left out.
 
     Ligatures, fractions and the like are spelt out up to the letter-like symbols; squared units and circled numbers of
     East Asian sets are left out."""
-    several = {c: t for c, t in _ASCII.items() if len(t) > 1 and (c < "\u2200" or "\ufb00" <= c <= "\ufb06")}
-    spelt = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spelt = F.str_to_map(F.lit("\u0001".join(c + "\u0002" + t for c, t in _SPELT.items())), F.lit("\u0001"), F.lit("\u0002"))  # one literal
     each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(spelt[c], c)), "")
-    known = F.when(F.length(F.translate(text, "".join(several), "")) < F.length(text), each).otherwise(text)
+    known = F.when(F.length(F.translate(text, "".join(_SPELT), "")) < F.length(text), each).otherwise(text)
     return F.regexp_replace(_single(known, _ASCII), r"[^\x00-\x7F]", "")
 
 
@@ -56,6 +60,12 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(ascii_only(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " "))
 
 
+def folded(text: str) -> str:
+    """fold() of a text that is known when the query is built."""
+    plain = "".join(c if c.isascii() else t if len(t := _ASCII.get(c, "")) <= 1 else _SPELT.get(c, "") for c in text)
+    return " ".join(re.findall("[a-z0-9]+", plain.lower()))
+
+
 def fold_keeping_signs(text: Column) -> Column:
     """Lower-case ASCII with its punctuation."""
     return F.lower(squashed(ascii_only(F.coalesce(text, F.lit("")))))
@@ -100,8 +110,10 @@ def blank(text: Column) -> Column:
 
 def holds_any(text: Column, terms: list[str]) -> Column:
     """Whether folded text holds a folded term, inside longer words too."""
-    needles = F.array(*(fold(F.lit(t)) for t in terms))
-    return F.exists(needles, lambda t: F.contains(text, t))
+    found = F.lit(False)
+    for t in terms:
+        found = found | F.contains(text, F.lit(folded(t)))
+    return found
 
 
 def looks_english(text: Column) -> Column:

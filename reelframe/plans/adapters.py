@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 ADAPTERS = {
     # a film is a part of a source, so that films are many and bounded however large the tables are
-    "shots": """SELECT film_id, n, fin - duree AS debut, fin, duree, description, lang, certitude, echelle, lieu, machine, interface, mots_cles, modele, generique, texte_role, lieu_decors, objets_cles, vignettes, vignette
+    "shots": """SELECT film_id, n, fin - duree AS debut, fin, duree, description, lang, certitude, echelle, lieu, machine, interface, mots_cles, modele, generique, texte_role, lieu_decors, objets_cles, personnages_sujets, machine_types, vignettes, vignette
 FROM (SELECT d.film_id, CAST(row_number() OVER (PARTITION BY d.film_id ORDER BY d.doc_id) AS BIGINT) AS n,
   CAST(1 + d.n_chars % 40 AS DOUBLE) AS duree,
   CAST(sum(1 + d.n_chars % 40) OVER (PARTITION BY d.film_id ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS fin,
@@ -19,7 +19,10 @@ FROM (SELECT d.film_id, CAST(row_number() OVER (PARTITION BY d.film_id ORDER BY
   d.doc_id % 4 = 0 AS machine, CASE WHEN d.doc_id % 8 = 0 THEN 'hologramme' ELSE '' END AS interface,
   substr(d.text, 1, 40) AS mots_cles, concat('model-', CAST(d.doc_id % 3 AS VARCHAR(9))) AS modele,
   d.doc_id % 41 = 0 AS generique, CASE WHEN d.doc_id % 41 = 0 THEN 'carton de fin' ELSE '' END AS texte_role,
-  substr(d.text, 60, 12) AS lieu_decors, substr(d.text, 90, 9) AS objets_cles,
+  CASE CAST((d.doc_id - d.doc_id % 20) / 20 AS BIGINT) % 6 WHEN 0 THEN 'Intérieur' WHEN 1 THEN 'rue' WHEN 2 THEN 'Rue' WHEN 3 THEN 'indéterminé' ELSE substr(d.text, 60, 12) END AS lieu_decors,
+  CASE CAST((d.doc_id - d.doc_id % 20) / 20 AS BIGINT) % 7 WHEN 0 THEN 'aucun' WHEN 1 THEN 'Tension' WHEN 2 THEN 'lampe' WHEN 3 THEN 'Lampe !' WHEN 4 THEN ' voiture' ELSE substr(d.text, 90, 9) END AS objets_cles,
+  CASE CAST((d.doc_id - d.doc_id % 20) / 20 AS BIGINT) % 5 WHEN 0 THEN 'Un homme' WHEN 1 THEN 'une foule' WHEN 2 THEN 'Un Homme' WHEN 3 THEN '' ELSE d.lang END AS personnages_sujets,
+  CASE WHEN d.doc_id % 4 > 0 THEN NULL WHEN d.doc_id % 3 = 0 THEN '' WHEN d.doc_id % 9 = 1 THEN 'Écran' WHEN d.doc_id % 9 = 2 THEN 'ecran' WHEN d.doc_id % 9 = 4 THEN 'Aucune' ELSE 'tableau de bord' END AS machine_types,
   concat('t/', CAST(d.doc_id AS VARCHAR(19)), '-1.jpg|t/', CAST(d.doc_id AS VARCHAR(19)), '-2.jpg|t/', CAST(d.doc_id AS VARCHAR(19)), '-3.jpg') AS vignettes, concat('m/', CAST(d.doc_id AS VARCHAR(19)), '.jpg') AS vignette
   FROM (SELECT *, concat(source, '-', CAST(CAST((doc_id - doc_id % 2000) / 2000 AS BIGINT) AS VARCHAR(19))) AS film_id FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id) s""",
     "films": """SELECT concat('src', CAST(s_suppkey % 20 AS VARCHAR(9)), '-', CAST(CAST((s_suppkey - s_suppkey % 20) / 20 AS BIGINT) AS VARCHAR(19))) AS film_id, CAST(s_suppkey AS BIGINT) AS number, s_name AS titre, CAST(1950 + s_suppkey % 50 AS INT) AS annee,

@@ -9,14 +9,15 @@ from reelframe.functions.numbers import jaccard
 from reelframe.operators import characters, dialogue, layers, scenes, scoring, sequences
 
 from .adapters import query
+from .shots import _TC
 
 #: Terms that occur in the test texts.
 THEMES = {"feu": ["the", "tion"], "groupe": ["que", "eau"], "voiture/ville": ["und", "ung"], "refuge/intérieur": ["los", "cion"]}
 FOLD = "trim(regexp_replace(lower(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
-_SEEN = "concat_ws(' ', " + ", ".join(f"nullif(trim({c}), '')" for c in ("description", "lieu", "echelle", "texte_role", "mots_cles", "lieu_decors", "objets_cles")) + ")"
+_SEEN = "concat_ws(' ', " + ", ".join(f"nullif(trim({c}), '')" for c in ("description", "lieu", "echelle", "texte_role", "mots_cles", "machine_types", "lieu_decors", "objets_cles", "personnages_sujets")) + ")"
 _TEXT = FOLD.format(_SEEN)
 _STOP = ", ".join(f"'{w}'" for w in sorted(scenes.STOP))
-_WHOLE = ", ".join(FOLD.format(f"nullif(trim({c}), '')") for c in ("mots_cles", "lieu_decors", "objets_cles"))
+_WHOLE = ", ".join(FOLD.format(f"nullif(trim({c}), '')") for c in scenes.SIGNED if c != "attitudes_expressions")
 _SIGNED = f"list_distinct(list_filter(list_concat(string_split({_TEXT}, ' '), [{_WHOLE}]), lambda w: length(w) >= 4 AND w NOT IN ({_STOP})))"
 _ORDER = scenes.order_of(THEMES)
 _HAS = [f"CASE WHEN {' OR '.join(f"contains(t, '{x}')" for x in terms)} THEN {{}} END" for terms in THEMES.values()]
@@ -82,42 +83,84 @@ def scene_members(shots: DataFrame) -> DataFrame:
 _N = len(_ORDER)
 _COUNT = "len(list_filter(tg, lambda x: x = {0}))"
 _BEST = f"list_sort(list_transform(range(1, {len(THEMES) + 2}), lambda i: [-{_COUNT.format('i')}, i]))[1]"
-_TOP = "list_transform(list_sort(list_transform(list_distinct({0}), lambda v: {{'c': -len(list_filter({0}, lambda x: x = v)), 'p': list_position({0}, v), 'v': v}}))[1:{1}], lambda s: s.v)"
 _SHORT = "list_transform([{{'t': trim(regexp_replace({0}, '\\s+', ' ', 'g')), 'n': {1}}}], lambda s: CASE WHEN length(s.t) <= s.n THEN s.t ELSE concat(regexp_replace(regexp_replace(substr(s.t, 1, s.n), ' [^ ]*$', ''), '[ .,;:]+$', ''), '…') END)[1]"
 _HINT = " ".join(f"WHEN {' AND '.join('(' + ' OR '.join(f"contains(h, '{t}')" for t in g.split('|')) + ')' for g in groups)} THEN '{said}'" for groups, said in scenes.HINTS)
 _KINDS = "[" + ", ".join(f"'{t}'" for t in _ORDER) + "]"
 _MOMENTS = " ".join(f"WHEN contains(words, {FOLD.format(f"'{m}'")}) THEN '{m}'" for m in scenes.MOMENTS)
+#: What the themes of the test texts are called, and what is at stake in them; those left out have the general words.
+LABELS = {"feu": "Autour du feu", "groupe": "Rencontre d’un groupe"}
+STAKES = {"feu": "Affrontement autour des flammes."}
+_NAMES = "[" + ", ".join(f"'{(scenes.LABELS | LABELS).get(t, scenes.LABELS[scenes.FLOW])}'" for t in _ORDER) + "]"
+_AT_STAKE = "[" + ", ".join(f"'{(scenes.STAKES | STAKES).get(t, scenes.STAKES[scenes.FLOW])}'" for t in _ORDER) + "]"
+_LISTS = {"o": "objets_cles", "d": "lieu_decors", "m": "mots_cles", "a": "machine_types", "p": "personnages_sujets"}
+_NEUTRAL = ", ".join(f"'{w}'" for w in scenes.NEUTRAL)
+_COMMON = ", ".join(f"'{w}'" for w in scenes.GENERIC)
+
+
+def _tells(c: str) -> str:
+    short = _SHORT.format(f"trim({c})", 90)
+    return f"{{'t': {short}, 'k': {FOLD.format(short)}}}"
+
+
+#: Terms of a list, most frequent first, first seen first; then each folded form once.
+_BY_COUNT = "list_transform(list_sort(list_transform(list_distinct({0}), lambda v: {{'c': -len(list_filter({0}, lambda x: x = v)), 'p': list_position({0}, v), 'v': v}})), lambda s: s.v)"
+_ONCE = "list_filter({0}, lambda x, i: x.k <> '' AND list_position(list_transform({0}, lambda y: y.k), x.k) = i)[1:{1}]"
+_SPECIFIC = f"list_filter({{0}}, lambda x: lower(x.t) NOT IN ({_COMMON}))"
+_TOLD = "array_to_string(list_transform({0}, lambda x: x.t), '{1}')"
+_SCENES = f"""{_MEMBERS},
+told_of AS (SELECT *, {", ".join(f"{_tells(c)} AS t_{k}" for k, c in _LISTS.items())} FROM members),
+gathered AS (SELECT film_id, scene, list(n ORDER BY n) AS plans, count(*) AS size, min_by(debut, n) AS debut, max_by(fin, n) AS fin, flatten(list(tags ORDER BY n)) AS tg, coalesce(list(trim(lieu) ORDER BY n) FILTER (trim(lieu) <> ''), []) AS lx,
+ {", ".join(f"coalesce(list(t_{k} ORDER BY n) FILTER (t_{k}.t <> '' AND t_{k}.k NOT IN ({_NEUTRAL})), []) AS l_{k}" for k in _LISTS)},
+ list(coalesce(description, '') ORDER BY n) AS ds, string_agg(t, ' ' ORDER BY n) AS words, {FOLD.format("string_agg(nullif(trim(texte_role), ''), ' ' ORDER BY n)")} AS role FROM told_of GROUP BY film_id, scene),
+ordered AS (SELECT *, {", ".join(f"{_BY_COUNT.format(f'l_{k}')} AS b_{k}" for k in _LISTS)}, {_BY_COUNT.format("lx")}[1] AS l1 FROM gathered),
+picked AS (SELECT *, {", ".join(f"{_SPECIFIC.format(f'b_{k}')} AS s_{k}" for k in "odm")}, {_ONCE.format("b_d", 3)} AS d3, {_ONCE.format("b_a", 8)} AS a8, {_ONCE.format("b_p", 8)} AS p8 FROM ordered),
+pooled AS (SELECT *, {_ONCE.format("s_o", 10)} AS o10, {_ONCE.format("s_d", 8)} AS d8, {_ONCE.format("s_m", 10)} AS m10, list_concat({_ONCE.format("s_o", 10)}, {_ONCE.format("s_d", 8)}, {_ONCE.format("s_m", 10)}, a8) AS pool FROM picked),
+motived AS (SELECT *, list_transform({_ONCE.format("w", 10)}, lambda x: x.t) AS motifs FROM (SELECT *, {_SPECIFIC.format(_BY_COUNT.format("pool"))} AS w FROM pooled) x),
+typed AS (SELECT *, CASE WHEN {_COUNT.format(1)} = size THEN 1 WHEN {_BEST}[1] < 0 AND -{_BEST}[1] >= greatest(1, size // 3) THEN {_BEST}[2] WHEN {_COUNT.format(_N - 1)} >= greatest(1, size // 2) THEN {_N - 1} ELSE {_MAIN.format("tg")} END AS k,
+ {_TOLD.format("list_concat(o10, d8, m10)", " ").replace("x.t", "x.k")} AS h, list_filter([{_SHORT.format("ds[1]", 230)}, {_SHORT.format("ds[CAST(size // 2 + 1 AS BIGINT)]", 230)}, {_SHORT.format("ds[-1]", 220)}], lambda x: x <> '') AS told FROM motived),
+hinted AS (SELECT *, list_filter(told, lambda x, i: list_position(list_transform(told, lambda y: {FOLD.format("y")}), {FOLD.format("x")}) = i) AS once,
+ {_COUNT.format(1)} BETWEEN 1 AND size - 1 OR size > 10 AND {_COUNT.format("k")} < greatest(2, size // 3) OR size > 1 AND fin - debut > 180 AS doubt,
+ CASE WHEN k = 1 THEN CASE WHEN plans[1] <= 25 THEN 'Générique d’ouverture' WHEN plans[1] > 500 OR contains(role, 'fin') AND plans[1] > 400 THEN 'Générique de fin' ELSE 'Générique' END ELSE {_NAMES}[k] END AS label,
+ concat({_AT_STAKE}[k], CASE WHEN len(motifs) > 0 AND k NOT IN (1, {_N - 1}) THEN concat(' Motifs dominants : ', array_to_string(motifs[1:3], ', '), '.') ELSE '' END) AS action FROM typed),
+rows_ AS (SELECT film_id, scene, printf('scene_%03d', scene) AS scene_id, scene AS numero_scene, concat(printf('Scène %03d — ', scene), label, CASE WHEN k = 1 THEN '' WHEN len(motifs) > 0 THEN concat(' — ', array_to_string(motifs[1:2], ', ')) ELSE concat(' — plans ', plans[1], '-', plans[-1]) END) AS titre,
+ {_KINDS}[k] AS type_scene, plans[1] AS plan_debut, plans[-1] AS plan_fin, array_to_string(plans, ',') AS plans, round_even(debut, 3) AS debut, round_even(fin, 3) AS fin, round_even(fin - debut, 3) AS duree, {_TC.format("debut")} AS tc_debut, {_TC.format("fin")} AS tc_fin,
+ CASE WHEN len(once) > 0 THEN {_SHORT.format("array_to_string(once, ' ')", 620)} ELSE '{scenes.UNTOLD}' END AS resume_scene, {_SHORT.format(f"concat_ws(' — ', coalesce(l1, 'indéterminé'), nullif({_TOLD.format('d3', ', ')}, ''))", 220)} AS lieu,
+ CASE {_MOMENTS} ELSE 'indéterminée' END AS temporalite, {_SHORT.format("action", 260)} AS action_principale, {_SHORT.format(_TOLD.format("m10[1:5]", ", "), 220)} AS ambiance, {_TOLD.format("p8", "|")} AS personnages_visibles, {_TOLD.format("o10", "|")} AS objets_significatifs,
+ array_to_string(motifs, '|') AS motifs_structurants, {_SHORT.format("action", 320)} AS enjeu_narratif,
+ {_SHORT.format(f"CASE {_HINT} ELSE concat('{scenes.AROUND}', CASE WHEN len(motifs) > 0 THEN array_to_string(motifs[1:6], ', ') ELSE '{scenes.SAME}' END, '{scenes.CAUTION}') END", 620)} AS contexte_pour_plans,
+ CASE WHEN doubt THEN 'moyenne' ELSE 'bonne' END AS confiance, doubt AS a_verifier FROM hinted)"""
+_JOINED = {"plans": ",", "personnages_visibles": "|", "objets_significatifs": "|", "motifs_structurants": "|"}
+
+
+def _rows(shots: DataFrame) -> DataFrame:
+    """Scene rows; lists as texts."""
+    rows = _featured(shots)
+    made = scenes.described(rows, scenes.scenes_of(rows, THEMES), THEMES, labels=LABELS, stakes=STAKES)
+    return made.withColumns({c: F.array_join(F.col(c).cast("array<string>"), sign) for c, sign in _JOINED.items()})
 
 
-@query(
-    "shots",
-    oracle=f"""{_MEMBERS},
-gathered AS (SELECT film_id, scene, min(n) AS plan_debut, max(n) AS plan_fin, count(*) AS size, min(debut) AS debut, max(fin) AS fin, flatten(list(tags ORDER BY n)) AS tg, list(nullif(trim(lieu), '') ORDER BY n) FILTER (nullif(trim(lieu), '') IS NOT NULL) AS lx,
- list(trim(lieu_decors) ORDER BY n) FILTER (nullif(trim(lieu_decors), '') IS NOT NULL) AS dx, list(trim(objets_cles) ORDER BY n) FILTER (nullif(trim(objets_cles), '') IS NOT NULL) AS ox, list(trim(mots_cles) ORDER BY n) FILTER (nullif(trim(mots_cles), '') IS NOT NULL) AS mx,
- list(coalesce(description, '') ORDER BY n) AS ds, string_agg(t, ' ' ORDER BY n) AS words, {FOLD.format("string_agg(texte_role, ' ' ORDER BY n)")} AS role FROM members GROUP BY film_id, scene),
-typed AS (SELECT *, CASE WHEN {_COUNT.format(1)} = size THEN 1 WHEN {_BEST}[1] < 0 AND -{_BEST}[1] >= greatest(1, size // 3) THEN {_BEST}[2] WHEN {_COUNT.format(_N - 1)} >= greatest(1, size // 2) THEN {_N - 1} ELSE {_MAIN.format("tg")} END AS k,
- {_TOP.format("lx", 1)} AS l1, coalesce({_TOP.format("dx", 8)}, []) AS d8, coalesce({_TOP.format("ox", 10)}, []) AS o10, coalesce({_TOP.format("mx", 10)}, []) AS m10,
- list_filter([{_SHORT.format("ds[1]", 230)}, {_SHORT.format("ds[CAST(size // 2 + 1 AS BIGINT)]", 230)}, {_SHORT.format("ds[-1]", 220)}], lambda x: x <> '') AS told FROM gathered),
-hinted AS (SELECT *, list_filter(list_concat(o10, d8, m10), lambda v, i: list_position(list_concat(o10, d8, m10), v) = i) AS motifs, array_to_string(list_transform(list_concat(o10, d8, m10), lambda v: {FOLD.format("v")}), ' ') AS h,
- list_filter(told, lambda x, i: list_position(list_transform(told, lambda y: {FOLD.format("y")}), {FOLD.format("x")}) = i) AS once,
- {_COUNT.format(1)} BETWEEN 1 AND size - 1 OR size > 10 AND {_COUNT.format("k")} < greatest(2, size // 3) OR size > 1 AND fin - debut > 180 AS doubt FROM typed)
-SELECT film_id, scene, printf('scene_%03d', scene) AS scene_id, plan_debut, plan_fin, size, round_even(debut, 3) AS debut, round_even(fin, 3) AS fin, {_KINDS}[k] AS type_scene,
- CASE WHEN k = 1 THEN CASE WHEN plan_debut <= 25 THEN 'Générique d’ouverture' WHEN plan_debut > 500 OR contains(role, 'fin') AND plan_debut > 400 THEN 'Générique de fin' ELSE 'Générique' END ELSE {_KINDS}[k] END AS libelle,
- concat_ws(' — ', coalesce(l1[1], 'indéterminé'), nullif(array_to_string(d8[1:3], ', '), '')) AS lieu, CASE {_MOMENTS} ELSE 'indéterminée' END AS temporalite,
- CASE WHEN len(once) > 0 THEN {_SHORT.format("array_to_string(once, ' ')", 620)} ELSE '{scenes.UNTOLD}' END AS resume,
- {_SHORT.format(f"CASE {_HINT} ELSE concat('{scenes.AROUND}', CASE WHEN len(motifs) > 0 THEN array_to_string(motifs[1:6], ', ') ELSE '{scenes.SAME}' END, '{scenes.CAUTION}') END", 620)} AS contexte,
- CASE WHEN doubt THEN 'moyenne' ELSE 'bonne' END AS confiance, doubt AS a_verifier FROM hinted""",
-)
+@query("shots", oracle=f"{_SCENES} SELECT * FROM rows_")
 def scene_rows(shots: DataFrame) -> DataFrame:
-    rows = _featured(shots)
-    return scenes.described(rows, scenes.scenes_of(rows, THEMES), THEMES)
+    return _rows(shots)
+
+
+_AS = "scene_id, numero_scene AS scene_numero, titre AS scene_titre, type_scene AS scene_type, resume_scene AS scene_resume, lieu AS scene_lieu, temporalite AS scene_temporalite, action_principale AS scene_action_principale, ambiance AS scene_ambiance, personnages_visibles AS scene_personnages_visibles, objets_significatifs AS scene_objets_significatifs, motifs_structurants AS scene_motifs_structurants, enjeu_narratif AS scene_enjeu_narratif, contexte_pour_plans AS scene_contexte, confiance AS scene_confiance, a_verifier AS scene_a_verifier"
+
+
+@query("shots", oracle=f"{_SCENES} SELECT s.film_id, s.n, r.* EXCLUDE (film_id, plan_debut, plan_fin) FROM shots s LEFT JOIN (SELECT film_id, plan_debut, plan_fin, {_AS} FROM rows_ WHERE scene % 4 <> 2) r ON s.film_id = r.film_id AND s.n BETWEEN r.plan_debut AND r.plan_fin")
+def shot_scenes(shots: DataFrame) -> DataFrame:
+    """What each shot takes over from its scene; every fourth scene isn't there, so its shots have none."""
+    return scenes.with_scene(shots.select("film_id", "n"), _rows(shots).where("scene % 4 <> 2"))
 
 
-@query("shots", oracle=f"{_MEMBERS} SELECT film_id, scene, string_agg(w, ' | ' ORDER BY c DESC, f, w) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY film_id, scene ORDER BY c DESC, f, w) AS k FROM (SELECT film_id, scene, w, count(*) AS c, min(n) AS f FROM (SELECT film_id, scene, n, unnest(sig) AS w FROM members) x GROUP BY ALL) y) z WHERE k <= 8 GROUP BY film_id, scene")
+@query("shots", oracle=f"""{_MEMBERS}, x AS (SELECT film_id, scene, n, pos, {_tells("v")} AS s FROM (SELECT film_id, scene, n, unnest([0, 1, 2]) AS pos, unnest([lieu_decors, objets_cles, personnages_sujets]) AS v FROM members) y),
+c AS (SELECT film_id, scene, s.t AS t, s.k AS k, count(*) AS c, min([n, pos]) AS f FROM x WHERE s.t <> '' AND s.k NOT IN ({_NEUTRAL}, '') AND lower(s.t) NOT IN ({_COMMON}) GROUP BY ALL)
+SELECT film_id, scene, string_agg(t, ' | ' ORDER BY c DESC, f, t) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY film_id, scene ORDER BY c DESC, f, t) AS r FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY film_id, scene, k ORDER BY c DESC, f, t) = 1) u) w WHERE r <= 8 GROUP BY film_id, scene""")
 def scene_terms(shots: DataFrame) -> DataFrame:
     rows = _featured(shots)
     placed = rows.join(scenes.scenes_of(rows, THEMES), ["film_id", "n"])
-    return scenes.frequent_terms(placed.select("film_id", "scene", "n", F.explode("signature").alias("t")), "t", 8, ["film_id", "scene"])
+    fields = F.array(*(F.coalesce(F.trim(c), F.lit("")) for c in ("lieu_decors", "objets_cles", "personnages_sujets")))
+    return scenes.frequent_terms(placed.withColumn("x", fields), "x", 8, ["film_id", "scene"])
 
 
 @query(
@@ -133,10 +176,14 @@ def scene_faults(shots: DataFrame) -> DataFrame:
     return scenes.faults(rows, worn)
 
 
-@query("shots", oracle=f"{_MEMBERS} SELECT film_id, n, CASE WHEN n % 2 = 0 THEN 1 ELSE scene END AS scene FROM members")
+@query("shots", oracle=f"{_MEMBERS} SELECT film_id, n, CASE WHEN n % 2 = 0 THEN 1 WHEN n % 5 = 0 THEN least(2, scene_max) ELSE scene END AS scene FROM (SELECT *, max(scene) OVER (PARTITION BY film_id) AS scene_max FROM members) x")
 def scene_lookup(shots: DataFrame) -> DataFrame:
-    """Shots of even numbers state the first scene; the others are looked up by their number."""
+    """Shots of even numbers state the first scene, every other fifth one stands in the second scene's list (the last
+    one's, where there is only one); the others are looked up by their number."""
     made = scenes.scenes_of(_featured(shots), THEMES).groupBy("film_id", "scene").agg(F.min("n").alias("plan_debut"), F.max("n").alias("plan_fin"), F.format_string("scene_%03d", F.first("scene")).alias("scene_id"))
+    listed = shots.where("n % 5 = 0").groupBy("film_id").agg(F.collect_list("n").alias("plans"))
+    last = made.groupBy("film_id").agg(F.least(F.lit(2), F.max("scene")).alias("scene"))
+    made = made.join(last.join(listed, "film_id"), ["film_id", "scene"], "left")
     keyed = shots.select("film_id", "n", F.when(F.col("n") % 2 == 0, "scene_001").alias("scene_id"))
     return scenes.looked_up(keyed, made).select("film_id", "n", "scene")
 

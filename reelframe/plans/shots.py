@@ -13,11 +13,11 @@ from .adapters import query
 # what the oracles share
 _BLANK = "coalesce({0}, '') = ''"
 _DOUBT = """CASE WHEN certitude = 'douteux' THEN 5 WHEN certitude = 'probable' THEN 3 WHEN coalesce(certitude, '') = '' THEN 2 ELSE 0 END
- + CASE WHEN machine THEN 4 ELSE 0 END + CASE WHEN machine AND coalesce(interface, '') = '' THEN 2 ELSE 0 END
+ + CASE WHEN machine AND coalesce(machine_types, '') = '' THEN 4 ELSE 0 END + CASE WHEN machine AND coalesce(interface, '') = '' THEN 2 ELSE 0 END
  + CASE WHEN coalesce(description, '') = '' THEN 2 ELSE 0 END + CASE WHEN coalesce(mots_cles, '') = '' THEN 2 ELSE 0 END
  + CASE WHEN coalesce(echelle, '') = '' THEN 2 ELSE 0 END + CASE WHEN coalesce(lieu, '') = '' THEN 2 ELSE 0 END"""
 _REASONS = """concat_ws('|', CASE WHEN certitude = 'douteux' THEN 'certitude douteux' END, CASE WHEN certitude = 'probable' THEN 'certitude probable' END,
- CASE WHEN coalesce(certitude, '') = '' THEN 'certitude absente' END, CASE WHEN machine THEN 'machine visible sans type d’appareil' END,
+ CASE WHEN coalesce(certitude, '') = '' THEN 'certitude absente' END, CASE WHEN machine AND coalesce(machine_types, '') = '' THEN 'machine visible sans type d’appareil' END,
  CASE WHEN machine AND coalesce(interface, '') = '' THEN 'machine visible sans typologie d’affichage' END,
  CASE WHEN coalesce(description, '') = '' THEN 'description absente' END, CASE WHEN coalesce(mots_cles, '') = '' THEN 'mots-clés absents' END,
  CASE WHEN coalesce(echelle, '') = '' THEN 'échelle absente' END, CASE WHEN coalesce(lieu, '') = '' THEN 'lieu absent' END)"""
