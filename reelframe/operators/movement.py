@@ -112,3 +112,15 @@ def compared(rows: DataFrame, columns: list[str], k: int = 15) -> DataFrame:
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("non renseigné")).alias("value")) for c in columns))).alias("x")).select("x.*")
     counts = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "value")).cast("long")).where(F.col("rank") <= k)
+
+
+def conflicts(shots: DataFrame) -> DataFrame:
+    """The shots whose measured and video movements disagree, with what each says."""
+    said = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("n/a")).alias(c)
+    return shots.where(F.coalesce("mouvement_camera_conflit", F.lit(False))).select("film_id", "n", "tc", *(said(c) for c in ("mouvement_camera", "mouvement_video_camera", "mouvement_camera_final")))
+
+
+def unclassed(shots: DataFrame) -> DataFrame:
+    """How many shots are in conflict, and how many have a measured movement and no video class."""
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return shots.agg(F.count_if("mouvement_camera_conflit").alias("conflicts"), F.count_if(some("mouvement_camera") & ~some("mouvement_video_camera")).alias("without_video"))

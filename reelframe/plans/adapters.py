@@ -25,6 +25,21 @@ FROM (SELECT d.film_id, CAST(row_number() OVER (PARTITION BY d.film_id ORDER BY
   CASE WHEN d.doc_id % 4 > 0 THEN NULL WHEN d.doc_id % 3 = 0 THEN '' WHEN d.doc_id % 9 = 1 THEN 'Écran' WHEN d.doc_id % 9 = 2 THEN 'ecran' WHEN d.doc_id % 9 = 4 THEN 'Aucune' ELSE 'tableau de bord' END AS machine_types,
   concat('t/', CAST(d.doc_id AS VARCHAR(19)), '-1.jpg|t/', CAST(d.doc_id AS VARCHAR(19)), '-2.jpg|t/', CAST(d.doc_id AS VARCHAR(19)), '-3.jpg') AS vignettes, concat('m/', CAST(d.doc_id AS VARCHAR(19)), '.jpg') AS vignette
   FROM (SELECT *, concat(source, '-', CAST(CAST((doc_id - doc_id % 2000) / 2000 AS BIGINT) AS VARCHAR(19))) AS film_id FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id) s""",
+    # how far the shots of a film have come; a film's remainder by eight says what is lacking: nothing, a few shots, a few
+    # shots and a thumbnail, a few shots that weren't tried, some shots, a third of the shots
+    "states": """SELECT concat('f', CAST(film AS VARCHAR(19))) AS film_id, n, CASE WHEN lacking AND k % 2 = 0 THEN '' ELSE 'told' END AS description, CASE WHEN lacking AND k % 2 = 1 THEN NULL ELSE 'plan large' END AS echelle, 'rue' AS lieu,
+  CASE WHEN lacking OR r = 6 THEN '' ELSE l_returnflag END AS mots_cles, CASE WHEN r = 3 AND lacking THEN ' ' WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN '' ELSE concat('model-', CAST(k % 4 AS VARCHAR(9))) END AS modele,
+  CASE WHEN r = 3 AND lacking THEN '' WHEN k % 3 = 0 THEN concat(' model-', CAST(l_suppkey % 2 AS VARCHAR(9))) ELSE NULL END AS modele_analyse, CASE WHEN k % 3 = 1 AND l_suppkey % 2 = 0 AND r <> 3 THEN '2026-01-02' ELSE '' END AS analyse_mesuree_le,
+  CASE WHEN k % 3 = 1 AND l_suppkey % 2 = 1 AND r <> 3 THEN CAST(0 AS DOUBLE) ELSE NULL END AS temps_analyse_secondes, CASE WHEN r = 2 AND k % 211 = 7 THEN '' ELSE 'm.jpg' END AS vignette, CASE WHEN r = 4 AND k % 97 = 5 THEN 'a| |c' WHEN r = 5 AND k % 50 = 6 THEN 'a|b' ELSE 'a|b|c' END AS vignettes,
+  k % 4 = 0 AS machine, CASE WHEN l_suppkey % 3 = 0 THEN TRUE WHEN l_suppkey % 3 = 1 THEN FALSE ELSE NULL END AS dialogue, CASE WHEN l_suppkey % 7 = 1 THEN 'bonjour' WHEN l_suppkey % 7 = 2 THEN ' ' ELSE NULL END AS dialogue_texte, CASE l_suppkey % 5 WHEN 0 THEN 'whisper' WHEN 1 THEN ' sous-titres ' WHEN 2 THEN concat('piste ', CAST(film % 3 AS VARCHAR(9))) ELSE '' END AS dialogue_source,
+  l_suppkey % 11 = 0 AS musique_presente, CASE WHEN l_suppkey % 13 = 0 THEN 'heard' ELSE NULL END AS audio_detaille, l_suppkey % 26 = 0 AS audio_erreur, CASE WHEN l_suppkey % 17 = 0 THEN 'seq_00001_00002' ELSE '' END AS audio_global_ref, CASE WHEN k % 10 = 3 THEN 'refined' ELSE NULL END AS affinage, k % 20 = 3 AS affinage_erreur,
+  CASE l_suppkey % 6 WHEN 0 THEN 'fixe' WHEN 1 THEN 'zoom in' WHEN 2 THEN 'tilt haut' WHEN 3 THEN '' ELSE NULL END AS mouvement_camera, CASE l_partkey % 9 WHEN 0 THEN 'fixe' WHEN 1 THEN 'zoom out' WHEN 2 THEN 'panoramique gauche' WHEN 3 THEN ' caméra portée' WHEN 4 THEN 'mouvement complexe' ELSE NULL END AS mouvement_camera_final,
+  CASE l_partkey % 5 WHEN 0 THEN 'sûr' WHEN 1 THEN 'probable' WHEN 2 THEN 'douteux' ELSE '' END AS mouvement_confiance, CASE WHEN l_partkey % 14 = 0 THEN TRUE ELSE NULL END AS mouvement_camera_conflit, CASE l_partkey % 7 WHEN 0 THEN 'fixe' WHEN 1 THEN 'zoom in' WHEN 2 THEN 'travelling' ELSE '' END AS mouvement_video_camera,
+  CASE WHEN l_partkey % 7 < 3 THEN concat('video-', CAST(l_suppkey % 2 AS VARCHAR(9))) ELSE NULL END AS mouvement_video_modele, l_quantity AS duree
+FROM (SELECT *, CASE WHEN r = 0 OR r = 6 THEN FALSE WHEN r <= 4 THEN k % 211 = 3 WHEN r = 5 THEN k % 50 = 3 ELSE k % 3 = 0 END AS lacking FROM (SELECT *, film % 8 AS r, l_partkey + l_linenumber * 31 + l_orderkey * 7 AS k FROM (SELECT *, CAST((l_orderkey - l_orderkey % 100) / 100 AS BIGINT) AS film, l_orderkey * 8 + l_linenumber AS n FROM lineitem) a) b) c""",
+    "cards": """SELECT concat('f', CAST(CAST(s_suppkey AS BIGINT) * 2 AS VARCHAR(19))) AS film_id, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN NULL ELSE s_name END AS pitch, CASE WHEN s_suppkey % 2 = 0 THEN 'synopsis' ELSE '' END AS synopsis, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'scenario' END AS scenario,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS scenes, CAST(s_suppkey % 6 AS BIGINT) AS personnages_recurrents, CASE WHEN s_suppkey % 4 = 1 THEN ' model-x ' ELSE NULL END AS modele, CASE WHEN s_suppkey % 6 = 1 THEN 'sous-titres intégrés' ELSE '' END AS dialogue_source, CASE WHEN s_suppkey % 5 = 2 THEN NULL ELSE s_suppkey % 5 END AS sequences,
+  s_suppkey % 9 = 4 AS illisible FROM supplier""",
     "films": """SELECT concat('src', CAST(s_suppkey % 20 AS VARCHAR(9)), '-', CAST(CAST((s_suppkey - s_suppkey % 20) / 20 AS BIGINT) AS VARCHAR(19))) AS film_id, CAST(s_suppkey AS BIGINT) AS number, s_name AS titre, CAST(1950 + s_suppkey % 50 AS INT) AS annee,
   CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE n_name END AS pays, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE r_name END AS pitch
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",

@@ -51,33 +51,11 @@ def audio_scores(shots: DataFrame, segments: DataFrame) -> DataFrame:
     return scoring.sound(dialogue.with_dialogue(shots, segments)).select("film_id", "n", "score")
 
 
-@query("shots", oracle=f"""SELECT film_id, total, attempted, complete, CAST(round_even(100.0 * complete / total, 0) AS BIGINT) AS percent, complete >= total OR (attempted >= total AND complete / total >= 0.995) AS finished
-FROM (SELECT film_id, count(*) AS total, count(*) FILTER (({_C4}) OR coalesce(modele, '') <> '') AS attempted, count(*) FILTER ({_C3}) AS complete FROM shots GROUP BY film_id) x""")
-def film_progress(shots: DataFrame) -> DataFrame:
-    return progress.film_progress(shots)
-
-
 @query("shots", oracle=f"SELECT film_id, count(*) FILTER ({_C4}) AS done, count(*) AS total FROM shots GROUP BY film_id HAVING count(*) FILTER ({_C4}) < count(*)")
 def unfinished_films(shots: DataFrame) -> DataFrame:
     return progress.unfinished(shots)
 
 
-@query("shots", oracle=f"SELECT count(DISTINCT film_id) AS films, count(*) AS shots, count(*) FILTER (machine) AS with_machine, count(*) FILTER ({_C4}) AS complete, count(*) FILTER (certitude = 'douteux') AS in_doubt FROM shots")
-def corpus_totals(shots: DataFrame) -> DataFrame:
-    return progress.totals(shots)
-
-
-@query("shots", oracle="SELECT film_id, modele FROM (SELECT film_id, modele, row_number() OVER (PARTITION BY film_id ORDER BY count(*) DESC, modele) AS r FROM shots GROUP BY film_id, modele) x WHERE r = 1")
-def dominant_models(shots: DataFrame) -> DataFrame:
-    return progress.dominant_model(shots)
-
-
-@query("films", "shots", oracle=f"""SELECT f.film_id, CASE WHEN x.film_id IS NULL THEN 'absent' WHEN complete >= total OR (attempted >= total AND complete / total >= 0.995) THEN 'complet' ELSE 'incomplet' END AS state FROM films f LEFT JOIN
-(SELECT film_id, count(*) AS total, count(*) FILTER (({_C4}) OR coalesce(modele, '') <> '') AS attempted, count(*) FILTER ({_C3}) AS complete FROM shots GROUP BY film_id) x ON f.film_id = x.film_id""")
-def film_states(films: DataFrame, shots: DataFrame) -> DataFrame:
-    return progress.film_states(films, shots)
-
-
 @query("films", "shots", oracle="SELECT film_id, titre FROM films WHERE film_id NOT IN (SELECT film_id FROM shots)")
 def films_without_shots(films: DataFrame, shots: DataFrame) -> DataFrame:
     return progress.without(films, shots, "film_id").select("film_id", "titre")
@@ -130,11 +108,6 @@ def frequent_scales(shots: DataFrame) -> DataFrame:
     return progress.top(shots.withColumn("metric", F.lit("echelle")).withColumnRenamed("echelle", "value"), ["film_id", "metric"], "value", 2).select("film_id", "metric", "value", "n", "rank")
 
 
-@query("shots", "segments", oracle="SELECT film_id, CAST(sum(s) AS BIGINT) AS shots, CAST(sum(g) AS BIGINT) AS segments FROM (SELECT film_id, 1 AS s, 0 AS g FROM shots UNION ALL SELECT film_id, 0, 1 FROM segments) x GROUP BY ROLLUP (film_id)")
-def layer_coverage(shots: DataFrame, segments: DataFrame) -> DataFrame:
-    return progress.layer_coverage(shots, segments)
-
-
 # dialogue
 
 _JOIN = "shots s JOIN segments t ON s.film_id = t.film_id AND least(s.fin, t.fin) - greatest(s.debut, t.debut) > 0.05"
@@ -253,10 +226,3 @@ def movement_comparison(pairs: DataFrame, vlabels: DataFrame) -> DataFrame:
     video = movement.video_movement(movement.kept_labels(vlabels))
     rows = movement.decided(measured, video).join(measured.select("shot_id", "camera"), "shot_id", "left").join(video.select("shot_id", "video"), "shot_id", "left")
     return movement.compared(rows, ["final", "camera", "video"])
-
-
-@query("pairs", oracle=f"SELECT count(*) AS shots, count(*) FILTER (camera <> 'indéterminé') AS measured, CAST(round_even(100.0 * count(*) FILTER (camera <> 'indéterminé') / count(*), 0) AS BIGINT) AS percent, count(*) FILTER (confidence = 'sûr') AS sure FROM ({_measured('shot_id')}) x")
-def movement_summary(pairs: DataFrame) -> DataFrame:
-    rows = movement.classified(movement.medians(pairs, "shot_id"))
-    rows = rows.agg(F.count("*").alias("shots"), F.count_if(F.col("camera") != movement.UNKNOWN).alias("measured"), F.count_if(F.col("confidence") == "sûr").alias("sure"))
-    return rows.select("shots", "measured", share(F.col("measured"), F.col("shots")).alias("percent"), "sure")
