@@ -35,6 +35,8 @@ from .common import column, table
 #: The base of conversation c is c - c % BASES, and it lends fewer than LENT turns.
 BASES = 100
 LENT = 6
+#: Prefixes that hold more than this part of all turns at their depth are sent to every task, so there are fewer than HOT.
+HOT = 1000
 
 
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,8 +57,16 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hold(convs), hold(heads.select(*columns).unionByName(tails.select(*columns)))
 
 
+def _told(parts: DataFrame, names: DataFrame, key: list[str], hot: int) -> DataFrame:
+    """parts with their names; names of more than hot parts go to every task, so that none gets all parts of one name."""
+    many = parts.join(F.broadcast(names.where(F.col("n") > hot)), key, "left")
+    few = many.where("node IS NULL").select(parts.columns).join(names.where(F.col("n") <= hot), key)
+    return many.where("node IS NOT NULL").unionByName(few)
+
+
 def named(convs: DataFrame, turns: DataFrame, root: int, levels: int) -> list[DataFrame]:
     """(conv, d, node, chars) for each rebuilt turn: the name of the prefix that ends with it; and d = 0 for all."""
+    hot = max(1, turns.count() // HOT)  # a level has no more parts than there are turns, so fewer than HOT names are hot
     found = [convs.select("conv", F.lit(0).cast("long").alias("d"), F.lit(root).cast("long").alias("node"), F.lit(0).cast("long").alias("chars"))]
     for level in reversed(range(levels)):
         half = 1 << level
@@ -67,8 +77,8 @@ def named(convs: DataFrame, turns: DataFrame, root: int, levels: int) -> list[Da
         known = reduce(DataFrame.unionByName, found).select("conv", F.col("d").alias("start"), F.col("node").alias("above"))
         parts = hold(parts.join(known, ["conv", "start"]))
         key = ["start", "above", "a", "b"]
-        names = parts.groupBy(key).agg(F.min("conv").alias("node"))
-        found.append(hold(parts.join(names, key).select("conv", (F.col("start") + half).alias("d"), "node", "chars")))
+        names = parts.groupBy(key).agg(F.min("conv").alias("node"), F.count("*").alias("n"))
+        found.append(hold(_told(parts, names, key, hot).select("conv", (F.col("start") + half).alias("d"), "node", "chars")))
     return found
 
 
