@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelframe.functions.text import blank
+from reelframe.functions.text import blank, first_truthy
 
 
 def searched(photos: DataFrame, words: str, fields: list[str]) -> DataFrame:
@@ -42,9 +42,11 @@ def _long(photos: DataFrame, facets: list[str]) -> DataFrame:
 
 
 def domains(photos: DataFrame, facets: list[str], most: int = 80) -> DataFrame:
-    """The first values of each facet over all photos."""
+    """The first values of each facet over all photos, in the order of a French dictionary; values that it takes for the
+    same follow by their bytes."""
     rows = _long(photos, facets).distinct()
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("facet").orderBy("value")).cast("long")).where(F.col("position") <= most)
+    order = Window.partitionBy("facet").orderBy(F.collate("value", "fr"), "value")
+    return rows.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= most)
 
 
 def facet_counts(photos: DataFrame, facets: list[str], chosen: dict[str, list[str]]) -> DataFrame:
@@ -54,8 +56,36 @@ def facet_counts(photos: DataFrame, facets: list[str], chosen: dict[str, list[st
     return rows.select("facet", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def totals(photos: DataFrame) -> DataFrame:
-    return photos.agg(F.count("*").alias("photos"), F.count_if("a_verifier").alias("to_verify"), F.count_if(~blank(F.col("description"))).alias("described"), F.count_distinct(F.nullif("type_image", F.lit(""))).alias("types"))
+def totals(photos: DataFrame, files: DataFrame) -> DataFrame:
+    """Counts over all photos; a thumbnail counts if it is among the files (path)."""
+    there = files.select(F.col("path").alias("vignette"), F.lit(True).alias("_there")).distinct()
+    rows = photos.join(there, "vignette", "left")
+    return rows.agg(F.count("*").alias("photos"), F.count_if("a_verifier").alias("to_verify"), F.count_if(~blank(F.col("description"))).alias("described"), F.count_if("_there").alias("with_thumbnail"), F.count_distinct(F.nullif("type_image", F.lit(""))).alias("types"))
+
+
+#: The entries of an EXIF table that a photo keeps, and what they are called.
+EXIF = {"objectif": "LensModel", "iso": "ISOSpeedRatings", "ouverture": "FNumber", "vitesse": "ExposureTime", "focale": "FocalLength"}
+
+
+def exif_texts(exif: Column) -> Column:
+    """An EXIF table of variants as a map of texts: a rational is a/b, bytes (hidden as objects) and nulls are no text."""
+
+    def text(_: Column, v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        parts = F.array_join(F.try_variant_get(v, "$", "array<string>"), "/")
+        return F.when(kind.startswith("ARRAY"), parts).when(kind.startswith("OBJECT") | kind.startswith("BINARY") | F.is_variant_null(v), "").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+
+    return F.transform_values(exif, text)
+
+
+def shaped(photos: DataFrame, exif: str) -> DataFrame:
+    """Photos with orientation, date (of the shot, else of the file), device and EXIF values, from a map of variants."""
+    rows = photos.withColumn("_exif", F.coalesce(exif_texts(F.col(exif)), F.create_map().cast("map<string,string>")))
+    get = lambda k: F.coalesce(F.try_element_at("_exif", F.lit(k)), F.lit(""))
+    device = F.trim(F.array_join(F.filter(F.array(get("Make"), get("Model")), lambda x: x != ""), " "))
+    shape = F.when(F.col("largeur") > F.col("hauteur"), "paysage").when(F.col("hauteur") > F.col("largeur"), "portrait").otherwise("carré")
+    made = {"orientation": shape, "date_photo": first_truthy(get("DateTimeOriginal"), get("DateTime")), "appareil": device, **{name: get(tag) for name, tag in EXIF.items()}}
+    return rows.withColumns(made).drop("_exif", exif)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, kept: list[str]) -> DataFrame:
@@ -86,13 +116,24 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 #: Fields of a photo's analysis in the published index, with their types.
 INDEXED = {
-    **dict.fromkeys("description type_image".split(), "string"),
-    **dict.fromkeys("sujets personnes objets lieux".split(), "array<string>"),
-    **dict.fromkeys("texte_visible lumiere composition".split(), "string"),
-    **dict.fromkeys("couleurs ambiance".split(), "array<string>"),
+    "description": "string",
+    "type_image": "string",
+    "sujets": "array<string>",
+    "personnes": "array<string>",
+    "objets": "array<string>",
+    "lieux": "array<string>",
+    "texte_visible": "string",
+    "lumiere": "string",
+    "composition": "string",
+    "couleurs": "array<string>",
+    "ambiance": "array<string>",
     "qualite_technique": "string",
-    **dict.fromkeys("usage_catalogue mots_cles criteres_repondus".split(), "array<string>"),
-    **dict.fromkeys("certitude a_verifier note".split(), "string"),
+    "usage_catalogue": "array<string>",
+    "mots_cles": "array<string>",
+    "criteres_repondus": "array<string>",
+    "certitude": "string",
+    "a_verifier": "string",
+    "note": "string",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,75 @@ def simplified(schema: object) -> object:
     rest = {k: v for k, v in schema.items() if k != "oneOf"} if choices else {k: simplified(v) for k, v in schema.items()}
     lists = [c for c in choices if isinstance(c, dict) and c.get("type") == "array"]
     return rest | simplified((lists or choices)[0]) if choices else rest
+
+
+# answers against a JSON schema
+
+#: What a deviation tells: where it is, what stands there as JSON, and whether it is the value or the choice that fails.
+DEVIATION = "array<struct<path: string, value: string, reason: string>>"
+UNKNOWN_VALUE, NO_CHOICE = "hors vocabulaire", "aucune variante ne convient"
+
+
+def deviations(rows: DataFrame, keys: list[str], answer: str, schema: dict) -> DataFrame:
+    """(keys, path, value, reason) of all that a closed vocabulary of a JSON schema doesn't have in a column of variants.
+
+    The schema is compiled into one expression: enum, oneOf and anyOf (a value fits if it has no deviation from one of
+    them), object with properties, array with items; anything else fits. Paths read a.b[2]. Null answers have none."""
+    found = _checked(schema, F.col(answer), F.lit(""))
+    return rows.where(F.col(answer).isNotNull()).select(*keys, F.inline(found))
+
+
+def missing_keys(rows: DataFrame, keys: list[str], answer: str, schema: dict) -> DataFrame:
+    """(keys, missing) of the required keys that an answer lacks; one that is no object lacks all. Null answers lack none."""
+    value = F.col(answer)
+    lacking = F.array_compact(F.array(*(F.when(~(_is(value, "OBJECT") & _at(value, k).isNotNull()), F.lit(k)) for k in schema.get("required") or []))).cast("array<string>")
+    return rows.where(value.isNotNull()).select(*keys, F.explode(lacking).alias("missing"))
+
+
+def _at(value: Column, key: str) -> Column:
+    """What stands under a key, a JSON null included; SQL's null where the key isn't there."""
+    quote = '"' if "'" in key else "'"
+    if quote in key:
+        raise ValueError(f"a key with both kinds of quotes can't be looked up: {key}")
+    return F.variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _one_of(value: Column, words: list) -> Column:
+    """Whether a variant is one of some JSON scalars; numbers are equal by value, whatever their form."""
+    out = F.is_variant_null(value) if None in words else F.lit(False)
+    texts, flags = [w for w in words if isinstance(w, str)], [w for w in words if isinstance(w, bool)]
+    numbers = [float(w) for w in words if isinstance(w, int | float) and not isinstance(w, bool)]
+    get = lambda kind: F.try_variant_get(value, "$", kind)
+    if texts:
+        out = out | (_is(value, "STRING") & get("string").isin(texts))
+    if flags:
+        out = out | (_is(value, "BOOLEAN") & get("boolean").isin(flags))
+    if numbers:
+        out = out | (F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & get("double").isin(numbers))
+    return F.coalesce(out, F.lit(False))
+
+
+def _checked(schema: dict, value: Column, path: Column) -> Column:
+    """The deviations of a variant that stands at path."""
+    none = F.array().cast(DEVIATION)
+    fails = lambda reason: F.array(F.struct(F.when(path == "", "(racine)").otherwise(path).alias("path"), F.to_json(value).alias("value"), F.lit(reason).alias("reason")))
+    choices = schema.get("oneOf") or schema.get("anyOf")
+    if choices:
+        fits = F.lit(False)
+        for c in choices:
+            fits = fits | (F.size(_checked(c, value, path)) == 0)
+        return F.when(fits, none).otherwise(fails(NO_CHOICE))
+    if schema.get("enum") is not None:
+        return F.when(_one_of(value, schema["enum"]), none).otherwise(fails(UNKNOWN_VALUE))
+    if schema.get("type") == "object" and schema.get("properties"):
+        parts = [F.when(_at(value, k).isNotNull(), _checked(s, _at(value, k), F.when(path == "", k).otherwise(F.concat(path, F.lit(f".{k}"))))).otherwise(none) for k, s in schema["properties"].items()]
+        return F.when(_is(value, "OBJECT"), F.concat(*parts)).otherwise(none)
+    if schema.get("type") == "array" and schema.get("items"):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        each = F.transform(items, lambda x, i: _checked(schema["items"], x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.when(_is(value, "ARRAY"), F.flatten(each)).otherwise(none)
+    return none

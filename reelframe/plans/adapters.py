@@ -40,6 +40,9 @@ FROM (SELECT *, CASE WHEN r = 0 OR r = 6 THEN FALSE WHEN r <= 4 THEN k % 211 = 3
     "cards": """SELECT concat('f', CAST(CAST(s_suppkey AS BIGINT) * 2 AS VARCHAR(19))) AS film_id, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN NULL ELSE s_name END AS pitch, CASE WHEN s_suppkey % 2 = 0 THEN 'synopsis' ELSE '' END AS synopsis, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'scenario' END AS scenario,
   CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS scenes, CAST(s_suppkey % 6 AS BIGINT) AS personnages_recurrents, CASE WHEN s_suppkey % 4 = 1 THEN ' model-x ' ELSE NULL END AS modele, CASE WHEN s_suppkey % 6 = 1 THEN 'sous-titres intégrés' ELSE '' END AS dialogue_source, CASE WHEN s_suppkey % 5 = 2 THEN NULL ELSE s_suppkey % 5 END AS sequences,
   s_suppkey % 9 = 4 AS illisible FROM supplier""",
+    "replies": """SELECT shot_id, CASE WHEN k % 13 = 5 THEN 'broken {' WHEN k % 17 = 3 THEN '"no object"' WHEN k % 19 = 4 THEN 'null' ELSE concat('{"lieu": "', p_brand, '"', CASE k % 6 WHEN 0 THEN ', "echelle": "gros plan"' WHEN 1 THEN ', "echelle": ["gros plan", "plan large"]' WHEN 2 THEN ', "echelle": ["gros plan", "flou"]' WHEN 3 THEN ', "echelle": "flou"' WHEN 4 THEN ', "echelle": null' ELSE '' END,
+  CASE k % 5 WHEN 0 THEN ', "certitude": "sûr"' WHEN 1 THEN ', "certitude": null' WHEN 2 THEN ', "certitude": "moyen"' WHEN 3 THEN ', "certitude": true' ELSE '' END, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN ', "analyse": "rien"' ELSE concat(', "analyse": {"lumiere": {"type": "', CASE WHEN p_size % 3 = 0 THEN 'naturelle' ELSE p_type END, '", "sources": ["soleil", ', CASE p_size % 5 WHEN 0 THEN '"lampe"' WHEN 1 THEN '3' WHEN 2 THEN '3.0' WHEN 3 THEN '4' ELSE '"3"' END, CASE WHEN p_size % 2 = 0 THEN ', ["feu"]]}, "sons": [' ELSE ', ["eau", "feu"]]}, "sons": [' END,
+  CASE p_size % 7 WHEN 0 THEN '' WHEN 1 THEN '{"genre": "voix"}' WHEN 2 THEN '{"genre": "bruit", "niveau": 2}, {"genre": "voix", "niveau": 9}' WHEN 3 THEN '"voix"' ELSE concat('{"genre": "', lower(p_name), '", "niveau": null}') END, ']}') END, '}') END AS reply FROM (SELECT p_partkey AS shot_id, p_partkey + p_size AS k, * FROM part) x""",
     "films": """SELECT concat('src', CAST(s_suppkey % 20 AS VARCHAR(9)), '-', CAST(CAST((s_suppkey - s_suppkey % 20) / 20 AS BIGINT) AS VARCHAR(19))) AS film_id, CAST(s_suppkey AS BIGINT) AS number, s_name AS titre, CAST(1950 + s_suppkey % 50 AS INT) AS annee,
   CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE n_name END AS pays, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE r_name END AS pitch
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -51,8 +54,11 @@ FROM (SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY conv_id,
   least(CAST(1 AS DOUBLE), value / 100) AS score FROM events""",
     "frames": "SELECT user_id AS film_id, CAST(event_id AS DOUBLE) * 1.5 AS t, least(CAST(1 AS DOUBLE), value / 60) AS score FROM events",
     "faces": "SELECT CAST((vec_id - vec_id % 300) / 300 AS BIGINT) AS film_id, vec_id AS n, label, embedding FROM embeddings",
-    "photos": """SELECT p_partkey AS photo_id, p_name AS titre, p_type AS type_image, p_brand AS lieu, p_size % 3 = 0 AS a_verifier,
+    "photos": """SELECT p_partkey AS photo_id, p_name AS titre, p_type AS type_image, concat(CASE p_size % 6 WHEN 0 THEN 'état ' WHEN 1 THEN 'Etat ' WHEN 2 THEN 'zoo ' WHEN 3 THEN 'œuvre ' WHEN 4 THEN 'Île ' ELSE '' END, p_brand) AS lieu, p_size % 3 = 0 AS a_verifier, CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('v/', CAST(p_partkey AS VARCHAR(19)), '.jpg') END AS vignette,
   CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(p_name) END AS description, CASE WHEN p_size % 2 = 0 THEN 'paysage' ELSE 'portrait' END AS orientation FROM part""",
+    "previews": "SELECT concat('v/', CAST(p_partkey AS VARCHAR(19)), '.jpg') AS path FROM part WHERE p_partkey % 3 > 0",
+    "exifs": """SELECT p_partkey AS photo_id, CAST(p_size * 40 AS BIGINT) AS largeur, CAST(1000 AS BIGINT) AS hauteur, CASE WHEN p_size % 3 = 0 THEN '2019:05:06 07:08:09' WHEN p_size % 3 = 1 THEN '' ELSE NULL END AS original, CASE WHEN p_size % 4 = 0 THEN NULL ELSE '2020:01:02 03:04:05' END AS generic,
+  CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS make, CASE WHEN p_size % 7 = 0 THEN '' ELSE concat(' ', p_type, ' ') END AS model, p_size AS iso, CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_partkey % 8 + 1 END AS num, 10 AS den FROM part""",
     "files": """SELECT concat('lib/', CAST(p_partkey % 7 AS VARCHAR(9)), '/', replace(p_name, ' ', '_'), '-', CAST(p_partkey AS VARCHAR(9)), CASE WHEN p_size % 4 = 0 THEN '.MKV' WHEN p_size % 4 = 1 THEN '.jpg' WHEN p_size % 4 = 2 THEN '.mp4' ELSE '.txt' END) AS path,
   CAST(p_size * 1000 AS BIGINT) AS size, CAST(1700000000 + p_partkey AS BIGINT) AS mtime FROM part""",
     "attempts": """SELECT l_orderkey AS shot_id, l_linenumber AS attempt, CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS engine, l_quantity / 10 AS seconds, CAST(l_partkey % 5 AS BIGINT) AS score, CAST(l_suppkey % 7 AS BIGINT) AS nfields,

@@ -47,19 +47,30 @@ def photo_filter(photos: DataFrame) -> DataFrame:
     return photo_ops.crossed(photos, {"orientation": ["Paysage"], "a_verifier": ["non"]}).select("photo_id", "titre")
 
 
-@query("photos", oracle=f"WITH long AS ({_LONG}), dom AS (SELECT facet, value, row_number() OVER (PARTITION BY facet ORDER BY value) AS p FROM (SELECT DISTINCT facet, value FROM long) d QUALIFY p <= 80) SELECT d.facet, d.value, coalesce(n, 0) AS n FROM dom d LEFT JOIN (SELECT facet, lower(value) AS low, count(*) AS n FROM long WHERE photo_id IN (SELECT photo_id FROM photos WHERE {_CHOSEN}) GROUP BY ALL) c ON d.facet = c.facet AND lower(d.value) = c.low")
+@query("photos", oracle=f"WITH long AS ({_LONG}), dom AS (SELECT facet, value, row_number() OVER (PARTITION BY facet ORDER BY value COLLATE fr, value) AS p FROM (SELECT DISTINCT facet, value FROM long) d QUALIFY p <= 80) SELECT d.facet, d.value, coalesce(n, 0) AS n FROM dom d LEFT JOIN (SELECT facet, lower(value) AS low, count(*) AS n FROM long WHERE photo_id IN (SELECT photo_id FROM photos WHERE {_CHOSEN}) GROUP BY ALL) c ON d.facet = c.facet AND lower(d.value) = c.low")
 def photo_facet_counts(photos: DataFrame) -> DataFrame:
     return photo_ops.facet_counts(photos, _FACETS, {"orientation": ["paysage"], "a_verifier": ["non"]})
 
 
-@query("photos", oracle=f"WITH long AS ({_LONG}) SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY value) AS BIGINT) AS position FROM (SELECT DISTINCT facet, value FROM long) d QUALIFY position <= 80")
+@query("photos", oracle=f"WITH long AS ({_LONG}) SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY value COLLATE fr, value) AS BIGINT) AS position FROM (SELECT DISTINCT facet, value FROM long) d QUALIFY position <= 80")
 def photo_facet_domains(photos: DataFrame) -> DataFrame:
     return photo_ops.domains(photos, _FACETS)
 
 
-@query("photos", oracle="SELECT count(*) AS photos, count(*) FILTER (a_verifier) AS to_verify, count(*) FILTER (coalesce(description, '') <> '') AS described, count(DISTINCT nullif(type_image, '')) AS types FROM photos")
-def photo_totals(photos: DataFrame) -> DataFrame:
-    return photo_ops.totals(photos)
+@query("photos", "previews", oracle="SELECT count(*) AS photos, count(*) FILTER (a_verifier) AS to_verify, count(*) FILTER (coalesce(description, '') <> '') AS described, count(*) FILTER (vignette IN (SELECT path FROM previews)) AS with_thumbnail, count(DISTINCT nullif(type_image, '')) AS types FROM photos")
+def photo_totals(photos: DataFrame, previews: DataFrame) -> DataFrame:
+    return photo_ops.totals(photos, previews)
+
+
+@query("exifs", oracle="""SELECT photo_id, CASE WHEN largeur > 1000 THEN 'paysage' WHEN largeur < 1000 THEN 'portrait' ELSE 'carré' END AS orientation, coalesce(nullif(original, ''), generic, '') AS date_photo, trim(concat_ws(' ', make, nullif(model, ''))) AS appareil,
+ '' AS objectif, CAST(iso AS VARCHAR) AS iso, CASE WHEN num IS NULL THEN '' ELSE concat(num, '/', den) END AS ouverture, '' AS vitesse, CAST(iso / 10.0 AS VARCHAR) AS focale FROM exifs""")
+def photo_metadata(exifs: DataFrame) -> DataFrame:
+    """Photos with an EXIF table of texts, numbers, rationals, nulls and bytes."""
+    as_variant = lambda c: F.expr(f"CAST({c} AS VARIANT)")
+    tags = {"DateTimeOriginal": "original", "DateTime": "generic", "Make": "make", "Model": "model", "ISOSpeedRatings": "iso", "FNumber": "if(num IS NOT NULL, array(num, den), NULL)", "ExposureTime": "encode(make, 'utf-8')", "FocalLength": "iso / 10.0D"}
+    table = F.map_filter(F.create_map(*(x for k, c in tags.items() for x in (F.lit(k), as_variant(c)))), lambda _, v: v.isNotNull())
+    rows = exifs.select("photo_id", "largeur", "hauteur", table.alias("exif"))
+    return photo_ops.shaped(rows, "exif").drop("largeur", "hauteur")
 
 
 @query("photos", oracle="SELECT photo_id, CASE WHEN photo_id % 3 = 0 OR description = '' THEN 'new' ELSE description END AS description, coalesce(orientation, 'carré') AS orientation FROM photos WHERE photo_id % 3 = 0 OR true")
@@ -116,6 +127,49 @@ def vocabulary_violations(shots: DataFrame) -> DataFrame:
     return validation.violations(shots, "film_id", {"echelle": ["gros plan", "plan moyen"], "certitude": ["sûr", "probable"]}).groupBy("film_id", "path", "value").agg(F.count("*").alias("n"))
 
 
+_REPLY = {
+    "type": "object",
+    "required": ["lieu", "echelle", "certitude", "analyse"],
+    "properties": {
+        "lieu": {"type": "string"},
+        "echelle": {"oneOf": [{"enum": ["gros plan", "plan large"]}, {"type": "array", "items": {"enum": ["gros plan", "plan large"]}}]},
+        "certitude": {"enum": ["sûr", "douteux", None]},
+        "analyse": {"type": "object", "properties": {
+            "lumiere": {"type": "object", "properties": {"type": {"enum": ["naturelle", "artificielle"]}, "sources": {"type": "array", "items": {"anyOf": [{"enum": ["soleil", "lampe", 3]}, {"type": "array", "items": {"enum": ["feu"]}}]}}}},
+            "sons": {"type": "array", "items": {"type": "object", "properties": {"genre": {"enum": ["voix", "musique"]}, "niveau": {"enum": [1, 2, 3]}}}},
+        }},
+    },
+}
+#: Leaves of each answer with their JSON types; what stands in lists is told from what they say about it.
+_LEAVES = r"""parsed AS (SELECT shot_id, reply::JSON AS j FROM replies WHERE json_valid(reply)),
+leaves AS (SELECT shot_id, substr(fullkey, 3) AS p, regexp_replace(substr(fullkey, 3), '\[\d+\]', '[]', 'g') AS g, type AS y, json_extract_string(j, fullkey) AS v, json_extract(j, fullkey) AS w FROM (SELECT p.shot_id, p.j, t.fullkey, t.type FROM parsed p, json_tree(p.j) t) x)"""
+
+
+@query("replies", oracle=f"""WITH {_LEAVES}
+SELECT shot_id, p AS path, CASE WHEN g = 'echelle' OR g LIKE '%sources[]' THEN 'aucune variante ne convient' ELSE 'hors vocabulaire' END AS reason FROM leaves l
+WHERE g = 'echelle' AND y = 'ARRAY' AND EXISTS (SELECT 1 FROM leaves m WHERE m.shot_id = l.shot_id AND m.g = 'echelle[]' AND (m.y <> 'VARCHAR' OR m.v NOT IN ('gros plan', 'plan large')))
+ OR g = 'certitude' AND NOT (y = 'NULL' OR y = 'VARCHAR' AND v IN ('sûr', 'douteux')) OR g = 'analyse.lumiere.type' AND (y <> 'VARCHAR' OR v NOT IN ('naturelle', 'artificielle'))
+ OR g = 'analyse.lumiere.sources[]' AND y = 'ARRAY' AND EXISTS (SELECT 1 FROM leaves m WHERE m.shot_id = l.shot_id AND starts_with(m.p, l.p || '[') AND m.v <> 'feu') OR g = 'analyse.sons[].genre' AND (y <> 'VARCHAR' OR v NOT IN ('voix', 'musique')) OR g = 'analyse.sons[].niveau' AND NOT (y IN ('UBIGINT', 'DOUBLE') AND TRY_CAST(v AS DOUBLE) IN (1, 2, 3))""")
+def reply_deviations(replies: DataFrame) -> DataFrame:
+    """Deviations of nested answers; those that don't parse have none. A choice that has a list among its forms lets every
+    scalar pass, as a list's entries are all that is looked at."""
+    return validation.deviations(replies.select("shot_id", F.try_parse_json("reply").alias("answer")), ["shot_id"], "answer", _REPLY).drop("value")
+
+
+@query("replies", oracle="SELECT shot_id, k AS missing FROM (SELECT shot_id, reply, unnest(['lieu', 'echelle', 'certitude', 'analyse']) AS k FROM replies WHERE json_valid(reply)) x WHERE json_type(reply) <> 'OBJECT' OR NOT json_exists(reply, '$.' || k)")
+def reply_missing_keys(replies: DataFrame) -> DataFrame:
+    return validation.missing_keys(replies.select("shot_id", F.try_parse_json("reply").alias("answer")), ["shot_id"], "answer", _REPLY)
+
+
+@query("replies", oracle=f"""WITH {_LEAVES}
+SELECT shot_id, p AS path, v AS value FROM leaves WHERE g = 'echelle[]' AND v NOT IN ('gros plan', 'plan large') OR g = 'certitude' AND NOT (y = 'NULL' OR y = 'VARCHAR' AND v IN ('sûr', 'douteux'))""")
+def strict_deviations(replies: DataFrame) -> DataFrame:
+    """Deviations from the schema without choices, where a scalar in the place of a list isn't looked at."""
+    schema = validation.simplified({"type": "object", "properties": {k: _REPLY["properties"][k] for k in ("echelle", "certitude")}})
+    found = validation.deviations(replies.select("shot_id", F.try_parse_json("reply").alias("answer")), ["shot_id"], "answer", schema)
+    return found.select("shot_id", "path", F.regexp_replace("value", '^"|"$', "").alias("value"))
+
+
 @query("attempts", oracle="SELECT shot_id, attempt, round(sum(seconds) OVER (PARTITION BY shot_id ORDER BY attempt, seconds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS spent FROM attempts")
 def running_times(attempts: DataFrame) -> DataFrame:
     return validation.running_time(attempts.withColumnRenamed("attempt", "run"), "shot_id").select("shot_id", F.col("run").alias("attempt"), "spent")

@@ -10,6 +10,7 @@ from reelframe.operators import publish
 from reelframe.sources import documents as sources
 from reelframe.sources.tables import folder
 from reelframe.streaming import incremental
+from reelframe.streaming.ledger import Ledger
 
 from .adapters import query
 
@@ -84,22 +85,29 @@ def stored_photos(photos: DataFrame) -> DataFrame:
 # streams
 
 
-def _streamed(rows: DataFrame, parts: int) -> DataFrame:
-    """rows as a stream of some files, in any order."""
+def _streamed(rows: DataFrame, parts: int, later: DataFrame | None = None) -> DataFrame:
+    """rows as a stream of some files, in any order, and then later ones."""
     path = folder(rows.sparkSession)
     rows.repartition(parts).write.parquet(path)
+    if later is not None:
+        later.write.mode("append").parquet(path)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("files", oracle="SELECT path, size, mtime FROM files WHERE mtime % 5 <> 0")
+@query("files", oracle="SELECT path, CASE WHEN mtime % 4 = 2 THEN size + 50 ELSE size END AS size, mtime FROM files")
 def settled_files(files: DataFrame) -> DataFrame:
-    """Files from listings at 0, 25 and 50 seconds: every third grew after the first one, every fifth was seen once."""
-    once, grew = F.col("mtime") % 5 == 0, F.col("mtime") % 3 == 0
-    at = F.explode(F.when(once, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(25), F.lit(50)))).alias("at")
-    rows = files.select("path", "size", "mtime", grew.alias("grew"), at)
-    rows = rows.select("path", F.when((F.col("at") == 0) & F.col("grew") & (F.col("mtime") % 5 != 0), F.col("size") - 1).otherwise(F.col("size")).alias("size"), "mtime", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("at")).alias("seen"))
+    """Files from listings at 0, 25 and 50 seconds, in any order, and the folder itself much later.
+
+    Every fourth file is seen once, every fourth one grows from listing to listing: both settle as time goes on, without
+    being listed again. The folder itself hasn't stood long enough."""
+    kind, at = F.col("mtime") % 4, F.explode(F.when(F.col("mtime") % 4 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(25), F.lit(50)))).alias("at")
+    rows = files.select("path", "size", "mtime", at)
+    rows = rows.withColumn("size", F.when(kind == 2, F.col("size") + F.col("at")).otherwise(F.col("size")))
+    rows = rows.select("path", "size", "mtime", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("at")).alias("seen"))
     path, spark = folder(files.sparkSession), files.sparkSession
-    incremental.settled(_streamed(rows, 3)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    later = spark.sql("SELECT 'lib' AS path, 0L AS size, 0L AS mtime, timestamp_seconds(1700001000) AS seen")
+    stream = _streamed(rows, 3, later)
+    incremental.settled(stream, late="1 minute").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("path string, size long, mtime long").parquet(f"{path}/out")
 
 
@@ -110,7 +118,7 @@ def refreshed_index(shots: DataFrame) -> DataFrame:
     rows = rows.withColumn("debut", F.col("debut") + F.col("version"))
     path, spark = folder(shots.sparkSession), shots.sparkSession
     incremental.refresh(_streamed(rows, 4), f"{path}/index", f"{path}/state", availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{path}/index").select("film_id", "n", "debut")
+    return Ledger(spark, f"{path}/index").latest(rows.schema, "film_id").select("film_id", "n", "debut")
 
 
 @query("events", oracle="SELECT DISTINCT user_id AS film_id, event_id % 4 AS version FROM events WHERE event_id % 4 >= 2")
@@ -120,11 +128,32 @@ def fresh_versions(events: DataFrame) -> DataFrame:
     return incremental.newer(seen.distinct(), seen.where("version < 2"))
 
 
-@query("events", oracle="SELECT event_id, event_type FROM events")
+@query("states", oracle="SELECT film_id, count(*) FILTER (coalesce(mouvement_camera, '') <> '') AS measured, count(*) AS total FROM states GROUP BY film_id HAVING count(*) FILTER (coalesce(mouvement_camera, '') <> '') < count(*)")
+def unmeasured_films(states: DataFrame) -> DataFrame:
+    return incremental.unmeasured(states, F.coalesce("mouvement_camera", F.lit("")) != "")
+
+
+@query("events", oracle="SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events")
 def delivered_once(events: DataFrame) -> DataFrame:
-    """Events that were delivered twice, some of them thrice."""
-    rows = events.select("event_id", "event_type", "value")
-    return incremental.once(rows.unionByName(rows).unionByName(rows.where("event_id % 3 = 0")), "event_id", ["event_type", "value"]).select("event_id", "event_type")
+    """A stream of events that come twice, every third of them changed later, every fifth in an outdated form besides."""
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") % 50 + s)
+    first = events.select("event_id", "value", at(10).alias("at"))
+    changed = events.where("event_id % 3 = 0").select("event_id", (F.col("value") + 1).alias("value"), at(20).alias("at"))
+    old = events.where("event_id % 5 = 0").select("event_id", (F.col("value") - 1).alias("value"), at(0).alias("at"))
+    rows = first.unionByName(first).unionByName(changed).unionByName(old)
+    path, spark = folder(events.sparkSession), events.sparkSession
+    incremental.upserted(_streamed(rows, 4), "event_id", ["value"], "at", f"{path}/items", f"{path}/state", "5 minutes", availableNow=True).awaitTermination()
+    return Ledger(spark, f"{path}/items").latest(rows.schema, "event_id").select("event_id", "value")
+
+
+@query("shots", oracle="SELECT film_id, n, CAST(n * 2 AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error FROM shots")
+def resumed_shots(shots: DataFrame) -> DataFrame:
+    """Answers on a third of the films, written and committed, and a portion that was written only; then on all shots."""
+    path, spark = folder(shots.sparkSession), shots.sparkSession
+    work, ask = shots.select("film_id", "n"), lambda rows: pd.DataFrame({"answer": (rows.n * 2).astype(str)})
+    incremental.resumed(work.where("film_id LIKE 'src1%'"), path, ["film_id", "n"], ask, "answer string", 1000)
+    Ledger(spark, path).write(work.select("film_id", "n", F.lit("torn").alias("answer"), F.lit("torn").alias("error")))  # its driver died here
+    return incremental.resumed(work, path, ["film_id", "n"], ask, "answer string", max(1000, 1 + work.count() // 4))
 
 
 @query("shots", oracle="SELECT film_id, n, CASE WHEN n % 7 = 0 THEN NULL ELSE CAST(n * 2 AS VARCHAR) END AS answer, CASE WHEN n % 7 = 0 THEN 'no answer' END AS error FROM shots")
@@ -137,3 +166,15 @@ def enriched_shots(shots: DataFrame) -> DataFrame:
         return pd.DataFrame({"answer": (rows.n * 2).astype(str)})
 
     return incremental.enriched(shots.select("film_id", "n"), ask, "answer string", 1)
+
+
+@query("shots", oracle="SELECT film_id, n, CASE WHEN bad THEN NULL ELSE concat(n, ' of ', k) END AS answer, CASE WHEN bad THEN 'no answer' END AS error FROM (SELECT film_id, n, count(*) OVER w AS k, bool_or(n % 31 = 0) OVER w AS bad FROM shots WINDOW w AS (PARTITION BY film_id, (n - 1) // 8)) x")
+def batched_shots(shots: DataFrame) -> DataFrame:
+    """Answers by batches of eight shots of a film, in order; a batch that holds a bad shot has no answers at all."""
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        if (rows.n % 31 == 0).any():
+            raise ValueError("no answer")
+        return pd.DataFrame({"answer": [f"{n} of {len(rows)}" for n in rows.n]})
+
+    return incremental.enriched(shots.select("film_id", "n"), ask, "answer string", 8, ["film_id"], "n")

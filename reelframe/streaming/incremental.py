@@ -5,86 +5,178 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from reelframe.functions.ranks import numbered
+from reelframe.sources.tables import hold
+
+from .ledger import Ledger
 
 LISTING = "path string, size long, mtime long, seen timestamp"
 
 
-def settled(listings: DataFrame, wait: float = 20.0) -> DataFrame:
-    """(path, size, mtime) of files that two listings, wait seconds apart or more, show with the same size and time.
+class _Settling(StatefulProcessor):
+    """Size and time of one path as last listed, with a timer for the moment when it counts as settled, and one for when
+    it is forgotten."""
+
+    def __init__(self, wait: float, keep: float, by_clock: bool):
+        self.wait, self.keep, self.by_clock = int(wait * 1000), int(keep * 1000), by_clock
 
-    What the latest listing shows is current; listings may arrive in any order, as the first and the last one that show
-    it count. A file that is still growing starts anew at each change; a settled one is reported once until it changes
-    again, which a running aggregate in update mode would not do."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.file = handle.getValueState("file", "size long, mtime long, first long, last long, told boolean")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, mtime, first, last, told = state.get if state.exists else (-1, -1, 0.0, float("-inf"), False)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["seen", "mtime", "size"]).itertuples():
-            now = r.seen.timestamp()
+    def _told(self, key: tuple, size: int, mtime: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], size, mtime)], columns=["path", "size", "mtime"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size, mtime, first, last, told = self.file.get() if self.file.exists() else (-1, -1, 0, -(2**62), False)
+        clock = timerValues.getCurrentProcessingTimeInMs()
+        for r in pd.concat(list(rows)).sort_values(["seen", "mtime", "size"]).itertuples():
+            now = clock if self.by_clock else int(r.seen.timestamp() * 1000)
             if (r.size, r.mtime) == (size, mtime):
                 first, last = min(first, now), max(last, now)
             elif (now, r.mtime, r.size) > (last, mtime, size):
                 size, mtime, first, last, told = int(r.size), int(r.mtime), now, now, False
-            if not told and last - first >= wait:
-                told = True
-                out.append((key[0], size, mtime))
-        state.update((size, mtime, first, last, told))
-        yield pd.DataFrame(out, columns=["path", "size", "mtime"])
-
-    return listings.groupBy("path").applyInPandasWithState(step, "path string, size long, mtime long", "size long, mtime long, first double, last double, told boolean", "append", GroupStateTimeout.NoTimeout)
+        if not told and last - first >= self.wait:
+            told = True
+            yield self._told(key, size, mtime)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not told:
+            self.handle.registerTimer(first + self.wait)
+        self.handle.registerTimer(last + self.keep)
+        self.file.update((size, mtime, first, last, told))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.file.exists():
+            return
+        size, mtime, first, last, told = self.file.get()
+        if not told:
+            yield self._told(key, size, mtime)
+        if expiredTimerInfo.getExpiryTimeInMs() >= last + self.keep:
+            self.file.clear()
+        elif not told:
+            self.file.update((size, mtime, first, last, True))
+
+    def close(self) -> None:
+        pass
+
+
+def settled(listings: DataFrame, wait: float = 20.0, keep: float = 86_400.0, late: str | None = None) -> DataFrame:
+    """(path, size, mtime) of files that haven't changed for wait seconds since they were first listed so.
+
+    A file that is still growing starts anew at each change; a settled one is reported once until it changes again. No
+    further listing of the file is needed: a timer reports it. Paths that no listing has shown for keep seconds are
+    forgotten, so the state is as large as what is listed. Time is the clock's; with late, it is the listings' own (seen)
+    and goes on with the latest of all listings less that delay, within which they may come in any order."""
+    spark = listings.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = listings if late is None else listings.withWatermark("seen", late)
+    return rows.groupBy("path").transformWithStateInPandas(_Settling(wait, keep, late is None), "path string, size long, mtime long", "Append", "ProcessingTime" if late is None else "EventTime")
 
 
 def refresh(shots: DataFrame, path: str, checkpoint: str, **trigger):
-    """A query that rewrites the folders of the films that a batch touches, with the latest row of each shot."""
+    """A query that publishes anew the films that a batch touches, with the latest row of each shot, in a ledger at path.
 
-    def publish(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        films = batch.select("film_id").distinct()
-        try:
-            old = session.read.schema(batch.schema).parquet(path).join(films, "film_id", "left_semi")
-            rows = old.unionByName(batch)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            rows = batch
+    Readers take Ledger.latest(..., "film_id"): they see a film as it was before or after a batch, never between."""
+
+    def publish(batch: DataFrame, number: int) -> None:
+        ledger = Ledger(batch.sparkSession, path)
+        old = ledger.latest(batch.schema, "film_id").join(batch.select("film_id").distinct(), "film_id", "left_semi")
         # of equal versions the row that is greatest as text
         order = F.struct("version", F.to_json(F.struct(*batch.columns)))
-        latest = rows.groupBy("film_id", "n").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{path}.next")  # the old rows are read before their folders are replaced
-        session.read.schema(latest.schema).parquet(f"{path}.next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("film_id").parquet(path)
+        rows = old.unionByName(batch).groupBy("film_id", "n").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        ledger.append(number, rows)
 
     return shots.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
-def enriched(work: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 64) -> DataFrame:
+def enriched(work: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 64, together: list[str] | None = None, order: str | None = None) -> DataFrame:
     """fn applied to batches of rows in order; a batch that fails gives its rows with nulls and the error.
 
-    fn is the caller's (a model client, say); schema names its columns, error is added."""
+    fn is the caller's (a model client, say); schema names its columns, error is added. With together, a batch holds rows
+    of one group only, in the given order: groups are put in order within tasks, none is gathered."""
     names = [f.split()[0] for f in schema.split(", ")]
     keys = work.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
+    if together:
+        work = work.repartition(*together).sortWithinPartitions(*together, order)
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        try:
+            made, error = fn(rows)[names].reset_index(drop=True), None
+        except Exception as failed:  # the caller's function may raise anything; the row tells what
+            made, error = pd.DataFrame({n: [None] * len(rows) for n in names}), str(failed)
+        return pd.concat([rows[keys], made], axis=1).assign(error=error)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), batch):
-                rows = part.iloc[i : i + batch].reset_index(drop=True)
-                try:
-                    made, error = fn(rows)[names].reset_index(drop=True), None
-                except Exception as failed:  # the caller's function may raise anything; the row tells what
-                    made, error = pd.DataFrame({n: [None] * len(rows) for n in names}), str(failed)
-                yield pd.concat([rows[keys], made], axis=1).assign(error=error)
+        held = None
+        for part in filter(len, parts):
+            held = part if held is None else pd.concat([held, part])
+            starts = _starts(held, batch, together)
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield ask(held.iloc[a:b])
+            held = held.iloc[starts[-1] :]  # may go on in the next part
+        if held is not None and len(held):
+            yield ask(held)
 
     return work.mapInPandas(run, f"{kinds}, {schema}, error string")
 
 
-def once(items: DataFrame, key: str, signature: list[str]) -> DataFrame:
-    """Redelivered items with the same signature are dropped."""
-    return items.dropDuplicates([key, *signature])
+def _starts(rows: pd.DataFrame, batch: int, together: list[str] | None) -> list[int]:
+    """Where batches begin: at each change of group, and after so many rows of one."""
+    if not together:
+        return list(range(0, max(len(rows), 1), batch))
+    new = (rows[together] != rows[together].shift()).any(axis=1).to_numpy()
+    heads = [*new.nonzero()[0].tolist(), len(rows)]
+    return [x for a, b in zip(heads, heads[1:], strict=False) for x in range(a, b, batch)]
+
+
+def once(items: DataFrame, key: str, signature: list[str], at: str | None = None, late: str = "1 day") -> DataFrame:
+    """Redelivered items with the same signature are dropped; in a stream, those that come within the delay late, by the
+    time in the column at, which bounds the state."""
+    if not items.isStreaming:
+        return items.dropDuplicates([key, *signature])
+    return items.withWatermark(at, late).dropDuplicatesWithinWatermark([key, *signature])
+
+
+def upserted(items: DataFrame, key: str, signature: list[str], at: str, path: str, checkpoint: str, late: str = "1 day", **trigger):
+    """A query that keeps the latest item of each key in a ledger at path: the same signature again changes nothing,
+    another one replaces the item, an older one doesn't. Readers take Ledger.latest(..., key)."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        ledger = Ledger(batch.sparkSession, path)
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(at, *signature)).alias("r")).select("r.*")
+        old = ledger.latest(batch.schema, key).select(key, F.struct(*signature).alias("_old"), F.col(at).alias("_at"))
+        changed = newest.join(old, key, "left").where(F.col("_old").isNull() | ~F.struct(*signature).eqNullSafe(F.col("_old")) & (F.col(at) >= F.col("_at")))
+        ledger.append(number, changed.select(batch.columns))
+
+    return once(items, key, signature, at, late).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
+def resumed(work: DataFrame, path: str, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, portion: int, batch: int = 64) -> DataFrame:
+    """enriched() in portions of so many rows, each committed to a ledger at path once it is written; rows whose portion
+    was committed by an earlier run aren't asked again. Gives all committed rows."""
+    ledger = Ledger(work.sparkSession, path)
+    made = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema), schema, "error string"])
+    done = ledger.read(made)
+    left = hold(numbered(work.join(done.select(keys), keys, "left_anti"), [], [F.asc(k) for k in keys], "_pos"))
+    total, first = left.count(), max(ledger.committed(), default=-1) + 1
+    for i, start in enumerate(range(0, total, portion)):
+        rows = left.where((F.col("_pos") > start) & (F.col("_pos") <= start + portion)).drop("_pos")
+        ledger.append(first + i, enriched(rows, fn, schema, batch))
+    return ledger.read(made).drop("batch")
 
 
 def newer(versions: DataFrame, processed: DataFrame) -> DataFrame:
     """(film_id, version) that haven't been processed."""
     return versions.join(processed, ["film_id", "version"], "left_anti")
+
+
+def unmeasured(shots: DataFrame, measured: Column) -> DataFrame:
+    """(film_id, measured, total) of films where the pass is due, as not all shots have been measured."""
+    return shots.groupBy("film_id").agg(F.count_if(measured).alias("measured"), F.count("*").alias("total")).where("measured < total")

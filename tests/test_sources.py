@@ -1,14 +1,17 @@
 """Readers, published tables and incremental operators on small files."""
 
 import json
+import time
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from reelframe.operators import photos, presence, publish, validation
 from reelframe.sources import documents
 from reelframe.streaming import incremental
+from reelframe.streaming.ledger import Ledger
 
 
 def test_film_documents(spark, tmp_path):
@@ -89,16 +92,51 @@ def test_presence(spark):
     assert "groupe" in rows[2].categories and "silhouette" in rows[2].categories
 
 
+def _listing(folder, name, rows):
+    (folder / name).write_text("\n".join(json.dumps(dict(zip(("path", "size", "mtime", "seen"), r, strict=True))) for r in rows))
+
+
 def test_settled_files(spark, tmp_path):
+    """A file that two listings show alike, one that grows, one that is never listed again; time goes on by listings of
+    others, and old paths leave the state."""
     src = tmp_path / "in"
     src.mkdir()
-    t = lambda s: f"2024-01-01 00:00:{s:02d}"
-    for i, rows in enumerate([[("a", 1, 1, t(0)), ("b", 1, 1, t(0))], [("a", 1, 1, t(25)), ("b", 2, 2, t(25))], [("a", 1, 1, t(50)), ("b", 2, 2, t(50))]]):
-        (src / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("path", "size", "mtime", "seen"), r, strict=True))) for r in rows))
+    t = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
     stream = spark.readStream.schema(incremental.LISTING).option("maxFilesPerTrigger", 1).json(str(src))
-    q = incremental.settled(stream).writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted((r.path, r["size"]) for r in spark.sql("SELECT * FROM settled").collect()) == [("a", 1), ("b", 2)]
+
+    def run():
+        q = incremental.settled(stream, keep=300, late="5 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        return q.recentProgress
+
+    _listing(src, "0.json", [("a", 1, 1, t(0)), ("b", 1, 1, t(0)), ("c", 1, 1, t(0))])
+    _listing(src, "1.json", [("a", 1, 1, t(25)), ("b", 2, 2, t(10))])
+    run()
+    read = lambda: sorted((r.path, r["size"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert read() == [("a", 1), ("c", 1)]  # c by its timer at 20 seconds, as the listings went on to 25 less 5
+    _listing(src, "2.json", [("d", 1, 1, t(60))])
+    run()
+    assert read() == [("a", 1), ("b", 2), ("c", 1)]
+    _listing(src, "3.json", [("d", 1, 1, t(500))])
+    rows = [s["numRowsTotal"] for p in run() for s in json.loads(p.json)["stateOperators"]]
+    assert read() == [("a", 1), ("b", 2), ("c", 1), ("d", 1)]
+    assert rows[-1] < max(rows) and rows[-1] <= 3  # d alone: its value and timers
+
+
+def test_settled_by_the_clock(spark, tmp_path):
+    """A file settles though no listing comes any more."""
+    src = tmp_path / "in"
+    src.mkdir()
+    _listing(src, "0.json", [("a", 1, 1, "2024-01-01 00:00:00")])
+    stream = spark.readStream.schema(incremental.LISTING).json(str(src))
+    q = incremental.settled(stream, wait=2, keep=3600).writeStream.format("memory").queryName("by_clock").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and not spark.sql("SELECT * FROM by_clock").count():
+            time.sleep(1)
+        assert [(r.path, r["size"]) for r in spark.sql("SELECT * FROM by_clock").collect()] == [("a", 1)]
+    finally:
+        q.stop()
 
 
 def test_refresh(spark, tmp_path):
@@ -108,7 +146,77 @@ def test_refresh(spark, tmp_path):
     for k, rows in enumerate([[("a", 1, 1), ("b", 1, 1)], [("a", 1, 2)]]):
         (src / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("film_id", "n", "version"), r, strict=True))) for r in rows))
         incremental.refresh(spark.readStream.schema(schema).json(str(src)), out, str(tmp_path / "c"), availableNow=True).awaitTermination(120)
-    assert {(r.film_id, r.version) for r in spark.read.parquet(out).collect()} == {("a", 2), ("b", 1)}
+    assert {(r.film_id, r.version) for r in Ledger(spark, out).latest(schema, "film_id").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_refresh_whose_driver_dies(spark, tmp_path, monkeypatch):
+    """What was written and not committed stays unseen, and the batch is published once the query runs again."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    schema = "film_id string, n long, version long"
+    (src / "0.json").write_text(json.dumps({"film_id": "a", "n": 1, "version": 1}))
+    run = lambda: incremental.refresh(spark.readStream.schema(schema).json(str(src)), out, str(tmp_path / "c"), availableNow=True).awaitTermination(120)
+    run()
+    (src / "1.json").write_text(json.dumps({"film_id": "a", "n": 1, "version": 2}))
+
+    def die(*_):
+        raise KeyError("driver died")
+
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "commit", die)
+        with pytest.raises(StreamingQueryException):
+            run()
+    read = lambda: [r.version for r in Ledger(spark, out).latest(schema, "film_id").collect()]
+    assert read() == [1]
+    run()
+    assert read() == [2]
+
+
+def test_ledger(spark, tmp_path):
+    """Batches count once, whatever is delivered again; a base stands for those before it."""
+    ledger, schema = Ledger(spark, str(tmp_path / "l")), "k string, v int"
+    rows = lambda *x: spark.createDataFrame([*x], schema)
+    read = lambda: sorted(tuple(r) for r in ledger.latest(schema, "k").collect())
+    assert read() == [] and ledger.read(schema).columns == ["k", "v", "batch"]
+    assert ledger.append(0, rows(("a", 1), ("b", 1))) and ledger.append(1, rows(("a", 2)))
+    assert not ledger.append(1, rows(("a", 9)))
+    ledger.write(rows(("b", 9)))
+    assert read() == [("a", 2), ("b", 1)]
+    ledger.compact(schema, "k")
+    assert read() == [("a", 2), ("b", 1)] and ledger.read(schema).select("batch").distinct().count() == 1
+    assert not ledger.append(0, rows(("b", 9))) and ledger.append(2, rows(("c", 3)))
+    assert read() == [("a", 2), ("b", 1), ("c", 3)]
+
+
+def test_upserted(spark, tmp_path):
+    """Late, equal and changed items, over several runs."""
+    src, schema = tmp_path / "in", "k string, v int, at timestamp"
+    src.mkdir()
+    read = lambda: sorted((r.k, r.v) for r in Ledger(spark, str(tmp_path / "l")).latest(schema, "k").collect())
+    t = lambda s: f"2024-01-01 00:00:{s:02d}"
+    for i, (rows, want) in enumerate([([("a", 1, 10), ("b", 1, 10), ("a", 1, 10)], [("a", 1), ("b", 1)]), ([("a", 1, 11), ("b", 2, 12)], [("a", 1), ("b", 2)]), ([("b", 1, 9), ("a", 3, 30)], [("a", 3), ("b", 2)])]):
+        (src / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "v": v, "at": t(s)}) for k, v, s in rows))
+        incremental.upserted(spark.readStream.schema(schema).json(str(src)), "k", ["v"], "at", str(tmp_path / "l"), str(tmp_path / "c"), "1 minute", availableNow=True).awaitTermination(120)
+        assert read() == want
+
+
+def test_resumed_after_a_failure(spark, tmp_path, monkeypatch):
+    """A run that dies between write and commit; the next one asks for what wasn't committed, and nothing twice."""
+    work, path = spark.range(1, 11).withColumnRenamed("id", "n"), str(tmp_path / "l")
+    ask = lambda rows: pd.DataFrame({"answer": rows.n.astype(str)})
+    true = Ledger.commit
+
+    def die(self, batch, *rest):
+        if batch == 1:
+            raise KeyError("driver died")
+        true(self, batch, *rest)
+
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "commit", die)
+        with pytest.raises(KeyError):
+            incremental.resumed(work, path, ["n"], ask, "answer string", 4)
+    assert Ledger(spark, path).read("n long, answer string, error string").count() == 4
+    assert sorted((r.n, r.answer) for r in incremental.resumed(work, path, ["n"], ask, "answer string", 4).collect()) == [(n, str(n)) for n in range(1, 11)]
 
 
 def test_enriched_keeps_failed_rows(spark):
