@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.numbers import decade, timecode
+from reelframe.functions.ranks import numbered
 from reelframe.functions.text import first_truthy, squashed
+from reelframe.sources.tables import hold
 
 
 def flattened(shots: DataFrame, films: DataFrame | None = None) -> DataFrame:
@@ -158,3 +160,19 @@ def sequence_images(sequences: DataFrame, images_: DataFrame) -> DataFrame:
     once = rows.groupBy("film_id", "first", "path").agg(F.min("n").alias("n"))
     order = Window.partitionBy("film_id", "first").orderBy("n")
     return once.select("film_id", "first", F.row_number().over(order).cast("long").alias("pos"), "path")
+
+
+def batched(requests: DataFrame, order: list[str], size: int = 6, each: int = 64) -> DataFrame:
+    """Requests (with constant, film and scene as prompt_parts() makes them) with batch, pos and task, laid out so.
+
+    A batch holds at most size requests with one constant part, those of one film side by side; pos is the place in it.
+    Batches are numbered in the order of their constant parts; each consecutive ones are one task's, and no task has more.
+    A constant part of very many requests is parted like any other, as places are counted in ranges of the order."""
+    key = F.sha2("constant", 256)
+    placed = numbered(requests.withColumn("_key", key), ["_key"], [F.asc("film"), *(F.asc(c) for c in order)], "_pos")
+    placed = placed.withColumn("_part", F.floor((F.col("_pos") - 1) / size))
+    batches = hold(numbered(placed.select("_key", "_part").distinct(), [], [F.asc("_key"), F.asc("_part")], "batch"))
+    rows = placed.join(batches, ["_key", "_part"]).select(*requests.columns, (F.col("batch") - 1).alias("batch"), ((F.col("_pos") - 1) % size).alias("pos"))
+    tasks = max(1, -(-batches.count() // each))
+    rows = rows.withColumn("task", F.floor(F.col("batch") / each))
+    return rows.repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("batch", "pos")

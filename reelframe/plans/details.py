@@ -236,6 +236,20 @@ def request_parts(shots: DataFrame) -> DataFrame:
     return shots.select("film_id", "n", publish.prompt_parts(text).alias("p")).select("film_id", "n", "p.*")
 
 
+def _requests(shots: DataFrame) -> DataFrame:
+    task = F.concat(F.lit("Bonjour.\n\n"), F.when(F.col("n") % 2 == 0, F.concat(F.lit(publish.FILM_MARK), F.lit(" "), "film_id", F.lit("\n"))).otherwise(""), F.lit("Question unique : "), F.when(F.col("n") % 5 == 0, F.col("lang")).otherwise("tout"), F.lit("?"))
+    return shots.select("film_id", "n", publish.prompt_parts(task).alias("p")).select("film_id", "n", "p.*")
+
+
+_ASKED = """SELECT film_id, n, concat('Bonjour.', chr(10), chr(10), 'Question unique : ', CASE WHEN n % 5 = 0 THEN lang ELSE 'tout' END, '?') AS constant, CASE WHEN n % 2 = 0 THEN concat('Contexte du film, à utiliser avec prudence : ', film_id) ELSE '' END AS film FROM shots"""
+
+
+@query("shots", oracle=f"SELECT film_id, n, (r - 1) % 6 AS pos, dense_rank() OVER (ORDER BY sha256(constant), (r - 1) // 6) - 1 AS batch FROM (SELECT *, row_number() OVER (PARTITION BY constant ORDER BY film, film_id, n) AS r FROM ({_ASKED}) x) y")
+def request_batches(shots: DataFrame) -> DataFrame:
+    """Requests in batches that share their constant part, and as far as may be their film's."""
+    return publish.batched(_requests(shots), ["film_id", "n"]).select("film_id", "n", "pos", "batch")
+
+
 # presences and lists
 
 _SHOWN = """WITH c AS (SELECT *, doc_id % 6 AS m, CASE WHEN contains(description, 'Trois') THEN 3 WHEN contains(description, 'Deux') THEN 2 WHEN contains(description, 'Un enf') THEN 1 ELSE 0 END AS w FROM captions),

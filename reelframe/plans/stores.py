@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reelframe.operators import publish
 from reelframe.sources import documents as sources
-from reelframe.sources.tables import folder
+from reelframe.sources.tables import folder, hold
 from reelframe.streaming import incremental
 from reelframe.streaming.ledger import Ledger
 
@@ -27,11 +27,7 @@ def _film_documents(shots: DataFrame) -> str:
 
 
 def _documents(shots: DataFrame, film: str | None = None) -> DataFrame:
-    """The documents, read by the reader's schema; the folder's name gives the film as in <film>/plans.json."""
-    path = _film_documents(shots)
-    rows = shots.sparkSession.read.schema(sources.FILM).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    rows = rows.option("recursiveFileLookup", True).json(f"{path}/film_id={film}" if film else path)
-    return rows.withColumn("film_id", F.regexp_extract(F.col("_metadata.file_path"), r"film_id=([^/]+)/", 1))
+    return sources.film_documents(shots.sparkSession, _film_documents(shots), film, layout="film_id={film}/part-*")
 
 
 _GOOD = "film_id NOT LIKE '%3-0'"
@@ -46,7 +42,7 @@ def scanned_shots(shots: DataFrame) -> DataFrame:
 
 @query("shots", oracle="SELECT DISTINCT film_id FROM shots WHERE film_id LIKE '%3-0'")
 def damaged_documents(shots: DataFrame) -> DataFrame:
-    return sources.quarantined(_documents(shots).cache()).select("film_id")
+    return hold(sources.quarantined(_documents(shots))).select("film_id")
 
 
 @query("shots", oracle="SELECT film_id, CAST(n AS INT) AS n, debut FROM shots WHERE film_id = 'src1-0'")

@@ -12,12 +12,14 @@ SHOT = "n int, debut double, fin double, duree double, tc string, vignette strin
 FILM = f"film string, id string, source string, modele string, fiche map<string,string>, plans array<struct<{','.join(p.replace(' ', ':', 1) for p in SHOT.split(', '))}>>, _corrupt string"
 
 
-def film_documents(spark: SparkSession, root: str, film: str | None = None) -> DataFrame:
-    """One row per <root>/<film>/plans.json that is there, with film_id from the folder; damaged ones have _corrupt.
+def film_documents(spark: SparkSession, root: str, film: str | None = None, schema: str = FILM, layout: str = "{film}/plans.json") -> DataFrame:
+    """One row per document below root, with film_id from its folder; damaged ones have _corrupt.
 
-    With film, only that folder is listed and read."""
-    rows = spark.read.schema(FILM).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/{film or '*'}/plans.json")
-    return rows.withColumn("film_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    With film, only that folder is listed and read. A schema of fewer fields (of the columns that are asked for, say) is
+    all that is parsed. layout says where a film's documents lie; the folder may be named film_id=..., as Spark does."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/{layout.format(film=film or '*')}")
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.withColumn("film_id", F.url_decode(F.regexp_replace(folder, "^film_id=", "")))
 
 
 def shots(documents: DataFrame) -> DataFrame:
@@ -25,7 +27,8 @@ def shots(documents: DataFrame) -> DataFrame:
 
 
 def quarantined(documents: DataFrame) -> DataFrame:
-    return documents.where("_corrupt is not null").select("film_id", "_corrupt")
+    """Damaged documents; what could be read of the film stays, as the raw text can't be queried alone."""
+    return documents.where("_corrupt is not null").select("film_id", "film", "_corrupt")
 
 
 def photo_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
