@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -68,11 +70,32 @@ def test_decontamination(spark, corpus):
     rows = [*corpus, *ODD]
     want = brute.contaminated(rows, items)
     assert sum(n > 0 for _, n, _ in want.values()) > 3
-    for limit in (decontaminate.BROADCAST_BYTES, 0):  # sent to the tasks, and joined by fingerprint
+    for limit in (decontaminate.BROADCAST_BYTES, 3000):  # sent to the tasks, and joined by fingerprint
         out = decontaminate.contamination(docs(spark, rows).drop("n"), spark.createDataFrame(items, "item_id long, text string"), limit).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in out} == want
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """Equal words over and over, in documents and items, whichever way they meet; and a stock phrase in every item."""
+    stock = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    items = [(1, "a " * 60), (2, "a b " * 30), (3, "0 " * 12), (4, "a a a"), *((10 + i, f"{stock} item {i} says so and more words follow here {i}") for i in range(40))]
+    rows = [(0, "a " * 400), (1, "b a " * 200), (2, "a b a a " * 100), (3, "0 0 0 1 " * 90), (4, stock), (5, f"x {stock} x " * 20), (6, "a a"), (7, "0 " * 11)]
+    want = brute.contaminated(rows, items)
+    assert want[0][1] == 400 and len(want[5][2]) >= 40
+    for limit in (decontaminate.BROADCAST_BYTES, 900):
+        out = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in out} == want
+
+
+def test_decontamination_of_very_long_repetitive_texts():
+    """100,000 equal words against an item of 10,000: seconds, and little memory."""
+    started = time.time()
+    index = decontaminate.Items(["i", "j"], pa.array(["a " * 10_000, "a b " * 5_000]))
+    n_words, n_hit, items = decontaminate.judged(index, pa.array(["a " * 100_000, "b a " * 50_000, "c " * 100_000]))
+    assert n_words.to_pylist() == [100_000] * 3 and n_hit.to_pylist() == [100_000, 100_000, 0] and items.to_pylist() == [["i"], ["j"], []]
+    assert time.time() - started < 20
+
+
 def test_decontamination_without_ids(spark, corpus):
     """Items without an id mark words and documents without one are judged, whichever way the texts meet."""
     t = pq.read_table(f"{DATA}/benchmark.parquet").to_pydict()
@@ -81,7 +104,7 @@ def test_decontamination_without_ids(spark, corpus):
     want = brute.contaminated(list(enumerate(texts)), items)
     assert want[0][1] and not want[0][2] and want[1][2] == ["7000"] and want[40][1:] == (3, [])
     rows = [(i if i % 2 and i > 1 else None, x) for i, x in enumerate(texts)]
-    for limit in (decontaminate.BROADCAST_BYTES, 0):
+    for limit in (decontaminate.BROADCAST_BYTES, 3000):
         out = decontaminate.contamination(docs(spark, rows).drop("n"), spark.createDataFrame(items, "item_id long, text string"), limit).collect()
         assert sorted((str(r.doc_id), str(r.text), r.n_words, r.n_hit, r["items"]) for r in out) == sorted((str(d), str(x), *want[i]) for i, (d, x) in enumerate(rows))
 
@@ -216,7 +239,7 @@ def test_words_that_collide_under_polynomials(spark):
     out = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 2).collect()}
     assert out == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
     rest = " one two three four five six seven eight nine"
-    for limit in (decontaminate.BROADCAST_BYTES, 0):
+    for limit in (decontaminate.BROADCAST_BYTES, 3000):
         found = decontaminate.contamination(docs(spark, [(1, x + rest), (2, y + rest)]).drop("n"), spark.createDataFrame([(9, x + rest)], "item_id long, text string"), limit)
         assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 10, 2: 0}
 
