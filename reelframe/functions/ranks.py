@@ -30,3 +30,14 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> Da
         same &= F.col(c).eqNullSafe(F.col(f"__by{i}"))
     placed = parts.withColumn("__place", place)
     return placed.join(before, same, "left").select(*df.columns, (F.col("__place") + F.coalesce("__before", F.lit(0))).alias(name))
+
+
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """df, which is sorted, with a column that numbers its rows from 1 in their order: a row's place in its part plus what
+    the parts before hold. The rows are written once and not shuffled again."""
+    parts = hold(df.withColumn("__row", F.monotonically_increasing_id()))
+    part = F.shiftright("__row", 33)  # the number of the part is in the upper bits, the place in it in the lower ones
+    counts = parts.groupBy(part.alias("__of")).agg(F.count("*").alias("__n"))
+    before = counts.select("__of", (F.sum("__n").over(Window.orderBy("__of")) - F.col("__n")).alias("__before"))  # as many rows as parts
+    placed = parts.join(F.broadcast(before), part == F.col("__of"))
+    return placed.select(*df.columns, (F.col("__row").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).alias(name))

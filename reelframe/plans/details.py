@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelframe.functions.ranks import in_order
 from reelframe.functions.text import listed
 from reelframe.operators import cutting, dialogue, identification, labels, layers, photos as photo_ops, presence, progress, publish, records, scoring, validation
 from reelframe.sources import documents as sources, pages as wiki
@@ -14,9 +15,7 @@ from .adapters import query
 
 def _placed(rows: DataFrame, *names: str) -> DataFrame:
     """Some columns of ordered rows, and each row's place."""
-    chosen = rows.select(*names)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema)
-    return rows.sparkSession.createDataFrame(chosen.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), f"{fields}, position long")
+    return in_order(rows.select(*names), "position")
 
 
 # identification of music
@@ -269,9 +268,10 @@ def shown_persons(captions: DataFrame) -> DataFrame:
     return rows.select("doc_id", "persons", F.col("count").cast("int").alias("n"), join("animals"), join("genders"), join("ages"), "animal_confiance", join("categories"))
 
 
-@query("captions", oracle=f"{_SHOWN} SELECT count(*) AS shots, count(*) FILTER (p) AS with_persons, count(*) FILTER (a <> '') AS with_animals, count(*) FILTER (n >= 3) AS groups FROM e")
+@query("captions", oracle=f"{_SHOWN} SELECT count(*) AS shots, count(*) FILTER (p) AS with_persons, count(*) FILTER (contains(g0, 'homme')) AS with_men, count(*) FILTER (contains(g0, 'femme')) AS with_women, count(*) FILTER (g1 = 'enfant') AS with_children, count(*) FILTER (a <> '') AS with_animals, count(*) FILTER (n >= 3) AS groups, count(*) FILTER (personnages IS DISTINCT FROM n) AS modified FROM e")
 def presence_statistics(captions: DataFrame) -> DataFrame:
-    return presence.statistics(presence.presences(captions))
+    """Statistics of all captions; those have changed whose count isn't the stated one."""
+    return presence.statistics(presence.presences(captions), ~F.col("count").eqNullSafe(F.col("personnages")))
 
 
 @query("part", oracle="SELECT p_partkey AS shot_id, CASE p_size % 3 WHEN 0 THEN concat(p_type, '|', p_brand) WHEN 1 THEN p_type ELSE '' END AS origins FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.numbers import jaccard
+from reelframe.functions.ranks import in_order
 from reelframe.operators import characters, dialogue, layers, scenes, scoring, sequences
 
 from .adapters import query
@@ -218,8 +219,7 @@ def audio_windows(shots: DataFrame, segments: DataFrame) -> DataFrame:
 def ranked_windows(shots: DataFrame, segments: DataFrame) -> DataFrame:
     """Windows in the order of their ranking, with their place in it."""
     rows = sequences.ranked(_windows(shots, segments))
-    places = rows.select("film_id", "first", "score").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return shots.sparkSession.createDataFrame(places, "film_id string, first long, score long, position long")
+    return in_order(rows.select("film_id", "first", "score"), "position")
 
 
 _PACKED = """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY debut, n) AS r FROM shots),

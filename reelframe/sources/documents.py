@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.functions.ranks import numbered
 from reelframe.functions.text import squashed
 
 #: One shot of a film document; unknown keys are dropped, missing ones are null.
@@ -110,9 +111,6 @@ def sensitive_lines(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 
 def positions(rows: DataFrame, key: str) -> DataFrame:
-    """1-based rank of each key in order, and how many there are. The keys are sorted in parts, and each part is numbered
-    from where those before it end."""
-    keys = rows.select(key).distinct().sort(key)
-    ranked = keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    out = rows.sparkSession.createDataFrame(ranked, f"{key} {rows.schema[key].dataType.simpleString()}, rank long")
-    return out.crossJoin(F.broadcast(keys.agg(F.count("*").alias("total"))))
+    """1-based rank of each key in order, and how many there are."""
+    keys = rows.select(key).distinct()
+    return numbered(keys, [], [F.asc(key)], "rank").crossJoin(F.broadcast(keys.agg(F.count("*").alias("total"))))  # one row

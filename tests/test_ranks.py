@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from reelframe.functions.ranks import numbered
+from reelframe.functions.ranks import in_order, numbered
 
 
 def test_numbers_within_groups(spark):
@@ -28,3 +28,9 @@ def test_numbers_of_all_rows(spark):
     out = numbered(df, [], [F.asc("k")], "n").orderBy("n").collect()
     assert [r.n for r in out] == list(range(1, 5001)) and [r.k for r in out] == sorted(r.k for r in out)
     assert numbered(df.limit(0), ["k"], [F.asc("id")], "n").collect() == []
+
+
+def test_places_of_sorted_rows(spark):
+    rows = spark.range(3000).withColumn("k", (F.col("id") * 7919) % 3001).repartition(6).orderBy("k")
+    assert [(r.n, r.k) for r in in_order(rows, "n").orderBy("n").collect()] == list(enumerate(sorted((i * 7919) % 3001 for i in range(3000)), 1))
+    assert [r.n for r in in_order(rows.limit(5), "n").orderBy("n").collect()] == [1, 2, 3, 4, 5]
