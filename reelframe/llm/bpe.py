@@ -222,5 +222,6 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' columns but text and n_chars, with token count, ids and decoded text."""
-    return encode(docs, vocabulary(), keep=tuple(c for c in docs.columns if c not in ("text", "n_chars", "n_tokens", "ids", "decoded")))
+    """Pipeline stage: the documents' columns but text and n_chars, with token count, ids and decoded text, which take the
+    place of columns of these names in any letters."""
+    return encode(docs, vocabulary(), keep=tuple(c for c in docs.columns if c.lower() not in ("text", "n_chars", "n_tokens", "ids", "decoded")))

@@ -22,24 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, fold_is, held_by_worker, pieces, table
 
 DOCS_PER_LANG = 64
+#: Characters of whole training documents of a language; a document that would exceed them is left out.
 CHARS_PER_LANG = 24_000
-#: Parts of a training document, spread evenly, that make its share.
-PARTS = 4
 SHARPNESS = 8.0
 #: Text bytes that are parsed together; a longer document is taken alone and whole.
 PART_BYTES = 4 << 20
 #: Texts that still take steps together; what is left of fewer is parsed one after the other, with the same result.
 FEW = 24
-#: A text of LONG symbols that takes more bits than this each in every language is in none that is known: letters of a
-#: known language take about 5 at most even if drawn evenly, letters of other scripts up to 14.
-UNLIKE, LONG = 6.0, 200
-_BETWEEN = re.compile(r"[\W\d_]+")
+#: A text that takes more bits a symbol than this, and FIRST more in all, in every language is in none that is known:
+#: letters of a known language take about 5 at most even if drawn evenly, letters of other scripts up to 14.
+UNLIKE, FIRST = 6.0, 160.0
+#: Number signs that Python's word characters have besides letters and digits.
+_SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_BETWEEN = re.compile(rf"[\W\d_{_SIGNS}]+")
 
 
 def folded(text: str) -> bytes:
@@ -153,30 +154,28 @@ class Model:
         return parser(self.texts).count(texts) * self.weights / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
-def _share(text: Column, chars: int) -> Column:
-    """Parts of a text, spread evenly over it, of at most chars characters altogether."""
-    width = chars // PARTS
-    step = (F.length(text) - width) / (PARTS - 1)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(text, (F.floor(k * step) + 1).cast("int"), F.lit(width)))
-    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(parts, "\n"))
-
-
 def learn(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> Model:
     """Model from (doc_id, text, lang); which rows may be learned from is the caller's choice."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_lang)).alias("slot")
-    parts = rows.select("lang", slot, F.xxhash64("doc_id", F.lit(29)).alias("mark"), _share(F.col("text"), chars_per_lang // docs_per_lang).alias("part"))
-    picked = parts.groupBy("lang", "slot").agg(F.min(F.struct("mark", "part"))["part"].alias("part"))
+    size = F.length("text").alias("size")
+    picked = rows.select("lang", slot, F.struct(F.xxhash64("doc_id", F.lit(29)).alias("mark"), size, "text").alias("x")).groupBy("lang", "slot").agg(F.min("x").alias("x"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.select("lang", "part").collect()):
-        texts.setdefault(r.lang, []).append(r.part)
-    return Model({k: "\n".join(dict.fromkeys(v)) for k, v in texts.items()})
+    left: dict[str, int] = {}
+    for r in sorted(picked.select("lang", "x.mark", "x.size", "x.text").collect()):  # docs_per_lang of each language
+        if r.text not in texts.setdefault(r.lang, []) and r.size <= left.setdefault(r.lang, chars_per_lang):
+            texts[r.lang].append(r.text)
+            left[r.lang] -= r.size
+    for r in sorted(picked.select("lang", "x.size", "x.text").where(F.col("lang").isin([k for k, v in texts.items() if not v])).collect()) if not all(texts.values()) else ():
+        texts[r.lang] = texts[r.lang] or [r.text]  # all are longer: the shortest
+    return Model({k: "\n".join(v) for k, v in texts.items()})
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", unlike: float | None = None) -> DataFrame:
     """All columns of docs, then lang_pred and score, which must not be among them.
 
-    With unlike, texts of LONG symbols or more that take more bits each in every language are ``und`` too."""
+    With unlike, texts whose symbols take more bits each in every language are ``und`` too; what a short text may take
+    more, as its few phrases tell little, falls with its length: by FIRST / symbols."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
 
@@ -190,7 +189,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", unlike: float | N
                 if known.any():
                     cost = model.costs([t for t in symbols if t])
                     if unlike is not None:
-                        known[known] = (cost.min(1) <= unlike) | (np.array([len(t) for t in symbols if t]) < LONG)
+                        known[known] = cost.min(1) <= unlike + FIRST / np.array([len(t) for t in symbols if t])
                         cost = cost[[bool(k) for k, t in zip(known, symbols, strict=True) if t]]
                     names[known] = np.array(model.langs, object)[cost.argmin(1)]
                     score[known] = 1 / ((cost.min(1)[:, None] / cost) ** SHARPNESS).sum(1)
@@ -208,10 +207,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in no known language go, and a missing lang becomes the predicted one.
 
-    Long texts go whose symbols take more bits in every language than any text in its letters would, and texts without
-    a letter. Where no language is known, only texts without a letter go."""
+    Texts go whose symbols take more bits in every language than any text in its letters would, and texts without a
+    letter. Where no language is known, or the table has no lang, only texts without a letter go."""
     names = docs.columns
-    model = learn(docs.select("doc_id", "text", "lang"))
+    model = learn(docs.select("doc_id", "text", "lang" if "lang" in {c.lower() for c in names} else F.lit(None).cast("string").alias("lang")))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     clash = {"lang_pred", "score"} & {c.lower() for c in names}

@@ -30,8 +30,8 @@ from .common import column, fold_is, hold, labelled_sample, pieces, table
 PER_CLASS = 4096
 BLOCK = 1024
 DICTIONARY = 32 << 10
-#: Blocks that a dictionary is trained on, or as many as there are documents for it.
-BLOCKS = 3000
+#: Documents, about, whose whole texts a dictionary is trained on.
+DOCUMENTS = 800
 LEVEL = 3
 
 
@@ -114,10 +114,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     both = len(size) == 4  # few rows do both jobs
     raw = F.encode("text", "UTF-8")
     parts = rows.where(~F.col("held")) if both else rows
-    wanted = F.when(F.col("y") == 1, -(-BLOCKS // size.get((1, False), size.get((1, True))))).otherwise(-(-BLOCKS // size.get((0, False), size.get((0, True)))))
-    parts = parts.select("doc_id", "y", raw.alias("raw"), F.ceil(F.octet_length("text") / BLOCK).cast("int").alias("n"), wanted.alias("wanted")).where("n > 0")
-    place = F.transform(F.sequence(F.lit(0), F.least("n", "wanted") - 1), lambda i: F.when(F.col("n") > F.col("wanted"), F.floor(i * F.col("n") / F.col("wanted"))).otherwise(i))
-    parts = parts.select("doc_id", "y", F.posexplode(F.transform(place, lambda p: F.substring("raw", (p * BLOCK + 1).cast("int"), F.lit(BLOCK)))).alias("i", "part"))
+    step = {y: -(-size.get((y, False), size.get((y, True))) // DOCUMENTS) for y in (0, 1)}
+    parts = parts.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.when(F.col("y") == 1, step[1]).otherwise(step[0])) == 0)
+    parts = parts.select("doc_id", "y", raw.alias("raw"), F.ceil(F.octet_length("text") / BLOCK).cast("int").alias("n")).where("n > 0")
+    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.substring("raw", (p * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+    parts = parts.select("doc_id", "y", F.posexplode(each).alias("i", "part"))
     found = {y: [bytes(r.part) for r in parts.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "i").select("part").collect()] for y in (1, 0)}
     if not found[1] or not found[0]:
         return Model()

@@ -76,6 +76,19 @@ def test_language_by_brute_force(spark):
             assert r.lang_pred == (model.langs[int(np.argmin(costs))] if symbols else "und")
 
 
+def test_signs_that_are_no_letters(spark):
+    """Fractions, circled and Roman number signs have no letter; letters of any script do."""
+    model = language.learn(spark.createDataFrame([("a", "some words here", "en"), ("b", "ein paar worte", "de")], "doc_id string, text string, lang string"))
+    rows = [("½ ²",), ("①",), ("Ⅷ 12 _",), ("٣",), ("x²",), ("é",), ("日本",), ("",), (None,)]
+    got = [r.lang_pred != "und" for r in language.predict(spark.createDataFrame(rows, "text string").coalesce(1), model).collect()]
+    assert got == [False, False, False, False, True, True, True, False, False]
+
+
+def test_language_stage_without_lang(spark):
+    df = spark.createDataFrame([(1, "some words"), (2, "½ ②"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in language.stage_language(spark, df, "").collect()] == [1]
+
+
 def test_language_sample_is_bounded(spark):
     """One long text doesn't crowd out the others; repeated rows, string ids, ties and an empty table."""
     rows = [("a", "long words " * 90_000, "xx"), *((f"b{i}", f"kurze texte nummer {'abcdefgh'[i % 8]}", "xx") for i in range(20)), *[("c", "otro", "yy")] * 50, (None, "none", "zz"), ("d", None, "zz")]

@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from reelframe.llm import common, decontaminate, licenses, pii, quality, toxicity, urls
+from reelframe.llm import bpe, common, decontaminate, licenses, pii, quality, toxicity, urls
 
 LONG = "some long text with many words " * 60_000
 ROWS = [("a", "good clean text here"), ("a", "good clean text here"), ("b", None), ("c", ""), ("d", LONG), (None, "no id"), ("e", " \n"), ("f", "🙂 漢字")]
@@ -58,15 +58,23 @@ def test_quality_by_hand(spark):
     assert abs((p - y).sum()) < 1e-6 and abs(((p - y) * x).sum()) < 1e-6
 
 
-def test_training_blocks_come_from_all_of_a_text(spark, monkeypatch):
+def test_training_blocks_are_whole_texts(spark, monkeypatch):
+    """A dictionary is made of every block of the documents that it is made of, however long they are."""
     seen = []
     monkeypatch.setattr(quality, "dictionary", lambda parts: seen.append(parts) or b"".join(parts)[:1000])
-    monkeypatch.setattr(quality, "BLOCKS", 4)
-    text = "".join(chr(97 + i // 1024 % 26) for i in range(26 * 1024))
+    text = "".join(chr(97 + i // 1024 % 26) for i in range(26 * 1024 + 5))
     df = spark.createDataFrame([(0, text), (1, text.upper()), (2, text), (3, "short")], "doc_id long, text string")
     quality.learn(df, spark.createDataFrame([(0, 1), (1, 0), (0, 1)], "doc_id long, quality int"))
-    assert [[p[:1] for p in parts] for parts in seen] == [[b"a", b"g", b"n", b"t"], [b"A", b"G", b"N", b"T"]]
-    assert all(len(p) == 1024 for parts in seen for p in parts)
+    assert [b"".join(parts) for parts in seen] == [text.encode(), text.upper().encode()]
+    assert all(len(p) <= 1024 for parts in seen for p in parts)
+    monkeypatch.setattr(quality, "DOCUMENTS", 5)
+    many = [(i, f"text {i} " * 300) for i in range(200)]
+    quality.learn(spark.createDataFrame(many, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    texts = {t for _, t in many}
+    for parts in seen[2:]:
+        whole = b"".join(parts).decode()
+        used = {t for t in texts if t in whole}
+        assert 1 <= len(used) < 40 and sum(map(len, used)) == len(whole)
 
 
 def test_toxicity_of_odd_rows(spark):
@@ -237,3 +245,11 @@ def test_intermediate_tables_need_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.hold(Frame())
+
+
+def test_bpe_stage_with_clashing_columns(spark, tmp_path):
+    """Columns of the result's names, in any letters, give way to it, and the result can be written."""
+    df = spark.createDataFrame([(1, "one two", "x", 5, "y")], "doc_id long, text string, IDS string, N_Tokens int, kept string")
+    out = bpe.stage_bpe(spark, df, "")
+    out.write.parquet(str(tmp_path / "out"))
+    assert sorted(out.columns) == ["decoded", "doc_id", "ids", "kept", "n_tokens"]
