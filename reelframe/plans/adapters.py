@@ -54,6 +54,8 @@ FROM (SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY conv_id,
   least(CAST(1 AS DOUBLE), value / 100) AS score FROM events""",
     "frames": "SELECT user_id AS film_id, CAST(event_id AS DOUBLE) * 1.5 AS t, least(CAST(1 AS DOUBLE), value / 60) AS score FROM events",
     "faces": "SELECT CAST((vec_id - vec_id % 300) / 300 AS BIGINT) AS film_id, vec_id AS n, label, embedding FROM embeddings",
+    "persons": """SELECT CAST((vec_id - vec_id % 300) / 300 AS BIGINT) AS film_id, vec_id AS n, CASE WHEN vec_id % 11 = 0 THEN '' ELSE concat('scene_00', CAST(vec_id % 5 AS VARCHAR(9))) END AS scene_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE concat('m/', CAST(vec_id AS VARCHAR(19)), '.jpg') END AS image, vec_id % 7 <> 3 AS persons,
+  CASE vec_id % 5 WHEN 0 THEN 'Homme|Femme' WHEN 1 THEN 'femme|homme' WHEN 2 THEN 'genre indéterminé' WHEN 3 THEN 'femme' ELSE '' END AS genders, CASE vec_id % 4 WHEN 0 THEN 'âge indéterminé' WHEN 1 THEN 'Adulte' ELSE '' END AS ages, CASE vec_id % 6 WHEN 0 THEN 'aucun|cavalier' WHEN 1 THEN 'roi|Reine|x' ELSE '' END AS subjects, CASE vec_id % 8 WHEN 0 THEN 'souriant' ELSE 'ah' END AS attitudes FROM embeddings""",
     "photos": """SELECT p_partkey AS photo_id, p_name AS titre, p_type AS type_image, concat(CASE p_size % 6 WHEN 0 THEN 'état ' WHEN 1 THEN 'Etat ' WHEN 2 THEN 'zoo ' WHEN 3 THEN 'œuvre ' WHEN 4 THEN 'Île ' ELSE '' END, p_brand) AS lieu, p_size % 3 = 0 AS a_verifier, CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('v/', CAST(p_partkey AS VARCHAR(19)), '.jpg') END AS vignette,
   CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(p_name) END AS description, CASE WHEN p_size % 2 = 0 THEN 'paysage' ELSE 'portrait' END AS orientation FROM part""",
     "previews": "SELECT concat('v/', CAST(p_partkey AS VARCHAR(19)), '.jpg') AS path FROM part WHERE p_partkey % 3 > 0",

@@ -14,11 +14,6 @@ from .adapters import query
 from .scenes import FOLD as _FOLD
 
 
-@query("shots", oracle="SELECT film_id, concat(coalesce(echelle, ''), '|', coalesce(lieu, '')) AS profile, count(DISTINCT n) AS shots FROM shots WHERE coalesce(echelle, '') <> '' OR coalesce(lieu, '') <> '' GROUP BY ALL HAVING count(DISTINCT n) >= 6")
-def profile_groups(shots: DataFrame) -> DataFrame:
-    return characters.profiles(shots, ["echelle", "lieu"])
-
-
 @query("faces", oracle="SELECT a.n, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9), 6) AS cosine FROM faces a JOIN faces b ON b.n = a.n + 1")
 def face_cosines(faces: DataFrame) -> DataFrame:
     a, b = faces.select("n", F.col("embedding").alias("x")), faces.select((F.col("n") - 1).alias("n"), F.col("embedding").alias("y"))

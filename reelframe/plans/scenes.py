@@ -268,10 +268,35 @@ def face_clusters(faces: DataFrame) -> DataFrame:
     return characters.clustered(faces, 0.3)
 
 
+def _persons(persons: DataFrame) -> DataFrame:
+    lists = {c: F.split(c, r"\|") for c in ("genders", "ages", "subjects", "attitudes")}
+    rows = persons.withColumns(lists)
+    return rows.withColumns({"profile": characters.profile_key(F.col("genders"), F.col("ages")), "label": characters.profile_label(*(F.col(c) for c in lists))})
+
+
+_SAYS = "list_filter(string_split({0}, '|'), lambda x: x <> '' AND " + FOLD.format("x") + " NOT IN ('genre indetermine', 'age indetermine', 'aucun', 'aucune', 'indetermine', 'indeterminee', 'non visible'))"
+_KEYED = "array_to_string(list_sort(list_transform(list_filter(string_split({0}, '|'), lambda x: x <> '' AND " + FOLD.format("x") + " NOT IN ('genre indetermine', 'age indetermine')), lambda x: " + FOLD.format("x") + "))[1:2], '+')"
+_PERSONS = f"""persons_ AS (SELECT *, concat({_KEYED.format("genders")}, '|', {_KEYED.format("ages")}) AS profile, coalesce(nullif(concat_ws(' · ', nullif(array_to_string({_SAYS.format("genders")}[1:2], '/'), ''), nullif(array_to_string({_SAYS.format("ages")}[1:2], '/'), ''),
+ list_filter({_SAYS.format("subjects")}[1:2], lambda x: length({FOLD.format("x")}) > 4)[1], list_filter({_SAYS.format("attitudes")}[1:2], lambda x: length({FOLD.format("x")}) > 4)[1]), ''), '{characters.NAMELESS}') AS label FROM persons)"""
+
+
+@query("persons", oracle=f"WITH {_PERSONS} SELECT film_id, profile, count(DISTINCT n) AS shots, min(n) AS first FROM persons_ WHERE persons AND profile <> '|' GROUP BY film_id, profile HAVING count(DISTINCT n) >= 6")
+def profile_groups(persons: DataFrame) -> DataFrame:
+    return characters.profiles(_persons(persons))
+
+
 @query(
     "faces",
-    oracle=f"""{_CLUSTERS} SELECT film_id, printf('personnage_%03d', k) AS personnage_id, detections, shots, plans, CASE WHEN shots >= 3 THEN 'moyenne' ELSE 'faible' END AS confiance FROM (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY shots DESC, cluster) AS k
-FROM (SELECT film_id, cluster, count(*) AS detections, count(DISTINCT n) AS shots, string_agg(DISTINCT n, ',' ORDER BY n) AS plans FROM clusters GROUP BY film_id, cluster) x WHERE shots >= 2) y WHERE k <= 24""",
+    "persons",
+    oracle=f"""{_CLUSTERS}, {_PERSONS},
+d AS (SELECT c.film_id, 0 AS source, CAST(cluster AS VARCHAR) AS k, cluster AS pos, c.n, scene_id, image, label FROM clusters c LEFT JOIN persons_ p ON c.film_id = p.film_id AND c.n = p.n
+ UNION ALL SELECT film_id, 1, profile, min(n) OVER (PARTITION BY film_id, profile), n, scene_id, image, label FROM (SELECT * FROM persons_ WHERE persons AND profile <> '|') x QUALIFY count(*) OVER (PARTITION BY film_id, profile) >= 6),
+named AS (SELECT film_id, source, k, label FROM d WHERE label <> '' GROUP BY film_id, source, k, label QUALIFY row_number() OVER (PARTITION BY film_id, source, k ORDER BY count(*) DESC, min(n)) = 1),
+made AS (SELECT film_id, source, k, min(pos) AS pos, count(*) AS occurrences_visuelles, count(DISTINCT n) AS occurrences_plans, count(DISTINCT nullif(scene_id, '')) AS occurrences_scenes, string_agg(DISTINCT n, ',' ORDER BY n) AS plans, coalesce(string_agg(DISTINCT nullif(scene_id, ''), ',' ORDER BY nullif(scene_id, '')), '') AS scenes, coalesce(min_by(image, n) FILTER (image <> ''), '') AS vignette FROM d GROUP BY film_id, source, k HAVING source = 1 OR count(DISTINCT n) >= 2)
+SELECT film_id, printf('personnage_%03d', r) AS personnage_id, printf('Personnage récurrent probable %03d', r) AS label, coalesce(l, 'personnage récurrent probable') AS profil_resume, occurrences_visuelles, occurrences_plans, occurrences_scenes, plans, scenes, vignette, CASE WHEN source = 0 THEN 'visage' ELSE 'profil' END AS methode, CASE WHEN source = 0 AND occurrences_plans >= 3 THEN 'moyenne' ELSE 'faible' END AS confiance
+FROM (SELECT m.*, n.label AS l, row_number() OVER (PARTITION BY m.film_id ORDER BY occurrences_plans DESC, m.source, pos) AS r FROM made m LEFT JOIN named n ON m.film_id = n.film_id AND m.source = n.source AND m.k = n.k) x WHERE r <= 24""",
 )
-def recurring_characters(faces: DataFrame) -> DataFrame:
-    return characters.recurring(characters.clustered(faces, 0.3))
+def recurring_characters(faces: DataFrame, persons: DataFrame) -> DataFrame:
+    """Faces and profiles ranked together, with scenes, labels and images; lists as texts."""
+    made = characters.recurring(characters.clustered(faces, 0.3), _persons(persons))
+    return made.withColumns({"plans": F.array_join(F.col("plans").cast("array<string>"), ","), "scenes": F.array_join("scenes", ",")})
