@@ -117,10 +117,26 @@ def identified(candidates: DataFrame, most: int = 5) -> DataFrame:
     return rows.select("sequence_id", "title", "artist", trust.alias("confidence"), (F.col("score") < 0.95).alias("a_verifier"))
 
 
+def rate(fraction: Column) -> Column:
+    """Images a second from a fraction like 25000/1001; 0 where it can't be read."""
+    part = F.split(fraction, "/")
+    over = lambda i: F.try_element_at(part, F.lit(i)).try_cast("double")
+    return F.coalesce(F.try_divide(over(1), F.nullif(over(2), F.lit(0.0))), F.lit(0.0))
+
+
+def library_files(streams: DataFrame) -> DataFrame:
+    """Of each file its minutes, mean rate, and whether its rate varies or it has several video streams.
+
+    streams: path, stream, seconds, avg_frame_rate, r_frame_rate; the first stream of a file tells its rates"""
+    first = lambda c: F.min_by(c, "stream")
+    files = streams.groupBy("path").agg(F.max("seconds").alias("seconds"), F.count("*").alias("streams"), first(rate(F.col("avg_frame_rate"))).alias("mean"), first(rate(F.col("r_frame_rate"))).alias("stated"))
+    varying = (F.abs(F.col("mean") - F.col("stated")) > 0.05) & (F.col("mean") > 0)
+    return files.select("path", "seconds", F.round(F.col("seconds") / 60, 1).alias("minutes"), F.round("mean", 2).alias("rate"), varying.alias("varying"), (F.col("streams") > 1).alias("several_streams"))
+
+
 def library_hours(files: DataFrame) -> DataFrame:
-    """Files, hours, and how many have a varying frame rate, from (path, seconds, rate, mean_rate)."""
-    varying = (F.abs(F.col("mean_rate") - F.col("rate")) > 0.05) & (F.col("mean_rate") > 0)
-    return files.agg(F.count("*").alias("files"), F.round(F.sum("seconds") / 3600, 3).alias("hours"), F.count_if(varying).alias("varying"))
+    """Files, hours, and how many have a varying rate or several video streams, from library_files()."""
+    return files.agg(F.count("*").alias("files"), F.round(F.sum("seconds") / 3600, 3).alias("hours"), F.count_if("varying").alias("varying"), F.count_if("several_streams").alias("several_streams"))
 
 
 def frame_pairs(frames: DataFrame) -> DataFrame:

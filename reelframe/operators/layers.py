@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.functions.text import blank, first_truthy
+from reelframe.functions.text import blank, first_truthy, shorten
 
 #: Phrases of descriptions that speak of several images, and what a single shot's description says.
 ORDINALS = {"première image": "au début du plan", "premier plan": "au début du plan", "seconde image": "puis", "deuxième plan": "puis", "troisième image": "enfin", "troisième plan": "enfin"}
@@ -37,6 +37,13 @@ def preview_rate(start: Column, end: Column, rate: float, most: int) -> Column:
     return F.least(F.lit(rate), F.greatest(F.lit(2.0), most / F.greatest(end - start, F.lit(0.2))))
 
 
+def preview_length(start: Column, end: Column, rate: float, most: int, trim: int) -> Column:
+    """Seconds of a preview: its last trim images are left out, unless it gets shorter than two images or 0.08 seconds."""
+    per_second = F.greatest(preview_rate(start, end, rate, most), F.lit(1.0))
+    whole, least = F.greatest(end - start, F.lit(0.2)), F.greatest(F.lit(0.08), 2.0 / per_second)
+    return F.when((F.lit(trim) > 0) & (whole > least), F.greatest(least, whole - trim / per_second)).otherwise(whole)
+
+
 def orientation(width: Column, height: Column) -> Column:
     return F.when(width > height, "paysage").when(width < height, "portrait").otherwise("carré")
 
@@ -46,9 +53,17 @@ def up_to_date(description: Column, stored: Column, current: Column) -> Column:
     return ~blank(description) & stored.eqNullSafe(current)
 
 
-def provenance(pitch: Column, synopsis: Column, scenario: Column) -> Column:
-    has = lambda c: ~blank(c)
-    return F.struct(has(pitch).alias("pitch"), has(synopsis).alias("synopsis"), has(scenario).alias("scenario"), F.substring(first_truthy(pitch, synopsis), 1, 80).alias("start"))
+def provenance(title: Column, year: Column, pitch: Column, synopsis: Column, scenario: Column, sources: Column) -> Column:
+    """Which of a film's texts a request was given."""
+    has, text = (lambda c: ~blank(c)), (lambda c: F.coalesce(c, F.lit("")))
+    return F.struct(text(title).alias("titre"), year.alias("annee"), has(pitch).alias("pitch"), shorten(pitch, 240).alias("pitch_extrait"), has(synopsis).alias("synopsis"), has(scenario).alias("scenario"), F.coalesce(sources, F.array().cast("array<string>")).alias("sources"))
+
+
+def scene_provenance(scene: Column) -> Column:
+    """Which of a scene's texts (a struct) a request was given; null without a scene."""
+    has, text = (lambda f: ~blank(scene[f])), (lambda f: F.coalesce(scene[f], F.lit("")))
+    made = F.struct(text("scene_id").alias("scene_id"), scene["numero_scene"].alias("numero_scene"), text("titre").alias("titre"), has("resume_scene").alias("resume_scene"), has("contexte_pour_plans").alias("contexte_pour_plans"), text("methode").alias("methode"))
+    return F.when(scene.isNotNull(), made)
 
 
 def one(rows: DataFrame, film: object, n: int) -> DataFrame:
@@ -84,9 +99,18 @@ def timeline(segments: DataFrame, *fields: str) -> DataFrame:
 
 
 def rolled_up(sequences: DataFrame) -> DataFrame:
-    """Sequences of each film, how many are music, and their distinct families regardless of case."""
-    families = F.array_sort(F.collect_set(F.lower(F.nullif("family", F.lit("")))))
-    return sequences.groupBy("film_id").agg(F.count("*").alias("total"), F.count_if(~blank(F.col("family"))).alias("musical"), F.array_join(families, "|").alias("families"))
+    """Of each film, how many audio sequences there are and how many have music, and their distinct families, sub-genres and
+    kinds of sound design in order regardless of case. Fingerprints aren't carried.
+
+    sequences: film_id, musique_presente, and three lists"""
+    lists = ["musique_familles", "musique_sous_genres", "design_sonore_types"]
+    # each value once before anything is gathered
+    values = sequences.select("film_id", F.inline(F.array(*(F.struct(F.lit(c).alias("kind"), F.coalesce(c, F.array().cast("array<string>")).alias("values")) for c in lists))))
+    values = values.select("film_id", "kind", F.explode("values").alias("v")).where("v <> ''").distinct()
+    of = lambda c: F.transform(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("kind") == c, F.struct(F.lower("v").alias("low"), "v"))))), lambda x: x["v"]).alias(c)
+    counts = sequences.groupBy("film_id").agg(F.count("*").alias("sequences_count"), F.count_if(F.coalesce("musique_presente", F.lit(False))).alias("sequences_musicales_count"))
+    rows = counts.join(values.groupBy("film_id").agg(*(of(c) for c in lists)), "film_id", "left")
+    return rows.select("film_id", "sequences_count", "sequences_musicales_count", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists))
 
 
 def catalogue_order(photos: DataFrame, mode: str) -> DataFrame:

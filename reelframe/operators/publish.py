@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.numbers import decade, timecode
 from reelframe.functions.ranks import numbered
-from reelframe.functions.text import first_truthy, squashed
+from reelframe.functions.text import first_truthy, slug, squashed
 from reelframe.sources.tables import hold
 
 
@@ -60,6 +60,18 @@ def selection(ids: DataFrame, shots: DataFrame) -> DataFrame:
     return rows.withColumn("id", checked).drop("_known").orderBy("pos")
 
 
+def media_of(shots: DataFrame, title: Column) -> Column:
+    """The media of a selected shot in order, as (role, fichier): thumbnail, numbered thumbnails, preview. A file has one
+    place in the export; what is missing or repeated in the shot has the place it had.
+
+    shots: vignette, vignettes, apercu, film_id, n"""
+    place = F.concat(slug(title), F.lit("_"), "film_id", F.format_string("/plan_%05d/", "n"))
+    numbered_ = F.transform(F.coalesce("vignettes", F.array().cast("array<string>")), lambda v, i: F.struct(F.concat(F.lit("vignette_"), i.cast("string")).alias("role"), v.alias("path")))
+    every = F.concat(F.array(F.struct(F.lit("vignette").alias("role"), F.col("vignette").alias("path"))), numbered_, F.array(F.struct(F.lit("apercu").alias("role"), F.col("apercu").alias("path"))))
+    there = F.filter(every, lambda m: F.coalesce(m["path"], F.lit("")) != "")
+    return F.transform(there, lambda m: F.struct(m["role"].alias("role"), F.concat(place, F.element_at(F.split(m["path"], "/"), -1)).alias("fichier")))
+
+
 def credits(film: DataFrame, functions: dict[str, str]) -> DataFrame:
     """film_id and a map of label to names, without empty entries."""
     pairs = F.create_map(*(x for label, c in functions.items() for x in (F.lit(label), F.col(c))))

@@ -8,13 +8,27 @@ from pyspark.sql import functions as F
 from reelframe.functions.text import blank, first_truthy, looks_english
 
 
-def pivoted(claims: DataFrame, single: list[str], several: list[str], dates: list[str], most: int = 10) -> DataFrame:
-    """One row per entity: the first value of single properties, the first values of several, the smallest date."""
-    by_pos = lambda p: F.array_sort(F.collect_list(F.when(F.col("prop") == p, F.struct("pos", "value_id"))))
-    aggs = [F.min(F.when(F.col("prop") == p, F.struct("pos", "value_id")))["value_id"].alias(p) for p in single]
-    aggs += [F.array_join(F.transform(F.slice(by_pos(p), 1, most), lambda x: x["value_id"]), ",").alias(p) for p in several]
-    aggs += [F.min(F.when(F.col("prop") == p, F.col("value_time"))).alias(p) for p in dates]
-    return claims.where(F.col("prop").isin(single + several + dates)).groupBy("entity").agg(*aggs)
+#: Properties of a film and the fields that they fill; a field of one value takes the first.
+PROPERTIES = {"realisateur": "P57", "scenaristes": "P58", "acteurs": "P161", "producteurs": "P162", "directeur_photo": "P344", "chef_decorateur": "P2554", "monteur": "P1040", "musique": "P86", "costumes": "P2515", "societes_production": "P272", "pays": "P495", "genres": "P136", "date_sortie": "P577"}
+SINGLE = ["realisateur", "directeur_photo", "chef_decorateur", "monteur", "musique", "costumes"]
+DATE = "date_sortie"
+LONG_LISTS = {"acteurs": 10}
+
+
+def pivoted(claims: DataFrame, labels: DataFrame, properties: dict[str, str] | None = None) -> DataFrame:
+    """One row per entity with its fields: names for one value or several, in the order of the claims, and the smallest date
+    with its year. Names are labels in French, else English, else the id.
+
+    claims: entity, prop, pos, value_id, value_time; labels: value_id, lang, label"""
+    properties = PROPERTIES if properties is None else properties
+    told = lambda lang: F.min(F.when((F.col("lang") == lang) & (F.col("label") != ""), F.col("label")))
+    names = labels.where(F.col("lang").isin("fr", "en")).groupBy("value_id").agg(F.coalesce(told("fr"), told("en")).alias("name"))
+    rows = claims.where(F.col("prop").isin(list(properties.values()))).join(names, "value_id", "left").withColumn("name", F.coalesce("name", F.col("value_id").cast("string")))
+    listed = lambda p: F.transform(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("prop") == p, F.struct("pos", "value_id", "name"))))), lambda x: x["name"])
+    date = F.min(F.when(F.col("prop") == properties[DATE], F.col("value_time")))
+    out = rows.groupBy("entity").agg(*(listed(p).alias(f) for f, p in properties.items() if f != DATE), date.alias(DATE))
+    fields = [F.coalesce(F.try_element_at(f, F.lit(1)), F.lit("")).alias(f) if f in SINGLE else (F.slice(f, 1, LONG_LISTS[f]) if f in LONG_LISTS else F.col(f)).alias(f) for f in properties if f != DATE]
+    return out.select("entity", *fields, F.coalesce(DATE, F.lit("")).alias(DATE), F.substring(DATE, 1, 4).try_cast("int").alias("annee"))
 
 
 def resolved(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -28,8 +42,9 @@ def resolved(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("title", "entity")
 
 
-def merged(old: DataFrame, new: DataFrame, key: str, fields: list[str], ordered_sources: bool = True) -> DataFrame:
-    """Empty fields are filled, others stay; sources are united; a note that isn't in the old ones is appended."""
+def merged(old: DataFrame, new: DataFrame, key: str, fields: list[str], ordered_sources: bool = True, longest_notes: int | None = None) -> DataFrame:
+    """Empty fields are filled, others stay; sources are united, in order or sorted; a note that isn't in the old ones is
+    appended, and the notes are cut to the longest length if there is one."""
     a, b = old.alias("a"), new.alias("b")
     rows = a.join(b, key, "full_outer")
     cols = [first_truthy(F.col(f"a.{f}"), F.col(f"b.{f}")).alias(f) for f in fields]
@@ -38,7 +53,8 @@ def merged(old: DataFrame, new: DataFrame, key: str, fields: list[str], ordered_
         cols.append((both if ordered_sources else F.array_sort(both)).alias("sources"))
     if "notes" in old.columns:
         was, add = F.coalesce("a.notes", F.lit("")), F.coalesce("b.notes", F.lit(""))
-        cols.append(F.when((add == "") | F.contains(was, add), was).otherwise(F.trim(F.concat_ws(" ", was, add))).alias("notes"))
+        notes = F.when((add == "") | F.contains(was, add), was).otherwise(F.trim(F.concat_ws(" ", was, add)))
+        cols.append((notes if longest_notes is None else F.substring(notes, 1, longest_notes)).alias("notes"))
     return rows.select(key, *cols)
 
 

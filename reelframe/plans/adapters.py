@@ -79,7 +79,8 @@ FROM (SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY conv_id,
     "captions": """SELECT doc_id, n_chars % 5 + 1 AS k, CASE WHEN doc_id % 7 = 0 THEN CAST(n_chars % 4 AS INT) ELSE NULL END AS personnages, CASE WHEN doc_id % 13 = 0 THEN lang ELSE '' END AS personnages_sujets,
   CASE doc_id % 6 WHEN 0 THEN concat(CAST(n_chars % 5 + 1 AS VARCHAR(9)), ' femmes et hommes dans la rue') WHEN 1 THEN concat(CASE n_chars % 3 WHEN 0 THEN 'Trois' WHEN 1 THEN 'Deux' ELSE 'Un' END, ' enfants, une fillette') WHEN 2 THEN 'Foule : personne âgée, silhouettes'
   WHEN 3 THEN concat('Un ', CASE n_chars % 3 WHEN 0 THEN 'chien' WHEN 1 THEN 'vieux cheval' ELSE 'rat' END, ' court') WHEN 4 THEN 'Rue vide, hommes-grenouilles absents' ELSE concat('Genres mixtes, ', CAST(n_chars % 5 + 1 AS VARCHAR(9)), ' adolescents') END AS description FROM documents""",
-    "claims": """SELECT l_orderkey AS entity, concat('P', CAST(l_partkey % 13 AS VARCHAR(9))) AS prop, l_linenumber AS pos, CAST(l_suppkey AS BIGINT) AS value_id, substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) AS value_time FROM lineitem""",
+    "names": """SELECT CAST(s_suppkey AS BIGINT) AS value_id, 'en' AS lang, s_name AS label FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'fr', CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('Nom ', CAST(s_suppkey AS VARCHAR(19))) END FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'de', 'Name' FROM supplier""",
+    "claims": """SELECT l_orderkey AS entity, CASE l_partkey % 13 WHEN 0 THEN 'P57' WHEN 1 THEN 'P58' WHEN 2 THEN 'P161' WHEN 3 THEN 'P162' WHEN 4 THEN 'P344' WHEN 5 THEN 'P2554' WHEN 6 THEN 'P1040' WHEN 7 THEN 'P86' WHEN 8 THEN 'P2515' WHEN 9 THEN 'P272' WHEN 10 THEN 'P495' WHEN 11 THEN 'P136' ELSE 'P577' END AS prop, l_linenumber AS pos, CAST(l_suppkey AS BIGINT) AS value_id, substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) AS value_time FROM lineitem""",
 }
 
 QUERIES: dict = {}

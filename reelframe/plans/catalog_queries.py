@@ -173,22 +173,30 @@ def running_times(attempts: DataFrame) -> DataFrame:
 # claims and records
 
 
-@query("claims", oracle="SELECT entity, min(value_id) FILTER (pos = m1 AND prop = 'P1') AS P1, string_agg(CAST(value_id AS VARCHAR), ',' ORDER BY pos, value_id) FILTER (prop = 'P2' AND r <= 10) AS P2, min(value_time) FILTER (prop = 'P3') AS P3 FROM (SELECT *, min(pos) FILTER (prop = 'P1') OVER (PARTITION BY entity) AS m1, row_number() OVER (PARTITION BY entity, prop ORDER BY pos, value_id) AS r FROM claims WHERE prop IN ('P1', 'P2', 'P3')) x GROUP BY entity")
-def claim_columns(claims: DataFrame) -> DataFrame:
-    return records.pivoted(claims, ["P1"], ["P2"], ["P3"]).withColumn("P2", F.nullif("P2", F.lit("")))
+_NAMED = "c AS (SELECT c.*, coalesce(n.name, CAST(c.value_id AS VARCHAR)) AS name FROM claims c LEFT JOIN (SELECT value_id, coalesce(min(label) FILTER (lang = 'fr' AND label <> ''), min(label) FILTER (lang = 'en' AND label <> '')) AS name FROM names GROUP BY value_id) n ON c.value_id = n.value_id)"
+_FILLED = ", ".join(f"coalesce((list(name ORDER BY pos, value_id) FILTER (prop = '{p}'))[1], '') AS {f}" if f in records.SINGLE else f"coalesce(array_to_string((list(name ORDER BY pos, value_id) FILTER (prop = '{p}'))[1:{records.LONG_LISTS.get(f, 1000)}], ','), '') AS {f}" for f, p in records.PROPERTIES.items() if f != records.DATE)
 
 
-@query("films", "claims", oracle="SELECT titre AS title, entity FROM (SELECT f.titre, c.entity, row_number() OVER (PARTITION BY f.titre ORDER BY c.prop, c.pos, c.entity) AS r FROM films f JOIN claims c ON c.entity % 1000 = f.number WHERE (c.prop = 'P1' OR c.value_time LIKE '%-05-%') AND abs(f.annee - 1950 - c.value_id % 50) <= 1) x WHERE r = 1")
+@query("claims", "names", oracle=f"WITH {_NAMED} SELECT entity, {_FILLED}, coalesce(min(value_time) FILTER (prop = 'P577'), '') AS date_sortie, CAST(substr(min(value_time) FILTER (prop = 'P577'), 1, 4) AS INT) AS annee FROM c GROUP BY entity")
+def claim_columns(claims: DataFrame, names: DataFrame) -> DataFrame:
+    """All thirteen properties by name; lists as texts."""
+    rows = records.pivoted(claims, names)
+    return rows.withColumns({f: F.array_join(f, ",") for f in records.PROPERTIES if f not in (*records.SINGLE, records.DATE)})
+
+
+@query("films", "claims", oracle="SELECT titre AS title, entity FROM (SELECT f.titre, c.entity, row_number() OVER (PARTITION BY f.titre ORDER BY c.prop, c.pos, c.entity) AS r FROM films f JOIN claims c ON c.entity % 1000 = f.number WHERE (c.prop = 'P58' OR c.value_time LIKE '%-05-%') AND abs(f.annee - 1950 - c.value_id % 50) <= 1) x WHERE r = 1")
 def resolved_entities(films: DataFrame, claims: DataFrame) -> DataFrame:
     wanted = films.select(F.col("titre").alias("title"), F.col("annee").alias("year"), F.col("number").alias("k"))
-    found = claims.select((F.col("entity") % 1000).alias("k"), F.col("prop").alias("attempt"), F.col("pos").alias("rank"), "entity", (F.col("prop") == "P1").alias("is_film"), F.when(F.col("value_time").like("%-05-%"), "a film").alias("description"), (1950 + F.col("value_id") % 50).alias("found_year"))
+    found = claims.select((F.col("entity") % 1000).alias("k"), F.col("prop").alias("attempt"), F.col("pos").alias("rank"), "entity", (F.col("prop") == "P58").alias("is_film"), F.when(F.col("value_time").like("%-05-%"), "a film").alias("description"), (1950 + F.col("value_id") % 50).alias("found_year"))
     return records.resolved(wanted.drop("k"), found.join(wanted.select("k", "title"), "k").drop("k"))
 
 
-@query("films", oracle="SELECT film_id, coalesce(nullif(pays, ''), 'inconnu') AS pays, coalesce(pitch, 'sans') AS pitch FROM films")
+@query("films", oracle="SELECT film_id, coalesce(nullif(pays, ''), 'inconnu') AS pays, coalesce(pitch, 'sans') AS pitch, CASE annee % 3 WHEN 0 THEN 'b|a' WHEN 1 THEN 'b|c|a' ELSE 'a' END AS sources, substr(CASE annee % 4 WHEN 0 THEN 'Vu à Paris.' WHEN 1 THEN 'Déjà noté : Crédits complétés. Et plus.' WHEN 2 THEN 'Vu à Paris. Crédits complétés.' ELSE 'Crédits complétés.' END, 1, 20) AS notes FROM films")
 def merged_records(films: DataFrame) -> DataFrame:
-    new = films.select("film_id", F.lit("inconnu").alias("pays"), F.lit("sans").alias("pitch"))
-    return records.merged(films, new, "film_id", ["pays", "pitch"])
+    """Records that lack some fields, have sources and notes in part, and new ones that fill them."""
+    old = films.select("film_id", "pays", "pitch", F.expr("CASE annee % 3 WHEN 0 THEN array('b') WHEN 1 THEN array('b', 'c') END AS sources"), F.expr("CASE annee % 4 WHEN 0 THEN 'Vu à Paris.' WHEN 1 THEN 'Déjà noté : Crédits complétés. Et plus.' WHEN 2 THEN 'Vu à Paris.' END AS notes"))
+    new = films.select("film_id", F.lit("inconnu").alias("pays"), F.lit("sans").alias("pitch"), F.expr("CASE annee % 3 WHEN 0 THEN array('a', 'b') ELSE array('a') END AS sources"), F.when(F.col("annee") % 4 > 0, "Crédits complétés.").otherwise("").alias("notes"))
+    return records.merged(old, new, "film_id", ["pays", "pitch"], longest_notes=20).withColumn("sources", F.array_join("sources", "|"))
 
 
 @query("films", oracle="SELECT film_id, CASE WHEN annee % 2 = 0 THEN '' ELSE coalesce(pays, '') END AS pays FROM films")

@@ -70,13 +70,13 @@ def local_tags(part: DataFrame) -> DataFrame:
     return identification.local_tags(files, later.unionByName(others).unionByName(first))
 
 
-@query("answers", oracle="SELECT shot_id, shot_id % 4 = 2 AND true AS musique_presente, CASE shot_id % 4 WHEN 0 THEN 'silence / quasi-silence' WHEN 1 THEN 'indéterminé' ELSE '' END AS design, CASE WHEN shot_id % 4 = 0 THEN 'très faible' ELSE '' END AS intensite, shot_id % 4 = 1 AS a_verifier, CASE shot_id % 4 WHEN 0 THEN 'Extrait très faible ou quasi silencieux.' WHEN 1 THEN 'Analyse locale non concluante.' ELSE '' END AS notes FROM answers WHERE shot_id % 4 < 3")
+@query("answers", oracle="SELECT shot_id, shot_id % 4 = 2 AS musique_presente, CASE shot_id % 4 WHEN 1 THEN 'indéterminé' WHEN 2 THEN '' ELSE 'silence / quasi-silence' END AS design, CASE WHEN shot_id % 4 IN (0, 3) THEN 'très faible' ELSE '' END AS intensite, shot_id % 4 = 1 AS a_verifier, CASE shot_id % 4 WHEN 1 THEN 'Analyse locale non concluante.' WHEN 2 THEN '' ELSE 'Extrait très faible ou quasi silencieux.' END AS notes FROM answers")
 def default_answers(answers: DataFrame) -> DataFrame:
-    """Silent shots, shots without an answer, and shots with one."""
-    known = F.col("shot_id") % 4 == 2
-    empty = {"boolean": F.col("shot_id") % 4 == 2, "array<string>": F.array().cast("array<string>"), "string": F.lit("")}
-    given = answers.where("shot_id % 4 < 3").select("shot_id", *(F.when(known, F.lit(False) if c == "a_verifier" else empty[k]).alias(c) for c, k in identification.ANSWER.items()))
-    rows = identification.answered(given, F.col("shot_id") % 4 == 0)
+    """Silent shots with an answer and without one, other shots without an answer, and with one."""
+    known = F.col("shot_id") % 4 >= 2
+    empty = {"boolean": F.lit(True), "array<string>": F.array().cast("array<string>"), "string": F.lit("")}
+    given = answers.select("shot_id", *(F.when(known, F.lit(False) if c == "a_verifier" else empty[k]).alias(c) for c, k in identification.ANSWER.items()))
+    rows = identification.answered(given, (F.col("shot_id") % 4).isin(0, 3))
     return rows.select("shot_id", "musique_presente", F.array_join("design_sonore_types", "|").alias("design"), F.col("intensite_sonore").alias("intensite"), "a_verifier", F.col("notes_audio").alias("notes"))
 
 

@@ -97,9 +97,22 @@ def identified_music(lineitem: DataFrame) -> DataFrame:
     return labels.identified(rows).select("sequence_id", "title", "confidence", "a_verifier")
 
 
-@query("part", oracle="SELECT count(*) AS files, round(sum(p_retailprice) / 3600, 3) AS hours, count(*) FILTER (p_size % 3 > 0) AS varying FROM part")
+_PROBES = "SELECT p_name || p_partkey AS path, unnest(range(CASE WHEN p_size % 7 = 0 THEN 2 ELSE 1 END)) AS stream, p_retailprice AS seconds, CASE p_size % 4 WHEN 0 THEN 25.0 WHEN 1 THEN 24000 / 1001.0 WHEN 2 THEN 0.0 ELSE 24.5 END AS mean, CASE p_size % 4 WHEN 0 THEN 25.0 WHEN 1 THEN 24.0 ELSE 25.0 END AS stated FROM part"
+
+
+def _probed(part: DataFrame) -> DataFrame:
+    """Probe rows of video streams: steady, a little off, unreadable and varying rates; some files have two streams."""
+    return part.select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"), F.explode(F.expr("sequence(0, if(p_size % 7 = 0, 1, 0))")).alias("stream"), F.col("p_retailprice").alias("seconds"), F.expr("CASE p_size % 4 WHEN 0 THEN '25/1' WHEN 1 THEN '24000/1001' WHEN 2 THEN '0/0' ELSE '49/2' END AS avg_frame_rate"), F.expr("CASE p_size % 4 WHEN 0 THEN '25/1' WHEN 1 THEN '24/1' ELSE '25/1' END AS r_frame_rate"))
+
+
+@query("part", oracle=f"SELECT path, any_value(seconds) AS seconds, round(any_value(seconds) / 60, 1) AS minutes, round(any_value(mean), 2) AS rate, abs(any_value(mean) - any_value(stated)) > 0.05 AND any_value(mean) > 0 AS varying, count(*) > 1 AS several_streams FROM ({_PROBES}) x GROUP BY path")
+def library_files(part: DataFrame) -> DataFrame:
+    return labels.library_files(_probed(part))
+
+
+@query("part", oracle="SELECT count(*) AS files, round(sum(p_retailprice) / 3600, 3) AS hours, count(*) FILTER (p_size % 4 = 3) AS varying, count(*) FILTER (p_size % 7 = 0) AS several_streams FROM part")
 def library_report(part: DataFrame) -> DataFrame:
-    return labels.library_hours(part.select(F.col("p_name").alias("path"), F.col("p_retailprice").alias("seconds"), F.lit(24.0).alias("rate"), (24.0 + F.col("p_size") % 3).alias("mean_rate")))
+    return labels.library_hours(labels.library_files(_probed(part)))
 
 
 @query("frames", oracle="SELECT film_id, t, next FROM (SELECT film_id, t, score, lead(t) OVER (PARTITION BY film_id, CAST(floor(t / 600) AS BIGINT) ORDER BY t) AS next FROM frames) x WHERE score >= 0.12 AND next IS NOT NULL")
@@ -150,10 +163,17 @@ def translated_records(films: DataFrame) -> DataFrame:
     return records.translated(films.select("film_id", "pitch", "pays", "titre"), fields, "film_id", ["pitch", "pays"])
 
 
-@query("shots", oracle="SELECT film_id, n, echelle FROM shots WHERE n % 7 = 0")
+_SLUG = "trim(lower(regexp_replace(film_id, '[^a-zA-Z0-9]+', '-', 'g')), '-')"
+
+
+@query("shots", oracle=f"SELECT film_id, n, echelle, array_to_string(list_transform(list_filter(list_concat([{{'r': 'vignette', 'p': vignette}}], list_transform(string_split(vignettes, '|'), lambda v, i: {{'r': concat('vignette_', i - 1), 'p': v}}), [{{'r': 'apercu', 'p': CASE WHEN n % 2 = 0 THEN 'p/a.mp4' ELSE '' END}}]), lambda m: m.p <> ''), lambda m: concat(m.r, '=', {_SLUG}, '_', film_id, printf('/plan_%05d/', n), regexp_extract(m.p, '[^/]*$'))), '|') AS medias FROM shots WHERE n % 7 = 0")
 def selected_shots(shots: DataFrame) -> DataFrame:
+    """Every seventh shot, asked for twice, with the media of its export."""
     ids = shots.where("n % 7 = 0").select(F.explode(F.array(F.col("n"), F.col("n") + 1000)).alias("pos"), F.concat_ws("#", "film_id", "n").alias("id"))
-    return publish.selection(ids, shots.select("film_id", "n", "echelle")).select("film_id", "n", "echelle")
+    rows = shots.select("film_id", "n", "echelle", "vignette", F.split("vignettes", r"\|").alias("vignettes"), F.when(F.col("n") % 2 == 0, "p/a.mp4").alias("apercu"))
+    chosen = publish.selection(ids, rows)
+    medias = F.transform(publish.media_of(chosen, F.col("film_id")), lambda m: F.concat_ws("=", m["role"], m["fichier"]))
+    return chosen.select("film_id", "n", "echelle", F.array_join(medias, "|").alias("medias"))
 
 
 @query("shots", "films", oracle="SELECT s.film_id, n, concat_ws(chr(10), 'Titre : ' || nullif(titre, ''), 'Pays : ' || nullif(pays, ''), 'Lieu : ' || nullif(lieu, ''), 'Plan : ' || nullif(echelle, '')) AS prompt FROM shots s LEFT JOIN films f ON s.film_id = f.film_id")
