@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions.ranks import numbered
+
 
 def best_attempts(attempts: DataFrame, full: int) -> DataFrame:
     """Of each shot the attempt with most required, then most fields, earlier ones first; none after the first full one."""
@@ -16,15 +18,19 @@ def best_attempts(attempts: DataFrame, full: int) -> DataFrame:
 
 
 def timing(attempts: DataFrame, *keys: str) -> DataFrame:
-    """Answers, median and 90th of 100 seconds (the value at the floor of nine tenths of the last position), shots an hour."""
-    # equal times are one row with a count, so that neither quantile needs all times in one place
-    times = attempts.groupBy(*keys, "seconds").agg(F.count("*").alias("c"))
-    running = F.sum("c").over(Window.partitionBy(*keys).orderBy("seconds"))
-    times = times.withColumns({"upto": running, "answers": F.sum("c").over(Window.partitionBy(*keys))})
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("seconds")))
-    low, high = at(F.floor((F.col("answers") - 1) / 2)), at(F.ceil((F.col("answers") - 1) / 2))
-    out = times.groupBy(*keys).agg(F.first("answers").alias("answers"), ((low + high) / 2).alias("median"), at(F.floor((F.col("answers") - 1) * 9 / 10)).alias("p90"), F.sum(F.col("c") * F.col("seconds")).alias("_all"))
-    return out.select(*keys, "answers", "median", "p90", F.try_divide(F.col("answers") * 3600, F.col("_all")).alias("per_hour"))
+    """Answers, median and 90th of 100 seconds (the value at the floor of nine tenths of the last position), shots an hour.
+
+    Places are counted in ranges of the order, so an engine with most of the answers is no task's."""
+    placed = numbered(attempts.select(*keys, "seconds"), list(keys), [F.asc("seconds")], "_r")
+    counts = attempts.groupBy(*keys).agg(F.count("*").alias("answers"), F.sum("seconds").alias("_all"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & placed[k].eqNullSafe(counts[k])
+    last = F.col("answers") - 1
+    places = {"_low": F.floor(last / 2), "_high": F.ceil(last / 2), "p90": F.floor(last * 9 / 10)}
+    near = placed.join(counts, same).where(F.array_contains(F.array(*(c + 1 for c in places.values())), F.col("_r")))
+    found = near.groupBy(*(counts[k] for k in keys), "answers", "_all").agg(*(F.min(F.when(F.col("_r") == c + 1, F.col("seconds"))).alias(name) for name, c in places.items()))
+    return found.select(*keys, "answers", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p90", F.try_divide(F.col("answers") * 3600, F.col("_all")).alias("per_hour"))
 
 
 def agreement(attempts: DataFrame, a: str, b: str, fields: list[str]) -> DataFrame:
@@ -36,6 +42,11 @@ def agreement(attempts: DataFrame, a: str, b: str, fields: list[str]) -> DataFra
     return rows.groupBy("field").agg(F.count("*").alias("shots"), F.round(100 * F.avg(F.when(F.col("x") == F.col("y"), 1).otherwise(0)), 1).alias("percent"))
 
 
+def mean_agreement(rows: DataFrame) -> DataFrame:
+    """One row: compared fields, and the mean of their agreement in per cent, to a tenth."""
+    return rows.agg(F.count("*").alias("fields"), F.round(F.avg("percent"), 1).alias("percent"))
+
+
 def violations(rows: DataFrame, key: str, vocabulary: dict[str, list[str]]) -> DataFrame:
     """(key, path, value) of each value of a column, or entry of an array column, that its closed vocabulary lacks."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

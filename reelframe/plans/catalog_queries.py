@@ -112,11 +112,19 @@ def engine_timing(attempts: DataFrame) -> DataFrame:
     return validation.timing(attempts, "engine").select("engine", "answers", F.round("median", 6).alias("median"), "p90", F.round("per_hour", 4).alias("per_hour"))
 
 
-@query("attempts", oracle="WITH one AS (SELECT shot_id, engine, first(echelle ORDER BY attempt, echelle) AS echelle, first(lieu ORDER BY attempt, lieu) AS lieu FROM attempts GROUP BY ALL) SELECT field, count(*) AS shots, round(100 * avg(CASE WHEN x = y THEN 1 ELSE 0 END), 1) AS percent FROM (SELECT unnest(['echelle', 'lieu']) AS field, unnest([a.echelle, a.lieu]) AS x, unnest([b.echelle, b.lieu]) AS y FROM one a JOIN one b ON a.shot_id = b.shot_id AND a.engine = 'a' AND b.engine = 'b') p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY field")
+_AGREED = "WITH one AS (SELECT shot_id, engine, first(echelle ORDER BY attempt, echelle) AS echelle, first(lieu ORDER BY attempt, lieu) AS lieu FROM attempts GROUP BY ALL) SELECT field, count(*) AS shots, round(100 * avg(CASE WHEN x = y THEN 1 ELSE 0 END), 1) AS percent FROM (SELECT unnest(['echelle', 'lieu']) AS field, unnest([a.echelle, a.lieu]) AS x, unnest([b.echelle, b.lieu]) AS y FROM one a JOIN one b ON a.shot_id = b.shot_id AND a.engine = 'a' AND b.engine = 'b') p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY field"
+
+
+@query("attempts", oracle=_AGREED)
 def engine_agreement(attempts: DataFrame) -> DataFrame:
     return validation.agreement(attempts, "a", "b", ["echelle", "lieu"])
 
 
+@query("attempts", oracle=f"SELECT count(*) AS fields, round(avg(percent), 1) AS percent FROM ({_AGREED}) x")
+def engine_agreement_mean(attempts: DataFrame) -> DataFrame:
+    return validation.mean_agreement(validation.agreement(attempts, "a", "b", ["echelle", "lieu"]))
+
+
 @query("shots", oracle="SELECT film_id, path, value, count(*) AS n FROM (SELECT film_id, 'echelle' AS path, echelle AS value FROM shots WHERE echelle NOT IN ('gros plan', 'plan moyen') UNION ALL SELECT film_id, 'certitude', certitude FROM shots WHERE certitude NOT IN ('sûr', 'probable')) x GROUP BY ALL")
 def vocabulary_violations(shots: DataFrame) -> DataFrame:
     return validation.violations(shots, "film_id", {"echelle": ["gros plan", "plan moyen"], "certitude": ["sûr", "probable"]}).groupBy("film_id", "path", "value").agg(F.count("*").alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.operators import columns
-from reelframe.sources.tables import hold
+from reelframe.operators import columns, publish
+from reelframe.sources.tables import folder, hold
 
 from .adapters import query
 
@@ -69,6 +69,20 @@ def compact_shots(shots: DataFrame) -> DataFrame:
     return _texts(columns.projected(_nested(shots), columns.COMPACT))
 
 
+@query("shots", oracle=_oracle(columns.WIDE) + " WHERE film_id NOT LIKE '%1-0' OR n % 2 = 0")
+def full_index(shots: DataFrame) -> DataFrame:
+    """The full index of each film, of the shots that count: some films have a re-cut with every other shot. It is written
+    by film, and read again."""
+    rows = _nested(shots)
+    plan = F.struct(*(c for c in rows.columns if c != "film_id"))
+    recut = F.when((F.col("n") % 2 == 0) & F.col("film_id").like("%1-0"), plan)
+    films = rows.groupBy("film_id").agg(F.collect_list(plan).alias("plans"), F.collect_list(recut).alias("plans_proposes")).withColumn("strategie", F.lit("non-destructive-add-only-v2"))
+    wide = columns.projected(publish.visible(films))
+    path = folder(shots.sparkSession)
+    publish.write_index(wide.withColumn("film_id", F.col("film")), path)
+    return _texts(shots.sparkSession.read.schema(wide.schema).parquet(path).select(columns.WIDE))
+
+
 #: Closed vocabularies of the index, in their order.
 VOCABULARIES = {
     "echelles": ("echelle", ["très gros plan", "gros plan", "plan poitrine", "plan taille", "plan américain", "plan moyen", "plan large", "plan d'ensemble", "plan général"]),
