@@ -16,3 +16,10 @@ def test_queries_without_a_module(module):
     ask = ASK.format(root=ROOT, absent=f"sys.modules[{module!r}] = None; ")
     out = subprocess.run([sys.executable, "-W", "ignore", "-c", ask], capture_output=True, text=True, check=True, timeout=120).stdout.split()
     assert int(out[0]) > 100 and out[1:] == ["0", "True"]
+
+
+def test_a_mistaken_import_is_an_error():
+    """A module that nobody knows isn't taken for an absent library."""
+    ask = ASK.format(root=ROOT, absent="sys.modules['reelframe.llm.bpe'] = None; ")
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", ask], capture_output=True, text=True, timeout=120)
+    assert out.returncode and "reelframe.llm.bpe" in out.stderr
