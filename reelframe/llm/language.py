@@ -38,14 +38,15 @@ FEW = 24
 #: A text that takes more bits a symbol than this, and FIRST more in all, in every language is in none that is known:
 #: letters of a known language take about 5 at most even if drawn evenly, letters of other scripts up to 14.
 UNLIKE, FIRST = 6.0, 160.0
-#: Number signs that Python's word characters have besides letters and digits.
-_SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_BETWEEN = re.compile(rf"[\W\d_{_SIGNS}]+")
+_BETWEEN = re.compile(r"[\W\d_]+")
 
 
 def folded(text: str) -> bytes:
     """Lower-case letters in UTF-8, with one space for whatever lies between them."""
-    return _BETWEEN.sub(" ", unicodedata.normalize("NFC", text).lower()).strip().encode()
+    low = _BETWEEN.sub(" ", unicodedata.normalize("NFC", text).lower()).strip()
+    if not low.replace(" ", "").isalpha():  # word characters that are no letters: fractions, circled and Roman numbers
+        low = " ".join("".join(c if c.isalpha() else " " for c in low).split())
+    return low.encode()
 
 
 def automaton(text: bytes) -> list[dict[int, int]]:
