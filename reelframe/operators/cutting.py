@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHORTEST = 0.04
@@ -11,16 +11,24 @@ EDGE = 0.05
 
 def cuts(frames: DataFrame, threshold: float, clips: DataFrame) -> DataFrame:
     """(film_id, t) where the score passes a tenth of the threshold, away from the edges of (film_id, debut, fin)."""
-    least = min(1.0, max(0.01, threshold / 10))
-    rows = frames.where(F.col("score") > least).join(clips.select("film_id", "debut", "fin"), "film_id")
-    return rows.where((F.col("t") > F.col("debut") + EDGE) & (F.col("t") < F.col("fin") - EDGE)).select("film_id", F.bround("t", 3).alias("t")).distinct()
+    rows = frames.where(F.col("score") > _least(threshold)).join(clips.select("film_id", "debut", "fin"), "film_id")
+    return rows.where(_within("debut", "fin")).select("film_id", F.bround("t", 3).alias("t"))
+
+
+def _least(threshold: float) -> float:
+    return min(1.0, max(0.01, threshold / 10))
+
+
+def _within(start: str, end: str) -> Column:
+    return (F.col("t") > F.col(start) + EDGE) & (F.col("t") < F.col(end) - EDGE)
 
 
 def between(points: DataFrame, *keys: str) -> DataFrame:
-    """Shots between consecutive points of time; those that are too short are dropped."""
+    """Shots between consecutive points of time; those that are too short are dropped, and so what lies between equal
+    points: they needn't be distinct."""
     window = Window.partitionBy(*keys).orderBy("t")
-    rows = points.distinct().withColumn("fin", F.lead("t").over(window)).withColumnRenamed("t", "debut")
-    return rows.where(F.bround(F.col("fin") - F.col("debut"), 6) >= SHORTEST)
+    rows = points.withColumn("fin", F.lead("t").over(window)).withColumnRenamed("t", "debut")
+    return rows.where((F.col("fin") > F.col("debut")) & (F.bround(F.col("fin") - F.col("debut"), 6) >= SHORTEST))
 
 
 def detect(frames: DataFrame, clips: DataFrame, threshold: float = 3.0) -> DataFrame:
@@ -30,20 +38,20 @@ def detect(frames: DataFrame, clips: DataFrame, threshold: float = 3.0) -> DataF
 
 
 def detect_twice(frames: DataFrame, clips: DataFrame, threshold: float = 3.0, second: float | None = None, longest: float = 30.0) -> DataFrame:
-    """detect(), with long shots cut again at a lower threshold; refined tells which pass made a shot."""
+    """detect(), with long shots cut again at a lower threshold; refined tells which pass made a shot.
+
+    Frames and shots are rows of one sequence per film, in which the last start of a shot before a frame is carried
+    forward: a shot is one row however long it is. Short shots go through the second pass without a cut."""
     shots = detect(frames, clips, threshold)
-    long = F.col("fin") - F.col("debut") > longest
-    spans = shots.where(long).select("film_id", F.col("debut").alias("a"), F.col("fin").alias("b"))
-    least = min(1.0, max(0.01, (second or max(0.8, threshold * 0.6)) / 10))
-    # frames and spans meet by minute, so that a long film isn't one group of pairs
-    minute = lambda t: F.floor(t / 60)
-    placed = spans.withColumn("minute", F.explode(F.sequence(minute(F.col("a")), minute(F.col("b")))))
-    found = frames.where(F.col("score") > least).withColumn("minute", minute(F.col("t"))).join(placed, ["film_id", "minute"])
-    found = found.where((F.col("t") > F.col("a") + EDGE) & (F.col("t") < F.col("b") - EDGE))
-    points = found.select("film_id", "a", "b", F.bround("t", 3).alias("t"))
-    points = points.unionByName(spans.select("film_id", "a", "b", F.explode(F.array("a", "b")).alias("t")))
-    finer = between(points, "film_id", "a", "b")
-    return shots.where(~long).select("film_id", "debut", "fin", F.lit(False).alias("refined")).unionByName(finer.select("film_id", "debut", "fin", ((F.col("debut") > F.col("a")) | (F.col("fin") < F.col("b"))).alias("refined")))
+    least = _least(second or max(0.8, threshold * 0.6))
+    fine = frames.where((F.col("score") > least) & F.col("film_id").isNotNull()).select("film_id", "t", F.lit(1).alias("kind"))
+    rows = shots.select("film_id", F.col("debut").alias("t"), F.lit(0).alias("kind"), F.struct(F.col("debut").alias("a"), F.col("fin").alias("b")).alias("shot")).unionByName(fine, allowMissingColumns=True)
+    before = Window.partitionBy("film_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("shot", F.last("shot", ignorenulls=True).over(before)).select("film_id", "t", "kind", "shot.a", "shot.b")
+    cut = (F.col("b") - F.col("a") > longest) & _within("a", "b")
+    points = F.when(F.col("kind") == 0, F.array("a", "b")).when(cut, F.array(F.bround("t", 3)))
+    finer = between(placed.select("film_id", "a", "b", F.explode(points).alias("t")), "film_id", "a", "b")
+    return finer.select("film_id", "debut", "fin", ((F.col("debut") > F.col("a")) | (F.col("fin") < F.col("b"))).alias("refined"))
 
 
 def clean_bounds(bounds: DataFrame, gap: float = 0.08) -> DataFrame:

@@ -142,6 +142,15 @@ def test_cuts(spark):
     assert {(r.debut, r.fin) for r in cutting.clean_bounds(bounds).collect()} == {(0.0, 5.0), (5.0, 9.0), (9.0, 20.0), (20.0, 30.0)}
 
 
+def test_second_pass_over_long_spans(spark):
+    """A span of a thousand billion seconds is one row; frames at its edges and without a film cut nothing."""
+    end = 1e12
+    frames = spark.createDataFrame([("f", 5.0, 0.9), ("f", 5.0, 0.2), ("f", 100.0, 0.2), ("f", end - 0.01, 0.2), (None, 50.0, 0.2), ("f", None, 0.9)], "film_id string, t double, score double")
+    clips = spark.createDataFrame([("f", 0.0, end), (None, 0.0, 90.0)], "film_id string, debut double, fin double")
+    got = {(r.film_id, r.debut, r.fin, r.refined) for r in cutting.detect_twice(frames, clips).collect()}
+    assert got == {("f", 0.0, 5.0, False), ("f", 5.0, 100.0, True), ("f", 100.0, end, True), (None, 0.0, 90.0, False)}
+
+
 def test_merges(spark):
     old = spark.createDataFrame([("a", "", ["x"], "seen"), ("b", "kept", ["y"], "")], "k string, pitch string, sources array<string>, notes string")
     new = spark.createDataFrame([("a", "filled", ["w", "x"], "seen"), ("c", "new", ["z"], "n")], "k string, pitch string, sources array<string>, notes string")
