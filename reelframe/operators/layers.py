@@ -115,9 +115,9 @@ def rolled_up(sequences: DataFrame) -> DataFrame:
 
 def catalogue_order(photos: DataFrame, mode: str) -> DataFrame:
     """Photos in one of the catalogue's orders, texts by French collation: file; date (as text, newest first; the time of
-    change where there is none); type, then file; certainty; those to verify first, then file."""
+    change where there is none); type; certainty; those to verify first. What is equal comes by file, so the order is one."""
     has = set(photos.columns)
     text = lambda c: F.collate(F.coalesce(F.col(c).cast("string"), F.lit("")), "fr")
     when = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("date_photo", "mtime") if c in has), F.lit(""))
-    orders = {"file": lambda: [text("fichier")], "date": lambda: [F.desc(when)], "type": lambda: [text("type_image"), text("fichier")], "certainty": lambda: [text("certitude")], "verify": lambda: [F.desc("a_verifier"), text("fichier")]}
-    return photos.orderBy(*orders[mode]())
+    orders = {"file": lambda: [], "date": lambda: [F.desc(when)], "type": lambda: [text("type_image")], "certainty": lambda: [text("certitude")], "verify": lambda: [F.desc("a_verifier")]}
+    return photos.orderBy(*orders[mode](), *([text("fichier"), "fichier"] if "fichier" in has else []))
