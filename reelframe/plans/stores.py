@@ -161,7 +161,7 @@ def enriched_shots(shots: DataFrame) -> DataFrame:
             raise ValueError("no answer")
         return pd.DataFrame({"answer": (rows.n * 2).astype(str)})
 
-    return incremental.enriched(shots.select("film_id", "n"), ask, "answer string", 1)
+    return incremental.enriched(incremental.spread(shots.select("film_id", "n")), ask, "answer string", 1)
 
 
 @query("shots", oracle="SELECT film_id, n, CASE WHEN bad THEN NULL ELSE concat(n, ' of ', k) END AS answer, CASE WHEN bad THEN 'no answer' END AS error FROM (SELECT film_id, n, count(*) OVER w AS k, bool_or(n % 31 = 0) OVER w AS bad FROM shots WINDOW w AS (PARTITION BY film_id, (n - 1) // 8)) x")

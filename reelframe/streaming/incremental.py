@@ -98,35 +98,53 @@ def enriched(work: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     """fn applied to batches of rows in order; a batch that fails gives its rows with nulls and the error.
 
     fn is the caller's (a model client, say); schema names its columns, error is added. With together, a batch holds rows
-    of one group only, in the given order: groups are put in order within tasks, none is gathered."""
+    of one group only, in the given order: groups are put in order within tasks, none is gathered. Without it, the rows
+    stay in their tasks: few bytes of them may be much work, so spread() them first."""
     names = [f.split()[0] for f in schema.split(", ")]
     keys = work.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
     if together:
-        work = work.repartition(*together).sortWithinPartitions(*together, order)
-
-    def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        try:
-            made, error = fn(rows)[names].reset_index(drop=True), None
-        except Exception as failed:  # the caller's function may raise anything; the row tells what
-            made, error = pd.DataFrame({n: [None] * len(rows) for n in names}), str(failed)
-        return pd.concat([rows[keys], made], axis=1).assign(error=error)
+        work = spread(work, *together).sortWithinPartitions(*together, order)
+
+    def ask(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+        made: dict[tuple, list[pd.DataFrame]] = {}  # answers by their types, so that putting them together changes none
+        failed = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            try:
+                answer = fn(rows.iloc[a:b].reset_index(drop=True))[names]
+                made.setdefault(tuple(answer.dtypes), []).append(answer.set_axis(range(a, b)))
+            except Exception as reason:  # the caller's function may raise anything; the row tells what
+                failed.append(pd.DataFrame({"error": str(reason)}, index=range(a, b)))
+        for answers in made.values():
+            yield _beside(rows[keys], pd.concat(answers)).assign(error=None)
+        if failed:
+            error = pd.concat(failed)
+            yield _beside(rows[keys], pd.DataFrame({n: None for n in names}, index=error.index, dtype=object)).assign(error=error["error"].to_numpy())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for part in filter(len, parts):
-            held = part if held is None else pd.concat([held, part])
+            held = (part if held is None else pd.concat([held, part])).reset_index(drop=True)
             starts = _starts(held, batch, together)
-            for a, b in zip(starts, starts[1:], strict=False):
-                yield ask(held.iloc[a:b])
+            yield from ask(held, starts)
             held = held.iloc[starts[-1] :]  # may go on in the next part
         if held is not None and len(held):
-            yield ask(held)
+            yield from ask(held.reset_index(drop=True), [0, len(held)])
 
     return work.mapInPandas(run, f"{kinds}, {schema}, error string")
 
 
+def spread(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """rows over as many tasks as there are shuffle partitions, or cores if those are more, however few bytes they have."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def _beside(rows: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
+    """The rows that made is about, with its columns."""
+    return pd.concat([rows.loc[made.index].reset_index(drop=True), made.reset_index(drop=True)], axis=1)
+
+
 def _starts(rows: pd.DataFrame, batch: int, together: list[str] | None) -> list[int]:
     """Where batches begin: at each change of group, and after so many rows of one."""
     if not together:
@@ -167,7 +185,9 @@ def resumed(work: DataFrame, path: str, keys: list[str], fn: Callable[[pd.DataFr
     left = hold(numbered(work.join(done.select(keys), keys, "left_anti"), [], [F.asc(k) for k in keys], "_pos"))
     total, first = left.count(), max(ledger.committed(), default=-1) + 1
     for i, start in enumerate(range(0, total, portion)):
-        rows = left.where((F.col("_pos") > start) & (F.col("_pos") <= start + portion)).drop("_pos")
+        rows = left.where((F.col("_pos") > start) & (F.col("_pos") <= start + portion))
+        # neighbouring rows lie in few parts: whole batches of them go to all tasks
+        rows = spread(rows, F.floor((F.col("_pos") - start - 1) / batch)).sortWithinPartitions("_pos").drop("_pos")
         ledger.append(first + i, enriched(rows, fn, schema, batch))
     return ledger.read(made).drop("batch")
 

@@ -5,10 +5,11 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from reelframe.operators import photos, presence, publish, validation
+from reelframe.operators import layers, photos, presence, publish, records, validation
 from reelframe.sources import documents
 from reelframe.streaming import incremental
 from reelframe.streaming.ledger import Ledger
@@ -229,6 +230,53 @@ def test_enriched_keeps_failed_rows(spark):
     assert [(r.n, r.answer, r.error) for r in rows] == [(1, "1", None), (2, "2", None), (3, None, "model said no"), (4, None, "model said no")]
 
 
+def test_enriched_is_spread_and_keeps_types(spark):
+    """Ten thousand batches of one row come as few tables, in more tasks than the rows have bytes for; large numbers stay
+    exact beside failed rows."""
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf.n % 5 == 0).any():
+            raise ValueError("no")
+        return pd.DataFrame({"answer": pdf.n + 2**60 + 1})
+
+    tables = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            tables.add(1)
+            yield part
+
+    work = incremental.spread(spark.range(10000).withColumnRenamed("id", "n").coalesce(1))
+    made = incremental.enriched(work, fn, "answer long", 1)
+    assert made.select(F.spark_partition_id()).distinct().count() >= 4
+    assert made.where("n % 5 = 0 AND answer IS NULL AND error = 'no' OR n % 5 <> 0 AND answer = n + 1152921504606846977 AND error IS NULL").count() == 10000
+    made.mapInPandas(counted, made.schema).count()
+    assert tables.value < 100
+
+
+def test_batches_of_a_resumed_portion(spark, tmp_path):
+    """A portion's rows lie in one file and are asked in more than one task, in batches of neighbours."""
+    ask = lambda rows: pd.DataFrame({"answer": [f"{rows.n.min()}-{rows.n.max()}"] * len(rows), "task": [TaskContext.get().partitionId()] * len(rows)})
+    out = incremental.resumed(spark.range(1000).withColumnRenamed("id", "n"), str(tmp_path), ["n"], ask, "answer string, task long", 600, 10).collect()
+    assert {(r.n, r.answer) for r in out} == {(n, f"{n - n % 10}-{n - n % 10 + 9}") for n in range(1000)}
+    assert len({r.task for r in out}) > 1
+
+
+def test_prefilled_year(spark):
+    """The year that stands alone, whatever other digits look like one; else the first one."""
+    stems = ["cut src0-1975 1951", "a_2049_(2017)", "film-1975-1080p", "x 12051 y", "2001 odyssey 1968"]
+    files = spark.createDataFrame([(s, s, s) for s in stems], "file_name string, stem string, slug string")
+    out = records.prefilled(files, spark.createDataFrame([], "key string, titre string, annee string"), ["titre", "annee"])
+    assert {r.file_name: r.annee for r in out.collect()} == dict(zip(stems, ["1951", "2017", "1975", "", "2001"], strict=True))
+
+
+def test_equal_photos_come_by_file(spark):
+    rows = [("b", "d1", "c1", True), ("a", "d1", "c1", True), ("c", "d1", "c1", True), ("0", "d0", "c2", False)]
+    photos = spark.createDataFrame(rows, "fichier string, date_photo string, certitude string, a_verifier boolean").repartition(4)
+    for mode in ("date", "certainty", "verify"):
+        assert [r.fichier for r in layers.catalogue_order(photos, mode).collect()] == ["a", "b", "c", "0"]
+
+
 def test_films_hold_every_supplier(spark):
     """The films adapter has a row for each supplier, whatever the size of the table."""
     from reelframe.plans.adapters import adapted
