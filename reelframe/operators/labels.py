@@ -46,9 +46,11 @@ def silent(mean_db: Column, max_db: Column) -> Column:
 def sound_layers(shots: DataFrame) -> DataFrame:
     """shots (dialogue, dialogue_texte, n_segments) with dialogue_types, musique_types and ambiance_types."""
     said, on = F.coalesce("dialogue_texte", F.lit("")), F.coalesce("dialogue", F.lit(False))
-    low = fold_keeping_signs(said)
-    words, count = F.size(F.regexp_extract_all(low, F.lit(r"\b[\w']+\b"), 0)), F.coalesce("n_segments", F.lit(0))
-    cues = F.array_join(F.transform(F.regexp_extract_all(said, F.lit(r"\[[^\]]{0,60}\]"), 0), lambda c: F.lower(c)), "|")
+    # what the rules share are columns, so that each is made once
+    found = F.array_join(F.transform(F.regexp_extract_all(said, F.lit(r"\[[^\]]{0,60}\]"), 0), lambda c: F.lower(c)), "|")
+    rows = shots.withColumns({"_low": fold_keeping_signs(said), "_cues": found})
+    rows = rows.withColumn("_words", F.size(F.regexp_extract_all("_low", F.lit(r"\b[\w']+\b"), 0)))
+    low, cues, words, count = F.col("_low"), F.col("_cues"), F.col("_words"), F.coalesce("n_segments", F.lit(0))
     has = lambda text, terms: F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(text, t))
     spoken = on & (F.trim(said) != "")
     rules = [
@@ -65,7 +67,8 @@ def sound_layers(shots: DataFrame) -> DataFrame:
     tunes = F.array_compact(F.array(F.when(song, "chant / chanson"), F.when(music, "musique signalée")))
     noises = F.array_compact(F.array(F.when(has(cues, CUE_NOISE), "effets / ambiance"), F.when(has(cues, CUE_REMOTE), "voix hors-champ / médiatisée")))
     noises = F.when(on & (F.size(noises) == 0) & (cues == ""), F.array(F.lit(PLAIN))).otherwise(noises)
-    return shots.withColumns({"dialogue_types": kinds, "musique_types": F.when(F.size(tunes) > 0, tunes).otherwise(F.array(F.lit(NO_MUSIC))), "ambiance_types": noises})
+    rows = rows.withColumns({"dialogue_types": kinds, "musique_types": F.when(F.size(tunes) > 0, tunes).otherwise(F.array(F.lit(NO_MUSIC))), "ambiance_types": noises})
+    return rows.drop("_low", "_cues", "_words")
 
 
 def video_candidate(model: Column, camera: Column, confidence: Column, conflict: Column, difficult: bool, again: bool = False) -> Column:
