@@ -24,14 +24,34 @@ UNKNOWN, STILL, COMPLEX = "indéterminé", "fixe", "mouvement complexe"
 MEASURES = {"dx": 5, "dy": 5, "scale_delta": 5, "rotation": 4, "jitter": 5, "inliers": 3}
 
 
+def _gathered(pairs: DataFrame, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The measures of the pairs of each group as one array: a group is one shot's pairs, so it is small."""
+    return pairs.groupBy(*keys).agg(F.collect_list(F.struct(*more, *(F.col(m).cast("double").alias(m) for m in MEASURES))).alias("s"))
+
+
+def _median(values: Column) -> Column:
+    """The exact median of an array without nulls, 0 of none."""
+    middle = lambda a, n: F.when(n > 0, 0.5 * F.get(a, F.floor((n - 1) / 2).cast("int")) + 0.5 * F.get(a, F.floor(n / 2).cast("int"))).otherwise(0.0)
+    return F.transform(F.array(F.sort_array(values)), lambda a: middle(a, F.size(a)))[0]
+
+
+def _medians(s: Column) -> list[Column]:
+    of = lambda m: F.array_compact(F.transform(s, lambda x: x[m]))
+    return [F.size(s).cast("long").alias("pairs"), *(_median(of(m)).alias(m) for m in MEASURES)]
+
+
 def medians(pairs: DataFrame, *keys: str) -> DataFrame:
     """Number of pairs and exact medians of the six measures."""
-    return pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), *(F.coalesce(F.percentile(m, F.lit(0.5)), F.lit(0.0)).alias(m) for m in MEASURES))
+    return _gathered(pairs, *keys).select(*keys, *_medians(F.col("s")))
 
 
 def classified(rows: DataFrame) -> DataFrame:
     """rows of medians(), with camera, direction, intensity and confidence."""
-    c = F.col
+    return rows.withColumns(_classes(F.struct(*(F.col(x) for x in ("pairs", *MEASURES)))))
+
+
+def _classes(of: Column) -> dict[str, Column]:
+    c = lambda m: of[m]
     amp = F.hypot(c("dx"), c("dy"))
     scale, rot = F.abs(c("scale_delta")), F.abs(c("rotation"))
     force = F.greatest(scale * 18, rot / 2.5, amp * 7, c("jitter") * 12)
@@ -50,17 +70,19 @@ def classified(rows: DataFrame) -> DataFrame:
     for test, name, way in reversed(rules):
         camera, direction = F.when(test, name).otherwise(camera), F.when(test, way).otherwise(direction)
     sure = F.when(few, "douteux").when((c("inliers") > 0.55) & (c("pairs") >= 4), "sûr").when(c("inliers") > 0.35, "probable").otherwise("douteux")
-    return rows.withColumns({"camera": camera, "direction": direction, "intensity": F.when(few | (camera == STILL), "faible").otherwise(level), "confidence": sure})
+    return {"camera": camera, "direction": direction, "intensity": F.when(few | (camera == STILL), "faible").otherwise(level), "confidence": sure}
 
 
 def fused(pairs: DataFrame) -> DataFrame:
     """One movement for each shot_id over its segments: classes of the pooled pairs, or complex where segments differ."""
-    whole = classified(medians(pairs, "shot_id"))
-    parts = classified(medians(pairs, "shot_id", "segment")).where(F.col("camera") != UNKNOWN)
-    moving = F.count_distinct(F.when(F.col("camera") != STILL, F.col("camera")))
-    kinds = parts.groupBy("shot_id").agg(moving.alias("moving"))
-    mixed = F.coalesce(F.col("moving"), F.lit(0)) > 1
-    rows = whole.join(kinds, "shot_id", "left")
+    # a shot's pairs are gathered once, for itself and for its segments
+    shots = _gathered(pairs, "shot_id", more=("segment",))
+    of = lambda g: F.filter("s", lambda x: x["segment"].eqNullSafe(g))
+    segments = F.array_distinct(F.transform("s", lambda x: F.struct(x["segment"].alias("segment"))))
+    made = F.transform(segments, lambda g: F.transform(F.array(of(g["segment"])), lambda s: F.struct(*_medians(s)))[0])
+    kinds = F.array_distinct(F.filter(F.transform(made, lambda p: _classes(p)["camera"]), lambda c: ~c.isin(UNKNOWN, STILL)))
+    rows = classified(shots.select("shot_id", *_medians(F.col("s")), F.size(kinds).alias("moving")))
+    mixed = (F.col("moving") > 1) & F.col("shot_id").isNotNull()
     return rows.withColumns({"confidence": F.when(mixed, F.when(F.col("pairs") >= 3, "probable").otherwise("douteux")).otherwise(F.col("confidence")), "direction": F.when(mixed, "mixte").otherwise(F.col("direction")), "camera": F.when(mixed, COMPLEX).otherwise(F.col("camera"))}).drop("moving")
 
 
