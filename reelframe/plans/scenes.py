@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelframe.functions.numbers import jaccard
 from reelframe.functions.ranks import in_order
 from reelframe.operators import characters, dialogue, layers, scenes, scoring, sequences
+from reelframe.sources.tables import hold
 
 from .adapters import query
 from .shots import _TC
@@ -171,10 +172,9 @@ SELECT film_id, 'gap' AS fault, scene AS number FROM worn GROUP BY film_id, scen
 )
 def scene_faults(shots: DataFrame) -> DataFrame:
     """Faults of scenes that have lost every seventh shot, and have every eleventh one in the next scene too."""
-    rows = _featured(shots)
-    made = scenes.scenes_of(rows, THEMES)
+    made = hold(scenes.scenes_of(_featured(shots), THEMES))
     worn = made.where("n % 7 <> 0").unionByName(made.where("n % 11 = 0").withColumn("scene", F.col("scene") + 1))
-    return scenes.faults(rows, worn)
+    return scenes.faults(shots, worn)
 
 
 @query("shots", oracle=f"{_MEMBERS} SELECT film_id, n, CASE WHEN n % 2 = 0 THEN 1 WHEN n % 5 = 0 THEN least(2, scene_max) ELSE scene END AS scene FROM (SELECT *, max(scene) OVER (PARTITION BY film_id) AS scene_max FROM members) x")
@@ -182,6 +182,7 @@ def scene_lookup(shots: DataFrame) -> DataFrame:
     """Shots of even numbers state the first scene, every other fifth one stands in the second scene's list (the last
     one's, where there is only one); the others are looked up by their number."""
     made = scenes.scenes_of(_featured(shots), THEMES).groupBy("film_id", "scene").agg(F.min("n").alias("plan_debut"), F.max("n").alias("plan_fin"), F.format_string("scene_%03d", F.first("scene")).alias("scene_id"))
+    made = hold(made)
     listed = shots.where("n % 5 = 0").groupBy("film_id").agg(F.collect_list("n").alias("plans"))
     last = made.groupBy("film_id").agg(F.least(F.lit(2), F.max("scene")).alias("scene"))
     made = made.join(last.join(listed, "film_id"), ["film_id", "scene"], "left")
