@@ -24,3 +24,8 @@ def test_medians_of_shots_and_segments(spark):
     got = {r.shot_id: (r.pairs, r.dx) for r in movement.medians(pairs, "shot_id").collect()}
     assert got == {"a": (3, 2.5), "b": (3, 2.0), "c": (1, 0.0), None: (1, 5.0)}
     assert plan(movement.fused(pairs)).count("Aggregate") == 1
+
+
+def test_clean_bounds_keep_no_table_of_points(spark):
+    """Equal points drop out between neighbours, so no task holds all points of its films in a hash table."""
+    assert "Aggregate" not in plan(QUERIES["clean_bounds"](spark, DATA))
