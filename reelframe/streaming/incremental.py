@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,64 +20,101 @@ LISTING = "path string, size long, mtime long, seen timestamp"
 
 
 class _Settling(StatefulProcessor):
-    """Size and time of one path as last listed, with a timer for the moment when it counts as settled, and one for when
-    it is forgotten."""
+    """Size and time of the paths of a bucket as last listed, as one value, with a timer for the moment when the next of
+    them counts as settled or is forgotten. Paths are gone through as columns, not one by one."""
 
     def __init__(self, wait: float, keep: float, by_clock: bool):
         self.wait, self.keep, self.by_clock = int(wait * 1000), int(keep * 1000), by_clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.file = handle.getValueState("file", "size long, mtime long, first long, last long, told boolean")
-
-    def _told(self, key: tuple, size: int, mtime: int) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], size, mtime)], columns=["path", "size", "mtime"])
+        self.files = handle.getValueState("files", "listed binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        size, mtime, first, last, told = self.file.get() if self.file.exists() else (-1, -1, 0, -(2**62), False)
-        clock = timerValues.getCurrentProcessingTimeInMs()
-        for r in pd.concat(list(rows)).sort_values(["seen", "mtime", "size"]).itertuples():
-            now = clock if self.by_clock else int(r.seen.timestamp() * 1000)
-            if (r.size, r.mtime) == (size, mtime):
-                first, last = min(first, now), max(last, now)
-            elif (now, r.mtime, r.size) > (last, mtime, size):
-                size, mtime, first, last, told = int(r.size), int(r.mtime), now, now, False
-        if not told and last - first >= self.wait:
-            told = True
-            yield self._told(key, size, mtime)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if not told:
-            self.handle.registerTimer(first + self.wait)
-        self.handle.registerTimer(last + self.keep)
-        self.file.update((size, mtime, first, last, told))
+        now = self._now(timerValues)
+        yield from self._advanced(listed_anew(self._read(), pd.concat(list(rows)), now if self.by_clock else None), now)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.file.exists():
-            return
-        size, mtime, first, last, told = self.file.get()
-        if not told:
-            yield self._told(key, size, mtime)
-        if expiredTimerInfo.getExpiryTimeInMs() >= last + self.keep:
-            self.file.clear()
-        elif not told:
-            self.file.update((size, mtime, first, last, True))
+        yield from self._advanced(self._read(), max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:
         pass
 
-
-def settled(listings: DataFrame, wait: float = 20.0, keep: float = 86_400.0, late: str | None = None) -> DataFrame:
+    def _now(self, timerValues) -> int:
+        return timerValues.getCurrentProcessingTimeInMs() if self.by_clock else timerValues.getCurrentWatermarkInMs()
+
+    def _read(self) -> pd.DataFrame:
+        if not self.files.exists():
+            return pd.DataFrame(columns=STATE)
+        return pa.ipc.open_stream(bytes(self.files.get()[0])).read_pandas()
+
+    def _advanced(self, files: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        """What has settled by now; the rest of the state is written, and its next timer set."""
+        stood = ~files.told & ((files["last"] - files["first"] >= self.wait) | (files["first"] + self.wait <= now))
+        if stood.any():
+            yield files.loc[stood, ["path", "size", "mtime"]]
+        files = files.assign(told=files.told | stood)
+        files = files[~files.told | (files["last"] + self.keep > now)]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if files.empty:
+            self.files.clear()
+            return
+        table, out = pa.Table.from_pandas(files, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as to:
+            to.write_table(table)
+        self.files.update((out.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int((files["last"] + self.keep).where(files.told, files["first"] + self.wait).min()))
+
+
+STATE = ["path", "size", "mtime", "first", "last", "told"]
+
+
+def listed_anew(files: pd.DataFrame, rows: pd.DataFrame, clock: int | None) -> pd.DataFrame:
+    """The state of files, one row a path, after listings (path, size, mtime, at) in any order.
+
+    A path's state is the latest listing's size and time, first and last listed so without another in between. Listings
+    older than the state count only where they say the same: they make first earlier. With a clock, listings come after
+    the state, in their own order, and their time is the clock's."""
+    at = rows["at"] if clock is None else clock
+    new = rows[["path", "size", "mtime"]].assign(first=at, last=at, told=False, order=rows["at"], listed=True)
+    old = files.assign(order=files["last"] if clock is None else -(2**62), listed=False)
+    both = pd.concat([old, new], ignore_index=True) if len(old) else new
+    code = pd.factorize(both["path"], use_na_sentinel=False)[0]
+    by = np.lexsort((both.listed, both["size"], both.mtime, both.order, code))
+    both, code = both.iloc[by], code[by]
+    size, mtime, first, last = (both[c].to_numpy("int64", copy=True) for c in ("size", "mtime", "first", "last"))
+    listed, place = both.listed.to_numpy(bool), np.arange(len(both))
+    state = np.full(code[-1] + 1, -1)  # where the state of each path is
+    state[code[~listed]] = place[~listed]
+    mine = state[code]
+    early = place < mine
+    same = early & (size == size[mine]) & (mtime == mtime[mine])
+    np.minimum.at(first, mine[same], first[same])
+    left = ~early
+    both, code, size, mtime, first, last = both[left], code[left], size[left], mtime[left], first[left], last[left]
+    turn = np.r_[True, (code[1:] != code[:-1]) | (size[1:] != size[:-1]) | (mtime[1:] != mtime[:-1])]
+    head, ends = np.flatnonzero(turn)[np.cumsum(turn) - 1], np.r_[code[1:] != code[:-1], True]
+    run = head[ends]
+    told = both.told.to_numpy(bool)[run]
+    return pd.DataFrame({"path": both["path"].to_numpy()[ends], "size": size[ends], "mtime": mtime[ends], "first": first[run], "last": np.maximum(last[ends], last[run]), "told": told})
+
+
+def settled(listings: DataFrame, wait: float = 20.0, keep: float = 86_400.0, late: str | None = None, buckets: int = 1024) -> DataFrame:
     """(path, size, mtime) of files that haven't changed for wait seconds since they were first listed so.
 
     A file that is still growing starts anew at each change; a settled one is reported once until it changes again. No
     further listing of the file is needed: a timer reports it. Paths that no listing has shown for keep seconds are
     forgotten, so the state is as large as what is listed. Time is the clock's; with late, it is the listings' own (seen)
-    and goes on with the latest of all listings less that delay, within which they may come in any order."""
+    and goes on with the latest of all listings less that delay, within which they may come in any order.
+
+    State and timers are those of buckets of paths, by a hash, so that Python is asked for each bucket and not for each
+    path; a batch rewrites the buckets that it touches. A checkpoint goes with its number of buckets."""
     spark = listings.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = listings if late is None else listings.withWatermark("seen", late)
-    return rows.groupBy("path").transformWithStateInPandas(_Settling(wait, keep, late is None), "path string, size long, mtime long", "Append", "ProcessingTime" if late is None else "EventTime")
+    rows = rows.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"), "path", "size", "mtime", "seen", F.unix_millis("seen").alias("at"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Settling(wait, keep, late is None), "path string, size long, mtime long", "Append", "ProcessingTime" if late is None else "EventTime")
 
 
 def refresh(shots: DataFrame, path: str, checkpoint: str, **trigger):
