@@ -52,6 +52,10 @@ def _featured(shots: DataFrame) -> DataFrame:
     return scenes.signed(scenes.tagged(shots, THEMES))
 
 
+def _distilled(shots: DataFrame) -> DataFrame:
+    return scenes.distilled(scenes.tagged(shots, THEMES), THEMES)
+
+
 @query("shots", oracle=f"""SELECT film_id, n, coalesce(nullif(concat_ws('|', CASE WHEN generique THEN 'générique' END, {', '.join(h.format(f"'{name}'") for name, h in zip(THEMES, _HAS, strict=True))}), ''), 'continuité') AS tags FROM (SELECT film_id, n, generique, {_TEXT} AS t FROM shots) x""")
 def shot_tags(shots: DataFrame) -> DataFrame:
     return scenes.tagged(shots, THEMES).select("film_id", "n", F.array_join("tags", "|").alias("tags"))
@@ -79,7 +83,7 @@ def visible_texts(shots: DataFrame) -> DataFrame:
 
 @query("shots", oracle=f"{_MEMBERS} SELECT film_id, n, scene FROM members")
 def scene_members(shots: DataFrame) -> DataFrame:
-    return scenes.scenes_of(_featured(shots), THEMES)
+    return scenes.scenes_of(_distilled(shots), THEMES)
 
 
 _N = len(_ORDER)
@@ -136,7 +140,7 @@ _JOINED = {"plans": ",", "personnages_visibles": "|", "objets_significatifs": "|
 
 def _rows(shots: DataFrame) -> DataFrame:
     """Scene rows; lists as texts."""
-    rows = _featured(shots)
+    rows = hold(_distilled(shots))
     made = scenes.described(rows, scenes.scenes_of(rows, THEMES), THEMES, labels=LABELS, stakes=STAKES)
     return made.withColumns({c: F.array_join(F.col(c).cast("array<string>"), sign) for c, sign in _JOINED.items()})
 
@@ -172,7 +176,7 @@ SELECT film_id, 'gap' AS fault, scene AS number FROM worn GROUP BY film_id, scen
 )
 def scene_faults(shots: DataFrame) -> DataFrame:
     """Faults of scenes that have lost every seventh shot, and have every eleventh one in the next scene too."""
-    made = hold(scenes.scenes_of(_featured(shots), THEMES))
+    made = hold(scenes.scenes_of(_distilled(shots), THEMES))
     worn = made.where("n % 7 <> 0").unionByName(made.where("n % 11 = 0").withColumn("scene", F.col("scene") + 1))
     return scenes.faults(shots, worn)
 
@@ -181,7 +185,7 @@ def scene_faults(shots: DataFrame) -> DataFrame:
 def scene_lookup(shots: DataFrame) -> DataFrame:
     """Shots of even numbers state the first scene, every other fifth one stands in the second scene's list (the last
     one's, where there is only one); the others are looked up by their number."""
-    made = scenes.scenes_of(_featured(shots), THEMES).groupBy("film_id", "scene").agg(F.min("n").alias("plan_debut"), F.max("n").alias("plan_fin"), F.format_string("scene_%03d", F.first("scene")).alias("scene_id"))
+    made = scenes.scenes_of(_distilled(shots), THEMES).groupBy("film_id", "scene").agg(F.min("n").alias("plan_debut"), F.max("n").alias("plan_fin"), F.format_string("scene_%03d", F.first("scene")).alias("scene_id"))
     made = hold(made)
     listed = shots.where("n % 5 = 0").groupBy("film_id").agg(F.collect_list("n").alias("plans"))
     last = made.groupBy("film_id").agg(F.least(F.lit(2), F.max("scene")).alias("scene"))

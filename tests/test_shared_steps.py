@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from reelframe.operators import movement
+from reelframe.functions.text import ascii_only, shorten
+from reelframe.operators import movement, scenes
 from reelframe.plans.catalogue import QUERIES
 
 from .conftest import DATA
@@ -29,3 +30,43 @@ def test_medians_of_shots_and_segments(spark):
 def test_clean_bounds_keep_no_table_of_points(spark):
     """Equal points drop out between neighbours, so no task holds all points of its films in a hash table."""
     assert "Aggregate" not in plan(QUERIES["clean_bounds"](spark, DATA))
+
+
+def test_texts_of_scenes_are_gone_through_once(spark):
+    """Scene rows come from a table of short rows: neither the shots nor their texts are made again for them."""
+    made = plan(QUERIES["scene_rows"](spark, DATA))
+    assert "Window" not in made and "documents" not in made
+
+
+def test_scenes_from_the_ends_of_texts(spark):
+    """A moment inside a long text, one that begins in a shot and ends in the next, none where an empty text is between,
+    and descriptions that are cut where a space stands."""
+    long = "mot " * 300
+    told = [("inside", [long + "le matin " + long]), ("across", [long + "soleil", "couchant " + long]), ("apart", [long + "soleil", "", "couchant " + long]), ("short", ["soleil", "couchant"])]
+    rows = [(film, n, float(n), n + 1.0, text) for film, texts in told for n, text in enumerate(texts, 1)]
+    shots = scenes.tagged(spark.createDataFrame(rows, "film_id string, n long, debut double, fin double, description string"), {})
+    one = shots.select("film_id", "n", F.lit(1).cast("long").alias("scene"))
+    got = {r.film_id: r for r in scenes.described(shots, one, {}).collect()}
+    assert {f: r.temporalite for f, r in got.items()} == {"inside": "matin", "across": "soleil couchant", "apart": "indéterminée", "short": "soleil couchant"}
+    assert got["inside"].resume_scene == " ".join(["mot"] * 57) + "… " + " ".join(["mot"] * 55) + "…"  # the last shot's has 220 signs
+    assert got["short"].resume_scene == "soleil couchant"
+
+
+def test_shorten_reads_what_it_needs(spark):
+    """Texts with long white space at any place, and such as end at the limit."""
+    texts = ["", " " * 50 + "ab cd", "ab" + " " * 50 + "cd ef gh", "abcd efgh", "abcd efgh ", "abcd efghi", "a b c d e f g h", "x" * 60, ("ab" + "\n" * 9) * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def plain(t, limit=9):
+        flat = " ".join(t.split())
+        return flat if len(flat) <= limit else flat[:limit].rsplit(" ", 1)[0].rstrip(" .,;:") + "…"
+
+    assert [r[0] for r in df.select(shorten(F.col("t"), 9)).collect()] == [plain(t) for t in texts]
+
+
+def test_ascii_of_few_and_many_signs(spark):
+    """Letters with marks, ligatures, signs without ASCII and beyond the first plane, alone and among many others."""
+    some, other = "é œ ﬁ ½ 中 😀 𝐀 x", "".join(map(chr, range(0x4E00, 0x4E50)))
+    df = spark.createDataFrame([(some,), (some + other,)], "t string")
+    few, many = (r[0] for r in df.select(ascii_only(F.col("t"))).collect())
+    assert few == many == "e  fi 12   A x"
