@@ -41,3 +41,12 @@ def in_order(df: DataFrame, name: str) -> DataFrame:
     before = counts.select("__of", (F.sum("__n").over(Window.orderBy("__of")) - F.col("__n")).alias("__before"))  # as many rows as parts
     placed = parts.join(F.broadcast(before), part == F.col("__of"))
     return placed.select(*df.columns, (F.col("__row").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).alias(name))
+
+
+def parted(rows: DataFrame, *by: str, given: DataFrame | None = None, most: int = 500_000) -> DataFrame:
+    """rows parted by columns for windows over them, over as many tasks as keep about so many rows each, so that what a
+    task sorts doesn't grow with the table; at least as many as there are shuffle partitions.
+
+    given, if rows are costly to make, is a table that has as many of them or more."""
+    parts = -(-(rows if given is None else given).count() // most)
+    return rows.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions.ranks import parted
+
 SHORTEST = 0.04
 EDGE = 0.05
 
@@ -34,7 +36,7 @@ def between(points: DataFrame, *keys: str) -> DataFrame:
 def detect(frames: DataFrame, clips: DataFrame, threshold: float = 3.0) -> DataFrame:
     """(film_id, debut, fin) of the shots of each clip in one pass."""
     ends = clips.select("film_id", F.explode(F.array(F.bround("debut", 3), F.bround("fin", 3))).alias("t"))
-    return between(cuts(frames, threshold, clips).unionByName(ends), "film_id")
+    return between(parted(cuts(frames, threshold, clips).unionByName(ends), "film_id", given=frames), "film_id")
 
 
 def detect_twice(frames: DataFrame, clips: DataFrame, threshold: float = 3.0, second: float | None = None, longest: float = 30.0) -> DataFrame:
@@ -47,7 +49,7 @@ def detect_twice(frames: DataFrame, clips: DataFrame, threshold: float = 3.0, se
     fine = frames.where((F.col("score") > least) & F.col("film_id").isNotNull()).select("film_id", "t", F.lit(1).alias("kind"))
     rows = shots.select("film_id", F.col("debut").alias("t"), F.lit(0).alias("kind"), F.struct(F.col("debut").alias("a"), F.col("fin").alias("b")).alias("shot")).unionByName(fine, allowMissingColumns=True)
     before = Window.partitionBy("film_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("shot", F.last("shot", ignorenulls=True).over(before)).select("film_id", "t", "kind", "shot.a", "shot.b")
+    placed = parted(rows, "film_id", given=frames).withColumn("shot", F.last("shot", ignorenulls=True).over(before)).select("film_id", "t", "kind", "shot.a", "shot.b")
     cut = (F.col("b") - F.col("a") > longest) & _within("a", "b")
     points = F.when(F.col("kind") == 0, F.array("a", "b")).when(cut, F.array(F.bround("t", 3)))
     finer = between(placed.select("film_id", "a", "b", F.explode(points).alias("t")), "film_id", "a", "b")
@@ -56,7 +58,7 @@ def detect_twice(frames: DataFrame, clips: DataFrame, threshold: float = 3.0, se
 
 def clean_bounds(bounds: DataFrame, gap: float = 0.08) -> DataFrame:
     """Shots from bounds that may overlap or leave holes: a start counts unless it is too near the last point."""
-    rows = bounds.select("film_id", F.bround("debut", 3).alias("debut"), F.bround("fin", 3).alias("fin"), "pos").where("fin > debut")
+    rows = parted(bounds, "film_id").select("film_id", F.bround("debut", 3).alias("debut"), F.bround("fin", 3).alias("fin"), "pos").where("fin > debut")
     # the last point is always the end of the row before
     last = F.lag("fin").over(Window.partitionBy("film_id").orderBy("pos", "debut", "fin"))
     near = F.coalesce(F.bround(F.col("debut") - last, 6) < gap, F.lit(False))

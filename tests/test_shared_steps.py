@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reelframe.functions.text import ascii_only, shorten
+from reelframe.functions.ranks import parted
 from reelframe.operators import movement, scenes
 from reelframe.plans.catalogue import QUERIES
 
@@ -70,3 +71,13 @@ def test_ascii_of_few_and_many_signs(spark):
     df = spark.createDataFrame([(some,), (some + other,)], "t string")
     few, many = (r[0] for r in df.select(ascii_only(F.col("t"))).collect())
     assert few == many == "e  fi 12   A x"
+
+
+def test_tasks_of_windows_grow_in_number_not_in_size(spark):
+    """Both windows of the clean bounds use one parting by films, over more tasks where there are more rows."""
+    rows = spark.range(1000).select((F.col("id") % 200).alias("k"), "id")
+    made = parted(rows, "k", most=100)
+    assert made.rdd.getNumPartitions() == 10 and made.count() == 1000
+    assert parted(rows, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    physical = QUERIES["clean_bounds"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1 and "REPARTITION_BY_NUM" in physical
