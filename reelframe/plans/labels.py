@@ -49,7 +49,7 @@ _LAYER = "concat(text, CASE WHEN turn % 3 = 0 THEN ' [music] - Yes? - No!!' WHEN
 CASE WHEN len(t) - len(replace(t, '!', '')) >= 2 THEN 'dialogue expressif' END, CASE WHEN {' OR '.join(f"contains(f, '{w}')" for w in labels.ANNOUNCED)} THEN 'annonce / message' END), ''), 'dialogue continu') AS kinds, CASE WHEN turn % 3 = 0 THEN 'musique signalée' ELSE 'aucune musique signalée' END AS music, CASE WHEN turn % 3 = 1 THEN 'effets / ambiance' WHEN turn % 3 = 2 THEN 'ambiance non qualifiée' ELSE '' END AS sounds
 FROM (SELECT *, len(regexp_extract_all(f, '[a-z0-9_'']+')) AS w FROM (SELECT *, regexp_replace(lower(strip_accents(t)), '[^\\x00-\\x7F]', '', 'g') AS f FROM (SELECT conv_id, turn, {_LAYER} AS t FROM conversations) a) b) c""")
 def sound_layers(conversations: DataFrame) -> DataFrame:
-    text = F.concat("text", F.when(F.col("turn") % 3 == 0, " [music] - Yes? - No!!").when(F.col("turn") % 3 == 1, " [door]").otherwise(""))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, " [music] - Yes? - No!!").when(F.col("turn") % 3 == 1, " [door]").otherwise(""))
     rows = conversations.select("conv_id", "turn", text.alias("dialogue_texte"), F.lit(True).alias("dialogue"), F.lit(1).alias("n_segments"))
     rows = labels.sound_layers(rows)
     return rows.select("conv_id", "turn", *(F.array_join(c, "|").alias(n) for c, n in (("dialogue_types", "kinds"), ("musique_types", "music"), ("ambiance_types", "sounds"))))

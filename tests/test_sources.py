@@ -330,6 +330,19 @@ def test_films_hold_every_supplier(spark):
     assert len(want) > 25 and {r.film_id for r in adapted(spark, sf, "films").collect()} == want
 
 
+def test_sound_layers_of_turns_without_text(spark, tmp_path):
+    """A null text is an empty one: what the turn's cues tell stays."""
+    import duckdb
+
+    from reelframe.plans.catalogue import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, "a b")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT conv_id, turn, kinds, music, sounds FROM ({ORACLES['sound_layers']}) x ORDER BY turn").fetchall()
+    assert [tuple(r) for r in QUERIES["sound_layers"](spark, str(tmp_path)).orderBy("turn").collect()] == want and want[0][3] == "musique signalée"
+
+
 def test_operators_without_a_query(spark, tmp_path):
     """What COVERAGE.md lists and no query calls."""
     from pyspark.sql import functions as F
