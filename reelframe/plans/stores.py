@@ -146,7 +146,7 @@ def delivered_once(events: DataFrame) -> DataFrame:
 def resumed_shots(shots: DataFrame) -> DataFrame:
     """Answers on a third of the films, written and committed, and a portion that was written only; then on all shots."""
     path, spark = folder(shots.sparkSession), shots.sparkSession
-    work, ask = shots.select("film_id", "n"), lambda rows: pd.DataFrame({"answer": (rows.n * 2).astype(str)})
+    work, ask = hold(shots.select("film_id", "n")), lambda rows: pd.DataFrame({"answer": (rows.n * 2).astype(str)})
     incremental.resumed(work.where("film_id LIKE 'src1%'"), path, ["film_id", "n"], ask, "answer string", 1000)
     Ledger(spark, path).write(work.select("film_id", "n", F.lit("torn").alias("answer"), F.lit("torn").alias("error")))  # its driver died here
     return incremental.resumed(work, path, ["film_id", "n"], ask, "answer string", max(1000, 1 + work.count() // 4))

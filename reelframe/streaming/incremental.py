@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from reelframe.functions.ranks import numbered
-from reelframe.sources.tables import hold
+from reelframe.sources.tables import folder
 
 from .ledger import Ledger
 
@@ -175,8 +178,12 @@ def enriched(work: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
 
 def spread(rows: DataFrame, *by: str | Column) -> DataFrame:
     """rows over as many tasks as there are shuffle partitions, or cores if those are more, however few bytes they have."""
+    return rows.repartition(_tasks(rows), *by)
+
+
+def _tasks(rows: DataFrame) -> int:
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _beside(rows: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
@@ -216,21 +223,45 @@ def upserted(items: DataFrame, key: str, signature: list[str], at: str, path: st
 
 
 def resumed(work: DataFrame, path: str, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, portion: int, batch: int = 64) -> DataFrame:
-    """enriched() in portions of so many rows, each committed to a ledger at path once it is written; rows whose portion
-    was committed by an earlier run aren't asked again. Gives all committed rows."""
-    ledger = Ledger(work.sparkSession, path)
+    """enriched() in portions of so many rows, each committed to a ledger at path once it and those before it are written;
+    rows whose portion was committed by an earlier run aren't asked again. Gives all committed rows.
+
+    Small portions are written side by side, as many as give each core sixteen batches, and committed in their order.
+    What a run that dies had written of them and not committed is asked again."""
+    spark, ledger, parts = work.sparkSession, Ledger(work.sparkSession, path), folder(work.sparkSession)
     made = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema), schema, "error string"])
-    done = ledger.read(made)
-    left = hold(numbered(work.join(done.select(keys), keys, "left_anti"), [], [F.asc(k) for k in keys], "_pos"))
-    total, first = left.count(), max(ledger.committed(), default=-1) + 1
-    for i, start in enumerate(range(0, total, portion)):
-        rows = left.where((F.col("_pos") > start) & (F.col("_pos") <= start + portion))
-        # neighbouring rows lie in few parts: whole batches of them go to all tasks
-        rows = spread(rows, F.floor((F.col("_pos") - start - 1) / batch)).sortWithinPartitions("_pos").drop("_pos")
-        ledger.append(first + i, enriched(rows, fn, schema, batch))
+    done, seen = ledger.read(made), Observation()
+    left = numbered(work.join(done.select(keys), keys, "left_anti"), [], [F.asc(k) for k in keys], "_pos").withColumn("_portion", F.floor((F.col("_pos") - 1) / portion))
+    # each portion has a folder, so that its job reads nothing else and its plan holds no number of its own to compile
+    left.observe(seen, F.max("_pos").alias("rows")).write.partitionBy("_portion").option("compression", "zstd").parquet(parts)
+    first, portions, cores = max(ledger.committed(), default=-1) + 1, -(-(seen.get["rows"] or 0) // portion), spark.sparkContext.defaultParallelism
+    most = max(1, min(16, portions, 16 * cores * batch // portion))
+    held = left.drop("_portion").schema
+    tasks = min(-(-portion // batch), _tasks(work) if most == 1 else -(-2 * cores // most))
+
+    def written(i: int) -> str:
+        rows = spark.read.schema(held).parquet(f"{parts}/_portion={i}")
+        # a portion's rows lie in few parts: whole batches of neighbours are dealt to the tasks in turn
+        turn = F.floor((F.col("_pos") - 1) % portion / batch) % tasks
+        rows = rows.repartitionById(tasks, turn.cast("int")).sortWithinPartitions("_pos").drop("_pos")
+        return ledger.write(enriched(rows, fn, schema, batch).hint("rebalance", *keys))  # few files, by their size
+
+    with ThreadPoolExecutor(most) as pool:
+        for i, name in enumerate(_ahead(pool, inheritable_thread_target(spark)(written), range(portions), most)):
+            ledger.commit(first + i, name)
     return ledger.read(made).drop("batch")
 
 
+def _ahead(pool: ThreadPoolExecutor, fn: Callable, items: Iterable, most: int) -> Iterator:
+    """fn of each item, in their order; at most so many are in work or waiting to be taken."""
+    made = deque()
+    for item in items:
+        made.append(pool.submit(fn, item))
+        if len(made) == most:
+            yield made.popleft().result()
+    yield from (f.result() for f in made)
+
+
 def newer(versions: DataFrame, processed: DataFrame) -> DataFrame:
     """(film_id, version) that haven't been processed."""
     return versions.join(processed, ["film_id", "version"], "left_anti")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +66,14 @@ class Ledger:
         """The rows of all committed batches, with their number as the column batch."""
         known = self.committed()
         base = max((b for b, m in known.items() if m["base"]), default=None)
-        live = [m for b, m in sorted(known.items()) if base is None or b >= base]
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{m['folder']}").withColumn("batch", F.lit(m["batch"]).cast("long")) for m in live]
-        if not parts:
+        live = {m["folder"].rsplit("/", 1)[-1]: b for b, m in known.items() if base is None or b >= base}
+        if not live:
             return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
-        return reduce(DataFrame.unionByName, parts)
+        # one scan of all folders, however many batches there are; a file's folder tells its batch
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/data/{name}" for name in live))
+        rows = rows.withColumn("_folder", F.element_at(F.split("_metadata.file_path", "/"), -2))
+        numbers = self.spark.createDataFrame([*live.items()], "_folder string, batch long")
+        return rows.join(F.broadcast(numbers), "_folder").drop("_folder")
 
     def latest(self, schema, *keys: str) -> DataFrame:
         """Of each key, the rows of the last batch that has any."""

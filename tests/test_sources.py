@@ -306,6 +306,26 @@ def test_batches_of_a_resumed_portion(spark, tmp_path):
     assert len({r.task for r in out}) > 1
 
 
+def test_many_portions(spark, tmp_path, monkeypatch):
+    """Manifests are read a few times for a run and not for each portion, committed portions are one scan of few files, their
+    numbers are those of their commits, and a run with nothing left asks nothing."""
+    reads, true = [], Ledger.committed
+    monkeypatch.setattr(Ledger, "committed", lambda self: reads.append(1) or true(self))
+    work, path, asked = spark.range(1, 205).withColumnRenamed("id", "n"), str(tmp_path / "l"), spark.sparkContext.accumulator(0)
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        asked.add(len(rows))
+        return pd.DataFrame({"answer": rows.n.astype(str)})
+
+    out = incremental.resumed(work, path, ["n"], ask, "answer string", 10, 2)
+    assert len(reads) < 5 and "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.n, r.answer) for r in out.collect()) == [(n, str(n)) for n in range(1, 205)] and asked.value == 204
+    rows = Ledger(spark, path).read("n long, answer string, error string").collect()
+    assert {(r.n, r.batch) for r in rows} == {(n, (n - 1) // 10) for n in range(1, 205)}
+    assert len(list((tmp_path / "l" / "data").glob("*/*.parquet"))) == 21
+    assert incremental.resumed(work, path, ["n"], ask, "answer string", 10, 2).count() == 204 and asked.value == 204
+
+
 def test_prefilled_year(spark):
     """The year that stands alone, whatever other digits look like one; else the first one."""
     stems = ["cut src0-1975 1951", "a_2049_(2017)", "film-1975-1080p", "x 12051 y", "2001 odyssey 1968"]
